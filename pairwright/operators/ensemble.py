@@ -33,14 +33,12 @@ def blend_metrics(
 
 
 def true_class_probs(df: DataFrame, models: Models, winners: Sequence[str] = WINNERS) -> DataFrame:
-    """One column per model: the probability it gave to the true class.
+    """One column per model: the probability it gave to the true class, all a blend's log loss depends on.
 
-    All a blend's log loss depends on. Rows that some model cannot be read on are left out.
+    NaN becomes NULL, so a row that some model has no number for drops out of every average.
     """
     y = df.select(winner_class(winners).alias("_y"), *[c for p in models.values() for c in p])
-    picked = y.select(*[pick("_y", p).cast("double").alias(m) for m, p in models.items()])
-    usable = [F.col(m).isNotNull() & ~F.isnan(m) for m in models]
-    return picked.filter(_all(usable))
+    return y.select(*[F.nanvl(pick("_y", p).cast("double"), F.lit(None)).alias(m) for m, p in models.items()])
 
 
 def simplex_grid(k: int, steps: int) -> list[tuple[float, ...]]:
@@ -173,10 +171,3 @@ def _sum(cols: Sequence[Column]) -> Column:
     for c in cols[1:]:
         out = out + c
     return out
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.operators.rows import unpivot
+from pairwright.operators.rows import round_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
 _ACCURACY = 10_000
@@ -24,19 +24,14 @@ def column_profile(
 ) -> DataFrame:
     """(feature_group, feature, count, mean, std, min, q25, q50, q75, max), one row per group and column.
 
-    ``approximate`` takes the quartiles from a mergeable sketch in the same pass. ``exact`` interpolates between
-    neighbours like a sorted array would, see :func:`exact_quantiles`. NULL and NaN are not counted.
+    ``approximate`` takes the quartiles from a mergeable sketch, in one pass; ``exact`` interpolates between
+    neighbours like a sorted array would, see :func:`exact_quantiles`. NULL and NaN are not counted. The
+    passes run when the function is called, and what reaches the driver depends on the number of columns only.
     """
+    if quantiles not in ("exact", "approximate"):
+        raise ValueError("quantiles is 'exact' or 'approximate'")
     columns = list(dict.fromkeys(c for members in groups.values() for c in members))
     values = df.select(*[_usable(c).alias(c) for c in columns])
-    if quantiles == "exact":
-        found = exact_quantiles(values, columns, QUARTILES, accuracy)
-        quartile = {c: [F.lit(v).cast("double") for v in found[c]] for c in columns}
-    elif quantiles == "approximate":
-        quartile = {c: [F.col(f"`{c}|q`")[i] for i in range(len(QUARTILES))] for c in columns}
-    else:
-        raise ValueError("quantiles is 'exact' or 'approximate'")
-
     aggs: list[Column] = []
     for c in columns:
         aggs += [
@@ -46,23 +41,22 @@ def column_profile(
             F.min(c).alias(f"{c}|min"),
             F.max(c).alias(f"{c}|max"),
         ]
-        if quantiles == "approximate":
-            aggs.append(F.percentile_approx(c, list(QUARTILES), accuracy).alias(f"{c}|q"))
-    rows = []
-    for group, members in groups.items():
-        for c in members:
-            stats = {
-                "mean": F.col(f"`{c}|mean`"),
-                "std": F.col(f"`{c}|std`"),
-                "min": F.col(f"`{c}|min`"),
-                "q25": quartile[c][0],
-                "q50": quartile[c][1],
-                "q75": quartile[c][2],
-                "max": F.col(f"`{c}|max`"),
-            }
-            rounded = {name: F.round(v, digits) + F.lit(0.0) for name, v in stats.items()}
-            rows.append({"feature_group": F.lit(group), "feature": F.lit(c), "count": F.col(f"`{c}|count`"), **rounded})
-    return unpivot(values.agg(*aggs), [], rows)
+    levels = _around(QUARTILES, accuracy) if quantiles == "exact" else list(QUARTILES)
+    aggs += [F.percentile_approx(c, levels, accuracy).alias(f"{c}|sketch") for c in columns]
+    stats = values.agg(*aggs).first()
+    if quantiles == "exact":
+        brackets = {c: (stats[f"{c}|count"], stats[f"{c}|sketch"]) for c in columns}
+        quartile = exact_quantiles(values, columns, QUARTILES, accuracy, brackets=brackets)
+    else:
+        quartile = {c: stats[f"{c}|sketch"] or [None] * len(QUARTILES) for c in columns}
+    rows = [
+        (group, c, stats[f"{c}|count"], stats[f"{c}|mean"], stats[f"{c}|std"], stats[f"{c}|min"], *quartile[c], stats[f"{c}|max"])
+        for group, members in groups.items()
+        for c in members
+    ]
+    names = ("mean", "std", "min", "q25", "q50", "q75", "max")
+    schema = "feature_group string, feature string, count long, " + ", ".join(f"{n} double" for n in names)
+    return round_columns(df.sparkSession.createDataFrame(rows, schema), names, digits)
 
 
 def _usable(c: str) -> Column:
@@ -76,6 +70,7 @@ def exact_quantiles(
     probabilities: Sequence[float] = QUARTILES,
     accuracy: int = _ACCURACY,
     max_bracket_rows: int = _BRACKET_ROWS,
+    brackets: Mapping[str, tuple[int, Sequence[float]]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of many columns with linear interpolation, without sorting or gathering a column.
 
@@ -85,18 +80,21 @@ def exact_quantiles(
     4. The values inside the brackets are counted per distinct value and ranked inside their bracket.
 
     A bracket that does not hold its ranks is opened to the whole range and narrowed again, so the result
-    never depends on the sketch. The driver gets a few numbers per column and quantile.
+    never depends on the sketch. The driver gets a few numbers per column and quantile. ``brackets`` hands in
+    the result of step 1 when the caller has it.
     """
-    first = df.agg(
-        *[F.count(c).alias(f"{c}|n") for c in columns],
-        *[F.percentile_approx(c, _around(probabilities, accuracy), accuracy).alias(f"{c}|s") for c in columns],
-    ).first()
+    if brackets is None:
+        first = df.agg(
+            *[F.count(c).alias(f"{c}|n") for c in columns],
+            *[F.percentile_approx(c, _around(probabilities, accuracy), accuracy).alias(f"{c}|s") for c in columns],
+        ).first()
+        brackets = {c: (first[f"{c}|n"], first[f"{c}|s"]) for c in columns}
     targets: list[dict] = []
     for c in columns:
-        n = first[f"{c}|n"]
+        n, sketch = brackets[c]
         for i, p in enumerate(probabilities if n else ()):
             position = p * (n - 1)
-            lo, hi = first[f"{c}|s"][2 * i : 2 * i + 2]
+            lo, hi = sketch[2 * i : 2 * i + 2]
             targets.append(
                 {"column": c, "i": i, "lo": lo, "hi": hi, "low": math.floor(position), "high": math.ceil(position),
                  "fraction": position - math.floor(position)}

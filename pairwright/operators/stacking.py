@@ -111,7 +111,8 @@ def build_stack_table(
     """Clean, index and assemble the features and write ``(id, label, features)`` partitioned by fold.
 
     Every fit reads this table. Written to the shared folder, it cuts the lineage, survives lost executors, and
-    lets a fit skip the files of the folds it does not use.
+    lets a fit skip the files of the folds it does not use. Rows are rebalanced by fold first: Spark sizes the
+    files by bytes and splits a large fold over many.
     """
     require(df, [key, fold, *features, *winners], "stacking table")
     categories = categorical_columns(features)
@@ -136,7 +137,8 @@ def build_stack_table(
     prepared = Pipeline(stages=stages).fit(typed)
     sizes = [len(labels) + 1 for labels in prepared.stages[0].labelsArray] if categories else []
     path = path or new_path(df.sparkSession, "stack")
-    prepared.transform(typed).select(key, fold, "label", "features").write.partitionBy(fold).parquet(path)
+    assembled = prepared.transform(typed).select(key, fold, "label", "features")
+    assembled.hint("rebalance", fold).write.partitionBy(fold).parquet(path)
     return StackTable(path, tuple(features), k, max([32, *sizes]))
 
 
@@ -182,21 +184,25 @@ def fit_fold_models(
     return models
 
 
-def save_models(models: Mapping[int, Sequence[Model]], path: str) -> str:
-    for k, of_fold in models.items():
-        for i, model in enumerate(of_fold):
-            model.write().save(f"{path}/fold={k}/model={i}")
+def save_models(models: Mapping[int, Sequence[Model]], path: str, parallelism: int = 8) -> str:
+    """One folder per fold and model."""
+    places = [(model, f"{path}/fold={k}/model={i}") for k, of_fold in models.items() for i, model in enumerate(of_fold)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        list(pool.map(lambda place: place[0].write().save(place[1]), places))
     return path
 
 
-def load_models(path: str, family: str, k: int = N_FOLDS) -> dict[int, list[Model]]:
+def load_models(path: str, family: str, k: int = N_FOLDS, parallelism: int = 8) -> dict[int, list[Model]]:
     reader = {
         "boosted": GBTClassificationModel,
         "forest": RandomForestClassificationModel,
         "logistic": LogisticRegressionModel,
     }[family]
     per_fold = len(CLASSES) if family == "boosted" else 1
-    return {f: [reader.load(f"{path}/fold={f}/model={i}") for i in range(per_fold)] for f in range(k)}
+    places = [f"{path}/fold={f}/model={i}" for f in range(k) for i in range(per_fold)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        loaded = list(pool.map(reader.load, places))
+    return {f: loaded[f * per_fold : (f + 1) * per_fold] for f in range(k)}
 
 
 def stack_predictions(data: DataFrame, models: Mapping[int, Sequence[Model]], keep: Sequence[str] = (ID,)) -> DataFrame:

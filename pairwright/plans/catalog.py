@@ -256,7 +256,7 @@ def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def truncation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = inputs.pair_frame(spark, sf_dir, {"n": token_count("text")}, outcomes=False)
+    counts = inputs.pair_measures(spark, sf_dir, {"n": token_count("text")})
     # the two separators of the joined text are tokens of their own
     total = (F.col("p_n") + F.col("a_n") + F.col("b_n") + 2).alias("n_tokens")
     return rounded(preference.truncation_report(counts.select(total)))
@@ -298,8 +298,10 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    derived = inputs.pair_features(spark, sf_dir)
-    return profile.column_profile(derived, features.feature_groups(derived), digits=6)
+    """Features are derived from the texts once and stored; the profile reads the narrow table."""
+    path = writers.write_parquet(inputs.pair_features(spark, sf_dir), new_path(spark, "features"))
+    stored = readers.read_table(spark, path)
+    return profile.column_profile(stored, features.feature_groups(stored), digits=6)
 
 
 @query
@@ -313,10 +315,8 @@ def distill_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = explore.sample_rows(inputs.predictions(spark, sf_dir).select(ID, *WINNERS), 10)
-    texts = inputs.pair_frame(spark, sf_dir, {"text": F.col("text")}, outcomes=False)
-    texts = texts.withColumnsRenamed(dict(zip(("p_text", "a_text", "b_text"), TEXTS)))
-    return explore.sample_cards(explore.attach_text(drawn, texts, 10))
+    drawn = explore.sample_rows(inputs.predictions(spark, sf_dir).select(ID), 10)
+    return explore.sample_cards(explore.attach_text(drawn, inputs.pairs(spark, sf_dir), 10))
 
 
 @query

@@ -38,29 +38,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def outcome_columns(key: Column, source: Column) -> dict[str, Column]:
-    """Cluster, winners and three models' probabilities of the pair whose prompt has this key and source."""
+def with_outcomes(df: DataFrame) -> DataFrame:
+    """Add winners and three models' probabilities, which follow from the key.
+
+    One step per layer of the arithmetic, so that Spark evaluates each layer once.
+    """
+    key = F.col(ID)
     draw = (key * 7919 + 104729) % 1000
-    y = F.when(draw < 350, 0).when(draw < 690, 1).otherwise(2)
-    out: dict[str, Column] = {CLUSTER: F.substring(source, 4, 20).try_cast("int")}
-    for c, name in enumerate(WINNERS):
-        out[name] = F.when(y == c, 1).otherwise(0)
-    for m, (modulus, below, shift) in HINTS.items():
-        favoured = F.when(key % modulus < below, (y + shift) % 3).otherwise(y)
-        weights = [
-            (F.lit(1) + (key * mul + add) % mod + F.when(favoured == c, 150).otherwise(0)).cast("double")
-            for c, (mul, add, mod) in enumerate(NOISE[m])
-        ]
-        total = weights[0] + weights[1] + weights[2]
-        for name, w in zip(MODELS[m], weights):
-            out[name] = w / total
-    return out
+    rest = [c for c in df.columns if c not in (ID, CLUSTER)]
+    drawn = df.withColumn("_y", F.when(draw < 350, 0).when(draw < 690, 1).otherwise(2))
+    hinted = drawn.withColumns(
+        {
+            f"_h_{m}": F.when(key % modulus < below, (F.col("_y") + shift) % 3).otherwise(F.col("_y"))
+            for m, (modulus, below, shift) in HINTS.items()
+        }
+    )
+    weighted = hinted.withColumns(
+        {
+            f"_w_{m}_{c}": (F.lit(1) + (key * mul + add) % mod + F.when(F.col(f"_h_{m}") == c, 150).otherwise(0)).cast("double")
+            for m, noise in NOISE.items()
+            for c, (mul, add, mod) in enumerate(noise)
+        }
+    )
+    totals = weighted.withColumns({f"_t_{m}": F.col(f"_w_{m}_0") + F.col(f"_w_{m}_1") + F.col(f"_w_{m}_2") for m in MODELS})
+    return totals.select(
+        ID,
+        CLUSTER,
+        *[F.when(F.col("_y") == c, 1).otherwise(0).alias(name) for c, name in enumerate(WINNERS)],
+        *[(F.col(f"_w_{m}_{c}") / F.col(f"_t_{m}")).alias(name) for m, names in MODELS.items() for c, name in enumerate(names)],
+        *rest,
+    )
+
+
+def keyed_documents(spark: SparkSession, sf_dir: str, columns: Mapping[str, Column]) -> DataFrame:
+    """(id, cluster, the given columns) of every document; the number in ``source`` is the cluster."""
+    cluster = F.substring("source", 4, 20).try_cast("int")
+    named = [c.alias(name) for name, c in columns.items()]
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ID), cluster.alias(CLUSTER), *named)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything about a pair but its texts; reads two narrow columns."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ID), "source")
-    return docs.select(ID, *[c.alias(n) for n, c in outcome_columns(F.col(ID), F.col("source")).items()])
+    return with_outcomes(keyed_documents(spark, sf_dir, {}))
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,36 +87,53 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_folds(predictions(spark, sf_dir), stratum_by_cluster(), keep_stratum="stratify_group")
 
 
-def pair_frame(spark: SparkSession, sf_dir: str, measures: Mapping[str, Column], outcomes: bool = True) -> DataFrame:
-    """(id, outcomes.., p_<measure>.., a_<measure>.., b_<measure>..) for measures of a document.
+def _document_count(spark: SparkSession, sf_dir: str) -> Column:
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+
+
+def pair_measures(spark: SparkSession, sf_dir: str, measures: Mapping[str, Column]) -> DataFrame:
+    """(id, outcomes.., p_<measure>.., a_<measure>.., b_<measure>..) for numeric measures of a document.
 
-    Measures are taken before the join. Each document is moved once per role, to the key of the pair it
-    serves, so both joins use one distribution.
+    Texts are read and measured once and never moved: each document's numbers go to the three pairs it
+    serves, and one aggregation puts a pair together.
     """
-    docs = table(spark, sf_dir, "documents")
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    key = F.col("doc_id")
-    extra = [c.alias(name) for name, c in outcome_columns(key, F.col("source")).items()] if outcomes else []
-    pairs = docs.select(key.alias(ID), *extra, *[c.alias(f"p_{name}") for name, c in measures.items()])
-    for side, shift in RESPONSE_SHIFT.items():
-        columns = [c.alias(f"{side}_{name}") for name, c in measures.items()]
-        pairs = pairs.join(docs.select(F.pmod(key - shift, n).alias(ID), *columns), ID)
-    return pairs
+    n, key = _document_count(spark, sf_dir), F.col(ID)
+    served = {"p": key, **{side: F.pmod(key - shift, n) for side, shift in RESPONSE_SHIFT.items()}}
+    roles = F.array(*[F.struct(k.alias("_pair"), F.lit(side).alias("_side")) for side, k in served.items()])
+    rows = keyed_documents(spark, sf_dir, measures).select(F.inline(roles), CLUSTER, *measures)
+
+    def of(side: str, column: str) -> Column:
+        return F.max(F.when(F.col("_side") == side, F.col(column)))
+
+    together = rows.groupBy(F.col("_pair").alias(ID)).agg(
+        F.count(F.lit(1)).alias("_roles"),
+        of("p", CLUSTER).alias(CLUSTER),
+        *[of(side, m).alias(f"{side}_{m}") for side in SIDES for m in measures],
+    )
+    return with_outcomes(together.filter(F.col("_roles") == len(SIDES)).drop("_roles"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with their three texts."""
-    frame = pair_frame(spark, sf_dir, {"text": F.col("text")})
-    return frame.withColumnsRenamed({f"{s}_text": t for s, t in zip(SIDES, TEXTS)})
+    """Pairs with their three texts.
+
+    Each text is moved once per role, to the key of the pair it serves, so both joins use one distribution.
+    """
+    n, key = _document_count(spark, sf_dir), F.col(ID)
+    prompt, *responses = TEXTS
+    out = with_outcomes(keyed_documents(spark, sf_dir, {prompt: F.col("text")}))
+    for name, shift in zip(responses, RESPONSE_SHIFT.values()):
+        texts = keyed_documents(spark, sf_dir, {name: F.col("text")})
+        out = out.join(texts.select(F.pmod(key - shift, n).alias(ID), name), ID)
+    return out
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived features per pair, from measures taken where the texts are."""
-    return combine_measures(pair_frame(spark, sf_dir, text_measures("text")), keep=(ID, CLUSTER, *WINNERS))
+    return combine_measures(pair_measures(spark, sf_dir, text_measures("text")), keep=(ID, CLUSTER, *WINNERS))
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_frame(spark, sf_dir, {"len": F.length("text")})
+    return pair_measures(spark, sf_dir, {"len": F.length("text").cast("long")})
 
 
 def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
