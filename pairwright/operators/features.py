@@ -13,45 +13,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import ColumnOrName
-from pairwright.functions.text import blank, whitespace_tokens
+from pairwright.functions.text import blank, token_count, whitespace_tokens
 from pairwright.schema import ID, TEXTS, require
 
-# --- Fixed values: style patterns, valid both as Java regular expressions and in RE2. -------------
+# --- Fixed values: words and patterns of the style flags, valid as Java regular expressions and in RE2. ---
 
-_WORD = "(^|[^A-Za-z])({})([^A-Za-z]|$)"
-
-STYLE_PATTERNS = {
-    "has_list": r"(^|\n)[ ]*([-*]|[0-9]+[.)])[ ]",
-    "has_code": r"```|(^|\n)[ ]*(def|class|import|return|function|var|const) ",
-    "has_emoji": r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]",
-    "is_polite": "(?i)" + _WORD.format("please|thank|thanks|welcome|happy to help|glad"),
-    "has_disclaimer": "(?i)" + _WORD.format("as an ai|i am not a|not legal advice|not medical advice|consult a professional"),
-    "is_refusal": "(?i)" + _WORD.format("i cannot|i can't|i am unable|i'm unable|i won't|sorry, but"),
+STYLE_WORDS = {
+    "is_polite": ("please", "thank", "thanks", "welcome", "happy to help", "glad"),
+    "has_disclaimer": ("as an ai", "i am not a", "not legal advice", "not medical advice", "consult a professional"),
+    "is_refusal": ("i cannot", "i can't", "i am unable", "i'm unable", "i won't", "sorry, but"),
+    "is_code_task": ("python", "java", "javascript", "sql", "code", "function", "algorithm", "script", "```"),
 }
-CODE_TASK_PATTERN = "(?i)```|" + _WORD.format("python|java|javascript|sql|code|function|algorithm|script")
+LIST_PATTERN = r"(^|\n)[ ]*([-*]|[0-9]+[.)])[ ]"
+CODE_PATTERN = r"```|(^|\n)[ ]*(def|class|import|return|function|var|const) "
+EMOJI_PATTERN = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 # --------------------------------------------------------------------------------------------------
 
-MEASURES = ("len", "word_len", *STYLE_PATTERNS, "is_code_task")
+
+def word_pattern(words: Sequence[str]) -> str:
+    """Any of the words, in any case, with no letter before or after it."""
+    return f"(?i)(^|[^A-Za-z])({'|'.join(words)})([^A-Za-z]|$)"
+
+
+FLAG_PATTERNS = {
+    "has_list": LIST_PATTERN,
+    "has_code": CODE_PATTERN,
+    "has_emoji": EMOJI_PATTERN,
+    **{name: word_pattern(words) for name, words in STYLE_WORDS.items()},
+}
+#: Flags reported for both responses; the code-task flag belongs to the prompt.
+RESPONSE_FLAGS = tuple(name for name in FLAG_PATTERNS if name != "is_code_task")
+MEASURES = ("len", "word_len", *FLAG_PATTERNS)
 SIDES = ("p", "a", "b")
 
 
 def text_measures(text: ColumnOrName) -> dict[str, Column]:
-    """Measures of one text: length, mean word length, style flags, code-task flag."""
+    """Measures of one text: length, mean word length, style flags, code-task flag.
+
+    A regular expression runs only on texts that pass a plain substring test it implies.
+    """
     t = blank(text)
-    words = F.regexp_count(t, F.lit("[^ \\t\\n\\r\\f]+"))
-    letters = F.length(F.regexp_replace(t, "[ \\t\\n\\r\\f]+", ""))
-    flags = {name: _flag(t, pattern) for name, pattern in STYLE_PATTERNS.items()}
-    return {
-        "len": F.length(t),
-        "word_len": F.when(words > 0, letters / words).otherwise(F.lit(0.0)),
-        **flags,
-        "is_code_task": _flag(t, CODE_TASK_PATTERN),
+    words = token_count(t)
+    letters = F.length(F.translate(t, " \t\n\r\f", ""))
+    lowered = F.lower(t)
+    may_match = {
+        "has_list": F.lit(True),
+        "has_code": F.lit(True),
+        "has_emoji": F.octet_length(t) > F.length(t),
+        **{name: _contains_any(lowered, words) for name, words in STYLE_WORDS.items()},
+    }
+    flags = {
+        name: F.when(may_match[name] & F.regexp_like(t, F.lit(pattern)), 1).otherwise(0)
+        for name, pattern in FLAG_PATTERNS.items()
     }
+    return {"len": F.length(t), "word_len": F.when(words > 0, letters / words).otherwise(F.lit(0.0)), **flags}
 
 
-def _flag(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_like(text, F.lit(pattern)).cast("int"), F.lit(0))
+def _contains_any(text: Column, words: Sequence[str]) -> Column:
+    out = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def combine_measures(df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
@@ -74,7 +97,7 @@ def combine_measures(df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
         "expansion_diff": expansion["a"] - expansion["b"],
         "read_diff": F.col("a_word_len") - F.col("b_word_len"),
     }
-    for flag in STYLE_PATTERNS:
+    for flag in RESPONSE_FLAGS:
         for s in ("a", "b"):
             out[f"{flag}_{s}"] = F.col(f"{s}_{flag}")
     out["is_code_task"] = F.col("p_is_code_task")

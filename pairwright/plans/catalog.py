@@ -459,12 +459,13 @@ def oof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stack_table(spark: SparkSession, sf_dir: str) -> stacking.StackTable:
-    """Length features, the task flag, the cluster and two models' probabilities."""
-    derived = inputs.lengths(spark, sf_dir)
-    probs = derived.select(ID, *MODELS["m1"], *MODELS["m2"])
-    dirty = cleaning.clean_features(inputs.dirty_features(spark, sf_dir), policy="null")
-    joined = alignment.align_tables([dirty, probs])
-    table = folds.assign_folds(joined, folds.stratum_by_target())
+    """Length features, the task flag, the cluster and two models' probabilities, with folds by target."""
+    stored = writers.write_parquet(inputs.dirty_features(spark, sf_dir), new_path(spark, "features"))
+    clean = cleaning.clean_features(readers.read_table(spark, stored), policy="null")
+    known = inputs.predictions(spark, sf_dir)
+    assigned = folds.assign_folds(known.select(ID, *WINNERS), folds.stratum_by_target()).select(ID, FOLD)
+    outputs = {f"x{m}": inputs.model_output(known, m) for m in ("m1", "m2")}
+    table = alignment.align_models(alignment.align_tables([clean, assigned]), outputs)
     return stacking.build_stack_table(table, feature_columns(table))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairwright.operators.features import SIDES, combine_measures, text_measures
 from pairwright.operators.folds import assign_folds, stratum_by_cluster
 from pairwright.schema import CLUSTER, ID, PREDS, TEXTS, WINNERS
+from pairwright.sources.readers import spread
 
 MODELS = {m: tuple(f"{m}_{s}" for s in ("a", "b", "tie")) for m in ("m1", "m2", "m3")}
 
@@ -70,16 +71,15 @@ def with_outcomes(df: DataFrame) -> DataFrame:
     )
 
 
-def keyed_documents(spark: SparkSession, sf_dir: str, columns: Mapping[str, Column]) -> DataFrame:
+def keyed(docs: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """(id, cluster, the given columns) of every document; the number in ``source`` is the cluster."""
     cluster = F.substring("source", 4, 20).try_cast("int")
-    named = [c.alias(name) for name, c in columns.items()]
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ID), cluster.alias(CLUSTER), *named)
+    return docs.select(F.col("doc_id").alias(ID), cluster.alias(CLUSTER), *[c.alias(name) for name, c in columns.items()])
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything about a pair but its texts; reads two narrow columns."""
-    return with_outcomes(keyed_documents(spark, sf_dir, {}))
+    return with_outcomes(keyed(table(spark, sf_dir, "documents"), {}))
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,8 @@ def pair_measures(spark: SparkSession, sf_dir: str, measures: Mapping[str, Colum
     n, key = _document_count(spark, sf_dir), F.col(ID)
     served = {"p": key, **{side: F.pmod(key - shift, n) for side, shift in RESPONSE_SHIFT.items()}}
     roles = F.array(*[F.struct(k.alias("_pair"), F.lit(side).alias("_side")) for side, k in served.items()])
-    rows = keyed_documents(spark, sf_dir, measures).select(F.inline(roles), CLUSTER, *measures)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    rows = keyed(docs, measures).select(F.inline(roles), CLUSTER, *measures)
 
     def of(side: str, column: str) -> Column:
         return F.max(F.when(F.col("_side") == side, F.col(column)))
@@ -118,12 +119,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each text is moved once per role, to the key of the pair it serves, so both joins use one distribution.
     """
-    n, key = _document_count(spark, sf_dir), F.col(ID)
+    docs = table(spark, sf_dir, "documents")
+    n, key = _document_count(spark, sf_dir), F.col("doc_id")
     prompt, *responses = TEXTS
-    out = with_outcomes(keyed_documents(spark, sf_dir, {prompt: F.col("text")}))
+    out = with_outcomes(keyed(spread(docs, "doc_id"), {prompt: F.col("text")}))
     for name, shift in zip(responses, RESPONSE_SHIFT.values()):
-        texts = keyed_documents(spark, sf_dir, {name: F.col("text")})
-        out = out.join(texts.select(F.pmod(key - shift, n).alias(ID), name), ID)
+        out = out.join(docs.select(F.pmod(key - shift, n).alias(ID), F.col("text").alias(name)), ID)
     return out
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from pairwright.functions.text import JUDGE_TEMPLATE, SHORT_JUDGE_TEMPLATE
-from pairwright.operators.features import CODE_TASK_PATTERN, STYLE_PATTERNS
+from pairwright.operators.features import FLAG_PATTERNS, RESPONSE_FLAGS
 from pairwright.plans.catalog import BLEND_WEIGHTS, SCORER_INPUTS, TABLES, scorer_coefficient
 from pairwright.plans.inputs import HINTS, NOISE
 from pairwright.schema import N_FOLDS
@@ -81,13 +81,13 @@ _CTES["conflicts"] = """SELECT id, a_len - b_len AS len_diff, m1_a AS pred_a, m1
 
 _measure_cols = ", ".join(
     f"COALESCE(CAST(regexp_matches(t, {_text(p)}) AS INTEGER), 0) AS {name}"
-    for name, p in {**STYLE_PATTERNS, "is_code_task": CODE_TASK_PATTERN}.items()
+    for name, p in FLAG_PATTERNS.items()
 )
 _CTES["measures"] = f"""SELECT *, CASE WHEN words > 0 THEN letters / words ELSE 0.0 END AS word_len FROM (
   SELECT p_id, a_for, b_for, LENGTH(t) AS len, CAST(LEN(regexp_extract_all(t, '{_WORD}')) AS DOUBLE) AS words,
   CAST(LENGTH(regexp_replace(t, '{_SPACE}', '', 'g')) AS DOUBLE) AS letters, {_measure_cols}
   FROM (SELECT *, COALESCE(text, '') AS t FROM roles))"""
-_flag_cols = ", ".join(f"{s}.{flag} AS {flag}_{s}" for flag in STYLE_PATTERNS for s in ("a", "b"))
+_flag_cols = ", ".join(f"{s}.{flag} AS {flag}_{s}" for flag in RESPONSE_FLAGS for s in ("a", "b"))
 _CTES["features"] = f"""SELECT *, len_a - len_b AS len_diff, len_a / (len_b + 1) AS len_ratio, len_a / (len_p + 1) AS expansion_a,
   len_b / (len_p + 1) AS expansion_b, len_a / (len_p + 1) - len_b / (len_p + 1) AS expansion_diff,
   (len_a - len_b) * is_code_task AS len_diff_x_is_code_task, len_a / (len_b + 1) * read_diff AS len_ratio_x_read_diff FROM (
@@ -310,7 +310,7 @@ ORACLE["cleaning_report"] = sql(
     )
 )
 _lengths = ("len_p", "len_a", "len_b", "len_diff", "len_ratio", "expansion_a", "expansion_b", "expansion_diff")
-_flags = tuple(f"{flag}_{s}" for flag in STYLE_PATTERNS for s in ("a", "b"))
+_flags = tuple(f"{flag}_{s}" for flag in RESPONSE_FLAGS for s in ("a", "b"))
 _interactions = ("len_diff_x_is_code_task", "len_ratio_x_read_diff")
 _doubles = (*_lengths, "read_diff", *_interactions)
 ORACLE["pair_features"] = sql(

@@ -93,6 +93,16 @@ def read_logs(spark: SparkSession, path: str, run_pattern: str = r"([^/]+)\.log$
     return lines.select(F.regexp_extract(F.col("_metadata.file_path"), run_pattern, 1).alias("run"), "value")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when a table comes in far fewer pieces than there are cores.
+
+    A small table is often one file that one task would read and process. Such a table is moved once, by
+    ``key``; one with enough splits, which every large table has, is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def fill_text(df: DataFrame) -> DataFrame:
     """Blank NULL strings; csv does not tell an empty string from a missing one."""
     return df.fillna("", subset=string_columns(df))
