@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import ColumnOrName
-from pairwright.functions.text import blank, token_count, whitespace_tokens
+from pairwright.functions.text import blank, token_count
 from pairwright.schema import ID, TEXTS, require
 
 # --- Fixed values: words and patterns of the style flags, valid as Java regular expressions and in RE2. ---
@@ -24,8 +25,9 @@ STYLE_WORDS = {
     "is_refusal": ("i cannot", "i can't", "i am unable", "i'm unable", "i won't", "sorry, but"),
     "is_code_task": ("python", "java", "javascript", "sql", "code", "function", "algorithm", "script", "```"),
 }
-LIST_PATTERN = r"(^|\n)[ ]*([-*]|[0-9]+[.)])[ ]"
-CODE_PATTERN = r"```|(^|\n)[ ]*(def|class|import|return|function|var|const) "
+CODE_WORDS = ("def ", "class ", "import ", "return ", "function ", "var ", "const ")
+LIST_PATTERN = r"\n[ ]*([-*]|[0-9]+[.)])[ ]"
+CODE_PATTERN = "```|\n[ ]*(" + "|".join(CODE_WORDS) + ")"
 EMOJI_PATTERN = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 # --------------------------------------------------------------------------------------------------
@@ -33,9 +35,10 @@ EMOJI_PATTERN = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 def word_pattern(words: Sequence[str]) -> str:
     """Any of the words, in any case, with no letter before or after it."""
-    return f"(?i)(^|[^A-Za-z])({'|'.join(words)})([^A-Za-z]|$)"
+    return f"(?i)[^A-Za-z]({'|'.join(words)})([^A-Za-z]|$)"
 
 
+#: Searched in the text after a line break, so that its start looks like any other start of a line or word.
 FLAG_PATTERNS = {
     "has_list": LIST_PATTERN,
     "has_code": CODE_PATTERN,
@@ -56,18 +59,18 @@ def text_measures(text: ColumnOrName) -> dict[str, Column]:
     t = blank(text)
     words = token_count(t)
     letters = F.length(F.translate(t, " \t\n\r\f", ""))
-    lowered = F.lower(t)
+    lowered, searched = F.lower(t), F.concat(F.lit("\n"), t)
     may_match = {
         "has_list": F.lit(True),
-        "has_code": F.lit(True),
+        "has_code": _contains_any(t, ("```", *CODE_WORDS)),
         "has_emoji": F.octet_length(t) > F.length(t),
         **{name: _contains_any(lowered, words) for name, words in STYLE_WORDS.items()},
     }
     flags = {
-        name: F.when(may_match[name] & F.regexp_like(t, F.lit(pattern)), 1).otherwise(0)
+        name: F.when(may_match[name] & F.regexp_like(searched, F.lit(pattern)), 1).otherwise(0)
         for name, pattern in FLAG_PATTERNS.items()
     }
-    return {"len": F.length(t), "word_len": F.when(words > 0, letters / words).otherwise(F.lit(0.0)), **flags}
+    return {"len": F.length(t), "word_len": letters / F.greatest(words, F.lit(1)), **flags}
 
 
 def _contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -84,26 +87,24 @@ def combine_measures(df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
     interactions, named ``<left>_x_<right>``.
     """
     require(df, [f"{s}_len" for s in SIDES], "measure table")
-    length = {s: F.col(f"{s}_len").cast("double") for s in SIDES}
-    expansion = {s: length[s] / (length["p"] + 1) for s in ("a", "b")}
-    out: dict[str, Column] = {
-        "len_p": length["p"],
-        "len_a": length["a"],
-        "len_b": length["b"],
-        "len_diff": length["a"] - length["b"],
-        "len_ratio": length["a"] / (length["b"] + 1),
+    ratio, task = "a_len / (b_len + 1)", "p_is_code_task"
+    expansion = {s: f"{s}_len / (p_len + 1)" for s in ("a", "b")}
+    out = {
+        "len_p": "CAST(p_len AS DOUBLE)",
+        "len_a": "CAST(a_len AS DOUBLE)",
+        "len_b": "CAST(b_len AS DOUBLE)",
+        "len_diff": "CAST(a_len - b_len AS DOUBLE)",
+        "len_ratio": ratio,
         "expansion_a": expansion["a"],
         "expansion_b": expansion["b"],
-        "expansion_diff": expansion["a"] - expansion["b"],
-        "read_diff": F.col("a_word_len") - F.col("b_word_len"),
+        "expansion_diff": f"{expansion['a']} - {expansion['b']}",
+        "read_diff": "a_word_len - b_word_len",
+        **{f"{flag}_{s}": f"{s}_{flag}" for flag in RESPONSE_FLAGS for s in ("a", "b")},
+        "is_code_task": task,
+        "len_diff_x_is_code_task": f"CAST((a_len - b_len) * {task} AS DOUBLE)",
+        "len_ratio_x_read_diff": f"{ratio} * (a_word_len - b_word_len)",
     }
-    for flag in RESPONSE_FLAGS:
-        for s in ("a", "b"):
-            out[f"{flag}_{s}"] = F.col(f"{s}_{flag}")
-    out["is_code_task"] = F.col("p_is_code_task")
-    out["len_diff_x_is_code_task"] = out["len_diff"] * F.col("p_is_code_task")
-    out["len_ratio_x_read_diff"] = out["len_ratio"] * out["read_diff"]
-    return df.select(*keep, *[c.alias(name) for name, c in out.items()])
+    return df.selectExpr(*keep, *[f"{expression} AS {name}" for name, expression in out.items()])
 
 
 def pair_features(pairs: DataFrame, keep: Sequence[str] = (ID,), texts: Sequence[str] = TEXTS) -> DataFrame:
@@ -112,30 +113,37 @@ def pair_features(pairs: DataFrame, keep: Sequence[str] = (ID,), texts: Sequence
     return combine_measures(pairs.select(*keep, *columns), keep)
 
 
-def token_cosine(pairs: DataFrame, key: str = ID, texts: Sequence[str] = TEXTS[1:]) -> DataFrame:
-    """(key, cosine_sim) of the token-count vectors of the two responses; 0 when a text has no tokens.
+def token_cosine(texts: Sequence[ColumnOrName] = TEXTS[1:]) -> Column:
+    """Cosine of the token-count vectors of the two responses; 0 when one of them has no tokens.
 
-    Tokens are counted per (key, token), so one long pair spreads over many groups and repeats combine
-    before the shuffle. A table that is already distributed by ``key`` needs no shuffle at all.
+    A pair is compared inside its row, in Arrow batches. Exploding tokens and grouping them again would
+    shuffle every token of every pair to reach the same number.
     """
-    a, b = texts
-    tagged = F.array(
-        F.struct(whitespace_tokens(a).alias("tokens"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")),
-        F.struct(whitespace_tokens(b).alias("tokens"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b")),
-    )
-    sides = pairs.select(key, F.inline(tagged))
-    # explode_outer keeps pairs without a single token; their NULL token counts for nothing
-    tokens = sides.select(key, F.explode_outer("tokens").alias("token"), "in_a", "in_b")
-    present = F.col("token").isNotNull()
-    counts = tokens.groupBy(key, "token").agg(
-        F.sum(F.when(present, F.col("in_a")).otherwise(0)).alias("_a"),
-        F.sum(F.when(present, F.col("in_b")).otherwise(0)).alias("_b"),
-    )
-    sums = counts.groupBy(key).agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("_ab"), F.sum(F.col("_a") * F.col("_a")).alias("_aa"), F.sum(F.col("_b") * F.col("_b")).alias("_bb")
-    )
-    norm = F.sqrt(F.col("_aa").cast("double")) * F.sqrt(F.col("_bb").cast("double"))
-    return sums.select(key, F.when(norm > 0, F.col("_ab") / norm).otherwise(F.lit(0.0)).alias("cosine_sim"))
+    a, b = (blank(t) for t in texts)
+    return _count_cosine()(a, b)
+
+
+def _count_cosine():
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        import math
+        import re
+        from collections import Counter
+
+        tokens = re.compile("[^ \t\n\r\f]+").findall
+
+        def of_pair(left: str, right: str) -> float:
+            x, y = Counter(tokens(left)), Counter(tokens(right))
+            if not x or not y:
+                return 0.0
+            small, large = (x, y) if len(x) < len(y) else (y, x)
+            dot = sum(n * large[t] for t, n in small.items() if t in large)
+            norms = math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))
+            return dot / norms
+
+        return pd.Series([of_pair(left, right) for left, right in zip(a, b)], dtype="float64")
+
+    return cosine
 
 
 def feature_groups(df: DataFrame) -> dict[str, list[str]]:

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -87,15 +87,18 @@ SEARCH_SPACES = {
 
 @dataclass(frozen=True)
 class StackTable:
-    """An assembled training table, written once and partitioned by fold."""
+    """A training table, written once and partitioned by fold, with the steps that assemble its features."""
 
     path: str
     features: tuple[str, ...]
     k: int
+    assembly: PipelineModel
     max_bins: int
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        """(key, fold, label, features); assembling is a projection on top of the scan."""
+        assembled = self.assembly.transform(spark.read.parquet(self.path))
+        return assembled.drop(*self.assembly.stages[-1].getInputCols(), *self.features)
 
 
 def build_stack_table(
@@ -108,7 +111,7 @@ def build_stack_table(
     one_hot: bool = False,
     path: str | None = None,
 ) -> StackTable:
-    """Clean, index and assemble the features and write ``(id, label, features)`` partitioned by fold.
+    """Clean the features and write them with key and label, partitioned by fold; then fit the assembly on that table.
 
     Every fit reads this table. Written to the shared folder, it cuts the lineage, survives lost executors, and
     lets a fit skip the files of the folds it does not use. Rows are rebalanced by fold first: Spark sizes the
@@ -134,12 +137,11 @@ def build_stack_table(
             rename = {c: f"{c}__hot" for c in categories}
         inputs = [rename.get(c, c) for c in features]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    prepared = Pipeline(stages=stages).fit(typed)
-    sizes = [len(labels) + 1 for labels in prepared.stages[0].labelsArray] if categories else []
     path = path or new_path(df.sparkSession, "stack")
-    assembled = prepared.transform(typed).select(key, fold, "label", "features")
-    assembled.hint("rebalance", fold).write.partitionBy(fold).parquet(path)
-    return StackTable(path, tuple(features), k, max([32, *sizes]))
+    typed.hint("rebalance", fold).write.partitionBy(fold).parquet(path)
+    assembly = Pipeline(stages=stages).fit(df.sparkSession.read.parquet(path))
+    sizes = [len(labels) + 1 for labels in assembly.stages[0].labelsArray] if categories else []
+    return StackTable(path, tuple(features), k, assembly, max([32, *sizes]))
 
 
 def fit_fold_models(

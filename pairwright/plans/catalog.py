@@ -292,7 +292,7 @@ def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = inputs.pair_features(spark, sf_dir)
-    cosine = features.token_cosine(inputs.pairs(spark, sf_dir).select(ID, *TEXTS[1:]))
+    cosine = inputs.pairs(spark, sf_dir).select(ID, features.token_cosine().alias("cosine_sim"))
     return rounded(derived.join(cosine, ID))
 
 
@@ -475,7 +475,7 @@ def stack_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _stack_table(spark, sf_dir)
     parts = []
     for preset, params in stacking.BOOST_PRESETS.items():
-        short = {**params, "maxIter": 4, "maxDepth": 3, "stepSize": 0.3}
+        short = {**params, "maxIter": 3, "maxDepth": 2, "stepSize": 0.3}
         models = stacking.fit_fold_models(spark, table, "boosted", short, parallelism=8)
         path = stacking.save_models(models, new_path(spark, f"models-{preset}"))
         parts.append(stacking.level2_oof(spark, table, path, "boosted").withColumn("variant", F.lit(preset)))

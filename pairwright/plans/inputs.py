@@ -44,29 +44,26 @@ def with_outcomes(df: DataFrame) -> DataFrame:
 
     One step per layer of the arithmetic, so that Spark evaluates each layer once.
     """
-    key = F.col(ID)
-    draw = (key * 7919 + 104729) % 1000
     rest = [c for c in df.columns if c not in (ID, CLUSTER)]
-    drawn = df.withColumn("_y", F.when(draw < 350, 0).when(draw < 690, 1).otherwise(2))
-    hinted = drawn.withColumns(
-        {
-            f"_h_{m}": F.when(key % modulus < below, (F.col("_y") + shift) % 3).otherwise(F.col("_y"))
-            for m, (modulus, below, shift) in HINTS.items()
-        }
+    drawn = df.selectExpr("*", f"({ID} * 7919 + 104729) % 1000 AS _draw")
+    known = drawn.selectExpr("*", "CASE WHEN _draw < 350 THEN 0 WHEN _draw < 690 THEN 1 ELSE 2 END AS _y")
+    hinted = known.selectExpr(
+        "*",
+        *[f"CASE WHEN {ID} % {mod} < {below} THEN (_y + {by}) % 3 ELSE _y END AS _h_{m}" for m, (mod, below, by) in HINTS.items()],
     )
-    weighted = hinted.withColumns(
-        {
-            f"_w_{m}_{c}": (F.lit(1) + (key * mul + add) % mod + F.when(F.col(f"_h_{m}") == c, 150).otherwise(0)).cast("double")
+    weighted = hinted.selectExpr(
+        "*",
+        *[
+            f"CAST(1 + ({ID} * {mul} + {add}) % {mod} + IF(_h_{m} = {c}, 150, 0) AS DOUBLE) AS _w_{m}_{c}"
             for m, noise in NOISE.items()
             for c, (mul, add, mod) in enumerate(noise)
-        }
+        ],
     )
-    totals = weighted.withColumns({f"_t_{m}": F.col(f"_w_{m}_0") + F.col(f"_w_{m}_1") + F.col(f"_w_{m}_2") for m in MODELS})
-    return totals.select(
+    return weighted.selectExpr(
         ID,
         CLUSTER,
-        *[F.when(F.col("_y") == c, 1).otherwise(0).alias(name) for c, name in enumerate(WINNERS)],
-        *[(F.col(f"_w_{m}_{c}") / F.col(f"_t_{m}")).alias(name) for m, names in MODELS.items() for c, name in enumerate(names)],
+        *[f"IF(_y = {c}, 1, 0) AS {name}" for c, name in enumerate(WINNERS)],
+        *[f"_w_{m}_{c} / (_w_{m}_0 + _w_{m}_1 + _w_{m}_2) AS {name}" for m, names in MODELS.items() for c, name in enumerate(names)],
         *rest,
     )
 
@@ -87,8 +84,8 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_folds(predictions(spark, sf_dir), stratum_by_cluster(), keep_stratum="stratify_group")
 
 
-def _document_count(spark: SparkSession, sf_dir: str) -> Column:
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+def _count(docs: DataFrame) -> Column:
+    return docs.agg(F.count(F.lit(1))).scalar()
 
 
 def pair_measures(spark: SparkSession, sf_dir: str, measures: Mapping[str, Column]) -> DataFrame:
@@ -97,21 +94,18 @@ def pair_measures(spark: SparkSession, sf_dir: str, measures: Mapping[str, Colum
     Texts are read and measured once and never moved: each document's numbers go to the three pairs it
     serves, and one aggregation puts a pair together.
     """
-    n, key = _document_count(spark, sf_dir), F.col(ID)
+    docs = table(spark, sf_dir, "documents")
+    n, key = _count(docs), F.col(ID)
     served = {"p": key, **{side: F.pmod(key - shift, n) for side, shift in RESPONSE_SHIFT.items()}}
     roles = F.array(*[F.struct(k.alias("_pair"), F.lit(side).alias("_side")) for side, k in served.items()])
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
-    rows = keyed(docs, measures).select(F.inline(roles), CLUSTER, *measures)
-
-    def of(side: str, column: str) -> Column:
-        return F.max(F.when(F.col("_side") == side, F.col(column)))
-
+    measured = keyed(spread(docs.select("doc_id", "source", "text"), "doc_id"), measures)
+    rows = measured.select(F.inline(roles), CLUSTER, *measures)
     together = rows.groupBy(F.col("_pair").alias(ID)).agg(
         F.count(F.lit(1)).alias("_roles"),
-        of("p", CLUSTER).alias(CLUSTER),
-        *[of(side, m).alias(f"{side}_{m}") for side in SIDES for m in measures],
+        F.expr(f"max(IF(_side = 'p', {CLUSTER}, NULL)) AS {CLUSTER}"),
+        *[F.expr(f"max(IF(_side = '{side}', {m}, NULL)) AS {side}_{m}") for side in SIDES for m in measures],
     )
-    return with_outcomes(together.filter(F.col("_roles") == len(SIDES)).drop("_roles"))
+    return with_outcomes(together.filter(f"_roles = {len(SIDES)}").drop("_roles"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +114,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each text is moved once per role, to the key of the pair it serves, so both joins use one distribution.
     """
     docs = table(spark, sf_dir, "documents")
-    n, key = _document_count(spark, sf_dir), F.col("doc_id")
+    n, key = _count(docs), F.col("doc_id")
     prompt, *responses = TEXTS
     out = with_outcomes(keyed(spread(docs, "doc_id"), {prompt: F.col("text")}))
     for name, shift in zip(responses, RESPONSE_SHIFT.values()):

@@ -80,7 +80,7 @@ _CTES["conflicts"] = """SELECT id, a_len - b_len AS len_diff, m1_a AS pred_a, m1
   CASE y WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'Tie' END AS winner FROM lengths WHERE a_len - b_len > 500 AND m1_b > m1_a"""
 
 _measure_cols = ", ".join(
-    f"COALESCE(CAST(regexp_matches(t, {_text(p)}) AS INTEGER), 0) AS {name}"
+    f"COALESCE(CAST(regexp_matches(chr(10) || t, {_text(p)}) AS INTEGER), 0) AS {name}"
     for name, p in FLAG_PATTERNS.items()
 )
 _CTES["measures"] = f"""SELECT *, CASE WHEN words > 0 THEN letters / words ELSE 0.0 END AS word_len FROM (
