@@ -10,15 +10,17 @@ from pairwright.schema import LOG_RECORD_SCHEMA
 
 #: From the first brace to the end of the line, as long as nothing but blanks follows the last brace.
 _RECORD = r"^[^{]*(\{.*\})\s*$"
+_TWO_RECORDS = r"\}\s*\{"
 
 
 def log_record(line: ColumnOrName) -> Column:
     """The dict literal of a log line as a struct of numbers; all NULL when there is none to read.
 
     The JSON reader takes single quotes, and gives NULLs for a line it cannot read, such as one that
-    holds a bare ``nan``.
+    holds a bare ``nan``. It would read the first of two records on one line, so such a line is left out here.
     """
-    return F.from_json(F.regexp_extract(as_col(line), _RECORD, 1), LOG_RECORD_SCHEMA)
+    suffix = F.regexp_extract(as_col(line), _RECORD, 1)
+    return F.from_json(F.when(~F.regexp_like(suffix, F.lit(_TWO_RECORDS)), suffix), LOG_RECORD_SCHEMA)
 
 
 def record_kind(record: Column) -> Column:

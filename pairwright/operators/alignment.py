@@ -81,6 +81,11 @@ def row_counts(sources: Mapping[str, DataFrame], expected: int | None = None) ->
     return out if expected is None else out.withColumn("as_expected", F.col("n_rows") == expected)
 
 
+def tagged_union(tables: Mapping[str, DataFrame], name: str = "run") -> DataFrame:
+    """Stack tables, each marked with its name."""
+    return reduce(DataFrame.unionByName, [df.withColumn(name, F.lit(tag)) for tag, df in tables.items()])
+
+
 def union_folds(parts: Mapping[int, DataFrame], k: int = N_FOLDS, fold: str = FOLD) -> DataFrame:
     """Stack the outputs of all folds; refuse when any is missing."""
     absent = [i for i in range(k) if i not in parts]

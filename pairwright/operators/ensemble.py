@@ -55,22 +55,25 @@ def ensemble_grid(
 ) -> DataFrame:
     """(w_<model>.., log_loss) for every point of the weight grid.
 
-    The grid is a literal whose size depends only on ``steps`` and the number of models; each task
-    keeps one running mean per grid point, so only grid-sized partial results are shuffled.
+    The grid is a literal whose size depends only on ``steps`` and the number of models, and is
+    checked; each task keeps one running mean per grid point, so only grid-sized partial results are shuffled.
     """
     names = list(models)
-    points = F.array(
-        *[
-            F.struct(*[F.lit(w).alias(f"w_{m}") for m, w in zip(names, ws)])
-            for ws in simplex_grid(len(names), steps)
-        ]
-    )
+    size = math.comb(steps + len(names) - 1, len(names) - 1)
+    if size > MAX_GRID_POINTS:
+        raise ValueError(f"{size} grid points; use fewer steps, or fit_blend, whose cost does not depend on a grid")
+    grid = ", ".join(f"struct({', '.join(f'{w}D' for w in ws)})" for ws in simplex_grid(len(names), steps))
+    points = F.expr(f"inline(array({grid}))").alias(*[f"w_{m}" for m in names])
     probs = true_class_probs(df, models, winners)
-    rows = probs.select(*names, F.inline(points))
+    rows = probs.select(*names, points)
     mixed = _sum([F.col(f"w_{m}") * F.col(m) for m in names])
     return rows.groupBy(*[f"w_{m}" for m in names]).agg(F.avg(F.lit(0.0) - F.ln(clip(mixed, eps))).alias("log_loss"))
 
 
+#: A finer grid than this is a job for :func:`fit_blend`.
+MAX_GRID_POINTS = 10_000
+
+
 @dataclass(frozen=True)
 class BlendFit:
     """Best weights, their loss, an upper bound on how far that is from the optimum, and the passes used."""

@@ -209,6 +209,15 @@ def oof_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.oof_completeness(inputs.folded(spark, sf_dir), inputs.misaligned_output(spark, sf_dir))
 
 
+@query
+def winner_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes with some flags set twice and some not at all."""
+    flawed = inputs.predictions(spark, sf_dir).selectExpr(
+        f"IF({ID} % 43 = 0, 0, winner_model_a) AS winner_model_a", "winner_model_b", f"IF({ID} % 41 = 0, 1, winner_tie) AS winner_tie"
+    )
+    return cleaning.winner_audit(flawed)
+
+
 @query
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.row_counts({name: inputs.table(spark, sf_dir, name) for name in TABLES})
@@ -316,7 +325,7 @@ def distill_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = explore.sample_rows(inputs.predictions(spark, sf_dir).select(ID), 10)
-    return explore.sample_cards(explore.attach_text(drawn, inputs.pairs(spark, sf_dir), 10))
+    return explore.sample_cards(inputs.pairs(spark, sf_dir, only=drawn))
 
 
 @query
@@ -416,6 +425,17 @@ def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select("run", name.alias("checkpoint"), curves.checkpoint_step(name).alias("step"))
 
 
+@query
+def resolve_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State documents exist for one model type only; the other runs fall back to their latest checkpoint."""
+    evals = inputs.with_checkpoints(curves.parse_logs(inputs.log_lines(spark, sf_dir)))
+    path = new_path(spark, "states")
+    best = curves.best_checkpoint(evals).filter(F.col("run").startswith("M1"))
+    best.select("run", "best_model_checkpoint").write.partitionBy("run").json(path)
+    paths = evals.select("run", F.col("checkpoint").alias("path")).distinct()
+    return curves.resolve_checkpoint(readers.read_documents(spark, path).select("run", "best_model_checkpoint"), paths)
+
+
 @query
 def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     evals = inputs.with_checkpoints(curves.parse_logs(inputs.log_lines(spark, sf_dir)))
@@ -473,13 +493,13 @@ def _stack_table(spark: SparkSession, sf_dir: str) -> stacking.StackTable:
 def stack_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both boosting presets with a short run: fit per fold, save, load, score the held-out fold."""
     table = _stack_table(spark, sf_dir)
-    parts = []
+    variants = {}
     for preset, params in stacking.BOOST_PRESETS.items():
         short = {**params, "maxIter": 3, "maxDepth": 2, "stepSize": 0.3}
         models = stacking.fit_fold_models(spark, table, "boosted", short, parallelism=8)
         path = stacking.save_models(models, new_path(spark, f"models-{preset}"))
-        parts.append(stacking.level2_oof(spark, table, path, "boosted").withColumn("variant", F.lit(preset)))
-    return rounded(parts[0].unionByName(parts[1]))
+        variants[preset] = stacking.level2_oof(spark, table, path, "boosted")
+    return rounded(alignment.tagged_union(variants, "variant"))
 
 
 @query

@@ -108,17 +108,24 @@ def pair_measures(spark: SparkSession, sf_dir: str, measures: Mapping[str, Colum
     return with_outcomes(together.filter(f"_roles = {len(SIDES)}").drop("_roles"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Pairs with their three texts.
 
     Each text is moved once per role, to the key of the pair it serves, so both joins use one distribution.
+    ``only``, a few keys, cuts every side down before the joins; it is broadcast.
     """
     docs = table(spark, sf_dir, "documents")
     n, key = _count(docs), F.col("doc_id")
     prompt, *responses = TEXTS
-    out = with_outcomes(keyed(spread(docs, "doc_id"), {prompt: F.col("text")}))
+
+    def wanted(side: DataFrame) -> DataFrame:
+        return side if only is None else side.join(F.broadcast(only.select(ID)), ID, "left_semi")
+
+    spread_docs = docs if only is not None else spread(docs, "doc_id")
+    out = with_outcomes(wanted(keyed(spread_docs, {prompt: F.col("text")})))
     for name, shift in zip(responses, RESPONSE_SHIFT.values()):
-        out = out.join(docs.select(F.pmod(key - shift, n).alias(ID), F.col("text").alias(name)), ID)
+        served = docs.select(F.pmod(key - shift, n).alias(ID), F.col("text").alias(name))
+        out = out.join(wanted(served), ID)
     return out
 
 

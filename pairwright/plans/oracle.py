@@ -247,6 +247,11 @@ ORACLE["oof_completeness"] = sql(
   COUNT(*) FILTER (WHERE o.c > 1) AS n_repeated FROM folds f
   LEFT JOIN (SELECT id, COUNT(*) AS c FROM oof GROUP BY id) o ON o.id = f.id GROUP BY f.fold)"""
 )
+ORACLE["winner_audit"] = sql(
+    """SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE w = 1) AS n_valid, COUNT(*) FILTER (WHERE w <> 1) AS n_invalid FROM (
+  SELECT CASE WHEN id % 43 = 0 THEN 0 ELSE winner_model_a END + winner_model_b + CASE WHEN id % 41 = 0 THEN 1 ELSE winner_tie END AS w
+  FROM pred)"""
+)
 ORACLE["row_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS source, COUNT(*) AS n_rows FROM {t}" for t in TABLES)
 ORACLE["teacher_join"] = sql(
     "SELECT id, fold, y AS labels, "
@@ -443,6 +448,12 @@ ORACLE["best_checkpoint"] = sql(
     """SELECT run, 'checkpoint-' || CAST(step AS VARCHAR) AS checkpoint, step FROM (
   SELECT run, step, ROW_NUMBER() OVER (PARTITION BY run ORDER BY loss, step) AS r FROM saved) WHERE r = 1"""
 )
+ORACLE["resolve_checkpoint"] = sql(
+    """SELECT run, 'outputs/' || run || '/checkpoint-' || CAST(CASE WHEN run LIKE 'M1%' THEN first ELSE last END AS VARCHAR) AS checkpoint,
+  CASE WHEN run LIKE 'M1%' THEN 'best' ELSE 'latest' END AS chosen_by FROM (
+  SELECT run, MAX(step) AS last, MAX(CASE WHEN r = 1 THEN step END) AS first FROM (
+    SELECT run, step, ROW_NUMBER() OVER (PARTITION BY run ORDER BY loss, step) AS r FROM saved) GROUP BY run)"""
+)
 ORACLE["latest_checkpoint"] = sql(
     "SELECT run, 'outputs/' || run || '/checkpoint-' || CAST(MAX(step) AS VARCHAR) AS latest_checkpoint, MAX(step) AS step FROM saved GROUP BY run"
 )
