@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pairwright.functions.labels import ColumnOrName, as_col
 from pairwright.schema import LOG_RECORD_SCHEMA
 
-#: From the first brace to the end of the line, as long as nothing but blanks follows the last brace.
+#: From the first brace to the last, with nothing but blanks after it. No repeated groups: Java would
+#: need stack space for every character of a long line.
 _RECORD = r"^[^{]*(\{.*\})\s*$"
-_TWO_RECORDS = r"\}\s*\{"
+_TWO_RECORDS = r"\{.*\}\s*\{"
 
 
 def log_record(line: ColumnOrName) -> Column:
@@ -19,18 +20,20 @@ def log_record(line: ColumnOrName) -> Column:
     The JSON reader takes single quotes, and gives NULLs for a line it cannot read, such as one that
     holds a bare ``nan``. It would read the first of two records on one line, so such a line is left out here.
     """
-    suffix = F.regexp_extract(as_col(line), _RECORD, 1)
-    return F.from_json(F.when(~F.regexp_like(suffix, F.lit(_TWO_RECORDS)), suffix), LOG_RECORD_SCHEMA)
+    line = as_col(line)
+    single = F.when(~F.regexp_like(line, F.lit(_TWO_RECORDS)), F.regexp_extract(line, _RECORD, 1))
+    return F.from_json(single, LOG_RECORD_SCHEMA)
 
 
-def record_kind(record: Column) -> Column:
+def record_kind(loss: ColumnOrName = "loss", eval_loss: ColumnOrName = "eval_loss", epoch: ColumnOrName = "epoch") -> Column:
     """``eval`` when the record has an evaluation loss, else ``train``; NULL when it is neither."""
-    has_epoch = record["epoch"].isNotNull()
-    return F.when(has_epoch & record["eval_loss"].isNotNull(), "eval").when(has_epoch & record["loss"].isNotNull(), "train")
+    has_epoch = as_col(epoch).isNotNull()
+    is_eval, is_train = as_col(eval_loss).isNotNull(), as_col(loss).isNotNull()
+    return F.when(has_epoch & is_eval, "eval").when(has_epoch & is_train, "train")
 
 
-def record_loss(record: Column) -> Column:
-    return F.coalesce(record["eval_loss"], record["loss"])
+def record_loss(loss: ColumnOrName = "loss", eval_loss: ColumnOrName = "eval_loss") -> Column:
+    return F.coalesce(as_col(eval_loss), as_col(loss))
 
 
 def model_type(run: ColumnOrName) -> Column:

@@ -10,14 +10,10 @@ from pairwright.functions.records import basename, checkpoint_step, log_record,
 
 def parse_logs(lines: DataFrame, value: str = "value", run: str = "run") -> DataFrame:
     """(run, model_type, kind, epoch, loss) from log lines; lines without a readable record are skipped."""
-    parsed = lines.select(run, log_record(value).alias("_record"))
-    record = F.col("_record")
+    # inline makes the record's fields columns of their own, so each line is parsed once however often they are used
+    parsed = lines.select(run, F.inline(F.array(log_record(value))))
     return parsed.select(
-        run,
-        model_type(run).alias("model_type"),
-        record_kind(record).alias("kind"),
-        record["epoch"].alias("epoch"),
-        record_loss(record).alias("loss"),
+        run, model_type(run).alias("model_type"), record_kind().alias("kind"), "epoch", record_loss().alias("loss")
     ).filter(F.col("kind").isNotNull())
 
 

@@ -32,15 +32,11 @@ def column_profile(
         raise ValueError("quantiles is 'exact' or 'approximate'")
     columns = list(dict.fromkeys(c for members in groups.values() for c in members))
     values = df.select(*[_usable(c).alias(c) for c in columns])
-    aggs: list[Column] = []
-    for c in columns:
-        aggs += [
-            F.count(c).alias(f"{c}|count"),
-            F.avg(c).alias(f"{c}|mean"),
-            F.stddev(c).alias(f"{c}|std"),
-            F.min(c).alias(f"{c}|min"),
-            F.max(c).alias(f"{c}|max"),
-        ]
+    aggs = [
+        F.expr(f"{function}(`{c}`) AS `{c}|{name}`")
+        for c in columns
+        for name, function in (("count", "count"), ("mean", "avg"), ("std", "stddev"), ("min", "min"), ("max", "max"))
+    ]
     levels = _around(QUARTILES, accuracy) if quantiles == "exact" else list(QUARTILES)
     aggs += [F.percentile_approx(c, levels, accuracy).alias(f"{c}|sketch") for c in columns]
     stats = values.agg(*aggs).first()
@@ -128,9 +124,13 @@ def _holds(t: dict) -> bool:
     return t["before"] <= t["low"] and t["high"] < t["before"] + t["inside"]
 
 
-def _inside(t: dict) -> Column:
-    c = F.col(t["column"])
-    return (c >= F.lit(t["lo"])) & (c <= F.lit(t["hi"]))
+def _number(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+def _inside(t: dict) -> str:
+    """SQL condition; plans over many brackets are built from text, one call per expression."""
+    return f"(`{t['column']}` BETWEEN {_number(t['lo'])} AND {_number(t['hi'])})"
 
 
 def _narrow_brackets(df: DataFrame, targets: list[dict], accuracy: int, max_rows: int) -> None:
@@ -141,7 +141,7 @@ def _narrow_brackets(df: DataFrame, targets: list[dict], accuracy: int, max_rows
         for j, t in enumerate(wide):
             middle = [(t["low"] - t["before"]) / t["inside"], (t["high"] - t["before"]) / t["inside"]]
             levels = [_around(middle, accuracy)[0], _around(middle, accuracy)[3]]
-            sketches.append(F.percentile_approx(F.when(_inside(t), F.col(t["column"])), levels, accuracy).alias(f"s{j}"))
+            sketches.append(F.percentile_approx(F.expr(f"IF({_inside(t)}, `{t['column']}`, NULL)"), levels, accuracy).alias(f"s{j}"))
         row = df.agg(*sketches).first()
         narrowed = [{**t, "lo": row[f"s{j}"][0], "hi": row[f"s{j}"][1]} for j, t in enumerate(wide)]
         _count_brackets(df, narrowed)
@@ -156,10 +156,8 @@ def _narrow_brackets(df: DataFrame, targets: list[dict], accuracy: int, max_rows
 def _count_brackets(df: DataFrame, targets: list[dict]) -> None:
     counts = []
     for j, t in enumerate(targets):
-        counts += [
-            F.count_if(F.col(t["column"]) < F.lit(t["lo"])).alias(f"before{j}"),
-            F.count_if(_inside(t)).alias(f"inside{j}"),
-        ]
+        counts.append(F.expr(f"count_if(`{t['column']}` < {_number(t['lo'])}) AS before{j}"))
+        counts.append(F.expr(f"count_if({_inside(t)}) AS inside{j}"))
     row = df.agg(*counts).first()
     for j, t in enumerate(targets):
         t["before"], t["inside"] = row[f"before{j}"], row[f"inside{j}"]
@@ -167,15 +165,14 @@ def _count_brackets(df: DataFrame, targets: list[dict]) -> None:
 
 def _ranked_values(df: DataFrame, targets: list[dict]) -> DataFrame:
     """(target, low_value, high_value): the values at the two ranks next to each quantile."""
-    candidates = []
-    for j, t in enumerate(targets):
-        pair = F.struct(F.lit(j).alias("target"), F.col(t["column"]).alias("value"))
-        candidates.append(F.when(_inside(t), pair))
-    rows = df.select(F.inline(F.array_compact(F.array(*candidates))))
+    candidates = [
+        f"IF({_inside(t)}, struct({j} AS target, `{t['column']}` AS value), NULL)" for j, t in enumerate(targets)
+    ]
+    rows = df.selectExpr(f"inline(array_compact(array({', '.join(candidates)})))")
     distinct = rows.groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
     in_target = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = distinct.withColumn("upto", F.sum("n").over(in_target))
-    ranks = F.create_map(*[x for j, t in enumerate(targets) for x in (F.lit(j), _ranks_in_bracket(t))])
+    ranks = F.expr(f"map({', '.join(f'{j}, {_ranks_in_bracket(t)}' for j, t in enumerate(targets))})")
     ranked = upto.withColumn("rank", ranks[F.col("target")])
     first_rank = F.col("upto") - F.col("n")
 
@@ -186,6 +183,5 @@ def _ranked_values(df: DataFrame, targets: list[dict]) -> DataFrame:
     return ranked.groupBy("target").agg(at("low").alias("low_value"), at("high").alias("high_value"))
 
 
-def _ranks_in_bracket(target: dict) -> Column:
-    low, high = target["low"] - target["before"], target["high"] - target["before"]
-    return F.struct(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+def _ranks_in_bracket(t: dict) -> str:
+    return f"struct(CAST({t['low'] - t['before']} AS BIGINT) AS low, CAST({t['high'] - t['before']} AS BIGINT) AS high)"

@@ -121,8 +121,9 @@ def pairs(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> Da
     def wanted(side: DataFrame) -> DataFrame:
         return side if only is None else side.join(F.broadcast(only.select(ID)), ID, "left_semi")
 
-    spread_docs = docs if only is not None else spread(docs, "doc_id")
-    out = with_outcomes(wanted(keyed(spread_docs, {prompt: F.col("text")})))
+    if only is None:
+        docs = spread(docs.select("doc_id", "source", "text"), "doc_id")
+    out = with_outcomes(wanted(keyed(docs, {prompt: F.col("text")})))
     for name, shift in zip(responses, RESPONSE_SHIFT.values()):
         served = docs.select(F.pmod(key - shift, n).alias(ID), F.col("text").alias(name))
         out = out.join(wanted(served), ID)
@@ -180,6 +181,7 @@ def misaligned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, run, value): training-log lines of ten runs, some of them unreadable."""
+    events = spread(table(spark, sf_dir, "events").select("event_id"), "event_id")
     event = F.col("event_id")
     k = F.floor(event / 10).cast("long") % 20
     loss = ((1100 - 20 * k + (event * 17) % 100) / 1000).cast("decimal(8,3)").cast("string")
@@ -196,7 +198,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.concat(F.lit("{'loss': "), loss, F.lit(", 'epoch': "), epoch, F.lit("}")))
     )
-    return table(spark, sf_dir, "events").select("event_id", run.alias("run"), value.alias("value"))
+    return events.select("event_id", run.alias("run"), value.alias("value"))
 
 
 def with_checkpoints(records: DataFrame) -> DataFrame:

@@ -104,12 +104,14 @@ def test_tokens(spark):
         ("{'loss': 1.0, 'epoch': 0.5} trailing", None, None),
         ("{'loss': 1.0, 'epoch': 0.5} {'loss': 2.0, 'epoch': 0.5}", None, None),
         ("{broken", None, None),
+        ("odd } start {'loss': 1.0, 'epoch': 0.5}", "train", 1.0),
+        ("x" * 200_000 + "{'loss': 1.0, 'note': '" + "y" * 200_000 + "', 'epoch': 0.5}", "train", 1.0),
         ("", None, None),
     ],
 )
 def test_log_lines(spark, line, kind, loss):
-    df = spark.createDataFrame([(line,)], "value string").select(records.log_record("value").alias("r"))
-    row = df.select(records.record_kind(F.col("r")), records.record_loss(F.col("r"))).first()
+    df = spark.createDataFrame([(line,)], "value string").select(F.inline(F.array(records.log_record("value"))))
+    row = df.select(records.record_kind(), records.record_loss()).first()
     assert row[0] == kind and (kind is None or row[1] == loss)
 
 
