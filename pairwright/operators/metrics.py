@@ -97,7 +97,8 @@ def cluster_loss(
 ) -> DataFrame:
     """Mean row loss per cluster and model, with the overall mean as a reference line.
 
-    The overall mean is taken from the per-cluster sums, so the rows are read and shuffled once.
+    The overall means come from one scalar subquery over the per-cluster sums, shared by all models; no row is
+    joined to it.
     """
     losses = {m: one_hot_loss(p, winners, eps) for m, p in models.items()}
     sums = df.groupBy(cluster).agg(
@@ -105,9 +106,9 @@ def cluster_loss(
         *[F.sum(loss).alias(f"_{m}_sum") for m, loss in losses.items()],
         *[F.count(loss).alias(f"_{m}_n") for m, loss in losses.items()],
     )
-    overall = [
-        sums.agg(F.sum(f"_{m}_sum") / F.sum(f"_{m}_n")).scalar().alias(f"{m}_overall") for m in models
-    ]
+    totals = [(F.sum(f"_{m}_sum") / F.sum(f"_{m}_n")).alias(m) for m in models]
+    total = sums.agg(F.struct(*totals)).scalar()
+    overall = [total[m].alias(f"{m}_overall") for m in models]
     means = [(F.col(f"_{m}_sum") / F.col(f"_{m}_n")).alias(f"{m}_loss") for m in models]
     return sums.select(cluster, "n", *means, *overall)
 
