@@ -4,9 +4,10 @@ import pytest
 from compare import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pairwright.plans.catalog import QUERIES
+from pairwright.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
-ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,15 +17,16 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, name):
-    assert differences(queries()[name](spark, SF), con, ORACLE[name]) == []
+    assert differences(QUERIES[name](spark, SF), con, ORACLE[name]) == []
 
 
 def test_sql_belongs_to_queries():
-    assert set(ORACLE) <= set(queries())
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_only_learning_queries_lack_sql():
-    assert set(queries()) - set(ORACLE) == {"stack_oof", "tune_stacker", "feature_importance"}
+    assert set(QUERIES) - set(ORACLE) == {"stack_oof", "tune_stacker", "feature_importance"}
 
 
 def test_entry_has_a_row_per_model(spark):
