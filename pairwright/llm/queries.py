@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import chosen_path, suffixes
+from pairwright.llm import bpe, chosen_path, piece_counts, secret_scan, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,15 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    ids, text = F.sha2("ids", 256), F.sha2("decoded", 256)
+    return decoded.select("doc_id", "n_tokens", ids.alias("ids_sha256"), text.alias("decoded_sha256"))
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie inside verbatim benchmark passages."""
@@ -41,3 +51,33 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("matches") > 0).alias("contaminated"),
     )
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return piece_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; one fold of five is never learned from."""
+    docs = read(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the fixed patterns, and all spans."""
+    found = secret_scan.secret_spans(read(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter(spans, lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+        count("entropy").alias("n_entropy"),
+    )

@@ -60,19 +60,33 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and where each text's words begin in that list (one more entry than texts)."""
-    member = IS_WORD[buf]
+def per_text(marked: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many marked bytes each text has."""
+    sums = np.zeros(len(marked) + 1, np.int64)
+    np.cumsum(marked, out=sums[1:])
+    return np.diff(sums[offs])
+
+
+def spans_of(member: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all runs of marked bytes inside a text, and where each text's runs begin in that list."""
+    if not len(member):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offs), np.int64)
     edge = np.diff(member.view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     cuts = offs[1:-1]
-    inner = cuts[(cuts > 0) & (cuts < len(buf))]
+    inner = cuts[(cuts > 0) & (cuts < len(member))]
     inner = np.unique(inner[member[inner] & member[inner - 1]]) if len(inner) else inner
     if len(inner):  # two texts meet inside what looks like one word
         starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and where each text's words begin in that list (one more entry than texts)."""
+    return spans_of(IS_WORD[buf], offs)
+
+
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with A-Z in lower case, and where each text's words begin."""
     starts, ends, first = word_spans(buf, offs)
