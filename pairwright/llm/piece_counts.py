@@ -9,7 +9,6 @@ are such strings count 1 by a look-up; the rest is merged, equal ones of a chunk
 from __future__ import annotations
 
 import functools
-import heapq
 
 import numpy as np
 import sentencepiece
@@ -22,6 +21,7 @@ from pairwright.llm.texts import map_texts, span_hashes
 REMEMBERED = 250_000
 MARK = "▁"
 LIMIT = 4096
+_NEVER = 1 << 30
 
 
 class Pieces:
@@ -29,14 +29,38 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         plain = [k for k in range(n) if not (model.is_control(k) or model.is_byte(k) or model.is_unknown(k) or model.is_unused(k))]
-        self.score = {model.id_to_piece(k).replace(MARK, " "): model.get_score(k) for k in plain}
-        if any(" " in p.lstrip(" ") for p in self.score):
+        score = {model.id_to_piece(k).replace(MARK, " "): model.get_score(k) for k in plain}
+        if any(" " in p.lstrip(" ") for p in score):
             raise ValueError("a piece of this model holds a word mark behind another character")
-        self.inner = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
-        joined = {c for p in self.score if len(p) > 1 for c in p}
+        chars = sorted({c for p in score for c in p} - set(score))
+        number = {p: k for k, p in enumerate([*score, *chars])}
+        self.n_pieces = len(score)
+        #: symbol of every character; those of no piece share the number behind all others
+        self.char_symbol = np.full(0x110000, len(number), np.int64)
+        for p, k in number.items():
+            if len(p) == 1:
+                self.char_symbol[ord(p)] = k
+        _, rank = np.unique([-s for s in score.values()], return_inverse=True)
+        rows = [
+            (number[p[:k]] << 20 | number[p[k:]], rank[number[p]], number[p])
+            for p in score
+            for k in range(1, len(p))
+            if p[:k] in number and p[k:] in number
+        ]
+        self.pair_key, self.pair_rank, self.pair_made = (np.array(x, np.int64) for x in zip(*rows))
+        self.sorted_at = np.argsort(self.pair_key)
+        self.sorted_key = self.pair_key[self.sorted_at]
+        self.bits = 20
+        slot = ((self.pair_key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.slots[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=1 << self.bits) > 1
+        self.inner = np.unique([number[p[k]] << 20 | number[p[k + 1]] for p in score for k in range(len(p) - 1)])
+        joined = {c for p in score if len(p) > 1 for c in p}
         #: ASCII bytes that no merge touches: each is one token of its own
         self.alone = np.array([b < 128 and b != 0x20 and chr(b) not in joined for b in range(256)])
-        whole = [p for p in self.score if self.count(p) == 1]
+        names = list(score)
+        whole = [p for p, n in zip(names, self.merge_counts(names).tolist()) if n == 1]
         data = [p.encode() for p in whole]
         ends = np.cumsum([len(d) for d in data])
         starts = np.concatenate([[0], ends[:-1]])
@@ -45,39 +69,75 @@ class Pieces:
         self.filter[(self.whole >> np.uint64(44)).astype(np.int64)] = True
         self.memory: dict[bytes, int] = {}
 
-    def count(self, word: str) -> int:
-        """Tokens of a pre-token: split where no piece has these two neighbours, then merge."""
-        total, at = 0, 0
-        for k in range(1, len(word) + 1):
-            if k == len(word) or word[k - 1 : k + 1] not in self.inner:
-                total += self._merge(word[at:k])
-                at = k
-        return total
-
-    def _merge(self, word: str) -> int:
-        score, n = self.score, len(word)
-        if n == 1:
-            return 1 if word in score else len(word.encode())
-        left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), list(word)
-        heap = [(-score[word[k : k + 2]], k, word[k : k + 2]) for k in range(n - 1) if word[k : k + 2] in score]
-        heapq.heapify(heap)
-        while heap:
-            _, k, made = heapq.heappop(heap)
-            j = right[k]
-            if not alive[k] or j >= n or alive[k] + alive[j] != made:
-                continue
-            alive[k], alive[j] = made, ""
-            right[k] = right[j]
-            if right[k] < n:
-                left[right[k]] = k
-                pair = made + alive[right[k]]
-                if pair in score:
-                    heapq.heappush(heap, (-score[pair], k, pair))
-            if left[k] >= 0:
-                pair = alive[left[k]] + made
-                if pair in score:
-                    heapq.heappush(heap, (-score[pair], left[k], pair))
-        return sum(1 if s in score else len(s.encode()) for s in alive if s)
+    def merge_counts(self, words: list[str]) -> np.ndarray:
+        """Tokens of each of many pre-tokens, all merged at the same time.
+
+        In every round each pre-token makes the one merge that is its best, the leftmost of equal ones; the rounds
+        are as many as the most merges of one pre-token. Long pre-tokens are first split where no piece has those two neighbours.
+        """
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        symbol = self.char_symbol[points]
+        cost = np.where(symbol < self.n_pieces, 1, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).astype(np.int64)
+        n = len(symbol)
+        if not n:
+            return np.zeros(len(words), np.int64)
+        key, made = self._pairs(symbol[:-1], symbol[1:])
+        joint = self._adjacent(symbol) & (owner[1:] == owner[:-1])
+        begin = np.flatnonzero(np.concatenate([[True], ~joint]))  # parts that no merge can join
+        part = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
+        key = np.append(np.where(joint, key, _NEVER), _NEVER)
+        made = np.append(made, 0)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[np.append(begin[1:], n) - 1] = -1
+        before[begin] = -1
+        alive = np.ones(n, bool)
+        place = np.arange(n)
+        at, first = np.arange(n), begin
+        while True:
+            best = np.minimum.reduceat((key[at] << 32) | place[at], first)
+            chosen = best[best < _NEVER << 32] & 0xFFFFFFFF
+            if not len(chosen):
+                break
+            gone = after[chosen]
+            symbol[chosen], cost[chosen] = made[chosen], 1
+            alive[gone], key[gone] = False, _NEVER
+            nxt = after[gone]
+            after[chosen] = nxt
+            has = nxt >= 0
+            before[nxt[has]] = chosen[has]
+            key[chosen] = _NEVER
+            key[chosen[has]], made[chosen[has]] = self._pairs(symbol[chosen[has]], symbol[nxt[has]])
+            left = before[chosen]
+            some = left >= 0
+            key[left[some]], made[left[some]] = self._pairs(symbol[left[some]], symbol[chosen[some]])
+            going = np.zeros(len(begin), bool)  # go on with the parts that just merged
+            going[part[chosen]] = True
+            at = at[going[part[at]] & alive[at]]
+            p = part[at]
+            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        return np.bincount(owner[alive], weights=cost[alive], minlength=len(words)).astype(np.int64)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the merge of each two symbols (smaller is earlier) and the symbol it makes."""
+        wanted = a.astype(np.int64) << 20 | b
+        slot = (wanted.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        at = self.slots[slot.astype(np.int64)]
+        hit = self.pair_key[at] == wanted
+        clash = np.flatnonzero(~hit & (at >= 0) & self.crowded[slot.astype(np.int64)])
+        if len(clash):
+            at = at.copy()
+            at[clash] = np.minimum(np.searchsorted(self.sorted_key, wanted[clash]), len(self.sorted_key) - 1)
+            at[clash] = self.sorted_at[at[clash]]
+            hit = self.pair_key[at] == wanted
+        return np.where(hit, self.pair_rank[at], _NEVER), np.where(hit, self.pair_made[at], 0)
+
+    def _adjacent(self, symbol: np.ndarray) -> np.ndarray:
+        """Whether some piece has these two characters next to each other."""
+        wanted = symbol[:-1].astype(np.int64) << 20 | symbol[1:]
+        at = np.minimum(np.searchsorted(self.inner, wanted), len(self.inner) - 1)
+        return self.inner[at] == wanted
 
     def counts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Tokens of each of some texts in the model's form."""
@@ -109,9 +169,9 @@ class Pieces:
         if len(memory) > REMEMBERED:
             memory.clear()
         out = [memory.get(w) for w in words]
-        for k, found in enumerate(out):
-            if found is None:
-                out[k] = memory[words[k]] = self.count(words[k].decode())
+        new = [k for k, found in enumerate(out) if found is None]
+        for k, found in zip(new, self.merge_counts([words[k].decode() for k in new]).tolist()):
+            out[k] = memory[words[k]] = found
         return out
 
 
