@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, chat, chosen_path, lattice, piece_counts, secret_scan, suffixes, toxicity
+from pairwright.llm import bpe, chat, chosen_path, chunking, langid, lattice, piece_counts, secret_scan, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,14 @@ def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; one fold of four is never learned from."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identified(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts look like the template, formatted and read back."""
@@ -82,6 +90,13 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document, and the places of those that stand elsewhere first."""
+    found = chunking.repeated_passages(read(spark, sf_dir, "documents"))
+    return found.withColumn("removed", chunking.spans_text(F.col("removed")))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
