@@ -25,7 +25,9 @@ from pyspark.sql.types import StructType
 from pairwright.llm.texts import map_texts, span_hashes
 
 #: Pre-tokens remembered by a worker.
-REMEMBERED = 250_000
+REMEMBERED = 80_000
+#: Rows decoded together.
+DECODED_ROWS = 256
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
@@ -98,24 +100,45 @@ def pretoken_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def _load(path: str) -> tuple[dict, dict[bytes, int], list[bytes]]:
+    """The model, the special tokens and the bytes of every token by id."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+    ids = data["model"]["vocab"]
+    special = {t["content"].encode(): t["id"] for t in data.get("added_tokens", [])}
+    tokens = [b""] * (max([*ids.values(), *special.values()]) + 1)
+    for name, k in ids.items():
+        tokens[k] = bytes(byte[c] for c in name)
+    for name, k in special.items():
+        tokens[k] = name
+    return data["model"], special, tokens
+
+
+class OffsetTable:
+    """The bytes of all tokens behind each other, and where each begins."""
+
+    def __init__(self, path: str):
+        _, _, tokens = _load(path)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the tokens behind each other."""
+        sizes = self.offsets[ids + 1] - self.offsets[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.blob[np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(self.offsets[ids], sizes)]
+
+
 class Vocabulary:
     """Tokens, merges, the automaton and the compatibility of pairs."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
-        model = data["model"]
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
-        ids = model["vocab"]
-        self.special = {t["content"].encode(): t["id"] for t in data.get("added_tokens", [])}
-        size = max([*ids.values(), *self.special.values()]) + 1
-        self.tokens = [b""] * size
-        for name, k in ids.items():
-            self.tokens[k] = bytes(byte[c] for c in name)
-        for name, k in self.special.items():
-            self.tokens[k] = name
+        model, self.special, self.tokens = _load(path)
+        ids, size = model["vocab"], len(self.tokens)
         never = len(model["merges"]) + 1
         self.never = never
         self.rank, self.parts, self.made = {}, {}, [-1] * size
@@ -141,9 +164,7 @@ class Vocabulary:
             self.shorter[k] = next((own[name[:n]] for n in range(len(name) - 1, 0, -1) if name[:n] in own), -1)
         self.known: dict[int, bool] = {}
         self.memory: dict[bytes, tuple[int, ...]] = {}
-        lengths = np.array([len(t) for t in self.tokens])
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.lengths = [len(t) for t in self.tokens]
 
     def _chain(self, token: int, side: int) -> list[tuple[int, int]]:
         """The outer parts of a token, largest first, each with the rank of the merge that used it up."""
@@ -167,7 +188,7 @@ class Vocabulary:
         key = a << 20 | b
         ok = self.known.get(key)
         if ok is None:
-            if len(self.known) > 4 * REMEMBERED:
+            if len(self.known) > 3 * REMEMBERED:
                 self.known.clear()
             ok = self.known[key] = self._holds(a, b, self.never)
         return ok
@@ -194,10 +215,6 @@ class Vocabulary:
                 at -= offsets[last]
                 token = shorter[last]
 
-    @functools.cached_property
-    def lengths(self) -> list[int]:
-        return [len(t) for t in self.tokens]
-
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of each pre-token."""
         memory = self.memory
@@ -247,22 +264,20 @@ class Vocabulary:
         upto = np.concatenate([[0], total])[np.searchsorted(starts, offs)]
         return ids, np.diff(upto)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all tokens behind each other, and where each token's bytes begin."""
-        sizes = self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(self.offsets[ids], sizes)
-        return self.blob[at], np.concatenate([[0], ends])
-
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, ``n_tokens long`` and ``ids binary``: token ids as little-endian unsigned 32-bit integers.
+@functools.lru_cache(maxsize=2)
+def offset_table(path: str) -> OffsetTable:
+    return OffsetTable(path)
+
+
+def encode(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: str | None = None) -> DataFrame:
+    """The columns ``keep``, ``n_tokens long`` and ``ids binary``: token ids as little-endian unsigned 32-bit integers; with
+    ``decoded`` also a column of that name with the text decoded from the ids, as :func:`decode` gives it.
 
     Strings of special tokens inside a text become those tokens. A null or empty text has no tokens. ``path`` must be
     readable on every executor. Kept columns named like a result column give way to it.
@@ -270,15 +285,22 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, .
 
     def make():
         words = vocabulary(path)
+        table = offset_table(path) if decoded else None
 
         def compute(buf, offs):
             ids, counts = words.encode(buf, offs)
-            raw, ends = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * 4
-            return [counts, [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            parts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            raw = ids.astype("<u4").tobytes()
+            out = [counts, [raw[4 * a : 4 * b] for a, b in parts]]
+            if table:
+                out.append([table.decode(ids[a:b].astype(np.int64)).tobytes().decode("utf-8", "replace") for a, b in parts])
+            return out
 
         return compute
 
-    return map_texts(docs, text, make, StructType.fromDDL("n_tokens bigint, ids binary"), keep)
+    fields = "n_tokens bigint, ids binary" + (f", `{decoded}` string" if decoded else "")
+    return map_texts(docs, text, make, StructType.fromDDL(fields), keep)
 
 
 def decode(tokens: DataFrame, path: str, *, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -288,12 +310,13 @@ def decode(tokens: DataFrame, path: str, *, ids: str = "ids", to: str = "decoded
     where = names.index(ids)
 
     def run(batches):
-        words = vocabulary(path)
+        table = offset_table(path)
         for batch in batches:
-            texts = []
-            for value in batch.column(where).to_pylist():
-                data, _ = words.decode(np.frombuffer(value or b"", "<u4").astype(np.int64))
-                texts.append(data.tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, to])
+            for lo in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(lo, DECODED_ROWS)
+                texts = []
+                for value in part.column(where).to_pylist():
+                    texts.append(table.decode(np.frombuffer(value or b"", "<u4").astype(np.int64)).tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, to])
 
     return source.mapInArrow(run, StructType([*source.schema, *StructType.fromDDL(f"`{to}` string")]))

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from pairwright.llm.texts import map_texts, span_hashes
 
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 MARK = "▁"
 LIMIT = 4096
 _NEVER = 1 << 30

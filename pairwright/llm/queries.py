@@ -70,7 +70,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.encode(read(spark, sf_dir, "documents"), path, decoded="decoded")
     ids, text = F.sha2("ids", 256), F.sha2("decoded", 256)
     return decoded.select("doc_id", "n_tokens", ids.alias("ids_sha256"), text.alias("decoded_sha256"))
 
