@@ -34,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, lang, n_tokens, ids`` (little-endian unsigned 32-bit) and ``decoded``, the text read back from the ids."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path, keep=("doc_id", "source", "lang")), path)
+    return bpe.encode(docs, path, keep=("doc_id", "source", "lang"), decoded="decoded")
 
 
 STAGES = [
