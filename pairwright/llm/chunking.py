@@ -3,9 +3,9 @@
 The gear hash of a place depends on the 32 bytes before it. A place is a candidate when the top bits of the hash are zero, and a cut when no
 other candidate lies in the ``least`` bytes before it, so cuts depend on nearby bytes only: an insertion moves the
 cuts around it and no others, and a passage is cut alike wherever it stands. Chunks longer than ``most`` are cut every ``most`` bytes
-from their start. Chunks are compared by 128-bit digests over the whole corpus; the first one (smallest doc_id, then
-place) stays. Adjacent repeated chunks form a run, and runs of at least ``run_bytes`` are repeated passages; shorter
-runs are ordinary phrases and stay.
+from their start. Chunks are compared by 128-bit digests over the whole corpus; those of the document with the smallest id stay; chunks repeated inside one document only are none of this operator's. Adjacent repeated chunks form a run, and runs of at least ``run_bytes`` are repeated passages; shorter
+runs are ordinary phrases and stay. Text that repeats one short unit for long has no cuts, or one in every unit, and is
+matched only where whole chunks agree.
 
 Counts per digest combine before their shuffle, and the join back to the documents is an ordinary one, whose skewed side Spark splits, so a line
 that every document holds is never gathered in one place.
@@ -24,7 +24,7 @@ from pairwright.llm.texts import BYTE_VALUE, map_texts, mix, span_hashes
 BITS = 4
 LEAST = 16
 MOST = 1024
-RUN_BYTES = 64
+RUN_BYTES = 96
 
 _GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _SECOND = mix(BYTE_VALUE ^ np.uint64(0x5851F42D4C957F2D))
@@ -103,10 +103,10 @@ def repeated_passages(
     """
     all_chunks = chunks_of(docs, id_column, text, bits, least, most)
     flat = all_chunks.where("doc_id IS NOT NULL").select("doc_id", F.inline("chunks"))
-    known = flat.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    known = flat.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
     known = known.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first_doc")
     met = flat.join(known, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
-    packed = F.struct("start", "size", (F.col("doc_id") == F.col("first_doc")).alias("own"), "hi", "lo")
+    packed = F.struct("start", "size", (F.col("doc_id") == F.col("first_doc")).alias("own"))
     found = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(packed)).alias("c"))
     fields = StructType.fromDDL("doc_id bigint, n_shared bigint, n_removed bigint, shared_bytes bigint, removed_bytes bigint, removed array<struct<start int, end int>>")
     fields.fields[0].dataType = docs.schema[id_column].dataType
@@ -120,7 +120,7 @@ def repeated_passages(
 
 
 def _passages(run_bytes: int):
-    """Runs of adjacent repeated chunks of each document; inside a document the first of equal chunks is not removed."""
+    """Runs of adjacent repeated chunks of each document, and those of chunks that another document has first."""
 
     def runs_of(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         out: list[tuple[int, int, int]] = []
@@ -135,14 +135,8 @@ def _passages(run_bytes: int):
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
             for chunks in batch.column("c").to_pylist():
-                seen, shared, later = set(), [], []
-                for c in chunks:
-                    place = (c["start"], c["start"] + c["size"])
-                    shared.append(place)
-                    if not c["own"] or (c["hi"], c["lo"]) in seen:
-                        later.append(place)
-                    seen.add((c["hi"], c["lo"]))
-                every, gone = runs_of(shared), runs_of(later)
+                places = [(c["start"], c["start"] + c["size"]) for c in chunks]
+                every, gone = runs_of(places), runs_of([p for p, c in zip(places, chunks) if not c["own"]])
                 for values, x in zip(columns, (sum(r[2] for r in every), sum(r[2] for r in gone), sum(b - a for a, b, _ in every), sum(b - a for a, b, _ in gone))):
                     values.append(x)
                 columns[4].append([{"start": a, "end": b} for a, b, _ in gone])
