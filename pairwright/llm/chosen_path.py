@@ -30,7 +30,8 @@ from pairwright.llm.texts import map_texts, mix, window_hashes, word_hashes
 WORDS = 5
 THRESHOLD = 0.8
 COORDINATES = 64
-RUNS = 10
+#: A pair at the threshold is missed with a chance of 1e-7 where one split was enough, 4e-5 after two and 6e-4 after three.
+RUNS = 16
 LIMIT = 64
 DEPTH = 3
 
