@@ -39,9 +39,9 @@ def winner_column_name(winners: Sequence[str] = WINNERS) -> Column:
 
 
 def prob_class(probs: Sequence[ColumnOrName]) -> Column:
-    """Arg-max class of three probabilities; the first maximum wins."""
-    a, b, t = (as_col(c) for c in probs)
-    known = a.isNotNull() & b.isNotNull() & t.isNotNull()
+    """Arg-max class of three probabilities; the first maximum wins. A missing value or a NaN among them leaves no class."""
+    a, b, t = (as_col(c).cast("double") for c in probs)
+    known = F.coalesce(F.abs(a + b + t) < F.lit(float("inf")), F.lit(False))
     return F.when(known, _first_maximum((a, b, t), (0, 1, 2))).cast("int")
 
 

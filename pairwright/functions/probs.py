@@ -16,15 +16,25 @@ EPS = 1e-15
 def clip(p: ColumnOrName, eps: float = EPS) -> Column:
     """``p`` held inside [eps, 1 - eps].
 
-    NaN becomes NULL first: Spark orders NaN above every number, so a plain
-    ``least(greatest(..))`` would turn it into 1 - eps, a perfect score.
+    NULL and NaN stay without a value: ``greatest`` skips NULL, and Spark orders NaN above every number,
+    so a plain ``least(greatest(..))`` would turn them into eps and 1 - eps.
     """
     p = as_col(p)
-    return F.when(~F.isnan(p), F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps)))
+    return F.when(is_number(p), F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps)))
+
+
+def is_number(p: ColumnOrName) -> Column:
+    """Whether a value is present and finite; never NULL itself. Spark orders NaN above infinity, so one comparison tells."""
+    return F.coalesce(F.abs(as_col(p).cast("double")) < F.lit(float("inf")), F.lit(False))
+
+
+def all_numbers(values: Sequence[ColumnOrName]) -> Column:
+    """Whether all values are present and finite: otherwise their sum is not."""
+    return is_number(_total([as_col(v).cast("double") for v in values]))
 
 
 def one_hot_loss(probs: Sequence[ColumnOrName], winners: Sequence[ColumnOrName] = WINNERS, eps: float = EPS) -> Column:
-    """Cross-entropy of one row against its one-hot winners."""
+    """Cross-entropy of one row against its one-hot winners; NULL when a winner or a probability is missing."""
     terms = [as_col(w) * F.ln(clip(p, eps)) for w, p in zip(winners, probs)]
     return F.lit(0.0) - (terms[0] + terms[1] + terms[2])
 
@@ -36,8 +46,11 @@ def pick(y: ColumnOrName, values: Sequence[ColumnOrName]) -> Column:
 
 
 def class_loss(y: ColumnOrName, probs: Sequence[ColumnOrName], eps: float = EPS) -> Column:
-    """Cross-entropy of one row against its class number."""
-    return F.lit(0.0) - F.ln(clip(pick(y, probs), eps))
+    """Cross-entropy of one row against its class number.
+
+    A row is usable when its class is known and all its probabilities are finite numbers; any other row has no loss.
+    """
+    return F.when(all_numbers(probs), F.lit(0.0) - F.ln(clip(pick(y, probs), eps)))
 
 
 def softmax(logits: Sequence[ColumnOrName], temperature: float = 1.0) -> list[Column]:

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from pairwright.functions.labels import winners_valid
 from pairwright.functions.numbers import is_infinite, unusable_to_null, unusable_to_zero
 from pairwright.operators.rows import unpivot
-from pairwright.schema import WINNERS, fractional_columns, numeric_columns, string_columns
+from pairwright.schema import WINNERS, columns_like, fractional_columns, numeric_columns, string_columns
 
 REDUNDANT = ("cluster_id",)
+CLUSTER_PREFIX = "cluster_id_k"
 
 
 def clean_features(df: DataFrame, policy: str = "zero", drop: tuple[str, ...] = REDUNDANT) -> DataFrame:
     """Drop redundant columns and make every number usable.
 
     ``zero`` replaces NULL, NaN and infinities of numeric columns by 0; ``null`` turns NaN and
-    infinities into NULL and leaves the rest alone.
+    infinities into NULL and leaves the rest alone. Topic clusters (``cluster_id_k*``) are categories: 0 is a topic like any
+    other, so an unknown one stays NULL.
     """
     df = df.drop(*drop)
     fractions = fractional_columns(df)
@@ -26,7 +28,7 @@ def clean_features(df: DataFrame, policy: str = "zero", drop: tuple[str, ...] =
     if policy != "zero":
         raise ValueError("policy is 'zero' or 'null'")
     cleaned = df.withColumns({c: unusable_to_zero(F.col(c)) for c in fractions})
-    whole = numeric_columns(df, exclude=fractions)
+    whole = numeric_columns(df, exclude=[*fractions, *columns_like(df, prefix=CLUSTER_PREFIX)])
     return cleaned.fillna(0, subset=whole) if whole else cleaned
 
 

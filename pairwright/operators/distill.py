@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import as_col, winner_class
-from pairwright.functions.probs import EPS, log_softmax, pick, softmax
+from pairwright.functions.probs import EPS, is_number, log_softmax, pick, softmax
 from pairwright.schema import TEACHER, WINNERS
 
 MODES = ("as_is", "renormalised")
@@ -21,16 +21,17 @@ def teacher_target(teacher: Sequence[str], temperature: float, mode: str = "as_i
     ``renormalised`` raises them to 1 / T and scales them to sum to 1.
     """
     if mode == "as_is":
-        return softmax(teacher, temperature)
+        return softmax([F.when(is_number(t), as_col(t)) for t in teacher], temperature)
     if mode != "renormalised":
         raise ValueError(f"mode is one of {MODES}")
-    powered = [F.pow(F.greatest(as_col(t), F.lit(EPS)), F.lit(1.0 / temperature)) for t in teacher]
+    powered = [F.pow(F.when(is_number(t), F.greatest(as_col(t), F.lit(EPS))), F.lit(1.0 / temperature)) for t in teacher]
     total = powered[0] + powered[1] + powered[2]
     return [p / total for p in powered]
 
 
 def kl_divergence(target: Sequence[Column], log_q: Sequence[Column]) -> Column:
-    terms = [F.when(t > 0, t * (F.ln(t) - q)).otherwise(F.lit(0.0)) for t, q in zip(target, log_q)]
+    """NULL when the target or the other distribution has no number."""
+    terms = [F.when(is_number(t) & is_number(q), F.when(t > 0, t * (F.ln(t) - q)).otherwise(F.lit(0.0))) for t, q in zip(target, log_q)]
     return terms[0] + terms[1] + terms[2]
 
 
@@ -53,7 +54,7 @@ def distill_rows(
 
 
 def distill_loss(df: DataFrame, logits: Sequence[str], modes: Sequence[str] = MODES, **options) -> DataFrame:
-    """(mode, n, hard_loss, soft_loss, loss): means over all rows, every mode in one pass."""
+    """(mode, n, hard_loss, soft_loss, loss): means over the n rows that have a class, logits and a teacher, every mode in one pass."""
     keep = list(dict.fromkeys([*logits, *options.get("teacher", TEACHER), *options.get("winners", WINNERS)]))
     out = df.select(*keep)
     for mode in modes:
@@ -61,7 +62,7 @@ def distill_loss(df: DataFrame, logits: Sequence[str], modes: Sequence[str] = MO
         out = rows.withColumnsRenamed({c: f"{mode}|{c}" for c in ("hard_loss", "soft_loss", "loss")})
     parts = ("hard_loss", "soft_loss", "loss")
     means = out.agg(
-        *[F.count(f"{m}|loss").alias(f"{m}|n") for m in modes], *[F.avg(f"{m}|{c}").alias(f"{m}|{c}") for m in modes for c in parts]
+        *[F.count(f"{m}|loss").alias(f"{m}|n") for m in modes], *[F.avg(F.when(F.col(f"`{m}|loss`").isNotNull(), F.col(f"`{m}|{c}`"))).alias(f"{m}|{c}") for m in modes for c in parts]
     )
     structs = [
         F.struct(F.lit(m).alias("mode"), F.col(f"{m}|n").alias("n"), *[F.col(f"{m}|{c}").alias(c) for c in parts]) for m in modes

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import winner_class
-from pairwright.functions.probs import EPS, blend, clip, normalise, pick
+from pairwright.functions.probs import EPS, all_numbers, blend, clip, normalise, pick
 from pairwright.operators.metrics import Models, model_metrics
 from pairwright.schema import WINNERS
 
@@ -35,10 +35,11 @@ def blend_metrics(
 def true_class_probs(df: DataFrame, models: Models, winners: Sequence[str] = WINNERS) -> DataFrame:
     """One column per model: the probability it gave to the true class, all a blend's log loss depends on.
 
-    NaN becomes NULL, so a row that some model has no number for drops out of every average.
+    It is NULL where the class is unknown or some probability of the model is no finite number; a blend of such a row is NULL too,
+    so the row drops out of every average.
     """
     y = df.select(winner_class(winners).alias("_y"), *[c for p in models.values() for c in p])
-    return y.select(*[F.nanvl(pick("_y", p).cast("double"), F.lit(None)).alias(m) for m, p in models.items()])
+    return y.select(*[F.when(all_numbers(p), pick("_y", p).cast("double")).alias(m) for m, p in models.items()])
 
 
 def simplex_grid(k: int, steps: int) -> list[tuple[float, ...]]:
@@ -76,12 +77,15 @@ MAX_GRID_POINTS = 10_000
 
 @dataclass(frozen=True)
 class BlendFit:
-    """Best weights, their loss, an upper bound on how far that is from the optimum, and the passes used."""
+    """Best weights, their loss, an upper bound on how far that is from the optimum, the passes used, and whether the
+    bound reached the tolerance (or 1e-8, below which sums of many rows cannot tell).
+    """
 
     weights: dict[str, float]
     log_loss: float
     gap: float
     passes: int
+    converged: bool
 
 
 def fit_blend(
@@ -122,19 +126,23 @@ def fit_blend(
     finally:
         probs.unpersist()
     w = normalise(np.maximum(w, 0.0).tolist())
-    return BlendFit(dict(zip(names, w)), float(loss), float(np.dot(w, g) - g.min()), passes)
+    gap = float(np.dot(w, g) - g.min())
+    return BlendFit(dict(zip(names, w)), float(loss), gap, passes, gap <= max(tolerance, 1e-8))
 
 
 def ensemble_weights(df: DataFrame, models: Models, winners: Sequence[str] = WINNERS) -> DataFrame:
-    """(model, weight, log_loss): one row per model, with the loss of the best blend."""
+    """(model, weight, log_loss): one row per model, with the loss of the best blend. An unfinished fit is an error."""
     fit = fit_blend(df, models, winners)
+    if not fit.converged:
+        raise RuntimeError(f"no optimum within {fit.passes} passes; the loss may be {fit.gap} above it")
     rows = [(m, float(w), fit.log_loss) for m, w in fit.weights.items()]
     return df.sparkSession.createDataFrame(rows, "model string, weight double, log_loss double")
 
 
 def _derivatives(probs: DataFrame, names: Sequence[str], w: np.ndarray, eps: float) -> tuple[float, np.ndarray, np.ndarray]:
     k = len(names)
-    mixed = F.greatest(_sum([F.lit(float(wi)) * F.col(m) for wi, m in zip(w, names)]), F.lit(eps))
+    blended = _sum([F.lit(float(wi)) * F.col(m) for wi, m in zip(w, names)])
+    mixed = F.when(blended.isNotNull(), F.greatest(blended, F.lit(eps)))  # greatest alone would skip a NULL
     row = probs.select(*names, mixed.alias("_s"))
     ratio = [F.col(m) / F.col("_s") for m in names]
     aggs = [F.avg(F.lit(0.0) - F.ln("_s"))]

@@ -1,7 +1,6 @@
 """Looking at rows: worst cases, conflicts, reproducible samples.
 
-Rankings run on narrow tables. Texts are attached to the few rows that remain: the k winners are
-broadcast (k is a parameter, so the size is bounded) and the text table is scanned without a shuffle.
+Rankings run on narrow tables, and texts are attached to the few rows that remain.
 """
 
 from __future__ import annotations
@@ -16,9 +15,6 @@ from pairwright.functions.probs import EPS, one_hot_loss
 from pairwright.functions.text import prefix
 from pairwright.schema import CLUSTER, ID, PREDS, WINNERS
 
-#: More rows than this are joined by shuffling instead of broadcasting.
-MAX_BROADCAST_ROWS = 100_000
-
 
 def bad_cases(
     df: DataFrame,
@@ -30,11 +26,11 @@ def bad_cases(
     eps: float = EPS,
     digits: int = 6,
 ) -> DataFrame:
-    """The ``n`` rows with the highest loss. Losses are compared after rounding and ties go to the lower key."""
+    """The ``n`` rows with the highest loss, of those that have one. Losses are compared after rounding and ties go to the lower key."""
     loss = F.round(one_hot_loss(probs, winners, eps), digits)
     columns = list(dict.fromkeys([*keep, *winners, *probs]))
     scored = df.select(*columns, loss.alias("sample_loss"))
-    return scored.orderBy(F.desc("sample_loss"), key).limit(n)
+    return scored.filter(F.col("sample_loss").isNotNull()).orderBy(F.desc("sample_loss"), key).limit(n)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -42,10 +38,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
 
 
-def attach_text(rows: DataFrame, texts: DataFrame, n: int, key: str = ID) -> DataFrame:
-    """Join texts onto ``n`` rows at most."""
-    if n <= MAX_BROADCAST_ROWS:
-        return texts.join(F.broadcast(rows), key)
+def attach_text(rows: DataFrame, texts: DataFrame, key: str = ID) -> DataFrame:
+    """Join texts onto a few rows. Spark's own size check chooses how: rows cut by a limit have a small, known size."""
     return texts.join(rows, key)
 
 

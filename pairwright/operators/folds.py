@@ -46,9 +46,11 @@ def assign_folds(
     from the table of bucket counts: a window per group of strata, plus one running sum over at most
     4,096 group totals.
 
+    Rows without a key or stratum are dealt out like the others, so every row gets a fold. Rows that repeat a key may swap folds.
+
     Pass a narrow table: every column of ``df`` travels through one shuffle.
     """
-    row_hash = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    row_hash = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("nan")), F.lit(f":{seed}")))
     keyed = (
         df.withColumn("_stratum", F.coalesce(stratum, F.lit("nan")))
         .withColumn("_hash", row_hash)

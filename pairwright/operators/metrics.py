@@ -7,13 +7,15 @@ rows are turned into one row per model. Nothing is multiplied before the shuffle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import prob_class, winner_class
-from pairwright.functions.probs import EPS, class_loss, one_hot_loss, softmax
+from pairwright.functions.probs import EPS, all_numbers, class_loss, one_hot_loss, pick, softmax
 from pairwright.operators.rows import unpivot
 from pairwright.schema import CLASSES, CLUSTER, FOLD, ID, N_FOLDS, WINNERS
 
@@ -67,7 +69,10 @@ def model_metrics(
     winners: Sequence[str] = WINNERS,
     eps: float = EPS,
 ) -> DataFrame:
-    """(by.., model, n, log_loss, accuracy). ``n`` counts rows with a class and usable probabilities."""
+    """(by.., model, n, log_loss, accuracy).
+
+    All three are taken over the same rows: those with a known class and three finite probabilities.
+    """
     narrow = df.select(*by, winner_class(winners).alias(_Y), *_columns(models))
     grouped = narrow.groupBy(*by).agg(*_measures(models, eps))
     return unpivot(grouped, by, _model_rows(models))
@@ -76,18 +81,19 @@ def model_metrics(
 def fold_metrics(
     df: DataFrame, models: Models, k: int = N_FOLDS, fold: str = FOLD, winners: Sequence[str] = WINNERS, eps: float = EPS
 ) -> DataFrame:
-    """One row per fold and model. A fold without rows is reported with n = 0 and no loss."""
-    measured = model_metrics(df.filter(F.col(fold).between(0, k - 1)), models, [fold], winners, eps)
+    """One row per fold and model. A fold without rows is reported with n = 0 and no loss; rows of another fold, or of none,
+    are reported under that number, or NULL.
+    """
+    measured = model_metrics(df, models, [fold], winners, eps)
     folds = df.sparkSession.range(k).select(F.col("id").cast("int").alias(fold))
     every = folds.select(fold, F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    # measured has k * len(models) rows at most
-    joined = every.join(F.broadcast(measured), [fold, "model"], "left")
+    joined = every.join(measured, [fold, "model"], "full")
     return joined.withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
 
 
-def mean_of_folds(metrics_by_fold: DataFrame) -> DataFrame:
-    """Unweighted mean of the fold scores per model, the objective of a parameter search."""
-    return metrics_by_fold.filter(F.col("n") > 0).groupBy("model").agg(
+def mean_of_folds(metrics_by_fold: DataFrame, fold: str = FOLD) -> DataFrame:
+    """Unweighted mean of the fold scores per model, the objective of a parameter search. Rows without a fold do not count."""
+    return metrics_by_fold.filter((F.col("n") > 0) & F.col(fold).isNotNull()).groupBy("model").agg(
         F.count(F.lit(1)).alias("n_folds"), F.avg("log_loss").alias("mean_log_loss"), F.avg("accuracy").alias("mean_accuracy")
     )
 
@@ -181,21 +187,38 @@ def softmax_probs(df: DataFrame, logits: Sequence[str], out: Sequence[str] = ("p
     return df.withColumns(dict(zip(out, softmax(logits))))
 
 
-def logit_metrics(df: DataFrame, logits: Models, winners: Sequence[str] = WINNERS) -> DataFrame:
-    """Log loss and accuracy straight from logits."""
-    names = {m: [f"_{m}_{i}" for i in range(3)] for m in logits}
-    probs = [p.alias(n) for m, cols in logits.items() for p, n in zip(softmax(cols), names[m])]
-    return model_metrics(df.select(*winners, *probs), names, winners=winners)
+def logit_metrics(df: DataFrame, logits: Models, winners: Sequence[str] = WINNERS, eps: float = EPS) -> DataFrame:
+    """Log loss and accuracy straight from logits.
+
+    The loss of a row is the logarithm of the sum of exponentials minus the true class's logit, so only the row maximum, three
+    exponentials and one logarithm are needed; each is a column of its own step and evaluated once. Losses are held inside the
+    range that clipped probabilities give.
+    """
+    narrow = df.select(winner_class(winners).alias(_Y), *_columns(logits))
+    for m, cols in logits.items():
+        narrow = narrow.withColumn(f"{m}|top", F.when(all_numbers(cols), F.greatest(*cols)))
+    low, high = -math.log(1.0 - eps), -math.log(eps)
+    for m, cols in logits.items():
+        total = reduce(lambda a, b: a + b, [F.exp(F.col(c) - F.col(f"`{m}|top`")) for c in cols])
+        loss = F.ln(total) + F.col(f"`{m}|top`") - pick(_Y, cols)
+        narrow = narrow.withColumn(f"{m}|one", F.when(loss.isNotNull(), F.least(F.greatest(loss, F.lit(low)), F.lit(high))))
+        narrow = narrow.withColumn(f"{m}|ok", F.when(loss.isNotNull(), (prob_class(cols) == F.col(_Y)).cast("double")))
+    measures = []
+    for m in logits:
+        one, ok = F.col(f"`{m}|one`"), F.col(f"`{m}|ok`")
+        measures += [F.count(one).alias(f"{m}|n"), F.avg(one).alias(f"{m}|loss"), F.avg(ok).alias(f"{m}|hit")]
+    return unpivot(narrow.agg(*measures), [], _model_rows(logits))
 
 
 def fold_softmax_weights(
-    metrics_by_fold: DataFrame, temperature: float = 0.05, empty_score: float = 10.0
+    metrics_by_fold: DataFrame, temperature: float = 0.05, empty_score: float = 10.0, fold: str = FOLD
 ) -> DataFrame:
     """Weight of each fold's model from its loss, relative to the best fold.
 
     The input has one row per fold and model, so the windows hold k rows each.
     """
     of_model = Window.partitionBy("model")
+    metrics_by_fold = metrics_by_fold.filter(F.col(fold).isNotNull())  # rows without a fold have no model
     score = F.when(F.col("n") > 0, F.col("log_loss")).otherwise(F.lit(float(empty_score)))
     scored = metrics_by_fold.withColumn("score", score)
     raw = scored.withColumn("_e", F.exp((F.min("score").over(of_model) - F.col("score")) / F.lit(float(temperature))))

@@ -28,7 +28,8 @@ def score_folds(
 
     ``load_model(k)`` runs on the executors and returns the scorer of fold ``k``. With
     ``one_model_at_a_time`` the rows of a task are sorted by fold first (no shuffle), so a task
-    never holds two large models; otherwise loaded models are kept for the rest of the task.
+    never holds two large models; otherwise loaded models are kept for the rest of the task. A row without a fold
+    keeps its place in the output with NULL logits.
     """
     keep = list(dict.fromkeys([*keep, fold]))
     require(df, [*keep, *inputs], "scoring table")
@@ -43,7 +44,10 @@ def score_folds(
     def score(batches):
         models = {}
         for batch in batches:
-            for k, rows in batch.groupby(fold, sort=True):
+            for k, rows in batch.groupby(fold, sort=True, dropna=False):
+                if k != k or k is None:  # no fold, so no model: the row stays, without logits
+                    yield rows[keep].assign(**dict.fromkeys(logit_names, None)).astype(dict.fromkeys(logit_names, float))
+                    continue
                 if k not in models:
                     if one_model_at_a_time:
                         models.clear()

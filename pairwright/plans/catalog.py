@@ -55,6 +55,7 @@ TABLES = (
 )
 BLEND_WEIGHTS = {"m1": 0.45, "m2": 0.30, "m3": 0.25}
 RUN_FOLDER = r"run=([^/]+)/"
+OOF_COLUMNS = f"{ID} long, " + ", ".join(f"{p} double" for p in PREDS)
 
 
 def query(run: Query) -> Query:
@@ -143,7 +144,7 @@ def bad_case_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bad_case_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     worst = _worst(spark, sf_dir, 3)
     prompts = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ID), F.col("text").alias("prompt_text"))
-    return explore.case_cards(explore.attach_text(worst, prompts, 3), MODELS["m1"])
+    return explore.case_cards(explore.attach_text(worst, prompts), MODELS["m1"])
 
 
 def _worst(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -232,6 +233,35 @@ def teacher_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joined.select(ID, FOLD, "labels", *TEACHER, F.size("teacher_probs").alias("n_probs"), *probs))
 
 
+@query
+def backfilled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics over labels that were left-joined onto a misaligned table, with missing probabilities in some rows."""
+    found = inputs.gappy(inputs.misaligned_output(spark, sf_dir))
+    labelled = alignment.backfill(found, inputs.predictions(spark, sf_dir), [CLUSTER, *WINNERS])
+    return rounded(metrics.model_metrics(labelled, {"oof": PREDS}))
+
+
+@query
+def row_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that enter operators with missing keys, folds and labels, rows with a result, and rows reported without one."""
+    known = inputs.predictions(spark, sf_dir)
+    keyless = known.withColumn(ID, F.when(F.col(ID) % 13 != 0, F.col(ID)))
+    dealt = folds.assign_folds(keyless.select(ID, CLUSTER, *WINNERS), folds.stratum_by_cluster())
+    holes = inputs.folded(spark, sf_dir).withColumn(FOLD, F.when(F.col(ID) % 17 != 0, F.col(FOLD)))
+    scored = scoring.score_folds(holes, scoring.linear_models(_coefficients()), SCORER_INPUTS)
+    measured = metrics.fold_metrics(holes, {"m1": MODELS["m1"]})
+    balances = {
+        "assign_folds": dealt.agg(F.count(FOLD).alias("rows_out"), F.count_if(F.col(FOLD).isNull()).alias("rows_reported")),
+        "score_folds": scored.agg(F.count("logit_a").alias("rows_out"), F.count_if(F.col("logit_a").isNull()).alias("rows_reported")),
+        "fold_metrics": measured.agg(
+            F.sum(F.when(F.col(FOLD).isNotNull(), F.col("n")).otherwise(0)).alias("rows_out"),
+            F.sum(F.when(F.col(FOLD).isNull(), F.col("n")).otherwise(0)).alias("rows_reported"),
+        ),
+    }
+    entered = known.agg(F.count(F.lit(1))).scalar()
+    return alignment.tagged_union(balances, "operator").withColumn("rows_in", entered)
+
+
 # ---------------------------------------------------------------- preparation
 
 
@@ -258,7 +288,7 @@ def render_prompt_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = preference.rendered(inputs.pairs(spark, sf_dir), "judge_short")
-    path = writers.write_parquet(preference.tokenize(prompts, max_len=512), new_path(spark, "tokens"))
+    path = writers.write_parquet(preference.tokenize(prompts, max_len=2048), new_path(spark, "tokens"))
     ids = F.array_join(F.transform("input_ids", lambda t: t.cast("string")), " ")
     return readers.read_table(spark, path).select(ID, "n_tokens", F.size("input_ids").alias("n_kept"), F.md5(ids).alias("ids_md5"))
 
@@ -331,13 +361,9 @@ def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def conflict_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _conflicts(spark, sf_dir)
-    prompts = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ID), F.col("text").alias("prompt_text"))
-    shown = alignment.align_tables([found, prompts])
-    return rounded(
-        shown.select(
-            ID, "len_diff", "pred_a", "pred_b", winner_label().alias("winner"), prefix("prompt_text", 200, "...").alias("prompt_head")
-        )
-    )
+    heads = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ID), prefix("text", 200, "...").alias("prompt_head"))
+    shown = alignment.align_tables([found, heads])
+    return rounded(shown.select(ID, "len_diff", "pred_a", "pred_b", winner_label().alias("winner"), "prompt_head"))
 
 
 @query
@@ -377,6 +403,33 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(*[F.md5(c).alias(f"{c}_md5") for c in PREFERENCE_SCHEMA.names])
 
 
+@query
+def csv_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A csv whose lines end in CR and LF; the last column is a number."""
+    columns = [ID, CLUSTER, *WINNERS]
+    path = writers.write_csv(inputs.predictions(spark, sf_dir).select(*columns), new_path(spark, "crlf") + ".csv", line_end="\r\n")
+    return readers.read_csv(spark, path, f"{ID} long, {CLUSTER} int, " + ", ".join(f"{w} int" for w in WINNERS))
+
+
+@query
+def glob_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All models' csv outputs through one glob, narrowed by file name."""
+    known, root = inputs.predictions(spark, sf_dir), new_path(spark, "outputs")
+    for m in MODELS:
+        writers.write_csv(inputs.model_output(known, m), f"{root}/{m}.csv")
+    found = readers.read_table(spark, f"{root}/m*.csv", OOF_COLUMNS, path_filter="part-*.csv")
+    return rounded(found)
+
+
+@query
+def optional_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per output of those that exist; the newest version of each is read, one was never written."""
+    known, root = inputs.predictions(spark, sf_dir), new_path(spark, "optional")
+    paths = {m: writers.write_new_version(inputs.model_output(known, m), f"{root}/{m}") for m in ("m1", "m2")}
+    found = readers.read_available(spark, {**paths, "m3": f"{root}/m3/v-none.parquet"})
+    return alignment.row_counts(found)
+
+
 # ---------------------------------------------------------------- ensembles
 
 
@@ -470,11 +523,14 @@ def scorer_coefficient(fold: int, cls: int, i: int) -> float:
     return ((fold * 7 + cls * 3 + i * 5) % 11 - 5) / 10
 
 
+def _coefficients() -> dict[int, list[list[float]]]:
+    terms = range(len(SCORER_INPUTS) + 1)
+    return {k: [[scorer_coefficient(k, c, i) for i in terms] for c in range(3)] for k in range(N_FOLDS)}
+
+
 @query
 def oof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = range(len(SCORER_INPUTS) + 1)
-    table = {k: [[scorer_coefficient(k, c, i) for i in terms] for c in range(3)] for k in range(N_FOLDS)}
-    scored = scoring.score_folds(inputs.folded(spark, sf_dir), scoring.linear_models(table), SCORER_INPUTS)
+    scored = scoring.score_folds(inputs.folded(spark, sf_dir), scoring.linear_models(_coefficients()), SCORER_INPUTS)
     return rounded(scoring.oof_predictions(scored))
 
 

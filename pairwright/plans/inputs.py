@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pairwright.operators.features import SIDES, combine_measures, text_measures
 from pairwright.operators.folds import assign_folds, stratum_by_cluster
 from pairwright.schema import CLUSTER, ID, PREDS, TEXTS, WINNERS
-from pairwright.sources.readers import spread
 
 MODELS = {m: tuple(f"{m}_{s}" for s in ("a", "b", "tie")) for m in ("m1", "m2", "m3")}
 
@@ -98,7 +97,7 @@ def pair_measures(spark: SparkSession, sf_dir: str, measures: Mapping[str, Colum
     n, key = _count(docs), F.col(ID)
     served = {"p": key, **{side: F.pmod(key - shift, n) for side, shift in RESPONSE_SHIFT.items()}}
     roles = F.array(*[F.struct(k.alias("_pair"), F.lit(side).alias("_side")) for side, k in served.items()])
-    measured = keyed(spread(docs.select("doc_id", "source", "text"), "doc_id"), measures)
+    measured = keyed(docs, measures)
     rows = measured.select(F.inline(roles), CLUSTER, *measures)
     together = rows.groupBy(F.col("_pair").alias(ID)).agg(
         F.count(F.lit(1)).alias("_roles"),
@@ -121,8 +120,6 @@ def pairs(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> Da
     def wanted(side: DataFrame) -> DataFrame:
         return side if only is None else side.join(F.broadcast(only.select(ID)), ID, "left_semi")
 
-    if only is None:
-        docs = spread(docs.select("doc_id", "source", "text"), "doc_id")
     out = with_outcomes(wanted(keyed(docs, {prompt: F.col("text")})))
     for name, shift in zip(responses, RESPONSE_SHIFT.values()):
         served = docs.select(F.pmod(key - shift, n).alias(ID), F.col("text").alias(name))
@@ -140,10 +137,11 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature table with NaN, infinities, NULLs and a redundant cluster column."""
+    """A feature table with NaN, infinities, NULLs, unknown clusters and a redundant cluster column."""
     key = F.col(ID)
     ratio = F.col("a_len").cast("double") / (F.col("b_len") + 1)
-    return lengths(spark, sf_dir).select(
+    known = lengths(spark, sf_dir).withColumn(CLUSTER, F.when(key % 37 != 0, F.col(CLUSTER)))
+    return known.select(
         ID,
         CLUSTER,
         F.col(CLUSTER).alias("cluster_id"),
@@ -179,9 +177,17 @@ def misaligned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.explode(copies).alias(ID), *PREDS)
 
 
+def gappy(outputs: DataFrame) -> DataFrame:
+    """Predictions with a NULL in some rows and a NaN in others."""
+    key = F.col(ID)
+    first = F.when(key % 29 == 0, F.lit(None).cast("double")).otherwise(F.col(PREDS[0]))
+    last = F.when(key % 31 == 0, F.lit(float("nan"))).otherwise(F.col(PREDS[2]))
+    return outputs.withColumns({PREDS[0]: first, PREDS[2]: last})
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, run, value): training-log lines of ten runs, some of them unreadable."""
-    events = spread(table(spark, sf_dir, "events").select("event_id"), "event_id")
+    events = table(spark, sf_dir, "events").select("event_id")
     event = F.col("event_id")
     k = F.floor(event / 10).cast("long") % 20
     loss = ((1100 - 20 * k + (event * 17) % 100) / 1000).cast("decimal(8,3)").cast("string")

@@ -68,7 +68,7 @@ _CTES["texts"] = """SELECT p.p_id AS id, p.text AS p_text, a.text AS a_text, b.t
 _CTES["pairs"] = "SELECT t.p_text, t.a_text, t.b_text, p.* FROM texts t JOIN pred p ON p.id = t.id"
 _CTES["lengths"] = """SELECT p.*, CAST(LENGTH(p_text) AS BIGINT) AS p_len, CAST(LENGTH(a_text) AS BIGINT) AS a_len,
   CAST(LENGTH(b_text) AS BIGINT) AS b_len FROM pairs p"""
-_CTES["dirty"] = """SELECT id, cluster_id_k20, CAST(p_len AS DOUBLE) AS len_p, CAST(a_len - b_len AS DOUBLE) AS len_diff,
+_CTES["dirty"] = """SELECT id, CASE WHEN id % 37 <> 0 THEN cluster_id_k20 END AS cluster_id_k20, CAST(p_len AS DOUBLE) AS len_p, CAST(a_len - b_len AS DOUBLE) AS len_diff,
   CASE WHEN id % 11 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN id % 13 = 0 THEN CAST('-Infinity' AS DOUBLE)
        WHEN id % 17 = 0 THEN CAST('NaN' AS DOUBLE) WHEN id % 19 = 0 THEN CAST(NULL AS DOUBLE)
        ELSE CAST(a_len AS DOUBLE) / (b_len + 1) END AS len_ratio,
@@ -261,6 +261,17 @@ ORACLE["teacher_join"] = sql(
     + " FROM folds"
 )
 
+ORACLE["backfilled_metrics"] = sql(
+    """SELECT 'oof' AS model, COUNT(*) AS n, ROUND(AVG(-LN(CASE y WHEN 0 THEN pred_a WHEN 1 THEN pred_b ELSE pred_tie END)), 6) AS log_loss,
+  ROUND(AVG(CASE WHEN y = CASE WHEN pred_a >= pred_b AND pred_a >= pred_tie THEN 0 WHEN pred_b >= pred_tie THEN 1 ELSE 2 END
+    THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM oof o JOIN pred p ON p.id = o.id WHERE o.id % 29 <> 0 AND o.id % 31 <> 0"""
+)
+ORACLE["row_balance"] = sql(
+    """SELECT 'assign_folds' AS operator, COUNT(*) AS rows_in, COUNT(*) AS rows_out, CAST(0 AS BIGINT) AS rows_reported FROM pred UNION ALL
+  SELECT name, COUNT(*), COUNT(*) FILTER (WHERE id % 17 <> 0), COUNT(*) FILTER (WHERE id % 17 = 0)
+  FROM pred, (SELECT UNNEST(['score_folds', 'fold_metrics']) AS name) GROUP BY name"""
+)
+
 # ---------------------------------------------------------------- preparation
 
 ORACLE["dpo_pairs"] = sql(
@@ -281,9 +292,9 @@ _SHORT = _fill(SHORT_JUDGE_TEMPLATE, {s: f"SUBSTRING({s}_text, 1, 1200)" for s i
 ORACLE["render_prompt"] = sql(f"SELECT id, {_fill(JUDGE_TEMPLATE, {s: f'{s}_text' for s in ('p', 'a', 'b')})} AS text FROM pairs")
 ORACLE["render_prompt_short"] = sql(f"SELECT id, {_SHORT} AS text FROM pairs")
 ORACLE["pretokenize"] = sql(
-    f"""SELECT id, CAST(MAX(pos) AS INTEGER) AS n_tokens, CAST(LEAST(MAX(pos), 512) AS INTEGER) AS n_kept,
+    f"""SELECT id, CAST(MAX(pos) AS INTEGER) AS n_tokens, CAST(LEAST(MAX(pos), 2048) AS INTEGER) AS n_kept,
   md5(STRING_AGG(CAST(CAST('0x' || SUBSTRING(md5(tok), 1, 7) AS BIGINT) % 50000 AS VARCHAR), ' ' ORDER BY pos)
-      FILTER (WHERE pos <= 512)) AS ids_md5
+      FILTER (WHERE pos <= 2048)) AS ids_md5
   FROM (SELECT id, tok, ROW_NUMBER() OVER (PARTITION BY id ORDER BY i) AS pos FROM (
     SELECT id, UNNEST(parts) AS tok, GENERATE_SUBSCRIPTS(parts, 1) AS i FROM (
       SELECT id, string_split_regex({_SHORT}, '{_SPACE}') AS parts FROM pairs)) WHERE tok <> '') GROUP BY id"""
@@ -299,7 +310,7 @@ ORACLE["clean_text"] = """SELECT doc_id AS id, CASE WHEN doc_id % 23 = 0 THEN ''
   CASE WHEN doc_id % 29 = 0 THEN '' ELSE lang END AS lang, CASE WHEN doc_id % 31 = 0 THEN NULL ELSE n_chars END AS n_chars FROM documents"""
 _dirty_rest = "is_code_task, winner_model_a, winner_model_b, winner_tie FROM dirty"
 ORACLE["clean_features"] = sql(
-    f"""SELECT id, COALESCE(cluster_id_k20, 0) AS cluster_id_k20, len_p, len_diff,
+    f"""SELECT id, cluster_id_k20, len_p, len_diff,
   ROUND(CASE WHEN len_ratio IS NULL OR ISNAN(len_ratio) OR ISINF(len_ratio) THEN 0.0 ELSE len_ratio END, 6) AS len_ratio, {_dirty_rest}"""
 )
 ORACLE["clean_features_null"] = sql(
@@ -391,6 +402,12 @@ ORACLE["jsonl_roundtrip"] = sql(
   md5(CASE WHEN y = 0 THEN b_text ELSE a_text END) AS rejected_md5 FROM pairs WHERE y <> 2"""
 )
 
+ORACLE["csv_crlf"] = sql("SELECT id, cluster_id_k20, winner_model_a, winner_model_b, winner_tie FROM pred")
+ORACLE["glob_union"] = sql(
+    " UNION ALL ".join(f"SELECT id, ROUND({m}_a, 6) AS pred_a, ROUND({m}_b, 6) AS pred_b, ROUND({m}_tie, 6) AS pred_tie FROM pred" for m in _MODELS)
+)
+ORACLE["optional_sources"] = "SELECT 'm1' AS source, COUNT(*) AS n_rows FROM documents UNION ALL SELECT 'm2', COUNT(*) FROM documents"
+
 # ---------------------------------------------------------------- ensembles
 
 _true_probs = ", ".join(f"CASE y WHEN 0 THEN {m}_a WHEN 1 THEN {m}_b ELSE {m}_tie END AS q{m[1]}" for m in _MODELS)

@@ -15,20 +15,19 @@ from pairwright.schema import RUN_STATE_SCHEMA, string_columns
 log = logging.getLogger(__name__)
 
 #: Doubled quotes and line breaks inside quotes, the way csv writers other than Spark produce them.
-#: A stated line separator also keeps carriage returns inside quoted text as they are.
+#: Every file's own line ends are found from its header, so CRLF and LF files give the same table.
 CSV_OPTIONS = {
     "header": True,
     "multiLine": True,
     "quote": '"',
     "escape": '"',
-    "lineSep": "\n",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
     "maxCharsPerColumn": -1,
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, path_filter: str | None = None) -> DataFrame:
     """A csv table whose quoted text may hold line breaks.
 
     State the schema: inferring it reads the whole input once more. A file with line breaks inside
@@ -36,6 +35,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     :func:`pairwright.sources.writers.write_csv` bounds by rows.
     """
     reader = spark.read.options(**CSV_OPTIONS)
+    if path_filter:
+        reader = reader.option("pathGlobFilter", path_filter)
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
@@ -52,14 +53,19 @@ def read_documents(spark: SparkSession, path: str, schema: StructType | str = RU
 def read_table(
     spark: SparkSession, path: str, schema: StructType | str | None = None, path_filter: str | None = None
 ) -> DataFrame:
-    """Choose the reader by extension; ``path`` may be a glob and ``path_filter`` narrows it by file name."""
+    """Choose the reader by extension; ``path`` may be a glob and ``path_filter`` narrows it by file name.
+
+    ``.jsonl`` files hold an object per line, a ``.json`` file is one document.
+    """
     name = path.rstrip("/").lower()
     if name.endswith((".csv", ".csv.gz")):
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, path_filter)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if path_filter:
         reader = reader.option("pathGlobFilter", path_filter)
-    if name.endswith((".jsonl", ".json", ".jsonl.gz", ".json.gz")):
+    if name.endswith((".json", ".json.gz")):
+        return reader.option("multiLine", True).json(path)
+    if name.endswith((".jsonl", ".jsonl.gz")):
         return reader.json(path)
     if name.endswith((".txt", ".log")):
         return reader.text(path)
@@ -93,16 +99,6 @@ def read_logs(spark: SparkSession, path: str, run_pattern: str = r"([^/]+)\.log$
     return lines.select(F.regexp_extract(F.col("_metadata.file_path"), run_pattern, 1).alias("run"), "value")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when a table comes in far fewer pieces than there are cores.
-
-    A small table is often one file that one task would read and process. Such a table is moved once, by
-    ``key``; one with enough splits, which every large table has, is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def fill_text(df: DataFrame) -> DataFrame:
     """Blank NULL strings; csv does not tell an empty string from a missing one."""
     return df.fillna("", subset=string_columns(df))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pairwright.sources.readers import CSV_OPTIONS
 
 
-def write_csv(df: DataFrame, path: str, max_rows_per_file: int = 50_000) -> str:
+def write_csv(df: DataFrame, path: str, max_rows_per_file: int = 50_000, line_end: str = "\n") -> str:
     """Header, doubled quotes, no index column; files are bounded so that a reader can work in parallel."""
     options = {k: v for k, v in CSV_OPTIONS.items() if k not in ("multiLine", "maxCharsPerColumn")}
-    df.write.options(**options).option("maxRecordsPerFile", max_rows_per_file).csv(path)
+    df.write.options(**options).option("lineSep", line_end).option("maxRecordsPerFile", max_rows_per_file).csv(path)
     return path
 
 

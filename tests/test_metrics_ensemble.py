@@ -30,9 +30,45 @@ def small(spark):
 
 def test_overall_metrics(small):
     row = metrics.model_metrics(small, M).first()
-    # row 4's true class has a usable probability; row 5's has not
-    losses = [-math.log(p) for p in (0.7, 0.4, 0.6, 0.5)]
-    assert row["n"] == 4 and row["log_loss"] == pytest.approx(np.mean(losses))
+    # rows 4 and 5 have a NaN, so they count nowhere
+    losses = [-math.log(p) for p in (0.7, 0.4, 0.6)]
+    assert row["accuracy"] == pytest.approx(2 / 3)
+    assert row["n"] == 3 and row["log_loss"] == pytest.approx(np.mean(losses))
+
+
+@pytest.mark.parametrize("bad", [(1, 0, 0, None, 0.5, 0.5), (1, 0, 0, 0.5, None, 0.5), (1, 0, 0, 0.3, 0.3, float("nan")), (None, None, None, 0.2, 0.2, 0.6), (0, 1, 0, 0.1, float("inf"), 0.1)])
+def test_a_row_with_a_gap_changes_nothing(spark, bad):
+    good = [(k, 0, 3, int(k % 3 == 0), int(k % 3 == 1), int(k % 3 == 2), 0.5, 0.3, 0.2) for k in range(9)]
+    clean, flawed = table(spark, good), table(spark, [*good, (9, None, None, *bad)])
+    for measure in (metrics.model_metrics, metrics.logit_metrics, lambda df, m: ensemble.blend_metrics(df, m, {"m": 1.0})):
+        for one, other in zip(measure(clean, M).orderBy("model").collect(), measure(flawed, M).orderBy("model").collect()):
+            assert one["n"] == other["n"] == 9 and list(one)[2:] == pytest.approx(list(other)[2:])
+    two = {"m": M["m"], "n": M["m"][1:] + M["m"][:1]}
+    one, other = ensemble.fit_blend(clean, two), ensemble.fit_blend(flawed, two)
+    assert one.weights == pytest.approx(other.weights) and one.log_loss == pytest.approx(other.log_loss) and one.converged and other.converged
+    grids = [{tuple(r)[:2]: r["log_loss"] for r in ensemble.ensemble_grid(df, two, 4).collect()} for df in (clean, flawed)]
+    assert grids[0] == pytest.approx(grids[1])
+
+
+def test_rows_without_a_fold_are_reported(small):
+    rows = metrics.fold_metrics(small.withColumn("fold", F.when(F.col("id") > 1, F.lit(None).cast("int")).otherwise(7)), M).collect()
+    assert {(r["fold"], r["n"]) for r in rows} == {(None, 2), (7, 1), *((k, 0) for k in range(5))}
+
+
+def test_an_unfinished_fit_says_so(spark):
+    df = table(spark, [(k, 0, 3, int(k % 3 == 0), int(k % 3 == 1), int(k % 3 == 2), 0.5, 0.3, 0.2) for k in range(9)])
+    two = {"m": M["m"], "n": M["m"][1:] + M["m"][:1]}
+    assert not ensemble.fit_blend(df, two, max_passes=1).converged
+
+
+def test_a_missing_teacher_has_no_loss(spark):
+    schema = "winner_model_a int, winner_model_b int, winner_tie int, a double, b double, t double, teacher_a double, teacher_b double, teacher_tie double"
+    good = (1, 0, 0, 1.0, 0.5, 0.1, 0.6, 0.3, 0.1)
+    one = {r["mode"]: r for r in distill.distill_loss(spark.createDataFrame([good], schema), ("a", "b", "t")).collect()}
+    for gap in (None, float("nan")):
+        bad = spark.createDataFrame([good, (*good[:6], 0.6, gap, 0.4), (None, None, None, *good[3:])], schema)
+        for r in distill.distill_loss(bad, ("a", "b", "t")).collect():
+            assert r["n"] == 1 and r["loss"] == pytest.approx(one[r["mode"]]["loss"]) and r["soft_loss"] == pytest.approx(one[r["mode"]]["soft_loss"])
 
 
 def test_empty_folds_are_reported(small):
@@ -52,8 +88,8 @@ def test_confusion_is_dense(small):
     rows = {(r["true_class"], r["pred_class"]): r for r in metrics.confusion_matrix(small, M).collect()}
     assert len(rows) == 9 and rows[(1, 0)]["n"] == 1 and rows[(0, 2)]["n"] == 0
     report = {r["class"]: r for r in metrics.class_report(small, M).collect()}
-    # a NaN counts as the maximum, so rows 1, 2 and 4 are predicted to be class 0
-    assert report[0]["precision"] == pytest.approx(1 / 3) and report[0]["recall"] == 1.0
+    # rows with a NaN have no class, so rows 1 and 2 are predicted to be class 0
+    assert report[0]["precision"] == pytest.approx(1 / 2) and report[0]["recall"] == 1.0
 
 
 def test_cluster_loss_has_the_overall_line(small):

@@ -44,6 +44,32 @@ def test_csv_keeps_every_character(spark, texts, tmp_path):
     ]
 
 
+def test_csv_line_ends_do_not_matter(spark, texts, tmp_path):
+    plain = texts.filter("NOT coalesce(contains(a, chr(13)), false)")
+    got = []
+    for name, end in (("lf", "\n"), ("crlf", "\r\n")):
+        path = writers.write_csv(plain, str(tmp_path / f"{name}.csv"), line_end=end)
+        got.append(contents(readers.fill_text(readers.read_csv(spark, path, plain.schema)).fillna(-1)))
+    assert got[0] == got[1] and {r[3] for r in got[0]} == {-1, 0, 1, 2}
+
+
+def test_path_filter_holds_for_csv(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("id\n1\n")
+    assert readers.read_table(spark, str(tmp_path / "*.csv"), "id int", path_filter="a.*").count() == 1
+    assert readers.read_table(spark, str(tmp_path / "*.csv"), "id int").count() == 2
+
+
+def test_a_json_file_is_one_document(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{\n "best_model_checkpoint": "checkpoint-3"\n}')
+    assert readers.read_table(spark, str(tmp_path / "x.json"), "best_model_checkpoint string").first()[0] == "checkpoint-3"
+
+
+def test_unknown_clusters_stay_unknown(spark):
+    df = spark.createDataFrame([(None, 1, 0.5), (3, None, None)], "cluster_id_k20 int, n int, x double")
+    assert [tuple(r) for r in cleaning.clean_features(df).collect()] == [(None, 1, 0.5), (3, 0, 0.0)]
+
+
 def test_jsonl_keeps_every_character_and_null(spark, texts, tmp_path):
     path = writers.write_jsonl(texts, str(tmp_path / "t.jsonl"))
     assert '"a":null' in "".join(r[0] for r in spark.read.text(path).collect())
@@ -141,7 +167,7 @@ def test_worst_cases_break_ties_by_key(spark):
     worst = explore.bad_cases(df, 2)
     assert [r["id"] for r in worst.collect()] == [3, 5]
     texts = spark.createDataFrame([(i, "p" * 300) for i in (3, 5, 9)], "id long, prompt_text string")
-    cards = explore.case_cards(explore.attach_text(worst, texts, 2)).collect()
+    cards = explore.case_cards(explore.attach_text(worst, texts)).collect()
     assert len(cards) == 2 and all(c["prompt_head"] == "p" * 200 + "..." and c["winner"] == "A" for c in cards)
 
 
@@ -167,11 +193,12 @@ def test_any_tokenizer_can_be_plugged_in(spark):
     assert got == {1: ([1, 2], 3), 2: ([], 0), 3: ([], 0)}
 
 
-def test_vocabulary_file(spark):
-    vocabularies = pytest.importorskip("public_tokenizers")
+def test_vocabulary_file(spark, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
-    path = vocabularies.path("byte_bpe_50k.json")
-    text = "Evaluate the two responses, please."
+    path, text = str(tmp_path / "words.json"), "Evaluate the two responses, please."
+    words = tokenizers.Tokenizer(tokenizers.models.WordLevel({"[UNK]": 0, "the": 1, "two": 2, "please": 3, ".": 4}, unk_token="[UNK]"))
+    words.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    words.save(path)
     df = spark.createDataFrame([(1, text)], "id long, text string")
     got = preference.tokenize_with(df, preference.vocabulary_encoder(path)).first()["input_ids"]
     assert list(got) == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
@@ -243,12 +270,6 @@ def test_feature_groups(spark):
     }
 
 
-def test_spread_moves_only_small_tables(spark):
-    assert readers.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 8
-    large = spark.range(100, numPartitions=8)
-    assert readers.spread(large, "id") is large
-
-
 def test_curves_count_records_per_epoch(spark):
     lines = spark.createDataFrame([("M_1", "{'loss': 1.0, 'epoch': 1.0}"), ("M_2", "{'loss': 3.0, 'epoch': 1.0}"), ("M_1", "junk")], "run string, value string")
     row = curves.curve_by_type(curves.parse_logs(lines)).first()
