@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import winner_class
-from pairwright.functions.probs import EPS, all_numbers, blend, clip, normalise, pick
+from pairwright.functions.probs import EPS, all_numbers, blend, normalise, pick
 from pairwright.operators.metrics import Models, model_metrics
 from pairwright.schema import WINNERS
 
@@ -54,25 +55,29 @@ def simplex_grid(k: int, steps: int) -> list[tuple[float, ...]]:
 def ensemble_grid(
     df: DataFrame, models: Models, steps: int = 20, winners: Sequence[str] = WINNERS, eps: float = EPS
 ) -> DataFrame:
-    """(w_<model>.., log_loss) for every point of the weight grid.
+    """(w_<model>.., log_loss) for every point of the weight grid; NULL where no row is usable.
 
-    The grid is a literal whose size depends only on ``steps`` and the number of models, and is
-    checked; each task keeps one running mean per grid point, so only grid-sized partial results are shuffled.
+    No row is multiplied: a batch of rows meets all points in one matrix product and leaves one sum per point, and these sums are
+    added up by point. The grid's size depends only on ``steps`` and the number of models.
     """
     names = list(models)
-    size = math.comb(steps + len(names) - 1, len(names) - 1)
-    if size > MAX_GRID_POINTS:
-        raise ValueError(f"{size} grid points; use fewer steps, or fit_blend, whose cost does not depend on a grid")
-    grid = ", ".join(f"struct({', '.join(f'{w}D' for w in ws)})" for ws in simplex_grid(len(names), steps))
-    points = F.expr(f"inline(array({grid}))").alias(*[f"w_{m}" for m in names])
-    probs = true_class_probs(df, models, winners)
-    rows = probs.select(*names, points)
-    mixed = _sum([F.col(f"w_{m}") * F.col(m) for m in names])
-    return rows.groupBy(*[f"w_{m}" for m in names]).agg(F.avg(F.lit(0.0) - F.ln(clip(mixed, eps))).alias("log_loss"))
-
-
-#: A finer grid than this is a job for :func:`fit_blend`.
-MAX_GRID_POINTS = 10_000
+    points = simplex_grid(len(names), steps)
+    weights = np.array(points)
+
+    def sums(batches):
+        for batch in batches:
+            q = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            q = q[:, ~np.isnan(q).any(axis=0)]  # NULL arrives as NaN
+            total = np.zeros(len(weights))
+            for at in range(0, q.shape[1], 1024):
+                total -= np.log(np.clip(weights @ q[:, at : at + 1024], eps, 1.0 - eps)).sum(axis=1)
+            counts = np.full(len(weights), q.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights), dtype=np.int32)), pa.array(total), pa.array(counts)], names=["point", "loss", "n"])
+
+    probs = true_class_probs(df, models, winners).mapInArrow(sums, "point int, loss double, n long")
+    means = probs.groupBy("point").agg((F.sum("loss") / F.nullif(F.sum("n"), F.lit(0))).alias("log_loss"))
+    grid = df.sparkSession.createDataFrame([(i, *map(float, w)) for i, w in enumerate(points)], "point int, " + ", ".join(f"`w_{m}` double" for m in names))
+    return grid.join(means, "point", "left").select(*[f"w_{m}" for m in names], "log_loss")
 
 
 @dataclass(frozen=True)

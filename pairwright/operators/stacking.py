@@ -25,16 +25,22 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import SparkContext, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import winner_class
 from pairwright.functions.numbers import unusable_to_zero
+from pairwright.functions.probs import is_number
 from pairwright.operators.metrics import fold_metrics, mean_of_folds
 from pairwright.schema import CLASSES, FOLD, ID, N_FOLDS, PREDS, WINNERS, categorical_columns, require
 from pairwright.session import new_path
 
 FAMILIES = ("boosted", "forest", "logistic")
+#: Values a category may have; the trees' bins and the index grow with them.
+MAX_CATEGORIES = 10_000
+#: Rounds without a better held-out loss after which boosting is cut.
+PATIENCE = 50
 
 # --- Fixed values: parameters found by earlier searches, and the ranges those searches drew from. ---
 
@@ -94,6 +100,8 @@ class StackTable:
     k: int
     assembly: PipelineModel
     max_bins: int
+    #: rows of the input that belong to none of the folds and so have no model
+    left_out: int = 0
 
     def read(self, spark: SparkSession) -> DataFrame:
         """(key, fold, label, features); assembling is a projection on top of the scan."""
@@ -116,17 +124,35 @@ def build_stack_table(
     Every fit reads this table. Written to the shared folder, it cuts the lineage, survives lost executors, and
     lets a fit skip the files of the folds it does not use. Rows are rebalanced by fold first: Spark sizes the
     files by bytes and splits a large fold over many.
+
+    MLlib's trees know no missing value. A number that is NULL, NaN or infinite becomes 0, and a feature that has such values gets a
+    column ``<feature>__missing`` of 0 and 1, so trees can tell them from a true 0. Rows without a label are kept: no model learns from
+    them, all score them. Rows of no fold in 0..k-1 are counted in ``left_out``. A category may have at most
+    ``MAX_CATEGORIES`` values, which its index holds in memory; more are an error.
     """
     require(df, [key, fold, *features, *winners], "stacking table")
     categories = categorical_columns(features)
     plain = [c for c in features if c not in categories]
-    typed = df.filter(F.col(fold).between(0, k - 1)).select(
+    inside = F.coalesce(F.col(fold).between(0, k - 1), F.lit(False))
+    unusable = {c: ~is_number(c) for c in plain}
+    seen = df.agg(
+        F.count_if(~inside).alias("left_out"),
+        *[F.count_if(u).alias(f"u{i}") for i, u in enumerate(unusable.values())],
+        *[F.approx_count_distinct(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(categories)],
+    ).first()
+    wide = [c for i, c in enumerate(categories) if seen[f"c{i}"] > MAX_CATEGORIES]
+    if wide:
+        raise ValueError(f"{wide} have more than {MAX_CATEGORIES} categories; hash them first")
+    gaps = [c for i, c in enumerate(plain) if seen[f"u{i}"]]
+    features = [*features, *[f"{c}__missing" for c in gaps]]
+    typed = df.filter(inside).select(
         key,
         F.col(fold).cast("int").alias(fold),
         winner_class(winners).cast("double").alias("label"),
         *[F.col(c).cast("string").alias(c) for c in categories],
         *[unusable_to_zero(F.col(c).cast("double")).alias(c) for c in plain],
-    ).filter(F.col("label").isNotNull())
+        *[unusable[c].cast("double").alias(f"{c}__missing") for c in gaps],
+    )
     stages, inputs = [], list(features)
     if categories:
         indexed = [f"{c}__index" for c in categories]
@@ -141,7 +167,7 @@ def build_stack_table(
     typed.hint("rebalance", fold).write.partitionBy(fold).parquet(path)
     assembly = Pipeline(stages=stages).fit(df.sparkSession.read.parquet(path))
     sizes = [len(labels) + 1 for labels in assembly.stages[0].labelsArray] if categories else []
-    return StackTable(path, tuple(features), k, assembly, max([32, *sizes]))
+    return StackTable(path, tuple(features), k, assembly, max([32, *sizes]), seen["left_out"])
 
 
 def fit_fold_models(
@@ -151,24 +177,24 @@ def fit_fold_models(
     params: Mapping[str, object] | None = None,
     seed: int = 42,
     parallelism: int = 4,
-    validation_tol: float = 0.01,
+    patience: int = PATIENCE,
 ) -> dict[int, list[Model]]:
-    """One model per fold (three for ``boosted``), each trained on the other folds.
+    """One model per fold (three for ``boosted``), each trained on the labelled rows of the other folds.
 
-    Boosting stops early on the fold it will predict, as the stacker it replaces did. Independent fits are
-    submitted from a few threads, so the cluster works on several at once.
+    Boosting is cut after the best round on the fold it will predict, looking no further than ``patience`` rounds past it, as the
+    stacker it replaces did; MLlib has no patience, so all rounds are fitted first (:func:`rounds_kept` tells what stayed).
+    Independent fits are submitted from a few threads, so the cluster works on several at once, and share one assembled table in memory.
     """
-    data = table.read(spark)
+    data = table.read(spark).filter(F.col("label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     tasks = [(k, c) for k in range(table.k) for c in (CLASSES if family == "boosted" else (None,))]
 
     def fit(task: tuple[int, int | None]) -> Model:
         k, c = task
         if family == "boosted":
-            rows = data.withColumn("label", (F.col("label") == c).cast("double")).withColumn("_valid", F.col(FOLD) == k)
-            learner = GBTClassifier(
-                seed=seed, maxBins=table.max_bins, validationIndicatorCol="_valid", validationTol=validation_tol
-            )
-            return learner.setParams(**(params or {})).fit(rows)
+            rows = data.withColumn("label", (F.col("label") == c).cast("double"))
+            model = GBTClassifier(seed=seed, maxBins=table.max_bins).setParams(**(params or {})).fit(rows.filter(F.col(FOLD) != k))
+            held = rows.filter(F.col(FOLD) == k)
+            return cut_rounds(model, best_round(model.evaluateEachIteration(held), patience)) if not held.isEmpty() else model
         if family not in FAMILIES:
             raise ValueError(f"family is one of {FAMILIES}")
         rows = data.filter(F.col(FOLD) != k)
@@ -178,14 +204,46 @@ def fit_fold_models(
             learner = LogisticRegression(family="multinomial")
         return learner.setParams(**(params or {})).fit(rows)
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        fitted = list(pool.map(fit, tasks))
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            fitted = list(pool.map(fit, tasks))
+    finally:
+        data.unpersist()
     models: dict[int, list[Model]] = {}
     for (k, _), model in zip(tasks, fitted):
         models.setdefault(k, []).append(model)
     return models
 
 
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """Rounds up to the best one that is reached before ``patience`` rounds bring nothing better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def cut_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model made of its first trees only."""
+    java = model._java_obj
+    trees, weights = list(java.trees())[:rounds], list(java.treeWeights())[:rounds]
+    context = SparkContext._active_spark_context
+    array = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    numbers = context._gateway.new_array(context._jvm.double, len(weights))
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        array[i], numbers[i] = tree, weight
+    short = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), array, numbers, model.numFeatures, model.numClasses)
+    return GBTClassificationModel(java.copyValues(short, java.extractParamMap()) if hasattr(java, "copyValues") else short)
+
+
+def rounds_kept(models: Mapping[int, Sequence[Model]]) -> dict[int, list[int]]:
+    """Trees per fold and class of boosted models."""
+    return {k: [m.getNumTrees for m in of_fold] for k, of_fold in models.items()}
+
+
 def save_models(models: Mapping[int, Sequence[Model]], path: str, parallelism: int = 8) -> str:
     """One folder per fold and model."""
     places = [(model, f"{path}/fold={k}/model={i}") for k, of_fold in models.items() for i, model in enumerate(of_fold)]
@@ -237,7 +295,7 @@ def level2_oof(spark: SparkSession, table: StackTable, path: str, family: str) -
 
 def cv_score(data: DataFrame, models: Mapping[int, Sequence[Model]], k: int) -> float:
     """Unweighted mean of the fold log losses."""
-    predicted = stack_predictions(data, models, keep=("label",))
+    predicted = stack_predictions(data.filter(F.col("label").isNotNull()), models, keep=("label",))
     winners = [F.when(F.col("label") == c, 1).otherwise(0).alias(w) for c, w in zip(CLASSES, WINNERS)]
     labelled = predicted.select(FOLD, *PREDS, *winners)
     return mean_of_folds(fold_metrics(labelled, {"m": PREDS}, k)).first()["mean_log_loss"]
@@ -265,28 +323,54 @@ def search(
     fixed: Mapping[str, object] | None = None,
     parallelism: int = 4,
 ) -> DataFrame:
-    """(trial, parameters, mean_log_loss), best first; one row per trial."""
+    """(trial, parameters, mean_log_loss), best first; one row per trial. ``parallelism`` trials run at the same time."""
     data = table.read(spark)
-    results = []
-    for i, drawn in enumerate(draw_params(space, trials, seed)):
-        params = {**drawn, **(fixed or {})}
-        models = fit_fold_models(spark, table, family, params, seed, parallelism)
-        results.append((i, json.dumps(drawn, sort_keys=True), float(cv_score(data, models, table.k))))
+
+    def trial(task: tuple[int, dict]) -> tuple[int, str, float]:
+        i, drawn = task
+        models = fit_fold_models(spark, table, family, {**drawn, **(fixed or {})}, seed, parallelism)
+        return i, json.dumps(drawn, sort_keys=True), float(cv_score(data, models, table.k))
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        results = list(pool.map(trial, enumerate(draw_params(space, trials, seed))))
     found = spark.createDataFrame(results, "trial int, parameters string, mean_log_loss double")
     return found.orderBy("mean_log_loss", "trial")
 
 
+def best_parameters(found: DataFrame) -> dict:
+    """The parameters of the best trial, ready for :func:`fit_fold_models`."""
+    return json.loads(found.orderBy("mean_log_loss", "trial").first()["parameters"])
+
+
+def slots_of(table: StackTable, spark: SparkSession) -> list[str]:
+    """The feature behind every slot of the assembled vector; an encoded category has several."""
+    assembled = table.read(spark).schema["features"].metadata["ml_attr"]
+    slots = [""] * assembled["num_attrs"]
+    for group in assembled["attrs"].values():
+        for attribute in group:
+            slots[attribute["idx"]] = attribute["name"]
+    inputs = sorted(table.assembly.stages[-1].getInputCols(), key=len, reverse=True)
+    owners = [next(c for c in inputs if name == c or name.startswith(c + "_")) for name in slots]
+    return [o.removesuffix("__hot").removesuffix("__index") for o in owners]
+
+
 def importances(spark: SparkSession, models: Mapping[int, Sequence[Model]], features: Sequence[str], missing: str = "zero") -> DataFrame:
     """(fold, feature, importance) of tree models; the three models of a boosted fold are averaged.
 
-    ``missing='skip'`` leaves out features a model never splits on; ``'zero'`` reports them as 0.
+    ``features`` names the feature of every slot of the vector: the table's features, or :func:`slots_of` a table with one-hot
+    categories, whose slots are summed. ``missing='skip'`` leaves out features a model never splits on; ``'zero'`` reports them as 0.
     """
     if missing not in ("zero", "skip"):
         raise ValueError("missing is 'zero' or 'skip'")
     rows = []
     for k, of_fold in models.items():
-        for i, name in enumerate(features):
-            value = sum(float(m.featureImportances[i]) for m in of_fold) / len(of_fold)
+        if any(m.numFeatures != len(features) for m in of_fold):
+            raise ValueError(f"{len(features)} names for {of_fold[0].numFeatures} slots; see slots_of")
+        total = dict.fromkeys(features, 0.0)
+        for m in of_fold:
+            for i, x in enumerate(m.featureImportances.toArray()):
+                total[features[i]] += float(x) / len(of_fold)
+        for name, value in total.items():
             if value > 0 or missing == "zero":
                 rows.append((k, name, value))
     return spark.createDataFrame(rows, "fold int, feature string, importance double")

@@ -107,13 +107,16 @@ def pair_measures(spark: SparkSession, sf_dir: str, measures: Mapping[str, Colum
     return with_outcomes(together.filter(f"_roles = {len(SIDES)}").drop("_roles"))
 
 
-def pairs(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, head: int | None = None) -> DataFrame:
     """Pairs with their three texts.
 
     Each text is moved once per role, to the key of the pair it serves, so both joins use one distribution.
-    ``only``, a few keys, cuts every side down before the joins; it is broadcast.
+    ``only``, a few keys, cuts every side down before the joins; it is broadcast. ``head`` cuts every text to its first characters where
+    it is read, for uses that show no more.
     """
     docs = table(spark, sf_dir, "documents")
+    if head is not None:
+        docs = docs.withColumn("text", F.substring("text", 1, head))
     n, key = _count(docs), F.col("doc_id")
     prompt, *responses = TEXTS
 

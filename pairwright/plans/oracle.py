@@ -493,3 +493,6 @@ ORACLE["oof_score"] = sql(
     + ", ".join(f"ROUND({e}, 6) AS pred_{s}" for e, s in zip(_linear, _SIDES))
     + f" FROM (SELECT id, fold, {', '.join(f'{_logit(c)} AS l{c}' for c in range(3))} FROM folds)"
 )
+# Contracts of learned predictions: values cannot be had from SQL, what must hold can.
+ORACLE["stack_oof_contract"] = """SELECT UNNEST(['leafwise', 'depthwise']) AS variant, n AS n_rows, n AS n_ids, CAST(0 AS BIGINT) AS n_missing,
+  n AS n_sum_one, TRUE AS better_than_guess FROM (SELECT COUNT(*) AS n FROM documents)"""

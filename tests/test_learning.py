@@ -77,10 +77,49 @@ def test_search_ranks_its_trials(spark, table):
     assert stacking.draw_params(stacking.SEARCH_SPACES["leafwise"], 4) == stacking.draw_params(stacking.SEARCH_SPACES["leafwise"], 4)
 
 
+def test_patience_cuts_after_the_best_round():
+    assert stacking.best_round([5, 4, 3, 3.5, 3.6, 2], 2) == 3
+    assert stacking.best_round([5, 4, 3, 3.5, 3.6, 2], 3) == 6
+    assert stacking.best_round([1.0], 50) == 1
+
+
+def test_cut_models_equal_shorter_fits(spark, table):
+    long = stacking.fit_fold_models(spark, table, "boosted", {"maxIter": 6, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 1.0})
+    model = long[0][0]
+    short = stacking.cut_rounds(model, 2)
+    assert short.getNumTrees == 2 and short.numFeatures == model.numFeatures
+    rows = table.read(spark)
+    losses = [m.evaluateEachIteration(rows.withColumn("label", (F.col("label") == 0).cast("double"))) for m in (model, short)]
+    assert losses[1] == pytest.approx(losses[0][:2])
+    assert all(1 <= n <= 6 for kept in stacking.rounds_kept(long).values() for n in kept)
+
+
+def test_rows_without_label_or_fold(spark, labelled):
+    odd = labelled.withColumns({w: F.when(F.col("id") != 7, F.col(w)) for w in WINNERS})
+    odd = odd.withColumn("fold", F.when(F.col("id") == 8, 9).when(F.col("id") != 9, F.col("fold")))
+    table = stacking.build_stack_table(odd, ["x", "noise"])
+    models = stacking.fit_fold_models(spark, table, "logistic", {"maxIter": 3})
+    ids = {r["id"] for r in stacking.stack_predictions(table.read(spark), models).collect()}
+    assert table.left_out == 2 and ids == set(range(400)) - {8, 9}
+    assert table.features == ("x", "noise", "x__missing")
+
+
+def test_one_hot_importances_are_summed(spark, labelled):
+    data = labelled.withColumn("constant", F.lit(1.0))
+    table = stacking.build_stack_table(data, ["cluster_id_k20", "constant", "x"], one_hot=True)
+    slots = stacking.slots_of(table, spark)
+    assert slots.count("cluster_id_k20") > 1 and slots.count("x") == 1
+    models = stacking.fit_fold_models(spark, table, "forest", {"numTrees": 5})
+    mean = {r["feature"]: r["importance"] for r in stacking.mean_importance(stacking.importances(spark, models, slots)).collect()}
+    assert mean["constant"] == 0 and mean["cluster_id_k20"] > 0.3 and sum(mean.values()) == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        stacking.importances(spark, models, table.features)
+
+
 def test_importances(spark, table):
     models = stacking.fit_fold_models(spark, table, "forest", {"numTrees": 5})
     every = stacking.importances(spark, models, table.features)
-    assert every.count() == 15
+    assert every.count() == 20  # with the indicator of missing x
     top = [r["feature"] for r in stacking.top_features(stacking.mean_importance(every), 2).collect()]
     assert "noise" not in top
     with pytest.raises(ValueError):

@@ -180,9 +180,3 @@ def test_distillation_loss_by_hand(spark):
         assert rows[mode]["hard_loss"] == pytest.approx(hard)
         assert rows[mode]["soft_loss"] == pytest.approx(soft)
         assert rows[mode]["loss"] == pytest.approx(0.5 * hard + 0.5 * soft)
-
-
-def test_grid_size_is_checked(spark):
-    df, models = random_models(spark, 5, 3)
-    with pytest.raises(ValueError):
-        ensemble.ensemble_grid(df, models, 1000)
