@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.labels import ColumnOrName
 from pairwright.functions.text import blank, token_count
-from pairwright.schema import ID, TEXTS, require
+from pairwright.schema import ID, TEXTS, columns_like, require
 
 # --- Fixed values: words and patterns of the style flags, valid as Java regular expressions and in RE2. ---
 
@@ -116,8 +116,8 @@ def pair_features(pairs: DataFrame, keep: Sequence[str] = (ID,), texts: Sequence
 def token_cosine(texts: Sequence[ColumnOrName] = TEXTS[1:]) -> Column:
     """Cosine of the token-count vectors of the two responses; 0 when one of them has no tokens.
 
-    A pair is compared inside its row, in Arrow batches. Exploding tokens and grouping them again would
-    shuffle every token of every pair to reach the same number.
+    The pairs of an Arrow batch are compared together by array operations. Exploding tokens and grouping them again would shuffle
+    every token of every pair to reach the same number.
     """
     a, b = (blank(t) for t in texts)
     return _count_cosine()(a, b)
@@ -126,42 +126,45 @@ def token_cosine(texts: Sequence[ColumnOrName] = TEXTS[1:]) -> Column:
 def _count_cosine():
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        import math
-        import re
-        from collections import Counter
+        import numpy as np
 
-        tokens = re.compile("[^ \t\n\r\f]+").findall
+        def tokens(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+            each = texts.reset_index(drop=True).str.findall("[^ \t\n\r\f]+").explode().dropna()
+            return each.index.to_numpy(), each.to_numpy()
 
-        def of_pair(left: str, right: str) -> float:
-            x, y = Counter(tokens(left)), Counter(tokens(right))
-            if not x or not y:
-                return 0.0
-            small, large = (x, y) if len(x) < len(y) else (y, x)
-            dot = sum(n * large[t] for t, n in small.items() if t in large)
-            norms = math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))
-            return dot / norms
+        (row_a, token_a), (row_b, token_b) = tokens(a), tokens(b)
+        codes = pd.factorize(np.concatenate([token_a, token_b]))[0].astype(np.int64)
+        width = int(codes.max(initial=0)) + 1
+        left, n_left = np.unique(row_a * width + codes[: len(token_a)], return_counts=True)
+        right, n_right = np.unique(row_b * width + codes[len(token_a) :], return_counts=True)
+        both, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
 
-        return pd.Series([of_pair(left, right) for left, right in zip(a, b)], dtype="float64")
+        def per_row(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+            return np.bincount(keys // width, weights=values, minlength=len(a))
+
+        dot = per_row(both, n_left[i] * n_right[j])
+        norms = np.sqrt(per_row(left, n_left * n_left)) * np.sqrt(per_row(right, n_right * n_right))
+        return pd.Series(np.divide(dot, norms, out=np.zeros(len(a)), where=norms > 0))
 
     return cosine
 
 
+# Names of the report groups, of their members and of the parts members' names hold.
+LENGTHS = ("len_p", "len_a", "len_b", "len_diff", "len_ratio", "expansion_a", "expansion_b", "expansion_diff")
+STYLES = (
+    "cosine_sim", "sentiment_gap", "read_diff", "has_emoji_a", "has_emoji_b", "is_polite_a", "is_polite_b",
+    "has_disclaimer_a", "has_disclaimer_b", "is_refusal_a", "is_refusal_b",
+)
+FORMAT_PART, TOPIC_PARTS, PRODUCT_PART = "has_", ("cluster_id", "is_code_task"), "_x_"
+
+
 def feature_groups(df: DataFrame) -> dict[str, list[str]]:
-    """Report groups of a feature table, each limited to the columns that exist."""
-    # Names of the report groups and their members.
-    groups: Mapping[str, list[str]] = {
-        "Length & Ratio": ["len_p", "len_a", "len_b", "len_diff", "len_ratio", "expansion_a", "expansion_b", "expansion_diff"],
-        "Formatting": [
-            c
-            for c in df.columns
-            if "has_" in c and c not in ("has_emoji_a", "has_emoji_b", "has_disclaimer_a", "has_disclaimer_b")
-        ],
-        "Style & Semantic": [
-            "cosine_sim", "sentiment_gap", "read_diff", "has_emoji_a", "has_emoji_b", "is_polite_a", "is_polite_b",
-            "has_disclaimer_a", "has_disclaimer_b", "is_refusal_a", "is_refusal_b",
-        ],
-        "Topic & Task": [c for c in df.columns if "cluster_id" in c or "is_code_task" in c],
-        "Interaction": [c for c in df.columns if "_x_" in c],
-    }
-    existing = {name: [c for c in columns if c in df.columns] for name, columns in groups.items()}
-    return {name: columns for name, columns in existing.items() if columns}
+    """Report groups of a feature table, each limited to the columns that exist; groups without one are left out."""
+    groups = {
+        "Length & Ratio": [c for c in LENGTHS if c in df.columns],
+        "Formatting": columns_like(df, contains=(FORMAT_PART,), exclude=STYLES),
+        "Style & Semantic": [c for c in STYLES if c in df.columns],
+        "Topic & Task": columns_like(df, contains=TOPIC_PARTS),
+        "Interaction": columns_like(df, contains=(PRODUCT_PART,)),
+    }
+    return {name: columns for name, columns in groups.items() if columns}
