@@ -119,7 +119,7 @@ def leaves(nodes: DataFrame, threshold: float, n_runs: int, limit: int, depth: i
         done = leaf if done is None else done.unionByName(leaf)
         if not last:
             big = here.where(F.col("n") > limit).select("bucket", "node").join(nodes.select("node", "signature"), "node")
-            level = written(_children(big, None, chance), "paths")
+            level = written(_children(big, None, chance), "paths", narrow=True)
     return done
 
 
@@ -229,13 +229,13 @@ def jaccard_classes(
     """
     sketch = written(sketches(docs, id_column, text, words), "sketches")
     nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
-    nodes = written(nodes, "sets")
-    leaf = written(leaves(nodes, threshold, n_runs, limit, depth), "leaves")
+    nodes = written(nodes, "sets", narrow=True)
+    leaf = written(leaves(nodes, threshold, n_runs, limit, depth), "leaves", narrow=True)
     lists = memberships(leaf)
     met = blocks(leaf).join(nodes.select("node", "signature").join(lists, "node"), "node")
     margin = 4 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
     least = int(np.ceil((threshold - margin) * COORDINATES))
-    alike = written(grouped(met).mapInArrow(_alike(least), "group_id bigint, side int, bucket bigint, node bigint"), "alike")
+    alike = written(grouped(met).mapInArrow(_alike(least), "group_id bigint, side int, bucket bigint, node bigint"), "alike", narrow=True)
 
     wanted = alike.select("node").distinct().join(nodes.select("node", "rep", "copies"), "node").withColumnRenamed("node", "of")
     whole = docs.select(F.col(f"`{id_column}`").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep")
@@ -250,7 +250,7 @@ def jaccard_classes(
 
     sets = map_texts(whole, "text", make, StructType.fromDDL("node bigint, shingles binary"), ("of", "copies")).where("node = of")
     judged = alike.join(sets.select("node", "copies", "shingles").join(lists, "node"), "node")
-    links = written(grouped(judged).mapInArrow(_exact(threshold), "node bigint, links bigint, root bigint"), "links")
+    links = written(grouped(judged).mapInArrow(_exact(threshold), "node bigint, links bigint, root bigint"), "links", narrow=True)
 
     component = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends and loops are ignored.
     """
     pair = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m"))
-    now = written(pair.distinct(), "components")
+    now = written(pair.distinct(), "components", narrow=True)
     state = _state(now)
     while True:
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mine = large.groupBy("v").agg(F.min("m").alias("low")).withColumnRenamed("v", "v2")
         hooked = large.join(mine, large["v"] == mine["v2"])
         small = hooked.select("v", F.col("low").alias("m")).unionByName(hooked.where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m")))
-        then = written(small.distinct(), "components")
+        then = written(small.distinct(), "components", narrow=True)
         new = _state(then)
         dropped(now)
         now = then

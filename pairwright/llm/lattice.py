@@ -169,10 +169,10 @@ def near_duplicates(
     nodes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = written(nodes, "vectors")
     members = sized(nodes.select("node", "v").mapInArrow(_hashed(tables, n_blocks, probes, scale), "bucket bigint, node bigint").distinct())
-    members = written(members, "cells")
+    members = written(members, "cells", narrow=True)
     payload = nodes.select("node", "copies", "v").join(memberships(members), "node")
     met = grouped(blocks(members).join(payload, "node"))
-    links = written(met.mapInArrow(_verified(threshold), "node bigint, links bigint, root bigint"), "cosines")
+    links = written(met.mapInArrow(_verified(threshold), "node bigint, links bigint, root bigint"), "cosines", narrow=True)
     component = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     state = nodes.select("v", "node", "copies").join(counted, "node", "left").join(component, "node", "left")

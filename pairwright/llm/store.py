@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.session import new_path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The table, computed once and kept below ``spark.checkpoint.dir``; a lost executor costs nothing that was written."""
-    path = new_path(df.sparkSession, label)
+def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """The table, computed once and kept below ``spark.checkpoint.dir``; a lost executor costs nothing that was written.
+
+    ``narrow`` is for tables of a few numbers per row that come out of a shuffle: neighbouring partitions are written together, an eighth
+    of the shuffle partitions or four per core at least, because such a table would be more files than data.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    if narrow:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch at most; the operators lower the session's setting to this.
+BATCH_ROWS = 2000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -52,14 +54,26 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
-    """One 64-bit hash per span of bytes."""
-    power, inverse = _power_tables(len(buf) + 1)
+def byte_sums(buf: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """Running sums from which the hash of every span follows."""
+    power, _ = _power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * power[: len(buf)], out=sums[1:])
+    terms = values[buf]
+    terms *= power[: len(buf)]
+    np.cumsum(terms, out=sums[1:])
+    return sums
+
+
+def hashes_from(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit hash per span of bytes."""
+    _, inverse = _power_tables(len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    return hashes_from(byte_sums(buf, values), starts, ends)
+
+
 def per_text(marked: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """How many marked bytes each text has."""
     sums = np.zeros(len(marked) + 1, np.int64)
@@ -119,6 +133,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small: with Spark's 10,000 rows, buffers on both sides would hold tens of MB each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 Compute = Callable[[np.ndarray, np.ndarray], Sequence[pa.Array | np.ndarray]]
 
 
@@ -130,6 +151,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Compute], fields: Str
     """
     names = {f.name for f in fields}
     keep = [c for c in keep if c not in names]
+    small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text__"))
     schema = StructType([f for f in source.schema if f.name != "__text__"] + list(fields))
     types = pa.schema(_arrow_fields(fields))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairwright.llm.store import written
-from pairwright.llm.texts import LOWER_VALUE, map_texts, per_text, span_hashes, word_spans
+from pairwright.llm.texts import LOWER_VALUE, byte_sums, hashes_from, map_texts, per_text, word_spans
 
 SAMPLE_ROWS = 8000
 CANDIDATES = 20_000
@@ -39,11 +39,11 @@ def pattern_counts(buf: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None
     """``(text number, pattern, count)``: how many words of a text have each beginning, for ``wanted`` patterns (sorted) or all."""
     starts, ends, first = word_spans(buf, offs)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    docs, patterns = [], []
+    docs, patterns, sums = [], [], byte_sums(buf, LOWER_VALUE)
     for n in BEGINNINGS:
         some = np.flatnonzero(ends - starts >= n)
         a = starts[some]
-        h = span_hashes(buf, a, a + n if n else ends[some], LOWER_VALUE) ^ np.uint64(n)
+        h = hashes_from(sums, a, a + n if n else ends[some]) ^ np.uint64(n)
         d = doc[some]
         if wanted is not None:
             h, d = _only(h, d, wanted)
