@@ -1,10 +1,14 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-The gear hash of a place depends on the 32 bytes before it. A place is a candidate when the top bits of the hash are zero, and a cut when no
-other candidate lies in the ``least`` bytes before it, so cuts depend on nearby bytes only: an insertion moves the
-cuts around it and no others, and a passage is cut alike wherever it stands. Chunks longer than ``most`` are cut every ``most`` bytes
-from their start. Chunks are compared by 128-bit digests over the whole corpus; those of the document with the smallest id stay; chunks repeated inside one document only are none of this operator's. Adjacent repeated chunks form a run, and runs of at least ``run_bytes`` are repeated passages; shorter
-runs are ordinary phrases and stay. Text that repeats one short unit for long has no cuts, or one in every unit, and is
+The gear hash of a place depends on the 32 bytes before it. A cut is the place with the smallest hash of any ``window`` places in a row,
+so cuts depend on nearby bytes only: an insertion moves the cuts around it and no others, a passage is cut alike wherever it stands, and no
+``window`` places of ordinary text are without a cut. A smallest hash that occurs twice is no cut. Chunks longer than ``most`` are cut every
+``most`` bytes from their start.
+
+A chunk is compared by a 128-bit digest of its bytes and the ``LEAD`` bytes before them, which decide its first cut and so are part of every
+passage that the chunk is cut alike in. Chunks are compared over the whole corpus; those of the document with the smallest id stay; chunks repeated inside one document only are none of this operator's.
+Adjacent repeated chunks form a run, and runs that make at least ``run_bytes`` with the bytes before them are repeated passages; shorter
+runs are ordinary phrases and stay. A passage of ``run_bytes + 2 * window - 2`` bytes (190) always holds such a run. Text that repeats one short unit for long has no cuts, or one in every unit, and is
 matched only where whole chunks agree.
 
 Counts per digest combine before their shuffle, and the join back to the documents is an ordinary one, whose skewed side Spark splits, so a line
@@ -21,10 +25,12 @@ from pyspark.sql.types import StructType
 
 from pairwright.llm.texts import BYTE_VALUE, map_texts, mix, span_hashes
 
-BITS = 4
-LEAST = 16
+#: Places of which the one with the smallest hash is a cut; a power of two.
+WINDOW = 64
+#: Bytes before a chunk that count as part of it: those its first gear hash is made of.
+LEAD = 32
 MOST = 1024
-RUN_BYTES = 96
+RUN_BYTES = 64
 
 _GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _SECOND = mix(BYTE_VALUE ^ np.uint64(0x5851F42D4C957F2D))
@@ -42,16 +48,36 @@ def gear_hashes(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_starts(buf: np.ndarray, offs: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> np.ndarray:
+def _sliding(values: np.ndarray, window: int, best: np.ufunc) -> np.ndarray:
+    """Best of the ``window`` values from each place on; as many places fewer."""
+    step = 1
+    while step < window:
+        values = best(values[:-step], values[step:])
+        step *= 2
+    return values
+
+
+def chunk_starts(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, most: int = MOST) -> np.ndarray:
     """Byte positions where chunks begin; every text begins one."""
+    if window < 1 or window & (window - 1):
+        raise ValueError("window is a power of two")
     if not len(buf):
         return np.zeros(0, np.int64)
-    places = np.flatnonzero(gear_hashes(buf) >> np.uint32(32 - bits) == 0) + 1
-    doc = np.searchsorted(offs, places, "right") - 1
-    deep = places - offs[doc] >= 32  # the window lies inside the text
-    places = places[deep & (places < len(buf))]
-    lone = np.concatenate([[True], np.diff(places) > least]) if len(places) else np.zeros(0, bool)
-    cuts = np.union1d(places[lone], offs[:-1][np.diff(offs) > 0])
+    places = np.zeros(0, np.int64)
+    first, behind = offs[:-1] + LEAD - 1, offs[1:] - window + 1  # windows of a text whose hashes see that text only
+    some = first < behind
+    if some.any():
+        hashes = gear_hashes(buf)
+        edges = np.zeros(len(buf) + 1, np.int8)
+        edges[first[some]], edges[behind[some]] = 1, -1
+        low = _sliding(hashes, window, np.minimum)
+        low[np.cumsum(edges[: len(low)], dtype=np.int8) == 0] = 0
+        none = np.zeros(window - 1, np.uint32)
+        held = _sliding(np.concatenate([none, low, none]), window, np.maximum)  # the best window that holds a place
+        at = np.flatnonzero((held == hashes) & (hashes > 0))
+        same = (np.diff(at) < window) & (hashes[at[1:]] == hashes[at[:-1]])
+        places = at[~(np.append(same, False) | np.append(False, same))] + 1 if len(at) else at
+    cuts = np.union1d(places[places < len(buf)], offs[:-1][np.diff(offs) > 0])
     ends = np.append(cuts[1:], len(buf))
     extra = (ends - cuts - 1) // most
     if extra.any():
@@ -63,12 +89,13 @@ def chunk_starts(buf: np.ndarray, offs: np.ndarray, bits: int = BITS, least: int
 CHUNK = "hi bigint, lo bigint, start int, size int"
 
 
-def _chunked(bits: int, least: int, most: int):
+def _chunked(window: int, most: int):
     def compute(buf, offs):
-        starts = chunk_starts(buf, offs, bits, least, most)
+        starts = chunk_starts(buf, offs, window, most)
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         doc = np.searchsorted(offs, starts, "right") - 1
-        hi, lo = (span_hashes(buf, starts, ends, values).view(np.int64) for values in (BYTE_VALUE, _SECOND))
+        begins = np.maximum(starts - LEAD, offs[doc])
+        hi, lo = (span_hashes(buf, begins, ends, values).view(np.int64) for values in (BYTE_VALUE, _SECOND))
         flat = pa.StructArray.from_arrays(
             [pa.array(hi), pa.array(lo), pa.array((starts - offs[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))],
             names=["hi", "lo", "start", "size"],
@@ -79,10 +106,10 @@ def _chunked(bits: int, least: int, most: int):
     return compute
 
 
-def chunks_of(docs: DataFrame, id_column: str, text: str, bits: int, least: int, most: int) -> DataFrame:
-    """``(doc_id, chunks)``: digest, place and size in bytes of all chunks of a text."""
+def chunks_of(docs: DataFrame, id_column: str, text: str, window: int, most: int) -> DataFrame:
+    """``(doc_id, chunks)``: digest with the bytes before, place and size in bytes of all chunks of a text."""
     inner = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return map_texts(inner, "text", lambda: _chunked(bits, least, most), StructType.fromDDL(f"chunks array<struct<{CHUNK}>>"), ("doc_id",))
+    return map_texts(inner, "text", lambda: _chunked(window, most), StructType.fromDDL(f"chunks array<struct<{CHUNK}>>"), ("doc_id",))
 
 
 def repeated_passages(
@@ -90,8 +117,7 @@ def repeated_passages(
     *,
     id_column: str = "doc_id",
     text: str = "text",
-    bits: int = BITS,
-    least: int = LEAST,
+    window: int = WINDOW,
     most: int = MOST,
     run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
@@ -101,7 +127,7 @@ def repeated_passages(
     A null or empty text has no chunks. Rows that repeat an id count as one document with all their chunks; rows without an
     id are left out of the comparison and have nothing to remove. Extra columns are not read.
     """
-    all_chunks = chunks_of(docs, id_column, text, bits, least, most)
+    all_chunks = chunks_of(docs, id_column, text, window, most)
     flat = all_chunks.where("doc_id IS NOT NULL").select("doc_id", F.inline("chunks"))
     known = flat.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
     known = known.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first_doc")
@@ -120,11 +146,12 @@ def repeated_passages(
 
 
 def _passages(run_bytes: int):
-    """Runs of adjacent repeated chunks of each document, and those of chunks that another document has first."""
+    """Runs of adjacent repeated chunks of each document with the bytes before them, and those of chunks that another document has first."""
 
     def runs_of(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         out: list[tuple[int, int, int]] = []
         for a, b in places:
+            a = max(a - LEAD, 0)
             if out and out[-1][1] >= a:
                 out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2] + 1)
             else:

@@ -251,6 +251,33 @@ def test_repeated_passages(spark):
     assert chunking.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_of_little_over_50_words_are_found(spark):
+    rnd = random.Random(11)
+    line = lambda n, most: " ".join("".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(2, most))) for _ in range(n))
+    passages = [line(rnd.randint(51, 60), (4, 5, 8)[k % 3]) for k in range(600)]
+    rows = [(1000 * copy + k, f"{line(rnd.randint(5, 40), 8)} {p} {line(rnd.randint(5, 40), 8)}") for k, p in enumerate(passages) for copy in range(2)]
+    got = {r.doc_id: r for r in chunking.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    for k, p in enumerate(passages):
+        one, two = got[k], got[1000 + k]
+        assert one.n_shared > 0 and one.n_removed == 0 and two.n_removed > 0
+        assert all(texts[1000 + k][s.start : s.end] in texts[k] for s in two.removed)
+    assert sum(r.removed_bytes for r in got.values()) > 0.8 * sum(map(len, passages))
+
+
+def test_cuts_see_one_text_only():
+    rnd = np.random.default_rng(4)
+    texts = [rnd.integers(97, 123, n).astype(np.uint8) for n in (0, 20, 95, 96, 3000, 1, 500)] + [np.full(5000, 97, np.uint8)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    starts = chunking.chunk_starts(np.concatenate(texts), offs)
+    alone = [chunking.chunk_starts(t, np.array([0, len(t)])) + a for t, a in zip(texts, offs)]
+    assert starts.tolist() == np.concatenate(alone).tolist()
+    assert np.diff(alone[4]).max() <= 95 and len(alone[7]) == 5
+    hashes = chunking.gear_hashes(texts[4])
+    slow = {int(np.argmin(hashes[j : j + 64])) + j + 1 for j in range(31, 3000 - 63)}
+    assert set((alone[4] - offs[4]).tolist()) == slow - {3000} | {0}
+
+
 def test_cut_text_stays_valid():
     data = "aéé😀b".encode()
     for a in range(len(data) + 1):
