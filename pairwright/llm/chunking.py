@@ -6,7 +6,8 @@ so cuts depend on nearby bytes only: an insertion moves the cuts around it and n
 ``most`` bytes from their start.
 
 A chunk is compared by a 128-bit digest of its bytes and the ``LEAD`` bytes before them, which decide its first cut and so are part of every
-passage that the chunk is cut alike in. Chunks are compared over the whole corpus; those of the document with the smallest id stay; chunks repeated inside one document only are none of this operator's.
+passage that the chunk is cut alike in. Chunks are compared over the whole corpus; those of the document with the smallest id stay. Chunks that a text
+itself holds before are reported apart, whether or not another document has them, so that the comparison of documents does not depend on them.
 Adjacent repeated chunks form a run, and runs that make at least ``run_bytes`` with the bytes before them are repeated passages; shorter
 runs are ordinary phrases and stay. A passage of ``run_bytes + 2 * window - 2`` bytes (190) always holds such a run. Text that repeats one short unit for long has no cuts, or one in every unit, and is
 matched only where whole chunks agree.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pairwright.llm.texts import BYTE_VALUE, map_texts, mix, span_hashes
+from pairwright.llm.texts import BYTE_VALUE, chunks, list_array, map_texts, mix, span_hashes
 
 #: Places of which the one with the smallest hash is a cut; a power of two.
 WINDOW = 64
@@ -89,23 +90,58 @@ def chunk_starts(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, most:
 CHUNK = "hi bigint, lo bigint, start int, size int"
 
 
+def _digests(buf, offs, window: int, most: int) -> tuple[np.ndarray, ...]:
+    """Of every chunk: text number, start, end, where its compared bytes begin, and both halves of its digest."""
+    starts = chunk_starts(buf, offs, window, most)
+    ends = np.append(starts[1:], len(buf)) if len(starts) else starts
+    doc = np.searchsorted(offs, starts, "right") - 1
+    begins = np.maximum(starts - LEAD, offs[doc])
+    hi, lo = (span_hashes(buf, begins, ends, values).view(np.int64) for values in (BYTE_VALUE, _SECOND))
+    return doc, starts, ends, begins, hi, lo
+
+
 def _chunked(window: int, most: int):
     def compute(buf, offs):
-        starts = chunk_starts(buf, offs, window, most)
-        ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-        doc = np.searchsorted(offs, starts, "right") - 1
-        begins = np.maximum(starts - LEAD, offs[doc])
-        hi, lo = (span_hashes(buf, begins, ends, values).view(np.int64) for values in (BYTE_VALUE, _SECOND))
+        doc, starts, ends, _, hi, lo = _digests(buf, offs, window, most)
         flat = pa.StructArray.from_arrays(
             [pa.array(hi), pa.array(lo), pa.array((starts - offs[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))],
             names=["hi", "lo", "start", "size"],
         )
-        counts = np.bincount(doc, minlength=len(offs) - 1)
-        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)]
+        return [list_array(flat, np.bincount(doc, minlength=len(offs) - 1))]
 
     return compute
 
 
+INNER = "n_bytes bigint, n_chunks bigint, n_inner bigint, inner_bytes bigint, inner array<struct<start int, end int>>"
+
+
+def _inner(window: int, most: int, run_bytes: int):
+    def compute(buf, offs):
+        n = len(offs) - 1
+        doc, _, ends, begins, hi, lo = _digests(buf, offs, window, most)
+        n_chunks = np.bincount(doc, minlength=n)
+        order = np.lexsort((lo, hi, doc))  # stable: equal chunks of a text stay in their order
+        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (doc, hi, lo)])
+        later = np.sort(order[1:][same])
+        doc, ends, begins = doc[later], ends[later], begins[later]
+        opens = np.flatnonzero(np.append(True, (begins[1:] > ends[:-1]) | (doc[1:] != doc[:-1]))) if len(later) else later
+        closes = np.append(opens[1:], len(later))[: len(opens)]
+        long = ends[closes - 1] - begins[opens] >= run_bytes
+        opens, closes = opens[long], closes[long]
+        of, a, b = doc[opens], begins[opens], ends[closes - 1]
+        spans = pa.StructArray.from_arrays([pa.array((x - offs[of]).astype(np.int32)) for x in (a, b)], names=["start", "end"])
+        sums = [np.bincount(of, weights=x, minlength=n).astype(np.int64) for x in (closes - opens, b - a)]
+        return [np.diff(offs), n_chunks, *sums, list_array(spans, np.bincount(of, minlength=n))]
+
+    return compute
+
+
+def inner_passages(docs: DataFrame, text: str, window: int, most: int, run_bytes: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` with ``n_bytes, n_chunks`` and the passages that the row's own text holds before: ``n_inner`` chunks,
+    ``inner_bytes`` and ``inner``, an array of ``(start, end)`` in bytes. The first copy in a text is none of them."""
+    return map_texts(docs, text, lambda: _inner(window, most, run_bytes), StructType.fromDDL(INNER), keep)
+
+
 def chunks_of(docs: DataFrame, id_column: str, text: str, window: int, most: int) -> DataFrame:
     """``(doc_id, chunks)``: digest with the bytes before, place and size in bytes of all chunks of a text."""
     inner = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -122,7 +158,8 @@ def repeated_passages(
     run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_chunks, n_shared`` (chunks in passages that occur elsewhere as well), ``n_removed`` (chunks in
-    passages whose first occurrence is elsewhere), ``shared_bytes, removed_bytes`` and ``removed``, an array of ``(start, end)`` in bytes.
+    passages whose first occurrence is elsewhere), ``shared_bytes, removed_bytes`` and ``removed``, an array of ``(start, end)`` in bytes;
+    then ``n_inner, inner_bytes`` and ``inner`` likewise for later copies of passages inside the text of a row itself. A place may be in both arrays.
 
     A null or empty text has no chunks. Rows that repeat an id count as one document with all their chunks; rows without an
     id are left out of the comparison and have nothing to remove. Extra columns are not read.
@@ -137,12 +174,18 @@ def repeated_passages(
     fields = StructType.fromDDL("doc_id bigint, n_shared bigint, n_removed bigint, shared_bytes bigint, removed_bytes bigint, removed array<struct<start int, end int>>")
     fields.fields[0].dataType = docs.schema[id_column].dataType
     judged = found.mapInArrow(_passages(run_bytes), fields)
-    sizes = all_chunks.groupBy("doc_id").agg(
-        F.sum(F.aggregate("chunks", F.lit(0).cast("bigint"), lambda s, c: s + c["size"])).alias("n_bytes"), F.sum(F.size("chunks")).cast("bigint").alias("n_chunks")
+    own_texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    inner = inner_passages(own_texts, "text", window, most, run_bytes, ("doc_id",))
+    named = F.col("doc_id").isNotNull()
+    sizes = inner.groupBy("doc_id").agg(
+        F.sum("n_bytes").alias("n_bytes"),
+        F.sum("n_chunks").alias("n_chunks"),
+        *[F.sum(F.when(named, F.col(c)).otherwise(0)).alias(c) for c in ("n_inner", "inner_bytes")],
+        F.array_sort(F.flatten(F.collect_list(F.when(named & (F.size("inner") > 0), F.col("inner"))))).alias("inner"),
     )
     joined = sizes.join(judged.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_shared", "n_removed", "shared_bytes", "removed_bytes")]
-    return joined.select("doc_id", "n_bytes", "n_chunks", *counts, F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
+    return joined.select("doc_id", "n_bytes", "n_chunks", *counts, F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"), "n_inner", "inner_bytes", "inner")
 
 
 def _passages(run_bytes: int):
@@ -175,17 +218,22 @@ def _passages(run_bytes: int):
 
 
 def without_passages(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with later occurrences of repeated passages cut out of ``text``; a null text stays null.
+    """The documents with later occurrences of repeated passages, of other documents and of their own, cut out of ``text``; a null text stays null.
 
-    A cut inside a character of several bytes moves to that character's end, so what is left is valid text.
+    Later copies inside a text are cut row by row, also where rows repeat an id. A cut inside a character of several bytes moves to that character's end, so what is left is valid text.
     """
     found = repeated_passages(docs, id_column=id_column, text=text, **options).where(F.size("removed") > 0)
     joined = docs.join(found.select(F.col("doc_id").alias("__d__"), F.col("removed").alias("__cut__")), F.col(f"`{id_column}`") == F.col("__d__"), "left")
-    at = docs.columns.index(text)
+    at, named = docs.columns.index(text), docs.columns.index(id_column)
+    sizes = [options.get(name, usual) for name, usual in (("window", WINDOW), ("most", MOST), ("run_bytes", RUN_BYTES))]
 
     def run(batches):
+        compute = _inner(*sizes)
         for batch in batches:
-            texts = [x if not cut or x is None else _cut(x.encode(), cut) for x, cut in zip(batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist())]
+            own = [spans for _, _, buf, offs in chunks(batch.column(at)) for spans in compute(buf, offs)[-1].to_pylist()]
+            rows = zip(batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist(), own, batch.column(named).is_valid().to_pylist())
+            cuts = [(x, sorted((cut or []) + inner, key=lambda s: s["start"]) if x is not None and known else []) for x, cut, inner, known in rows]
+            texts = [_cut(x.encode(), cut) if cut else x for x, cut in cuts]
             columns = [pa.array(texts, batch.column(k).type) if k == at else batch.column(k) for k in range(len(batch.columns) - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 

@@ -92,9 +92,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of every document, and the places of those that stand elsewhere first."""
+    """Repeated passages of every document, the places of those that stand elsewhere first, and of later copies inside the document."""
     found = chunking.repeated_passages(read(spark, sf_dir, "documents"))
-    return found.withColumn("removed", chunking.spans_text(F.col("removed")))
+    return found.withColumns({c: chunking.spans_text(F.col(c)) for c in ("removed", "inner")})
 
 
 @query

@@ -265,6 +265,23 @@ def test_passages_of_little_over_50_words_are_found(spark):
     assert sum(r.removed_bytes for r in got.values()) > 0.8 * sum(map(len, passages))
 
 
+def test_passages_repeated_inside_a_document(spark):
+    rnd = random.Random(12)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    once, both = line(60) + " ", line(60) + " "
+    long = line(30) + " " + "".join(f"{once}{line(5)} " for _ in range(1000))
+    rows = [(1, long), (2, f"{line(20)} {both}{line(20)} {both}{line(20)}"), (3, f"{line(25)} {both}{line(20)}"), (4, line(200)), (None, long), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in chunking.repeated_passages(docs).collect()}
+    assert (got[1].n_shared, got[1].n_removed) == (0, 0) and got[1].n_inner >= 999 and got[1].inner_bytes > 0.8 * 999 * len(once)
+    assert got[1].inner_bytes == sum(s.end - s.start for s in got[1].inner) and got[1].inner[0].start >= len(once)
+    assert got[2].n_removed == 0 and len(got[2].inner) == 1 and got[2].inner_bytes > 64
+    assert got[3].n_removed > 0 and all((got[k].n_inner, got[k].inner) == (0, []) for k in (3, 4, 5, None))
+    texts = {r.doc_id: r.text for r in chunking.without_passages(docs).collect()}
+    assert once in texts[1] and len(texts[1]) < 0.3 * len(long) and texts[None] == long
+    assert texts[2].count(both) == 1 and both not in texts[3] and texts[4] == rows[3][1] and texts[5] is None
+
+
 def test_cuts_see_one_text_only():
     rnd = np.random.default_rng(4)
     texts = [rnd.integers(97, 123, n).astype(np.uint8) for n in (0, 20, 95, 96, 3000, 1, 500)] + [np.full(5000, 97, np.uint8)]
