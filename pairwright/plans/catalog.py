@@ -518,8 +518,11 @@ def _log_files(spark: SparkSession, sf_dir: str) -> str:
 
 # ---------------------------------------------------------------- learning
 
-#: Boosting rounds of the registered stacking query.
-STACK_ROUNDS = 2
+#: Boosting rounds of the registered stacking queries, and trials in each space of the registered search. The whole job has 1,000 rounds,
+#: at which the patience of 50 acts, and 50 trials a space: all of them are arguments of the queries, and the README has seconds.
+STACK_ROUNDS, CONTRACT_ROUNDS, IMPORTANCE_ROUNDS, SEARCH_ROUNDS = 2, 1, 10, 2
+SEARCH_TRIALS = 3
+SEARCHED = ("leafwise", "depthwise")
 SCORER_INPUTS = ("m1_a", "m1_b", "m2_a")
 
 
@@ -539,8 +542,8 @@ def oof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stack_table(spark: SparkSession, sf_dir: str) -> stacking.StackTable:
-    """Length features, the task flag, the cluster and two models' probabilities, with folds by target."""
-    stored = writers.write_parquet(inputs.dirty_features(spark, sf_dir), new_path(spark, "features"))
+    """The features derived from the texts, the cluster and two models' probabilities, with folds by target."""
+    stored = writers.write_parquet(inputs.pair_features(spark, sf_dir), new_path(spark, "features"))
     clean = cleaning.clean_features(readers.read_table(spark, stored), policy="null")
     known = inputs.predictions(spark, sf_dir)
     assigned = folds.assign_folds(known.select(ID, *WINNERS), folds.stratum_by_target()).select(ID, FOLD)
@@ -550,13 +553,12 @@ def _stack_table(spark: SparkSession, sf_dir: str) -> stacking.StackTable:
 
 
 @query
-def stack_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stack_oof(spark: SparkSession, sf_dir: str, rounds: int = STACK_ROUNDS) -> DataFrame:
     """Both boosting presets with their own depth and step size: fit per fold, save, load, score the held-out fold.
 
-    ``STACK_ROUNDS`` rounds each instead of a preset's 1,000: one round of the 30 fits takes some 4 s on eight cores whatever the
-    data size, so the full run is a matter of hours there.
+    A preset's own ``rounds`` are 1,000; as registered, it is short (see ``STACK_ROUNDS``).
     """
-    return rounded(alignment.tagged_union(_level2(spark, sf_dir, STACK_ROUNDS), "variant"))
+    return rounded(alignment.tagged_union(_level2(spark, sf_dir, rounds), "variant"))
 
 
 def _level2(spark: SparkSession, sf_dir: str, rounds: int) -> dict[str, DataFrame]:
@@ -570,11 +572,14 @@ def _level2(spark: SparkSession, sf_dir: str, rounds: int) -> dict[str, DataFram
 
 
 @query
-def stack_oof_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What level-2 predictions of each preset must hold: every row once, probabilities that sum to 1, a loss no worse than a guess."""
+def stack_oof_contract(spark: SparkSession, sf_dir: str, rounds: int = CONTRACT_ROUNDS) -> DataFrame:
+    """What level-2 predictions of each preset must hold: every row once, probabilities that sum to 1, a loss no worse than a guess.
+
+    As registered after ``CONTRACT_ROUNDS`` rounds: the contract does not depend on them.
+    """
     known = inputs.predictions(spark, sf_dir)
     checks = {}
-    for preset, oof in _level2(spark, sf_dir, 1).items():
+    for preset, oof in _level2(spark, sf_dir, rounds).items():
         joined = alignment.backfill(known.select(ID, *WINNERS), oof, list(PREDS))
         total = F.col("pred_a") + F.col("pred_b") + F.col("pred_tie")
         loss = one_hot_loss(PREDS)
@@ -589,18 +594,30 @@ def stack_oof_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def tune_stacker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A short random search over the forest's parameters."""
+def tune_stacker(spark: SparkSession, sf_dir: str, trials: int = SEARCH_TRIALS, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+    """Random search over both boosted spaces, the best trial of each first.
+
+    The whole job has 50 ``trials`` of at most 1,000 ``rounds`` in each space; as registered, it is short (see ``STACK_ROUNDS``), so
+    its best parameters are those of few trials.
+    """
     table = _stack_table(spark, sf_dir)
-    found = stacking.search(
-        spark, table, "forest", stacking.SEARCH_SPACES["forest"], trials=3, fixed={"numTrees": 5}, parallelism=8
-    )
-    return rounded(found)
+    found = {
+        name: stacking.search(
+            spark, table, "boosted", stacking.SEARCH_SPACES[name], trials=trials, fixed={"maxIter": rounds}, parallelism=8
+        )
+        for name in SEARCHED
+    }
+    return rounded(alignment.tagged_union(found, "space")).orderBy("space", "mean_log_loss", "trial")
 
 
 @query
-def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_importance(spark: SparkSession, sf_dir: str, rounds: int = IMPORTANCE_ROUNDS) -> DataFrame:
+    """The ten features of the largest mean gain in the leafwise preset's fold models.
+
+    A preset's own ``rounds`` are 1,000; as registered, it is short (see ``STACK_ROUNDS``).
+    """
     table = _stack_table(spark, sf_dir)
-    models = stacking.fit_fold_models(spark, table, "forest", {"numTrees": 10, "maxDepth": 4}, parallelism=8)
+    params = {**stacking.BOOST_PRESETS["leafwise"], "maxIter": rounds}
+    models = stacking.fit_fold_models(spark, table, "boosted", params, parallelism=8)
     per_fold = stacking.importances(spark, models, stacking.slots_of(table, spark))
     return rounded(stacking.top_features(stacking.mean_importance(per_fold)))
