@@ -8,13 +8,14 @@ of at most ``limit`` nodes are compared by brute force; larger ones are split ag
 large then (copies that no token can part) is compared block by block. Two sets above the threshold share a child with probability of
 at least 1 - 1/e per split; ``runs`` independent runs bring the recall to the target.
 
-Candidates are compared by their coordinates first, with a margin of four standard errors, and then exactly, by whole sets.
+Candidates are compared by their coordinates first, with a margin that drops a pair at the threshold with a chance below ``FILTER_LOSS``, and then exactly, by whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ COORDINATES = 64
 RUNS = 16
 LIMIT = 64
 DEPTH = 3
+#: Chance of a pair at the threshold to be thrown away by its coordinates. All runs share them, so no other run brings it back.
+FILTER_LOSS = 1e-7
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,6 +213,16 @@ def _exact(threshold: float):
     return run
 
 
+def least_alike(threshold: float, loss: float = FILTER_LOSS) -> int:
+    """The most coordinates that may be asked to agree so that a pair at the threshold agrees in fewer with a chance of at most ``loss``."""
+    fewer = 0.0
+    for k in range(COORDINATES + 1):
+        fewer += comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        if fewer > loss:
+            return k
+    return COORDINATES
+
+
 def jaccard_classes(
     docs: DataFrame,
     *,
@@ -233,9 +246,7 @@ def jaccard_classes(
     leaf = written(leaves(nodes, threshold, n_runs, limit, depth), "leaves", narrow=True)
     lists = memberships(leaf)
     met = blocks(leaf).join(nodes.select("node", "signature").join(lists, "node"), "node")
-    margin = 4 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
-    least = int(np.ceil((threshold - margin) * COORDINATES))
-    alike = written(grouped(met).mapInArrow(_alike(least), "group_id bigint, side int, bucket bigint, node bigint"), "alike", narrow=True)
+    alike = written(grouped(met).mapInArrow(_alike(least_alike(threshold)), "group_id bigint, side int, bucket bigint, node bigint"), "alike", narrow=True)
 
     wanted = alike.select("node").distinct().join(nodes.select("node", "rep", "copies"), "node").withColumnRenamed("node", "of")
     whole = docs.select(F.col(f"`{id_column}`").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep")

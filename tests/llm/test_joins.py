@@ -1,6 +1,7 @@
 """Chosen-path join, lattice hashing, components and decontamination against brute force."""
 
 import itertools
+import math
 import random
 import re
 
@@ -105,6 +106,35 @@ def test_one_document_of_each_class_stays(spark, texts):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
 
+def test_coordinates_throw_away_no_pair_at_the_threshold():
+    n, least = chosen_path.COORDINATES, chosen_path.least_alike(0.8)
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) <= 1e-7
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least + 1)) > 1e-7
+
+
+def test_recall_on_a_large_group_of_near_copies(spark):
+    """1,200 different texts around the threshold, with the number of runs and the limit that queries use."""
+    rnd = np.random.default_rng(8)
+    n_words, n_texts = 904, 1200
+    base = [f"w{k}" for k in range(n_words)]
+    rows, same = [], np.ones((n_texts, n_words - 4), np.int32)
+    for d in range(n_texts):
+        text = list(base)
+        for at in rnd.choice(n_words, rnd.integers(8, 12), replace=False):
+            text[at] = f"x{d}y{at}"  # a word of its own
+            same[d, max(0, at - 4) : at + 1] = 0
+        rows.append((d, " ".join(text)))
+    both = same @ same.T
+    linked = both >= 0.8 * (2 * (n_words - 4) - both) - 1e-9
+    want = linked.sum(axis=1) - 1
+    got = np.zeros(n_texts, np.int64)
+    for r in chosen_path.jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect():
+        got[r.doc_id] = r.n_links
+    print("pairs", want.sum() // 2, "missed", (want - got).sum() // 2)
+    assert 200_000 < want.sum() // 2 < 700_000 and (got <= want).all()
+    assert (want - got).sum() <= 1e-3 * want.sum()
+
+
 def test_jaccard_of_no_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert chosen_path.jaccard_classes(none).count() == 0 and chosen_path.one_per_class(none).count() == 0
