@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-Candidates are runs of token characters that hold a digit. Each has the narrowest class its characters fit (hex
+Candidates are runs of token characters. Each has the narrowest class its characters fit (hex, letters, which is all without a digit,
 or base64) and is read through a window of fixed length whose character counts change by one in and one out per step. Windows whose
-entropy reaches the threshold of the class join to spans. Strings on the allow-list and spans inside a found pattern are not added.
+entropy reaches the threshold of the class join to spans. Windows that overlap a part on the allow-list and spans inside a found
+pattern are not added.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -28,15 +30,15 @@ VALUE_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 
 WINDOW = 20
 #: Bits per character that a window must reach, by class.
-THRESHOLDS = {"hex": 3.0, "base64": 3.8}
-#: Candidates that hold one of these are no secrets: UUIDs, placeholders, runs up the alphabet, integrity and media prefixes.
+THRESHOLDS = {"hex": 3.0, "base64": 3.8, "letters": 3.8}
+#: Parts of candidates that are no secrets: UUIDs, placeholders, runs up the alphabet, integrity digests of their length, media prefixes.
 ALLOWED = tuple(
     re.compile(p)
     for p in (
         rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
         rb"(?i:example|placeholder|changeme|dummy|xxxx)",
         rb"(?i:0123456789|abcdefghij)",
-        rb"(?i:sha(?:256|384|512)-|base64)",
+        rb"(?i:sha256-[a-z0-9+/]{43}=?|sha384-[a-z0-9+/]{64}|sha512-[a-z0-9+/]{86}={0,2}|sha(?:256|384|512)-|base64)",
     )
 )
 _TERM = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
@@ -54,12 +56,19 @@ _CANDIDATE = _members(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 _HEX_ANY = frozenset(b"0123456789abcdefABCDEF")
 
 
-def high_entropy(candidate: bytes, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int]]:
-    """The parts of a candidate whose windows reach the threshold of its class."""
+def high_entropy(candidate: bytes, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS, kind: str = "base64") -> list[tuple[int, int]]:
+    """The parts of a candidate whose windows reach the threshold of its class, which is ``kind`` unless it is hex.
+
+    No window overlaps a part on the allow-list; the rest of the candidate is read as usual.
+    """
     n = len(candidate)
-    kind = "hex" if _HEX_ANY.issuperset(candidate) else "base64"
-    if n < window or any(p.search(candidate) for p in ALLOWED) or (kind == "hex" and candidate.isdigit()):
+    kind = "hex" if _HEX_ANY.issuperset(candidate) else kind
+    if n < window or (kind == "hex" and candidate.isdigit()):
         return []
+    after = [0] * n  # end of the last allowed part that begins at a place or before it
+    for a, b in [m.span() for p in ALLOWED for m in p.finditer(candidate)]:
+        after[a] = max(after[a], b)
+    after = list(accumulate(after, max))
     counts, total = [0] * 256, 0.0
     limit = window * (log2(window) - thresholds[kind])
     spans: list[tuple[int, int]] = []
@@ -69,7 +78,7 @@ def high_entropy(candidate: bytes, window: int = WINDOW, thresholds: dict[str, f
         counts[c] += 1
         if k + 1 >= window:
             start = k + 1 - window
-            if total <= limit + 1e-9:
+            if total <= limit + 1e-9 and after[k] <= start:
                 if spans and start <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], k + 1)
                 else:
@@ -110,8 +119,8 @@ def find_spans(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, i
     starts, ends = starts[long], ends[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
     some = digits[ends] > digits[starts]
-    for a, b in zip(starts[some].tolist(), ends[some].tolist()):
-        for x, y in high_entropy(raw[a:b]):
+    for a, b, digit in zip(starts.tolist(), ends.tolist(), some.tolist()):
+        for x, y in high_entropy(raw[a:b], kind="base64" if digit else "letters"):
             d = doc_of(a)
             if not any(s <= a + x and a + y <= e for s, e in base.get(d, ())):
                 found.append((d, a + x, 3, a + y))

@@ -204,6 +204,25 @@ def test_entropy_windows_equal_a_plain_count():
     assert secret_scan.high_entropy(b"123e4567-e89b-12d3-a456-426614174000") == []
 
 
+def test_allowed_parts_and_missing_digits_hide_no_secret():
+    rnd = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secret = "".join(rnd.choice(letters + "0123456789") for _ in range(40))
+
+    def spans(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [(a, b) for _, a, kind, b in secret_scan.find_spans(raw, np.array([0, len(raw)])) if kind == 3]
+
+    for text in (f"EXAMPLE_KEY={secret}", f"{secret}xxxx{secret}", f"sha256-{secret[:20]}/{secret[:22]}={secret}"):
+        covered = {k for a, b in spans(text) for k in range(a, b)}
+        at = text.rindex(secret)
+        assert len(covered & set(range(at, at + 40))) >= 30
+        assert not covered & {k for p in secret_scan.ALLOWED for m in p.finditer(text.encode()) for k in range(*m.span())}
+    assert spans(f"sha256-{secret}abc= sha512-") == []
+    assert spans("".join(rnd.sample(letters, 30))) == [(0, 30)]
+    assert spans("internationalization-and-localization getting_started/installation") == []
+
+
 def test_secrets_are_masked(spark):
     docs = spark.createDataFrame([(1, "é token = 'abcdefghijkl' end", 27), (2, "clean", 5), (3, None, None), (4, "", 0)], "doc_id bigint, text string, n_chars bigint")
     left = secret_scan.redacted(docs)
