@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pairwright.llm.store import dropped, written
 from pairwright.llm.texts import chunks, list_array, map_texts, word_hashes
 
 WINDOW = 10
@@ -142,14 +143,19 @@ def shard_matches(probe: Probe, words: np.ndarray, first: np.ndarray) -> tuple[n
     return doc[place], place - first[doc[place]], q, size
 
 
-def benchmark_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in blocks of about ``block_bytes``. Items without an id or without a text are none."""
-    items = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+def benchmark_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
+    """How many blocks of about ``block_bytes`` the benchmark has, and the blocks, each collected when it is asked for. Items without a text
+    are none; those without an id are items whose name is null."""
+    items = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield sorted((r["i"], r["t"]) for r in part.distinct().collect())
+
+    def blocks():
+        for k in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+            yield sorted(((r["i"], r["t"]) for r in part.distinct().collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+
+    return n, blocks()
 
 
 @functools.lru_cache(maxsize=2)
@@ -173,11 +179,14 @@ def benchmark_matches(
 
     A match is a longest run of equal words, of at least ``window`` words or of the whole item if that has fewer. Null and empty texts
     have no words and no matches; repeated rows and ids give a row each; a benchmark without words matches nothing; kept columns named
-    like a result column give way to it.
+    like a result column give way to it. Matches of an item without an id have a null ``item_id``.
+
+    A benchmark of several blocks takes a pass over the documents for each: one block at a time is collected and sent, and its matches are
+    written with the columns still needed before the next.
     """
     spark = docs.sparkSession
     out, columns = docs, list(dict.fromkeys(keep))
-    blocks = list(benchmark_blocks(items, item_id, item_text, block_bytes))
+    n_blocks, blocks = benchmark_blocks(items, item_id, item_text, block_bytes)
     for k, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast(tuple(block))
 
@@ -196,15 +205,17 @@ def benchmark_matches(
 
             return compute
 
-        last = k == len(blocks) - 1
-        fields = StructType.fromDDL(f"n_words bigint, matches array<struct<{MATCH}>>" if k == 0 and last else f"__n__ bigint, __m{k}__ array<struct<{MATCH}>>")
-        passing = columns if last else list(dict.fromkeys([*columns, text]))
-        out = map_texts(out, text, make, fields, passing + [f"__m{j}__" for j in range(k)])
-    if len(blocks) > 1:
-        parts = [f"__m{j}__" for j in range(len(blocks))]
-        kept = [F.col(f"`{c}`") for c in columns if c not in ("n_words", "matches")]
-        out = out.select(*kept, F.col("__n__").alias("n_words"), F.array_sort(F.concat(*parts)).alias("matches"))
-    return out
+        if n_blocks == 1:
+            return map_texts(out, text, make, StructType.fromDDL(f"n_words bigint, matches array<struct<{MATCH}>>"), columns)
+        earlier, before = out, ["__m__"] if k else []
+        passing = columns if k == n_blocks - 1 else list(dict.fromkeys([*columns, text]))
+        out = map_texts(out, text, make, StructType.fromDDL(f"__n__ bigint, __new__ array<struct<{MATCH}>>"), passing + before)
+        out = written(out.withColumn("__m__", F.concat(*before, "__new__")).drop("__new__"), "matches")
+        sent.unpersist()
+        if k:
+            dropped(earlier)
+    kept = [F.col(f"`{c}`") for c in columns if c not in ("n_words", "matches")]
+    return out.select(*kept, F.col("__n__").alias("n_words"), F.array_sort("__m__").alias("matches"))
 
 
 def hit_words(matches: Column) -> Column:

@@ -239,3 +239,33 @@ def test_contaminated_documents_go(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 2, 3]
     assert suffixes.without_contaminated(docs, bench.limit(0)).count() == 4
     assert suffixes.without_contaminated(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_items_without_an_id_are_hits(spark, block_bytes):
+    text = " ".join(f"w{k}" for k in range(40))
+    items = [(None, text)] + [(f"i{k}", " ".join(f"v{k}x{j}" for j in range(30))) for k in range(9)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"a b {text} c"), (2, f"b {items[3][1]}"), (3, "plain"), (None, text), (4, None)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in suffixes.benchmark_matches(docs, bench, block_bytes=block_bytes).collect()}
+    assert [tuple(m) for m in found[1].matches] == [(None, 0, 2, 40)] and [m.item_id for m in found[2].matches] == ["i2"]
+    assert len(found) == 5 and found[3].matches == found[4].matches == [] and found[4].n_words == 0 and len(found[None].matches) == 1
+    left = suffixes.without_contaminated(docs, bench, block_bytes=block_bytes)
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4]
+
+
+def test_one_block_of_the_benchmark_at_a_time(spark, monkeypatch):
+    bench = spark.createDataFrame([(f"i{k}", " ".join(f"v{k}x{j}" for j in range(30))) for k in range(20)], "item_id string, text string")
+    n, blocks = suffixes.benchmark_blocks(bench, "item_id", "text", 500)
+    events = []
+
+    def told():
+        for block in blocks:
+            events.append("block")
+            yield block
+
+    keep = suffixes.written
+    monkeypatch.setattr(suffixes, "benchmark_blocks", lambda *rest: (n, told()))
+    monkeypatch.setattr(suffixes, "written", lambda *rest: events.append("written") or keep(*rest))
+    suffixes.benchmark_matches(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), bench, block_bytes=500)
+    assert n > 3 and events == ["block", "written"] * n
