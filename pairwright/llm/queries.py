@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, chat, chosen_path, chunking, langid, lattice, piece_counts, secret_scan, suffixes, toxicity
+from pairwright.llm import bpe, chat, chosen_path, chunking, id_files, langid, lattice, phrases, piece_counts, prefix_trie, secret_scan, suffixes, toxicity
+from pairwright.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,3 +126,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.listed(spans).alias("spans"),
         count("entropy").alias("n_entropy"),
     )
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    whole = prefix_trie.paths(read(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie.trie(prefix_trie.rebuilt(whole))
+    found = nodes.join(prefix_trie.ends_digests(ends), "node", "left")
+    return found.drop("node").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+
+
+@query
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, read back from frequency-ranked variable-length files."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = id_files.stored_tokens(id_files.tokens(read(spark, sf_dir, "documents"), path, end=2))
+    place = id_files.write_ids(table, new_path(spark, "id-files"), id_files.width(path))
+    return id_files.read_ids(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
