@@ -7,7 +7,8 @@ Survivors are those whose count and all that was taken off reach the threshold t
 
 A round reads only phrases whose shorter parts survived the round before. Survivors travel as a bit per hash in a filter of fixed size:
 it lets some others through and never stops a survivor. When survivors outgrow the filter, it stops fewer phrases and more of them are shuffled;
-results stay the same. The second pass counts the phrases that pass the filter by their words, not by their hashes.
+results stay the same. The second pass counts the phrases that pass the filter by their words, not by their hashes, in the
+same way: sums of tasks, added up in hash partitions that hold no more than their own phrases.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,21 +138,47 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(plain(lang, "und").alias("lang"), plain(text, "").alias("text"))
 
 
+def _dealt(rows: DataFrame, parts: int, *order: str) -> DataFrame:
+    """Rows of a hash partition behind each other in one task."""
+    return rows.repartition(parts, "part").sortWithinPartitions("part", *order)
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for some in np.split(order, cuts):
+        if len(some):
+            yield int(part[some[0]]), some
+
+
 def _round(texts: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray], threshold: int, parts: int, filter_bits: int) -> np.ndarray:
-    """The filter of the phrases of these lengths that survive their hash partition's summary."""
+    """The filter of the phrases of these lengths that survive their hash partition's summary.
+
+    A task sends each partition a first row with the mass it has for it, and its sums as binaries: 48 bits of each hash (equal ones only add
+    survivors) and a count. First rows sort before all others, so that the capacity is known when the first sums arrive.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(filters)
     modulo = np.uint64(parts)
+    fields = "part int, sums int, mass bigint, grams binary, counts binary"
+    names = ["part", "sums", "mass", "grams", "counts"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
 
+        def combined() -> tuple[np.ndarray, np.ndarray]:
+            found = np.concatenate([held[0], *waiting])
+            ones = np.ones(len(found) - len(held[0]), np.int64)
+            return _summed(found, np.concatenate([held[1], ones]))
+
         def rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            part = ((keys >> np.uint64(32)) % modulo).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            for lo in range(0, len(keys), 1 << 16):
-                some = order[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["part", "gram", "n"])
+            made = []
+            for part, some in _by_part(((keys >> np.uint64(32)) % modulo).astype(np.int64)):
+                n = counts[some]
+                short = np.ascontiguousarray(keys[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                made += [(part, 0, int(n.sum()), None, None), (part, 1, None, short.tobytes(), n.astype("<u4").tobytes())]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
 
         for batch in batches:
             langs = _lang_hashes(batch.column(0))
@@ -160,20 +188,14 @@ def _round(texts: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray],
                         waiting.append(hashes[ok])
                         n += len(waiting[-1])
                 if n >= GATHERED:
-                    found = np.concatenate(waiting)
-                    held = _summed(np.concatenate([held[0], found]), np.concatenate([held[1], np.ones(len(found), np.int64)]))
-                    waiting, n = [], 0
+                    held, waiting, n = combined(), [], 0
                     if len(held[0]) >= GATHERED:
                         yield from rows(*held)
                         held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        found = np.concatenate([np.zeros(0, np.uint64), *waiting])
-        yield from rows(*_summed(np.concatenate([held[0], found]), np.concatenate([held[1], np.ones(len(found), np.int64)])))
-
-    table = written(texts.mapInArrow(sums, "part int, gram bigint, n bigint"), "phrase-sums")
-    masses = {r["part"]: r["mass"] for r in table.groupBy("part").agg(F.sum("n").alias("mass")).collect()}  # a row per hash partition
+        yield from rows(*combined())
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, summary, keys, counts, n = -1, None, [], [], 0
+        at, mass, summary, keys, counts, n = -1, 0, None, [], [], 0
 
         def flush() -> None:
             nonlocal keys, counts, n
@@ -189,26 +211,29 @@ def _round(texts: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray],
                     yield pa.RecordBatch.from_arrays([pa.array(found[lo : lo + (1 << 16)].view(np.int64))], names=["gram"])
 
         for batch in batches:
-            part, gram, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if part[a] != at:
+            for part, body, more, grams, count in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
                     yield from done()
-                    at, summary = int(part[a]), Summary(masses[int(part[a])] // threshold + 1)
-                keys.append(gram[a:b].view(np.uint64))
-                counts.append(count[a:b])
-                n += b - a
+                    at, mass, summary = part, 0, None
+                if not body:
+                    mass += more
+                    continue
+                summary = summary or Summary(mass // threshold + 1)
+                whole = np.zeros((len(grams) // 6, 8), np.uint8)
+                whole[:, :6] = np.frombuffer(grams, np.uint8).reshape(-1, 6)
+                keys.append(whole.view("<u8").reshape(-1))
+                counts.append(np.frombuffer(count, "<u4").astype(np.int64))
+                n += len(counts[-1])
                 if n >= max(1 << 17, summary.capacity):
                     flush()
         yield from done()
 
-    dealt = table.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = _dealt(texts.mapInArrow(sums, fields), parts, "sums")
     word = F.shiftrightunsigned(F.col("gram").bitwiseAND(F.lit((1 << filter_bits) - 1)), 6)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("gram").bitwiseAND(F.lit(63)).cast("int"))
     ored = dealt.mapInArrow(survivors, "gram bigint").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(1 << (filter_bits - 6), np.int64)
     bits[ored.column("word").to_numpy()] = ored.column("bits").to_numpy()
-    shared.unpersist()
     return bits.view(np.uint8)
 
 
@@ -234,19 +259,24 @@ def phrase_counts(
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
         names: list[tuple[str, str, int]] = []
-        counts = np.zeros(0, np.int64)
-        names_schema = ["lang", "phrase", "words", "n"]
+        counts, total = np.zeros(0, np.int64), {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            if names:
-                langs, phrases, words = zip(*names)
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(phrases), pa.array(words, pa.int32()), pa.array(counts)], names=names_schema)
+            every = [*names, *((lang, "", 0) for lang in total)]
+            n = np.concatenate([counts[: len(names)], np.fromiter(total.values(), np.int64, len(total))])
+            part = np.array([xxhash.xxh32_intdigest(f"{lang}\n{phrase}") % parts for lang, phrase, _ in every], np.int64)
+            made = []
+            for k, some in _by_part(part):
+                langs, phrases, words = zip(*[every[i] for i in some.tolist()])
+                made.append((k, langs, phrases, words, n[some].tolist()))
+            if made:
+                kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], names=["part", "langs", "phrases", "words", "ns"])
 
         for batch in batches:
             column = batch.column(0)
             langs = _lang_hashes(column)
             label = column.to_pylist()
-            total: dict[str, int] = {}
             for lo, hi, buf, offs in chunks(batch.column(1), CHUNK):
                 found = Phrases(buf, offs, langs[lo:hi])
                 owner = np.repeat(np.arange(lo, hi), found.per_text)
@@ -269,16 +299,30 @@ def phrase_counts(
                         counts = np.concatenate([counts, np.zeros(max(len(names) - len(counts), len(counts)), np.int64)])
                     counts[slots] += n
                 if len(names) >= GATHERED // 8:
-                    counts = counts[: len(names)]
                     yield from rows()
-                    known, names, counts = {}, [], np.zeros(0, np.int64)
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([""] * len(total)), pa.array([0] * len(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=names_schema)
-        counts = counts[: len(names)]
+                    known, names, counts, total = {}, [], np.zeros(0, np.int64), {}
         yield from rows()
 
-    counted = texts.mapInArrow(exact, StructType.fromDDL("lang string, phrase string, words int, n bigint"))
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= threshold))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = -1, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held is not None:
+                yield from held.filter((pc.field("words") == 0) | (pc.field("n") >= threshold)).to_batches()
+
+        for batch in batches:
+            for k, part in enumerate(batch.column(0).to_pylist()):
+                lists = [batch.column(i).slice(k, 1).flatten() for i in range(1, 5)]
+                more = pa.table(lists, names=["lang", "phrase", "words", "n"])
+                if part != at:
+                    yield from done()
+                    at, held = part, None
+                both = more if held is None else pa.concat_tables([held, more])
+                held = both.group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")]).rename_columns(more.column_names)
+        yield from done()
+
+    sent = texts.mapInArrow(exact, "part int, langs array<string>, phrases array<string>, words array<int>, ns array<bigint>")
+    return _dealt(sent, parts).mapInArrow(total, StructType.fromDDL("lang string, phrase string, words int, n bigint"))
 
 
 def collocations(
