@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,6 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_LETTERS = re.compile(rb"[A-Za-z]+")
 
 
 class WordEncoder:
@@ -67,21 +65,22 @@ class WordEncoder:
 
     def words_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words behind each other, and how many each has."""
-        plain = [k for k, w in enumerate(words) if _LETTERS.fullmatch(w)]
-        other = [k for k, w in enumerate(words) if not _LETTERS.fullmatch(w)]
+        texts = [w.decode() for w in words]
+        plain = [k for k, w in enumerate(texts) if w.isalpha()]
+        other = [k for k, w in enumerate(texts) if not w.isalpha()]
         found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
         for lo in range(0, len(plain), 500):  # words of letters only are encoded as one text: each ends with the one id that ends a word
             some = plain[lo : lo + 500]
-            ids = np.array(self.library.encode_batch_fast([b" ".join([words[k] for k in some]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast([" ".join([texts[k] for k in some])], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some) or cuts[-1] != len(ids):
+            if len(cuts) != len(some) or cuts[-1] != len(ids):  # normalization made more than letters of some
                 other += some
                 continue
             for k, part in zip(some, np.split(ids, cuts[:-1])):
                 found[k] = part
         for lo in range(0, len(other), 5000):
             some = other[lo : lo + 5000]
-            for k, made in zip(some, self.library.encode_batch_fast([words[k].decode() for k in some], add_special_tokens=False)):
+            for k, made in zip(some, self.library.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):
                 found[k] = np.array(made.ids, np.uint32)
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
@@ -230,7 +229,13 @@ def frequencies(table: DataFrame, width: int, ids: str = "ids") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            more, m = np.unique(_flat(batch.column(0))[0].view(f"<u{width}"), return_counts=True)
+            found = _flat(batch.column(0))[0].view(f"<u{width}")
+            if width <= 2:
+                m = np.bincount(found)
+                more = np.flatnonzero(m)
+                m = m[more]
+            else:
+                more, m = np.unique(found, return_counts=True)
             some, back = np.unique(np.concatenate([some, more.astype(np.int64)]), return_inverse=True)
             n = np.bincount(back, weights=np.concatenate([n, m]), minlength=len(some)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], names=["id", "n"])
