@@ -32,13 +32,12 @@ from pyspark.sql import functions as F
 from pairwright.functions.labels import winner_class
 from pairwright.functions.numbers import unusable_to_zero
 from pairwright.functions.probs import is_number
+from pairwright.operators.encoding import SUFFIXES, fold_encoding
 from pairwright.operators.metrics import fold_metrics, mean_of_folds
 from pairwright.schema import CLASSES, FOLD, ID, N_FOLDS, PREDS, WINNERS, categorical_columns, require
 from pairwright.session import new_path
 
 FAMILIES = ("boosted", "forest", "logistic")
-#: Values a category may have; the trees' bins and the index grow with them.
-MAX_CATEGORIES = 10_000
 #: Rounds without a better held-out loss after which boosting is cut.
 PATIENCE = 50
 
@@ -127,22 +126,22 @@ def build_stack_table(
 
     MLlib's trees know no missing value. A number that is NULL, NaN or infinite becomes 0, and a feature that has such values gets a
     column ``<feature>__missing`` of 0 and 1, so trees can tell them from a true 0. Rows without a label are kept: no model learns from
-    them, all score them. Rows of no fold in 0..k-1 are counted in ``left_out``. A category may have at most
-    ``MAX_CATEGORIES`` values, which its index holds in memory; more are an error.
+    them, all score them. Rows of no fold in 0..k-1 are counted in ``left_out``. A category becomes the class frequencies of its values in the
+    other folds, whatever their number; with ``one_hot`` it becomes a slot per value, which an index holds in memory.
     """
     require(df, [key, fold, *features, *winners], "stacking table")
     categories = categorical_columns(features)
+    if categories and not one_hot:
+        df = fold_encoding(df, categories, fold, winners)
+        features = [x for c in features for x in ([f"{c}__{s}" for s in SUFFIXES] if c in categories else [c])]
+        categories = []
     plain = [c for c in features if c not in categories]
     inside = F.coalesce(F.col(fold).between(0, k - 1), F.lit(False))
     unusable = {c: ~is_number(c) for c in plain}
     seen = df.agg(
         F.count_if(~inside).alias("left_out"),
         *[F.count_if(u).alias(f"u{i}") for i, u in enumerate(unusable.values())],
-        *[F.approx_count_distinct(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(categories)],
     ).first()
-    wide = [c for i, c in enumerate(categories) if seen[f"c{i}"] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(f"{wide} have more than {MAX_CATEGORIES} categories; hash them first")
     gaps = [c for i, c in enumerate(plain) if seen[f"u{i}"]]
     features = [*features, *[f"{c}__missing" for c in gaps]]
     typed = df.filter(inside).select(
@@ -157,17 +156,13 @@ def build_stack_table(
     if categories:
         indexed = [f"{c}__index" for c in categories]
         stages.append(StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"))
-        rename = dict(zip(categories, indexed))
-        if one_hot:
-            stages.append(OneHotEncoder(inputCols=indexed, outputCols=[f"{c}__hot" for c in categories]))
-            rename = {c: f"{c}__hot" for c in categories}
-        inputs = [rename.get(c, c) for c in features]
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=[f"{c}__hot" for c in categories]))
+        inputs = [f"{c}__hot" if c in categories else c for c in features]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     path = path or new_path(df.sparkSession, "stack")
     typed.hint("rebalance", fold).write.partitionBy(fold).parquet(path)
     assembly = Pipeline(stages=stages).fit(df.sparkSession.read.parquet(path))
-    sizes = [len(labels) + 1 for labels in assembly.stages[0].labelsArray] if categories else []
-    return StackTable(path, tuple(features), k, assembly, max([32, *sizes]), seen["left_out"])
+    return StackTable(path, tuple(features), k, assembly, 32, seen["left_out"])
 
 
 def fit_fold_models(

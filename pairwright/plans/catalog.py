@@ -13,10 +13,12 @@ from pairwright.functions.probs import one_hot_loss
 from pairwright.functions.text import FIELD_CAP, prefix, token_count
 from pairwright.operators import (
     alignment,
+    boosting,
     cleaning,
     curves,
     density,
     distill,
+    encoding,
     ensemble,
     explore,
     features,
@@ -25,7 +27,6 @@ from pairwright.operators import (
     preference,
     profile,
     scoring,
-    stacking,
 )
 from pairwright.operators.rows import round_columns
 from pairwright.plans import inputs
@@ -41,6 +42,7 @@ from pairwright.schema import (
     TEACHER,
     TEXTS,
     WINNERS,
+    categorical_columns,
     feature_columns,
     fractional_columns,
 )
@@ -518,11 +520,11 @@ def _log_files(spark: SparkSession, sf_dir: str) -> str:
 
 # ---------------------------------------------------------------- learning
 
-#: Boosting rounds of the registered stacking queries, and trials in each space of the registered search. The whole job has 1,000 rounds,
-#: at which the patience of 50 acts, and 50 trials a space: all of them are arguments of the queries, and the README has seconds.
-STACK_ROUNDS, CONTRACT_ROUNDS, IMPORTANCE_ROUNDS, SEARCH_ROUNDS = 2, 1, 10, 2
-SEARCH_TRIALS = 3
-SEARCHED = ("leafwise", "depthwise")
+#: Boosting rounds of the registered stacking queries, enough for the patience of 50 to act; a preset's own bound is 1,000. The search has its 50
+#: trials a space and stops at the fourth rung. Both are arguments of the queries, and the README has seconds of the whole job.
+STACK_ROUNDS = 120
+SEARCH_TRIALS = 50
+RUNGS = (1, 3, 9, 27)
 SCORER_INPUTS = ("m1_a", "m1_b", "m2_a")
 
 
@@ -541,83 +543,160 @@ def oof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.oof_predictions(scored))
 
 
-def _stack_table(spark: SparkSession, sf_dir: str) -> stacking.StackTable:
-    """The features derived from the texts, the cluster and two models' probabilities, with folds by target."""
+def _boost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features derived from the texts, the cluster encoded by the other folds, and two models' probabilities, with folds by target."""
     stored = writers.write_parquet(inputs.pair_features(spark, sf_dir), new_path(spark, "features"))
     clean = cleaning.clean_features(readers.read_table(spark, stored), policy="null")
     known = inputs.predictions(spark, sf_dir)
     assigned = folds.assign_folds(known.select(ID, *WINNERS), folds.stratum_by_target()).select(ID, FOLD)
     outputs = {f"x{m}": inputs.model_output(known, m) for m in ("m1", "m2")}
     table = alignment.align_models(alignment.align_tables([clean, assigned]), outputs)
-    return stacking.build_stack_table(table, feature_columns(table))
+    return encoding.fold_encoding(table, categorical_columns(feature_columns(table)))
 
 
-@query
-def stack_oof(spark: SparkSession, sf_dir: str, rounds: int = STACK_ROUNDS) -> DataFrame:
-    """Both boosting presets with their own depth and step size: fit per fold, save, load, score the held-out fold.
+_STORED: dict[tuple, str] = {}
 
-    A preset's own ``rounds`` are 1,000; as registered, it is short (see ``STACK_ROUNDS``).
-    """
-    return rounded(alignment.tagged_union(_level2(spark, sf_dir, rounds), "variant"))
+
+def _once(spark: SparkSession, what: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session read, computed and written by the first of them."""
+    key = (spark.sparkContext.applicationId, *what)
+    if key not in _STORED:
+        _STORED[key] = writers.write_parquet(make(), new_path(spark, "stored"))
+    return spark.read.parquet(_STORED[key])
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, ("training", sf_dir), lambda: _boost_table(spark, sf_dir))
+
+
+def _boosted(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    """The saved node tables of both presets, one model per fold."""
+
+    def fit() -> DataFrame:
+        table = _training(spark, sf_dir)
+        fleet = boosting.Fleet(spark, boosting.bin_table(table, feature_columns(table)), boosting.fold_members(boosting.PRESETS))
+        try:
+            return fleet.run(rounds).nodes()
+        finally:
+            fleet.close()
+
+    return _once(spark, ("boosted", sf_dir, rounds), fit)
 
 
 def _level2(spark: SparkSession, sf_dir: str, rounds: int) -> dict[str, DataFrame]:
-    table = _stack_table(spark, sf_dir)
-    variants = {}
-    for preset, params in stacking.BOOST_PRESETS.items():
-        models = stacking.fit_fold_models(spark, table, "boosted", {**params, "maxIter": rounds}, parallelism=8)
-        path = stacking.save_models(models, new_path(spark, f"models-{preset}"))
-        variants[preset] = stacking.level2_oof(spark, table, path, "boosted")
-    return variants
+    table, models = _training(spark, sf_dir), _boosted(spark, sf_dir, rounds)
+    return {preset: boosting.predict(table, models, preset, feature_columns(table)).select(*PREDS, ID) for preset in boosting.PRESETS}
 
 
 @query
-def stack_oof_contract(spark: SparkSession, sf_dir: str, rounds: int = CONTRACT_ROUNDS) -> DataFrame:
-    """What level-2 predictions of each preset must hold: every row once, probabilities that sum to 1, a loss no worse than a guess.
+def stack_oof(spark: SparkSession, sf_dir: str, rounds: int = STACK_ROUNDS) -> DataFrame:
+    """Both boosting presets: one multi-class model per fold, saved, and each row scored by the model that never saw it.
 
-    As registered after ``CONTRACT_ROUNDS`` rounds: the contract does not depend on them.
+    A model stops 50 rounds after its best one; ``rounds`` bounds them (see ``STACK_ROUNDS``).
     """
+    return rounded(alignment.tagged_union(_level2(spark, sf_dir, rounds), "variant"))
+
+
+@query
+def stack_oof_contract(spark: SparkSession, sf_dir: str, rounds: int = STACK_ROUNDS) -> DataFrame:
+    """What level-2 predictions of each preset must hold: every row once, probabilities that sum to 1, a loss below a guess and below the better
+    of the two models they are stacked on."""
     known = inputs.predictions(spark, sf_dir)
     checks = {}
     for preset, oof in _level2(spark, sf_dir, rounds).items():
-        joined = alignment.backfill(known.select(ID, *WINNERS), oof, list(PREDS))
+        joined = alignment.backfill(known.select(ID, *WINNERS, *MODELS["m1"], *MODELS["m2"]), oof, list(PREDS))
         total = F.col("pred_a") + F.col("pred_b") + F.col("pred_tie")
-        loss = one_hot_loss(PREDS)
+        loss = F.avg(one_hot_loss(PREDS))
         checks[preset] = joined.agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count_distinct(ID).alias("n_ids"),
             F.count_if(F.col("pred_a").isNull()).alias("n_missing"),
             F.count_if(F.abs(total - 1) < 1e-9).alias("n_sum_one"),
-            (F.avg(loss) < math.log(3)).alias("better_than_guess"),
+            (loss < math.log(3)).alias("better_than_guess"),
+            (loss < F.least(F.avg(one_hot_loss(MODELS["m1"])), F.avg(one_hot_loss(MODELS["m2"])))).alias("better_than_inputs"),
         )
     return alignment.tagged_union(checks, "variant")
 
 
 @query
-def tune_stacker(spark: SparkSession, sf_dir: str, trials: int = SEARCH_TRIALS, rounds: int = SEARCH_ROUNDS) -> DataFrame:
-    """Random search over both boosted spaces, the best trial of each first.
+def stack_blend(spark: SparkSession, sf_dir: str, rounds: int = STACK_ROUNDS) -> DataFrame:
+    """What the best blend of both presets' level-2 predictions and a level-1 model must hold: weights on the simplex, a loss no worse than any alone."""
+    known = inputs.predictions(spark, sf_dir).select(ID, *WINNERS, *MODELS["m1"])
+    names = {"m1": MODELS["m1"]}
+    for preset, oof in _level2(spark, sf_dir, rounds).items():
+        names[preset] = tuple(f"{preset}_{s}" for s in ("a", "b", "tie"))
+        known = known.join(oof.withColumnsRenamed(dict(zip(PREDS, names[preset]))), ID)
+    fit = ensemble.fit_blend(known, names)
+    weights = [float(fit.weights[m]) for m in names]
+    alone = metrics.model_metrics(known, names).agg(F.min("log_loss").alias("least"))
+    return alone.select(
+        F.lit(len(weights)).cast("bigint").alias("n_models"),
+        F.lit(abs(sum(weights) - 1) < 1e-9 and min(weights) >= 0).alias("on_simplex"),
+        (F.lit(float(fit.log_loss)) <= F.col("least") + 1e-9).alias("no_worse"),
+    )
 
-    The whole job has 50 ``trials`` of at most 1,000 ``rounds`` in each space; as registered, it is short (see ``STACK_ROUNDS``), so
-    its best parameters are those of few trials.
-    """
-    table = _stack_table(spark, sf_dir)
-    found = {
-        name: stacking.search(
-            spark, table, "boosted", stacking.SEARCH_SPACES[name], trials=trials, fixed={"maxIter": rounds}, parallelism=8
-        )
-        for name in SEARCHED
-    }
-    return rounded(alignment.tagged_union(found, "space")).orderBy("space", "mean_log_loss", "trial")
+
+def _searched(spark: SparkSession, sf_dir: str, trials: int, rungs: tuple[int, ...]) -> DataFrame:
+    def search() -> DataFrame:
+        table = _training(spark, sf_dir)
+        return boosting.halving(spark, boosting.bin_table(table, feature_columns(table)), boosting.SEARCH_SPACES, boosting.PRESETS, trials, rungs)
+
+    return _once(spark, ("search", sf_dir, trials, rungs), search)
 
 
 @query
-def feature_importance(spark: SparkSession, sf_dir: str, rounds: int = IMPORTANCE_ROUNDS) -> DataFrame:
-    """The ten features of the largest mean gain in the leafwise preset's fold models.
+def tune_stacker(spark: SparkSession, sf_dir: str, trials: int = SEARCH_TRIALS, rungs: tuple[int, ...] = RUNGS) -> DataFrame:
+    """Successive halving over both boosted spaces: every trial with the losses of the rungs it reached, the best of each space first."""
+    found = _searched(spark, sf_dir, trials, rungs)
+    return rounded(found).orderBy("space", F.desc("rung"), "mean_log_loss", "trial")
 
-    A preset's own ``rounds`` are 1,000; as registered, it is short (see ``STACK_ROUNDS``).
-    """
-    table = _stack_table(spark, sf_dir)
-    params = {**stacking.BOOST_PRESETS["leafwise"], "maxIter": rounds}
-    models = stacking.fit_fold_models(spark, table, "boosted", params, parallelism=8)
-    per_fold = stacking.importances(spark, models, stacking.slots_of(table, spark))
-    return rounded(stacking.top_features(stacking.mean_importance(per_fold)))
+
+@query
+def search_contract(spark: SparkSession, sf_dir: str, trials: int = SEARCH_TRIALS, rungs: tuple[int, ...] = RUNGS) -> DataFrame:
+    """What the search must hold for each space and rung: the trials promoted to it, all of them no worse than those left behind or than before."""
+    found = _searched(spark, sf_dir, trials, rungs)
+    before = found.select("space", "trial", (F.col("rung") + 1).alias("rung"), F.col("mean_log_loss").alias("was"), F.col("promoted").alias("sent"))
+    both = found.join(before, ["space", "trial", "rung"], "left")
+    lost = F.max(F.when(F.col("promoted"), F.col("mean_log_loss"))) <= F.min(F.when(~F.col("promoted"), F.col("mean_log_loss")))
+    return both.groupBy("space", "rung").agg(
+        F.count_distinct("trial").alias("n_trials"),
+        F.max("rounds").cast("bigint").alias("rounds"),
+        F.count_if("promoted").alias("n_promoted"),
+        F.count_if((F.col("rung") > 0) & ~F.coalesce("sent", F.lit(False))).alias("n_not_promoted_before"),
+        F.count_if(F.col("mean_log_loss") > F.col("was")).alias("n_worse_than_before"),
+        F.coalesce(lost, F.lit(True)).alias("best_go_on"),
+    )
+
+
+@query
+def feature_importance(spark: SparkSession, sf_dir: str, rounds: int = STACK_ROUNDS) -> DataFrame:
+    """The ten features of the largest gain, averaged over the fold models of each preset; the depthwise one counts only folds that use a feature."""
+    return rounded(boosting.mean_gain(_gains(spark, sf_dir, rounds), 10))
+
+
+def _gains(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    models, features = _boosted(spark, sf_dir, rounds), feature_columns(_training(spark, sf_dir))
+    leafwise = boosting.gain_importance(models.where("model = 'leafwise'"), features)
+    return leafwise.unionByName(boosting.gain_importance(models.where("model = 'depthwise'"), features, "skip"))
+
+
+@query
+def importance_contract(spark: SparkSession, sf_dir: str, rounds: int = STACK_ROUNDS) -> DataFrame:
+    """What importances must hold: all features of all folds (where features without a split count), no negative gain, and the gain of all splits."""
+    models, per_fold = _boosted(spark, sf_dir, rounds), _gains(spark, sf_dir, rounds)
+    gains = models.where("feature IS NOT NULL").groupBy("model").agg(F.sum("gain").alias("whole"))
+    seen = per_fold.groupBy("model").agg(
+        F.count_distinct("fold").alias("n_folds"),
+        F.when(F.col("model") == "leafwise", F.count_distinct("feature")).otherwise(0).alias("n_features"),
+        F.count_if(F.col("importance") < 0).alias("n_negative"),
+        F.sum("importance").alias("total"),
+    )
+    return seen.join(gains, "model").select("model", "n_folds", "n_features", "n_negative", (F.abs(F.col("total") / F.col("whole") - 1) < 1e-9).alias("sums_up"))
+
+
+@query
+def fold_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class frequencies of every row's cluster in the other folds."""
+    known = inputs.predictions(spark, sf_dir).select(ID, CLUSTER, *WINNERS)
+    assigned = folds.assign_folds(known, folds.stratum_by_target())
+    return rounded(encoding.fold_encoding(assigned, [CLUSTER]).select(ID, *[f"{CLUSTER}__{s}" for s in encoding.SUFFIXES]))

@@ -493,6 +493,18 @@ ORACLE["oof_score"] = sql(
     + ", ".join(f"ROUND({e}, 6) AS pred_{s}" for e, s in zip(_linear, _SIDES))
     + f" FROM (SELECT id, fold, {', '.join(f'{_logit(c)} AS l{c}' for c in range(3))} FROM folds)"
 )
-# Contracts of learned predictions: values cannot be had from SQL, what must hold can.
+# Contracts of learned results: values cannot be had from SQL, what must hold can.
 ORACLE["stack_oof_contract"] = """SELECT UNNEST(['leafwise', 'depthwise']) AS variant, n AS n_rows, n AS n_ids, CAST(0 AS BIGINT) AS n_missing,
-  n AS n_sum_one, TRUE AS better_than_guess FROM (SELECT COUNT(*) AS n FROM documents)"""
+  n AS n_sum_one, TRUE AS better_than_guess, TRUE AS better_than_inputs FROM (SELECT COUNT(*) AS n FROM documents)"""
+ORACLE["stack_blend"] = "SELECT CAST(3 AS BIGINT) AS n_models, TRUE AS on_simplex, TRUE AS no_worse"
+ORACLE["search_contract"] = """SELECT space, CAST(rung AS INTEGER) AS rung, CAST(n AS BIGINT) AS n_trials, CAST(rounds AS BIGINT) AS rounds, CAST(up AS BIGINT) AS n_promoted,
+  CAST(0 AS BIGINT) AS n_not_promoted_before, CAST(0 AS BIGINT) AS n_worse_than_before, TRUE AS best_go_on
+  FROM (VALUES (0, 50, 1, 17), (1, 17, 3, 6), (2, 6, 9, 2), (3, 2, 27, 0)) v(rung, n, rounds, up), (SELECT UNNEST(['leafwise', 'depthwise']) AS space)"""
+ORACLE["importance_contract"] = """SELECT * FROM (VALUES ('leafwise', CAST(5 AS BIGINT), CAST(37 AS BIGINT), CAST(0 AS BIGINT), TRUE),
+  ('depthwise', CAST(5 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), TRUE)) v(model, n_folds, n_features, n_negative, sums_up)"""
+ORACLE["fold_encoding"] = sql(
+    f"""SELECT id, ROUND((na + 10 * wa / (wa + wb + wt)) / (na + nb + nt + 10), 6) AS cluster_id_k20__a, ROUND((nb + 10 * wb / (wa + wb + wt)) / (na + nb + nt + 10), 6) AS cluster_id_k20__b,
+  ROUND((nt + 10 * wt / (wa + wb + wt)) / (na + nb + nt + 10), 6) AS cluster_id_k20__tie
+  FROM (SELECT id, {", ".join(f"COUNT(*) FILTER (y = {c}) OVER (PARTITION BY cluster_id_k20) - COUNT(*) FILTER (y = {c}) OVER (PARTITION BY cluster_id_k20, fold) AS n{s}, CAST(COUNT(*) FILTER (y = {c}) OVER () - COUNT(*) FILTER (y = {c}) OVER (PARTITION BY fold) AS DOUBLE) AS w{s}" for c, s in enumerate("abt"))}
+    FROM (SELECT id, cluster_id_k20, y, {_FOLD.format(g='target')} FROM (SELECT id, cluster_id_k20, y, CAST(y AS VARCHAR) AS target FROM pred)))"""
+)

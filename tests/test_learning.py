@@ -5,11 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators import scoring, stacking
-from pairwright.plans import inputs
-from pairwright.plans.catalog import QUERIES
-from pairwright.schema import ID, PREDS, WINNERS
-
-SF = "/root/testdata/sf0.001"
+from pairwright.schema import PREDS, WINNERS
 
 
 @pytest.fixture(scope="module")
@@ -123,28 +119,9 @@ def test_one_hot_importances_are_summed(spark, labelled):
 def test_importances(spark, table):
     models = stacking.fit_fold_models(spark, table, "forest", {"numTrees": 5})
     every = stacking.importances(spark, models, table.features)
-    assert every.count() == 20  # with the indicator of missing x
+    assert every.count() == 30  # with the indicator of missing x and three columns for the cluster
     top = [r["feature"] for r in stacking.top_features(stacking.mean_importance(every), 2).collect()]
     assert "noise" not in top
     with pytest.raises(ValueError):
         stacking.importances(spark, models, table.features, missing="drop")
     assert stacking.importances(spark, models, table.features, "skip").filter("importance = 0").count() == 0
-
-
-def test_registered_search_covers_both_boosted_spaces(spark, monkeypatch):
-    seen = []
-
-    def fit(spark, table, family, params, *rest, **options):
-        seen.append((family, params, table.features))
-        return {}
-
-    monkeypatch.setattr(stacking, "fit_fold_models", fit)
-    monkeypatch.setattr(stacking, "cv_score", lambda *rest: 1.0)
-    found = QUERIES["tune_stacker"](spark, SF, trials=4, rounds=7).collect()
-    assert [r["space"] for r in found] == ["depthwise"] * 4 + ["leafwise"] * 4
-    wanted = [stacking.draw_params(stacking.SEARCH_SPACES[name], 4) for name in ("leafwise", "depthwise")]
-    key = lambda x: json.dumps(x, sort_keys=True)
-    assert sorted(key(p) for _, p, _ in seen) == sorted(key({**p, "maxIter": 7}) for drawn in wanted for p in drawn)
-    assert {family for family, _, _ in seen} == {"boosted"}
-    derived = set(inputs.pair_features(spark, SF).columns) - {ID, *WINNERS}
-    assert all(derived <= set(features) for _, _, features in seen)
