@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from pairwright.schema import FOLD, ID, N_FOLDS, PREDS, TEACHER, WINNERS, rename_if_present, require
 from pairwright.functions.labels import winner_class
+from pairwright.operators.hot_keys import hot_join
 
 
-def align_models(base: DataFrame, models: Mapping[str, DataFrame], key: str = ID, how: str = "inner") -> DataFrame:
+def align_models(base: DataFrame, models: Mapping[str, DataFrame], key: str = ID, how: str = "inner", split_hot: bool = False, strict: bool = False) -> DataFrame:
     """Add ``<model>_a, <model>_b, <model>_tie`` for every model.
 
     All joins share the key, so Spark moves each table at most once: the result of one join is already
-    distributed for the next.
+    distributed for the next. Where keys may repeat very often, ``split_hot`` finds those keys and splits them (:func:`hot_join`). ``strict`` raises
+    unless every model has exactly the keys of ``base``, each once; else an inner join shrinks to the common keys.
     """
     out = base
     for name, preds in models.items():
         renamed = require(preds, [key, *PREDS], f"predictions of {name}").select(
             key, *[F.col(p).alias(f"{name}_{p.removeprefix('pred_')}") for p in PREDS]
         )
-        out = out.join(renamed, key, how)
+        if strict:
+            require_aligned(base, renamed, key)
+        out = hot_join(out, renamed, key, how) if split_hot else out.join(renamed, key, how)
     return out
 
 

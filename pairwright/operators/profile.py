@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.operators.rows import round_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
 _ACCURACY = 10_000
-_BRACKET_ROWS = 5_000_000
 
 
 def column_profile(
@@ -37,12 +38,11 @@ def column_profile(
         for c in columns
         for name, function in (("count", "count"), ("mean", "avg"), ("std", "stddev"), ("min", "min"), ("max", "max"))
     ]
-    levels = _around(QUARTILES, accuracy) if quantiles == "exact" else list(QUARTILES)
-    aggs += [F.percentile_approx(c, levels, accuracy).alias(f"{c}|sketch") for c in columns]
+    if quantiles == "approximate":
+        aggs += [F.percentile_approx(c, list(QUARTILES), accuracy).alias(f"{c}|sketch") for c in columns]
     stats = values.agg(*aggs).first()
     if quantiles == "exact":
-        brackets = {c: (stats[f"{c}|count"], stats[f"{c}|sketch"]) for c in columns}
-        quartile = exact_quantiles(values, columns, QUARTILES, accuracy, brackets=brackets)
+        quartile = exact_quantiles(values, columns)
     else:
         quartile = {c: stats[f"{c}|sketch"] or [None] * len(QUARTILES) for c in columns}
     rows = [
@@ -60,128 +60,93 @@ def _usable(c: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float] = QUARTILES,
-    accuracy: int = _ACCURACY,
-    max_bracket_rows: int = _BRACKET_ROWS,
-    brackets: Mapping[str, tuple[int, Sequence[float]]] | None = None,
-) -> dict[str, list[float | None]]:
-    """Exact quantiles of many columns with linear interpolation, without sorting or gathering a column.
-
-    1. One pass gives each column's count and, for each quantile, a bracket of two sketch values around it.
-    2. One pass counts the rows below and inside every bracket, and so the rank at which it starts.
-    3. Brackets with more than ``max_bracket_rows`` rows are narrowed by a sketch of their own rows.
-    4. The values inside the brackets are counted per distinct value and ranked inside their bracket.
-
-    A bracket that does not hold its ranks is opened to the whole range and narrowed again, so the result
-    never depends on the sketch. The driver gets a few numbers per column and quantile. ``brackets`` hands in
-    the result of step 1 when the caller has it.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUARTILES) -> dict[str, list[float | None]]:
+    """Exact quantiles of many columns with linear interpolation, by radix selection.
+
+    A double's bits, with the sign folded in, sort as unsigned numbers. Four passes fix 16 of the 64 bits each: a pass counts, for every
+    prefix that a wanted rank has led to, the values by their next 16 bits, and the rank falls into one of at most 65,536 counts.
+    Counts are combined by task before they are shuffled, no value is sorted or gathered, and the driver gets a bucket for each rank.
+    NULL and NaN are not counted.
     """
-    if brackets is None:
-        first = df.agg(
-            *[F.count(c).alias(f"{c}|n") for c in columns],
-            *[F.percentile_approx(c, _around(probabilities, accuracy), accuracy).alias(f"{c}|s") for c in columns],
-        ).first()
-        brackets = {c: (first[f"{c}|n"], first[f"{c}|s"]) for c in columns}
-    targets: list[dict] = []
-    for c in columns:
-        n, sketch = brackets[c]
-        for i, p in enumerate(probabilities if n else ()):
-            position = p * (n - 1)
-            lo, hi = sketch[2 * i : 2 * i + 2]
-            targets.append(
-                {"column": c, "i": i, "lo": lo, "hi": hi, "low": math.floor(position), "high": math.ceil(position),
-                 "fraction": position - math.floor(position)}
-            )
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    if not targets:
-        return out
-
-    _count_brackets(df, targets)
-    lost = [t for t in targets if not _holds(t)]
-    if lost:
-        for t in lost:
-            t["lo"], t["hi"] = -math.inf, math.inf
-        _count_brackets(df, lost)
-    _narrow_brackets(df, targets, accuracy, max_bracket_rows)
-
-    for row in _ranked_values(df, targets).collect():  # one row per column and quantile
-        t = targets[row["target"]]
-        low, high = row["low_value"], row["high_value"]
-        out[t["column"]][t["i"]] = low if low == high else low + (high - low) * t["fraction"]
+    values = df.select(*[F.col(f"`{c}`").cast("double") for c in columns])
+    sizes = values.agg(*[F.count(F.when(~F.isnan(v := F.col(f"`{c}`")), v)).alias(f"n{i}") for i, c in enumerate(columns)]).first() if columns else []
+    wanted: list[list[int]] = []  # [column, rank, bits so far, rank among the values with these bits]
+    for i, n in enumerate(sizes):
+        ranks = {math.floor(p * (n - 1)) for p in probabilities} | {math.ceil(p * (n - 1)) for p in probabilities} if n else set()
+        wanted += [[i, r, 0, r] for r in sorted(ranks)]
+    for shift in (48, 32, 16, 0):
+        if wanted:
+            found = {(r["column"], int(r["prefix"]), r["rank"]): r for r in _radix_pass(values, wanted, shift).collect()}  # a row per rank
+            for w in wanted:
+                hit = found[w[0], w[2], w[3]]
+                w[2:] = [w[2] << 16 | hit["bucket"], w[3] - hit["before"]]
+    at = {(i, r): _from_bits(bits) for i, r, bits, _ in wanted}
+    for i, n in enumerate(sizes):
+        for j, p in enumerate(probabilities if n else ()):
+            position = p * (n - 1)
+            low, high = at[i, math.floor(position)], at[i, math.ceil(position)]
+            out[columns[i]][j] = low if low == high else low + (high - low) * (position - math.floor(position))
     return out
 
 
-def _around(probabilities: Sequence[float], accuracy: int) -> list[float]:
-    margin = 2.0 / accuracy
-    return [level for p in probabilities for level in (max(0.0, p - margin), min(1.0, p + margin))]
-
-
-def _holds(t: dict) -> bool:
-    """Whether both wanted ranks lie inside the bracket."""
-    return t["before"] <= t["low"] and t["high"] < t["before"] + t["inside"]
-
-
-def _number(value: float) -> str:
-    return f"double('{value!r}')"
-
-
-def _inside(t: dict) -> str:
-    """SQL condition; plans over many brackets are built from text, one call per expression."""
-    return f"(`{t['column']}` BETWEEN {_number(t['lo'])} AND {_number(t['hi'])})"
-
-
-def _narrow_brackets(df: DataFrame, targets: list[dict], accuracy: int, max_rows: int) -> None:
-    """Shrink large brackets; one that holds a single value, however often, is left as it is."""
-    wide = [t for t in targets if t["inside"] > max_rows and t["lo"] < t["hi"]]
-    while wide:
-        sketches = []
-        for j, t in enumerate(wide):
-            middle = [(t["low"] - t["before"]) / t["inside"], (t["high"] - t["before"]) / t["inside"]]
-            levels = [_around(middle, accuracy)[0], _around(middle, accuracy)[3]]
-            sketches.append(F.percentile_approx(F.expr(f"IF({_inside(t)}, `{t['column']}`, NULL)"), levels, accuracy).alias(f"s{j}"))
-        row = df.agg(*sketches).first()
-        narrowed = [{**t, "lo": row[f"s{j}"][0], "hi": row[f"s{j}"][1]} for j, t in enumerate(wide)]
-        _count_brackets(df, narrowed)
-        smaller = []
-        for t, trial in zip(wide, narrowed):
-            if _holds(trial) and trial["inside"] < t["inside"]:
-                t.update(trial)
-                smaller.append(t)
-        wide = [t for t in smaller if t["inside"] > max_rows and t["lo"] < t["hi"]]
-
-
-def _count_brackets(df: DataFrame, targets: list[dict]) -> None:
-    counts = []
-    for j, t in enumerate(targets):
-        counts.append(F.expr(f"count_if(`{t['column']}` < {_number(t['lo'])}) AS before{j}"))
-        counts.append(F.expr(f"count_if({_inside(t)}) AS inside{j}"))
-    row = df.agg(*counts).first()
-    for j, t in enumerate(targets):
-        t["before"], t["inside"] = row[f"before{j}"], row[f"inside{j}"]
-
-
-def _ranked_values(df: DataFrame, targets: list[dict]) -> DataFrame:
-    """(target, low_value, high_value): the values at the two ranks next to each quantile."""
-    candidates = [
-        f"IF({_inside(t)}, struct({j} AS target, `{t['column']}` AS value), NULL)" for j, t in enumerate(targets)
-    ]
-    rows = df.selectExpr(f"inline(array_compact(array({', '.join(candidates)})))")
-    distinct = rows.groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
-    in_target = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = distinct.withColumn("upto", F.sum("n").over(in_target))
-    ranks = F.expr(f"map({', '.join(f'{j}, {_ranks_in_bracket(t)}' for j, t in enumerate(targets))})")
-    ranked = upto.withColumn("rank", ranks[F.col("target")])
-    first_rank = F.col("upto") - F.col("n")
-
-    def at(rank: str) -> Column:
-        wanted = F.col(f"rank.{rank}")
-        return F.max(F.when((first_rank <= wanted) & (wanted < F.col("upto")), F.col("value")))
-
-    return ranked.groupBy("target").agg(at("low").alias("low_value"), at("high").alias("high_value"))
-
-
-def _ranks_in_bracket(t: dict) -> str:
-    return f"struct(CAST({t['low'] - t['before']} AS BIGINT) AS low, CAST({t['high'] - t['before']} AS BIGINT) AS high)"
+def _to_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; both zeros are one."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _from_bits(bits: int) -> float:
+    plain = bits & (1 << 63) - 1 if bits >> 63 else ~bits & (1 << 64) - 1
+    return float(np.array([plain], np.uint64).view(np.float64)[0])
+
+
+def _radix_pass(values: DataFrame, wanted: Sequence[Sequence[int]], shift: int) -> DataFrame:
+    """``(column, prefix, rank, bucket, before)``: the next 16 bits of the value at each rank, and how many with the same prefix are smaller."""
+    prefixes: dict[int, set[int]] = {}
+    ranks: dict[tuple[int, int], set[int]] = {}
+    for column, _, prefix, rank in wanted:
+        prefixes.setdefault(column, set()).add(prefix)
+        ranks.setdefault((column, prefix), set()).add(rank)
+
+    def merged(buckets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, back = np.unique(buckets, return_inverse=True)
+        return one, np.bincount(back, weights=n, minlength=len(one)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for column, some in prefixes.items():
+                x = batch.column(column).drop_null().to_numpy(zero_copy_only=False)
+                bits = _to_bits(x[~np.isnan(x)])
+                head = bits >> np.uint64(shift + 16) if shift < 48 else np.zeros(len(bits), np.uint64)
+                for prefix in some:
+                    buckets = ((bits[head == np.uint64(prefix)] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64)
+                    held = total.get((column, prefix), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    total[column, prefix] = merged(np.concatenate([held[0], buckets]), np.concatenate([held[1], np.ones(len(buckets), np.int64)]))
+        for (column, prefix), (buckets, n) in total.items():
+            if len(buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([column], pa.int32()), pa.array([str(prefix)]), pa.array([buckets]), pa.array([n])], names=["column", "prefix", "buckets", "ns"])
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if at:
+                upto = np.cumsum(held[1])
+                mine = sorted(ranks[at])
+                place = np.searchsorted(upto, mine, "right")
+                columns = [pa.array([at[0]] * len(mine), pa.int32()), pa.array([str(at[1])] * len(mine)), pa.array(mine, pa.int64()), pa.array(held[0][place].astype(np.int32)), pa.array(upto[place] - held[1][place])]
+                yield pa.RecordBatch.from_arrays(columns, names=["column", "prefix", "rank", "bucket", "before"])
+
+        for batch in batches:
+            for column, prefix, buckets, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (column, int(prefix)):
+                    yield from done()
+                    at, held = (column, int(prefix)), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                held = merged(np.concatenate([held[0], buckets]), np.concatenate([held[1], n]))
+        yield from done()
+
+    sums = values.mapInArrow(count, "column int, prefix string, buckets array<bigint>, ns array<bigint>")
+    dealt = sums.repartition("column", "prefix").sortWithinPartitions("column", "prefix")
+    return dealt.mapInArrow(select, "column int, prefix string, rank bigint, bucket int, before bigint")

@@ -198,6 +198,17 @@ def align_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(alignment.align_models(df.select(ID, CLUSTER), outputs))
 
 
+@query
+def align_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models aligned where a third of all rows share one key: their number and the sums of their probabilities, in millionths, per cluster."""
+    known = inputs.predictions(spark, sf_dir)
+    hot = known.withColumn(ID, F.when(F.col(ID) % 3 == 0, 0).otherwise(F.col(ID)))
+    outputs = {f"x{m}": inputs.model_output(known, m) for m in ("m1", "m2")}
+    table = alignment.align_models(hot.select(ID, CLUSTER), outputs, split_hot=True)
+    sums = [F.sum(F.round(F.col(f"x{m}_{s}") * 1e6).cast("long")).alias(f"sum_{m}_{s}") for m in ("m1", "m2") for s in ("a", "b", "tie")]
+    return table.groupBy(CLUSTER).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 @query
 def alignment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_audit(inputs.predictions(spark, sf_dir), inputs.misaligned_output(spark, sf_dir))
@@ -513,6 +524,32 @@ def stream_fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(jobs.run_available(stream, "fold-metrics"))
 
 
+#: Rows land in four hours by id; each hour's file repeats a seventh of the hour before, and the last holds rows of a day before.
+LANDED = ("2024-01-01 00:00:00", 4, 7, 100)
+
+
+@query
+def stream_fold_metrics_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-fold metrics with repeats within 90 minutes counted once and rows behind the watermark left out, next to how many were late."""
+    start, hours, repeats, late = LANDED
+    known = inputs.folded(spark, sf_dir).drop("stratify_group")
+    path, at = new_path(spark, "landed"), F.lit(start).cast("timestamp")
+    hour = lambda n: F.make_interval(hours=n)
+    for h in range(hours):
+        mine = known.where(F.pmod(ID, F.lit(hours)) == h)
+        again = known.where((F.pmod(ID, F.lit(hours)) == h - 1) & (F.col(ID) % repeats == 0))
+        both = mine.unionByName(again).withColumn("landed", at + hour(F.lit(h)))
+        if h + 1 == hours:
+            old = known.where(F.col(ID) % late == 0).withColumn(ID, F.col(ID) + 10**9).withColumn("landed", at - hour(F.lit(24)))
+            both = both.unionByName(old)
+        writers.write_parquet(both.coalesce(1), f"{path}/hour={h}")
+    progress: list[dict] = []
+    stream = jobs.stream_fold_metrics_late(spark, f"{path}/*", both.schema, MODELS, "landed", "90 minutes", files=1)
+    found = jobs.run_available(stream, "fold-metrics-late", progress=progress)
+    report = jobs.state_report(spark, progress).where("operator LIKE 'dedup%'").agg(F.sum("late_rows").alias("n_late"))
+    return rounded(found.join(F.broadcast(report)).select(*found.columns, "n_late"))
+
+
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
     lines = inputs.log_lines(spark, sf_dir).select("run", "value")
     return writers.write_lines(lines, new_path(spark, "logs"), partition_by=("run",))

@@ -476,6 +476,13 @@ ORACLE["latest_checkpoint"] = sql(
 )
 ORACLE["stream_fold_metrics"] = ORACLE["fold_metrics"]
 
+ORACLE["stream_fold_metrics_late"] = "SELECT *, (SELECT COUNT(*) FROM documents WHERE doc_id % 100 = 0) AS n_late FROM (" + ORACLE["fold_metrics"] + ")"
+ORACLE["align_hot_keys"] = sql(
+    "SELECT h.cluster_id_k20, COUNT(*) AS n, "
+    + ", ".join(f"CAST(SUM(CAST(ROUND(p.{m}_{s} * 1e6) AS BIGINT)) AS BIGINT) AS sum_{m}_{s}" for m in ("m1", "m2") for s in _SIDES)
+    + " FROM (SELECT CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS id, cluster_id_k20 FROM pred) h JOIN pred p ON p.id = h.id GROUP BY h.cluster_id_k20"
+)
+
 # ---------------------------------------------------------------- learning
 
 

@@ -7,6 +7,9 @@ the de-duplication state of :func:`stream_fold_metrics` on disk.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,10 +38,32 @@ def stream_fold_metrics(
     return model_metrics(arrived.dropDuplicates([key]), models, [fold])
 
 
-def run_available(stream: DataFrame, label: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def stream_fold_metrics_late(
+    spark: SparkSession, path: str, schema: StructType | str, models: Models, landed: str, delay: str, key: str = ID, fold: str = FOLD, files: int = 1000
+) -> DataFrame:
+    """Per-fold metrics whose state stays bounded: a key that arrives again within ``delay`` of its first landing time counts once.
+
+    Keys are forgotten once the watermark, ``delay`` behind the latest ``landed``, has passed them by ``delay``; rows that land behind the watermark are left
+    out. :func:`state_report` tells how many were, and how many keys were held.
+    """
+    arrived = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    fresh = arrived.withWatermark(landed, delay).dropDuplicatesWithinWatermark([key])
+    return model_metrics(fresh, models, [fold])
+
+
+def state_report(spark: SparkSession, progress: Sequence[dict]) -> DataFrame:
+    """``(batch, operator, state_rows, late_rows)`` of the batches of a query, from its progress records."""
+    rows = [
+        (p["batchId"], o["operatorName"], o["numRowsTotal"], o["numRowsDroppedByWatermark"]) for p in progress for o in p["stateOperators"]
+    ]
+    return spark.createDataFrame(rows, "batch long, operator string, state_rows long, late_rows long")
+
+
+def run_available(stream: DataFrame, label: str, out: str | None = None, checkpoint: str | None = None, progress: list | None = None) -> DataFrame:
     """Process everything that has arrived, stop, and return the last published result.
 
-    Each batch is written under its number, so a batch repeated after a failure replaces itself.
+    Each batch is written under its number, so a batch repeated after a failure replaces itself. The progress records of the run, of its last
+    ``spark.sql.streaming.numRecentProgressUpdates`` batches, are added to ``progress``.
     """
     spark = stream.sparkSession
     out = out or new_path(spark, f"{label}-result")
@@ -55,6 +80,8 @@ def run_available(stream: DataFrame, label: str, out: str | None = None, checkpo
         .start()
     )
     query.awaitTermination()
+    if progress is not None:
+        progress += [json.loads(p.json) for p in query.recentProgress]
     published = spark.read.parquet(out)
     newest = published.agg(F.max("batch")).scalar()
     return published.filter(F.col("batch") == newest).drop("batch")

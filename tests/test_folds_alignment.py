@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.operators import alignment, folds
+from pairwright.operators import alignment, folds, hot_keys
 
 
 def skewed(spark, n=3000, parts=3):
@@ -96,3 +96,49 @@ def test_row_counts(spark):
 def test_select_like_model(spark):
     df = spark.createDataFrame([(1, 2, 3)], "id long, b int, a int")
     assert alignment.select_like_model(df, ["a", "b"]).columns == ["id", "a", "b"]
+
+
+def joined_rows(df):
+    return sorted(map(str, (tuple(r) for r in df.collect())))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("side", ["left", "right", "both", "none"])
+def test_hot_joins_equal_plain_joins(spark, how, side):
+    """A third and more of the rows on one key; keys of one side only, repeated and NULL keys."""
+    left = [(k, f"l{k}") for k in range(60)] + [(None, "null"), (3, "again")]
+    right = [(k, k * 1.5) for k in range(30, 90)] + [(None, 0.5), (41, -1.0), (1000, 7.0)]
+    left += [(1000 if side != "right" else 40, f"h{k}") for k in range(400 if side in ("left", "both") else 2)]
+    right += [(1000, float(k)) for k in range(300 if side in ("right", "both") else 1)]
+    if side == "right":
+        left += [(1000, "once"), (1000, "once")]
+    a = spark.createDataFrame(left, "id long, name string").repartition(4)
+    b = spark.createDataFrame(right, "id long, value double").repartition(3)
+    got = hot_keys.hot_join(a, b, "id", how)
+    assert got.columns == ["id", "name", "value"] and joined_rows(got) == joined_rows(a.join(b, "id", how))
+
+
+def test_hot_keys_are_found_and_spread(spark):
+    rows = spark.range(30_000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"), F.lit(1).alias("x"))
+    found = hot_keys.hot_keys(rows, "id", 0.01)
+    assert list(found) == [-1] and found[-1] >= 10_000
+    other = spark.range(30_000).select("id", F.lit(2).alias("y")).unionByName(spark.createDataFrame([(-1, 5)], "id long, y int"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = hot_keys.hot_join(rows, other, "id")
+        sizes = sorted(r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 30_000 and len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    with pytest.raises(ValueError):
+        hot_keys.hot_join(rows, other, "id", "outer")
+
+
+def test_strict_alignment_refuses_to_shrink(spark):
+    base = spark.createDataFrame([(1,), (2,)], "id long")
+    preds = spark.createDataFrame([(1, 0.2, 0.3, 0.5)], "id long, pred_a double, pred_b double, pred_tie double")
+    assert alignment.align_models(base, {"m": preds}).count() == 1
+    with pytest.raises(ValueError, match="left_only_keys"):
+        alignment.align_models(base, {"m": preds}, strict=True)

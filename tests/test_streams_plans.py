@@ -1,5 +1,6 @@
 """Streaming end states, and the shape of physical plans."""
 
+import datetime
 import re
 
 import pytest
@@ -23,6 +24,24 @@ def test_a_repeated_file_counts_once(spark, tmp_path):
     assert sorted(tuple(r[c] for c in key) for r in got.collect()) == sorted(tuple(r[c] for c in key) for r in want.collect())
 
 
+def test_state_shrinks_behind_the_watermark(spark, tmp_path):
+    """Six hours of files, each repeating some keys of the hour before; a late row; keys leave the state after 90 minutes."""
+    fields = "id long, fold int, landed timestamp, winner_model_a int, winner_model_b int, winner_tie int, a double, b double, t double"
+    for h in range(6):
+        mine = [(100 * h + k, k % 5) for k in range(100)] + [(100 * (h - 1) + k, k % 5) for k in range(0, 30 if h else 0)]
+        rows = [(i, f, datetime.datetime(2024, 1, 1, h), 1, 0, 0, 0.5, 0.3, 0.2) for i, f in mine]
+        rows += [(9999, 0, datetime.datetime(2023, 1, 1), 0, 1, 0, 0.5, 0.3, 0.2)] * (h == 5)
+        spark.createDataFrame(rows, fields).coalesce(1).write.parquet(str(tmp_path / "in" / f"h{h}"))
+    progress = []
+    stream = jobs.stream_fold_metrics_late(spark, str(tmp_path / "in" / "*"), fields, {"m": ("a", "b", "t")}, "landed", "90 minutes", files=1)
+    got = jobs.run_available(stream, "late", str(tmp_path / "out"), str(tmp_path / "ck"), progress).collect()
+    assert sorted((r["fold"], r["n"]) for r in got) == [(f, 120) for f in range(5)]  # each of the 600 keys once, without the late one
+    report = [r for r in jobs.state_report(spark, progress).orderBy("batch").collect() if r["operator"].startswith("dedup")]
+    assert sum(r["late_rows"] for r in report) == 1
+    held = [r["state_rows"] for r in report]
+    assert max(held) < 600 and held[-1] < max(held)
+
+
 def test_a_stream_continues_where_it_stopped(spark, tmp_path):
     source, out, checkpoint = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "ck")
     source.mkdir()
