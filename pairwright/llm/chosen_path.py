@@ -240,6 +240,12 @@ def jaccard_classes(
     Documents with the same set of n-grams are linked. A text that is null, empty or has no words links with nothing. A row without
     an id gets a null class, no links, and is kept. A repeated row counts as one more copy. Extra columns are not read.
     """
+    found = _classes(docs, id_column, text, words, threshold, n_runs, limit, depth).drop("node", "component")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def _classes(docs: DataFrame, id_column: str, text: str, words: int, threshold: float, n_runs: int, limit: int, depth: int) -> DataFrame:
+    """``(doc_id, node, component, class_id, n_links)``: one row per document row, with its set and the component that holds it."""
     sketch = written(sketches(docs, id_column, text, words), "sketches")
     nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     nodes = written(nodes, "sets", narrow=True)
@@ -268,23 +274,52 @@ def jaccard_classes(
     state = nodes.select("node", "rep", "copies").join(counted, "node", "left").join(component, "node", "left")
     state = state.withColumn("component", F.coalesce("component", "node"))
     smallest = state.groupBy("component").agg(F.min("rep").alias("class_id"))
-    state = state.join(smallest, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    state = state.join(smallest, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     joined = sketch.select("doc_id", "node").join(state, "node", "left")
     return joined.select(
         "doc_id",
+        "node",
+        "component",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    )
+
 
+def _set_of(width: int):
+    """The node of each text: the hash of its set, or null."""
+
+    def compute(buf, offs):
+        flat, begin = shingles(*word_hashes(buf, offs), width)
+        return [pa.array([set_digest(np.unique(flat[a:b])) if b > a else None for a, b in zip(begin[:-1], begin[1:])], pa.int64())]
 
-def one_per_class(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
+    return compute
+
+
+def one_per_class(
+    docs: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    n_runs: int = RUNS,
+    limit: int = LIMIT,
+    depth: int = DEPTH,
+) -> DataFrame:
     """One document of each class, the one with the smallest id, with the columns it came with.
 
-    Of rows that repeat an id one stays; rows without an id all stay.
+    Rows are told apart by id and set, so rows that repeat an id with unrelated texts are judged one by one. Where several rows of a class
+    have its smallest id, the one with the smallest set hash stays, and of rows with the same set the one whose hash over all columns is smallest. Rows without an id and texts without words
+    link with nothing and all stay. The result does not depend on partitioning.
     """
     from pyspark.sql import Window
 
-    kept = jaccard_classes(docs, id_column=id_column, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept__")).distinct()
-    with_id = docs.where(F.col(f"`{id_column}`").isNotNull())
-    stay = with_id.join(kept, F.col(f"`{id_column}`") == F.col("__kept__")).withColumn("__n__", F.row_number().over(Window.partitionBy("__kept__").orderBy("__kept__")))
-    return stay.where("__n__ = 1").drop("__kept__", "__n__").unionByName(docs.where(F.col(f"`{id_column}`").isNull()))
+    found = _classes(docs, id_column, text, words, threshold, n_runs, limit, depth).where("node IS NOT NULL AND doc_id = class_id")
+    chosen = found.groupBy("component").agg(F.min("node").alias("chosen"), F.first("class_id").alias("smallest")).drop("component")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    marked = map_texts(packed, "text", lambda: _set_of(words), StructType.fromDDL("node bigint"), ("row", "doc_id"))
+    linked = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    same = Window.partitionBy("chosen", "smallest").orderBy(F.xxhash64("row"))
+    stay = marked.where(linked).join(chosen, (F.col("node") == F.col("chosen")) & (F.col("doc_id") == F.col("smallest")))
+    stay = stay.withColumn("place", F.row_number().over(same)).where("place = 1")
+    return stay.select("row").unionByName(marked.where(~linked).select("row")).select("row.*")

@@ -142,10 +142,15 @@ def inner_passages(docs: DataFrame, text: str, window: int, most: int, run_bytes
     return map_texts(docs, text, lambda: _inner(window, most, run_bytes), StructType.fromDDL(INNER), keep)
 
 
+def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``(doc_id, row, text)``; ``row`` tells apart rows that repeat an id with different texts."""
+    plain = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(plain).alias("row"), plain.alias("text"))
+
+
 def chunks_of(docs: DataFrame, id_column: str, text: str, window: int, most: int) -> DataFrame:
-    """``(doc_id, chunks)``: digest with the bytes before, place and size in bytes of all chunks of a text."""
-    inner = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return map_texts(inner, "text", lambda: _chunked(window, most), StructType.fromDDL(f"chunks array<struct<{CHUNK}>>"), ("doc_id",))
+    """``(doc_id, row, chunks)``: digest with the bytes before, place and size in bytes of all chunks of a text."""
+    return map_texts(_rows(docs, id_column, text), "text", lambda: _chunked(window, most), StructType.fromDDL(f"chunks array<struct<{CHUNK}>>"), ("doc_id", "row"))
 
 
 def repeated_passages(
@@ -157,35 +162,34 @@ def repeated_passages(
     most: int = MOST,
     run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_chunks, n_shared`` (chunks in passages that occur elsewhere as well), ``n_removed`` (chunks in
+    """One row per row: ``doc_id, n_bytes, n_chunks, n_shared`` (chunks in passages that occur elsewhere as well), ``n_removed`` (chunks in
     passages whose first occurrence is elsewhere), ``shared_bytes, removed_bytes`` and ``removed``, an array of ``(start, end)`` in bytes;
     then ``n_inner, inner_bytes`` and ``inner`` likewise for later copies of passages inside the text of a row itself. A place may be in both arrays.
 
-    A null or empty text has no chunks. Rows that repeat an id count as one document with all their chunks; rows without an
-    id are left out of the comparison and have nothing to remove. Extra columns are not read.
+    A null or empty text has no chunks. Rows that repeat an id are one document in that nothing they share among themselves is
+    repeated elsewhere; each is judged by the places of its own text, and equal rows get equal results. Rows without an id are left out of the comparison and have nothing to remove.
+    Extra columns are not read.
     """
-    all_chunks = chunks_of(docs, id_column, text, window, most)
-    flat = all_chunks.where("doc_id IS NOT NULL").select("doc_id", F.inline("chunks"))
+    found = _judged(docs, id_column, text, window, most, run_bytes)
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_shared", "n_removed", "shared_bytes", "removed_bytes")]
+    inner = inner_passages(_rows(docs, id_column, text), "text", window, most, run_bytes, ("doc_id", "row"))
+    joined = inner.join(found.withColumnsRenamed({"doc_id": "d", "row": "r"}), (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")), "left")
+    named, none = F.col("doc_id").isNotNull(), F.array().cast("array<struct<start:int,end:int>>")
+    own = [F.when(named, F.col(c)).otherwise(0).alias(c) for c in ("n_inner", "inner_bytes")]
+    return joined.select("doc_id", "n_bytes", "n_chunks", *counts, F.coalesce("removed", none).alias("removed"), *own, F.when(named, F.col("inner")).otherwise(none).alias("inner"))
+
+
+def _judged(docs: DataFrame, id_column: str, text: str, window: int, most: int, run_bytes: int) -> DataFrame:
+    """``(doc_id, row, n_shared, n_removed, shared_bytes, removed_bytes, removed)`` of the rows that share chunks with another document, equal rows once."""
+    flat = chunks_of(docs, id_column, text, window, most).where("doc_id IS NOT NULL").select("doc_id", "row", F.inline("chunks"))
     known = flat.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
     known = known.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first_doc")
     met = flat.join(known, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
     packed = F.struct("start", "size", (F.col("doc_id") == F.col("first_doc")).alias("own"))
-    found = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(packed)).alias("c"))
-    fields = StructType.fromDDL("doc_id bigint, n_shared bigint, n_removed bigint, shared_bytes bigint, removed_bytes bigint, removed array<struct<start int, end int>>")
+    found = met.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(packed)).alias("c"))  # a set: equal rows add nothing
+    fields = StructType.fromDDL("doc_id bigint, row bigint, n_shared bigint, n_removed bigint, shared_bytes bigint, removed_bytes bigint, removed array<struct<start int, end int>>")
     fields.fields[0].dataType = docs.schema[id_column].dataType
-    judged = found.mapInArrow(_passages(run_bytes), fields)
-    own_texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    inner = inner_passages(own_texts, "text", window, most, run_bytes, ("doc_id",))
-    named = F.col("doc_id").isNotNull()
-    sizes = inner.groupBy("doc_id").agg(
-        F.sum("n_bytes").alias("n_bytes"),
-        F.sum("n_chunks").alias("n_chunks"),
-        *[F.sum(F.when(named, F.col(c)).otherwise(0)).alias(c) for c in ("n_inner", "inner_bytes")],
-        F.array_sort(F.flatten(F.collect_list(F.when(named & (F.size("inner") > 0), F.col("inner"))))).alias("inner"),
-    )
-    joined = sizes.join(judged.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
-    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_shared", "n_removed", "shared_bytes", "removed_bytes")]
-    return joined.select("doc_id", "n_bytes", "n_chunks", *counts, F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"), "n_inner", "inner_bytes", "inner")
+    return found.mapInArrow(_passages(run_bytes), fields)
 
 
 def _passages(run_bytes: int):
@@ -211,8 +215,8 @@ def _passages(run_bytes: int):
                     values.append(x)
                 columns[4].append([{"start": a, "end": b} for a, b, _ in gone])
             kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            names = ["doc_id", "n_shared", "n_removed", "shared_bytes", "removed_bytes", "removed"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(columns, kinds))], names=names)
+            names = ["doc_id", "row", "n_shared", "n_removed", "shared_bytes", "removed_bytes", "removed"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(v, k) for v, k in zip(columns, kinds))], names=names)
 
     return run
 
@@ -220,12 +224,14 @@ def _passages(run_bytes: int):
 def without_passages(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with later occurrences of repeated passages, of other documents and of their own, cut out of ``text``; a null text stays null.
 
-    Later copies inside a text are cut row by row, also where rows repeat an id. A cut inside a character of several bytes moves to that character's end, so what is left is valid text.
+    Every row is cut at the places of its own text, also where rows repeat an id. A cut inside a character of several bytes moves to that character's end, so what is left is valid text.
     """
-    found = repeated_passages(docs, id_column=id_column, text=text, **options).where(F.size("removed") > 0)
-    joined = docs.join(found.select(F.col("doc_id").alias("__d__"), F.col("removed").alias("__cut__")), F.col(f"`{id_column}`") == F.col("__d__"), "left")
-    at, named = docs.columns.index(text), docs.columns.index(id_column)
     sizes = [options.get(name, usual) for name, usual in (("window", WINDOW), ("most", MOST), ("run_bytes", RUN_BYTES))]
+    found = _judged(docs, id_column, text, *sizes).where(F.size("removed") > 0)
+    cuts = found.select(F.col("doc_id").alias("__d__"), F.col("row").alias("__r__"), F.col("removed").alias("__cut__"))
+    mine = (F.col(f"`{id_column}`") == F.col("__d__")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__r__"))
+    joined = docs.join(cuts, mine, "left")
+    at, named = docs.columns.index(text), docs.columns.index(id_column)
 
     def run(batches):
         compute = _inner(*sizes)
@@ -237,7 +243,7 @@ def without_passages(docs: DataFrame, *, id_column: str = "doc_id", text: str =
             columns = [pa.array(texts, batch.column(k).type) if k == at else batch.column(k) for k in range(len(batch.columns) - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.drop("__d__").mapInArrow(run, docs.schema)
+    return joined.drop("__d__", "__r__").mapInArrow(run, docs.schema)
 
 
 def _cut(data: bytes, spans: list[dict]) -> str:

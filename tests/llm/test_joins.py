@@ -106,6 +106,27 @@ def test_one_document_of_each_class_stays(spark, texts):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """Unrelated texts under one id all stay, copies go, and the choice does not depend on partitioning."""
+    rnd = np.random.default_rng(14)
+    make = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 5000, n))
+    a, b, c, d = (make(60) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(3, a, "1"), (3, b, "2"), (3, b, "3"), (3, near, "4"), (5, a, "5"), (1, c, "6"), (3, c, "7"), (9, d, "8"), (9, d, "8"), (3, "", "9"), (3, None, "10"), (None, a, "11")]
+    seen = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, __n__ string").repartition(parts)
+        kept = sorted(map(str, (tuple(r) for r in chosen_path.one_per_class(docs).collect())))
+        seen.add(tuple(kept))
+    assert len(seen) == 1
+    texts = [r for r in dict.fromkeys(rows) if str(r) in kept]
+    by_id = sorted((k is None, k or 0, t or "") for k, t, _ in texts)
+    stays = [t for k, t, _ in texts if k == 3]
+    assert (a in stays) != (near in stays) and stays.count(b) == 1 and c not in stays and "" in stays and None in stays
+    assert sum(k == 9 for k, _, _ in texts) == 1 and sum(k == 5 for k, _, _ in texts) == 0 and (True, 0, a) in by_id and (False, 1, c) in by_id
+    assert len(texts) == 7
+
+
 def test_coordinates_throw_away_no_pair_at_the_threshold():
     n, least = chosen_path.COORDINATES, chosen_path.least_alike(0.8)
     assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) <= 1e-7

@@ -270,6 +270,69 @@ def test_repeated_passages(spark):
     assert chunking.repeated_passages(docs.limit(0)).count() == 0
 
 
+def plain_passages(rows):
+    """All columns of every row, from the chunks of each text alone and plain dictionaries."""
+    cut = []
+    for k, text in rows:
+        raw = (text or "").encode()
+        buf = np.frombuffer(raw, np.uint8)
+        starts = chunking.chunk_starts(buf, np.array([0, len(raw)])).tolist()
+        cut.append([(a, b, raw[max(a - chunking.LEAD, 0) : b]) for a, b in zip(starts, [*starts[1:], len(raw)])])
+    owners = {}
+    for (k, _), found in zip(rows, cut):
+        for _, _, data in found:
+            owners.setdefault(data, set()).update([] if k is None else [k])
+
+    def passages(places):
+        out = []
+        for a, b in places:
+            a = max(a - chunking.LEAD, 0)
+            if out and out[-1][1] >= a:
+                out[-1][1:] = [b, out[-1][2] + 1]
+            else:
+                out.append([a, b, 1])
+        return [r for r in out if r[1] - r[0] >= chunking.RUN_BYTES]
+
+    result = []
+    for (k, text), found in zip(rows, cut):
+        elsewhere = [c for c in found if k is not None and len(owners[c[2]]) > 1]
+        shared, gone = passages([c[:2] for c in elsewhere]), passages([c[:2] for c in elsewhere if min(owners[c[2]]) != k])
+        seen, again = set(), []
+        for a, b, data in found:
+            again += [(a, b)] if data in seen and k is not None else []
+            seen.add(data)
+        inner = passages(again)
+        total = lambda x: (sum(r[2] for r in x), sum(b - a for a, b, _ in x))
+        spans = lambda x: tuple((a, b) for a, b, _ in x)
+        result.append((k, len((text or "").encode()), len(found), total(shared)[0], total(gone)[0], total(shared)[1], total(gone)[1], spans(gone), *total(inner), spans(inner)))
+    return sorted(result, key=str)
+
+
+def test_passage_columns_equal_brute_force(spark):
+    """Whole rows of the operator, with ids that repeat with other texts and with equal ones, over two partitionings."""
+    rnd = random.Random(21)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefghilmnoprstuü") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    pool = [line(n) for n in (12, 30, 55, 60, 80, 200)]
+    rows = [(rnd.randrange(60) if k % 40 else None, " ".join(rnd.choice([line(rnd.randint(1, 60)), rnd.choice(pool)]) for _ in range(rnd.randint(0, 6)))) for k in range(160)]
+    rows += [(7, line(90) + " " + pool[3])] * 40 + [(7, pool[3] + " " + line(90)), (3, None), (4, ""), (5, "ab" * 700)]
+    for parts in (2, 9):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        got = chunking.repeated_passages(docs).collect()
+        shown = [tuple(tuple((s.start, s.end) for s in v) if isinstance(v, list) else v for v in r) for r in got]
+        assert sorted(shown, key=str) == plain_passages(rows)
+
+
+def test_a_row_is_cut_at_its_own_places_only(spark):
+    rnd = random.Random(22)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    passage, other = line(70), line(150)
+    rows = [(1, f"{line(20)} {passage} {line(20)}"), (5, f"{line(30)} {passage} {line(10)}"), (5, other), (5, other)]
+    for parts in (1, 5):
+        left = [(r.doc_id, r.text) for r in chunking.without_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)).collect()]
+        assert left.count((5, other)) == 2 and (1, rows[0][1]) in left
+        assert sum(passage in t for _, t in left) == 1
+
+
 def test_passages_of_little_over_50_words_are_found(spark):
     rnd = random.Random(11)
     line = lambda n, most: " ".join("".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(2, most))) for _ in range(n))
