@@ -336,14 +336,14 @@ def test_a_row_is_cut_at_its_own_places_only(spark):
 def test_passages_of_little_over_50_words_are_found(spark):
     rnd = random.Random(11)
     line = lambda n, most: " ".join("".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(2, most))) for _ in range(n))
-    passages = [line(rnd.randint(51, 60), (4, 5, 8)[k % 3]) for k in range(600)]
-    rows = [(1000 * copy + k, f"{line(rnd.randint(5, 40), 8)} {p} {line(rnd.randint(5, 40), 8)}") for k, p in enumerate(passages) for copy in range(2)]
+    passages = [line(rnd.randint(51, 60), (4, 5, 8)[k % 3]) for k in range(1500)]
+    rows = [(10_000 * copy + k, f"{line(rnd.randint(5, 40), 8)} {p} {line(rnd.randint(5, 40), 8)}") for k, p in enumerate(passages) for copy in range(2)]
     got = {r.doc_id: r for r in chunking.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     texts = dict(rows)
     for k, p in enumerate(passages):
-        one, two = got[k], got[1000 + k]
+        one, two = got[k], got[10_000 + k]
         assert one.n_shared > 0 and one.n_removed == 0 and two.n_removed > 0
-        assert all(texts[1000 + k][s.start : s.end] in texts[k] for s in two.removed)
+        assert all(texts[10_000 + k][s.start : s.end] in texts[k] for s in two.removed)
     assert sum(r.removed_bytes for r in got.values()) > 0.8 * sum(map(len, passages))
 
 
