@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.probs import softmax
 from pairwright.schema import FOLD, ID, PREDS, require
+from pairwright.sources.snapshots import publish, versions
 
 LOGITS = ("logit_a", "logit_b", "logit_tie")
 
@@ -87,6 +88,67 @@ def linear_models(coefficients: Mapping[int, Sequence[Sequence[float]]]) -> Call
     return load
 
 
+def text_models(coefficients: Mapping[int, Sequence[Sequence[float]]], text: str = "text") -> Callable[[int], Scorer]:
+    """A loader for linear scorers of a text's length (as ``n / (n + 2000)``) and its shares of the letter e and of spaces."""
+    linear = linear_models(coefficients)
+
+    def load(k: int) -> Scorer:
+        score = linear(k)
+
+        def score_text(batch):
+            n = batch[text].str.len()
+            some = n.clip(lower=1)
+            return score(n.to_frame("n").assign(n=n / (n + 2000), e=batch[text].str.count("e") / some, space=batch[text].str.count(" ") / some))
+
+        return score_text
+
+    return load
+
+
+#: Upper ends, in characters, of the length ranges of prompts; longer ones make the last range.
+LENGTH_RANGES = (1_000, 4_000, 16_000, 64_000)
+
+
+def score_texts(
+    df: DataFrame,
+    root: str,
+    load_model: Callable[[int], Scorer],
+    text: str = "text",
+    keep: Sequence[str] = (ID,),
+    fold: str = FOLD,
+    ranges: Sequence[int] = LENGTH_RANGES,
+    on_commit: Callable[[int], None] | None = None,
+) -> DataFrame:
+    """Score rendered prompts in length ranges; a run that was stopped goes on with the keys that have no scores yet.
+
+    Texts of similar length are scored together, so a model that pads its batches wastes little. Each range is a job of its own, and its
+    scores are published below ``root`` in one step when it is complete. A new run over the same ``root`` leaves out every key
+    already published (an anti-join on ``keep``, nulls included), whatever ranges that run used. A null text is scored as an empty one.
+    Returns the scores of all published ranges. ``on_commit`` is told the number of each range once it is published.
+    """
+    spark, keep = df.sparkSession, list(keep)
+    require(df, [*keep, fold, text], "scoring table")
+    prompts = df.select(*keep, fold, F.coalesce(F.col(text), F.lit("")).alias(text)) if fold not in keep else df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
+    done = published_scores(spark, root)
+    if done is not None:
+        same = [F.col(f"todo.{c}").eqNullSafe(F.col(f"done.{c}")) for c in keep]
+        prompts = prompts.alias("todo").join(done.select(*keep).distinct().alias("done"), same, "left_anti")
+    size, ends = F.length(text), sorted(ranges)
+    bounds = list(zip([None, *ends], [*ends, None]))
+    for number, (low, high) in enumerate(bounds):
+        inside = (F.lit(True) if low is None else size > low) & (F.lit(True) if high is None else size <= high)
+        publish(score_folds(prompts.filter(inside), load_model, [text], keep, fold), root)
+        if on_commit:
+            on_commit(number)
+    return published_scores(spark, root)
+
+
+def published_scores(spark, root: str) -> DataFrame | None:
+    """All scores published below ``root``, or ``None`` where there are none."""
+    paths = list(versions(spark, root).values())
+    return spark.read.parquet(*paths) if paths else None
+
+
 def complete_folds(scored: DataFrame, k: int, fold: str = FOLD) -> bool:
     """Whether all ``k`` folds have output."""
     return scored.filter(F.col(fold).between(0, k - 1)).select(fold).distinct().count() == k

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,9 @@ from pairwright.operators import (
     preference,
     profile,
     scoring,
+    vocabulary as vocabularies,
 )
-from pairwright.operators.rows import round_columns
+from pairwright.operators.rows import round_columns, unpivot
 from pairwright.plans import inputs
 from pairwright.plans.inputs import MODELS
 from pairwright.schema import (
@@ -44,10 +46,11 @@ from pairwright.schema import (
     WINNERS,
     categorical_columns,
     feature_columns,
+    feature_set,
     fractional_columns,
 )
 from pairwright.session import new_path
-from pairwright.sources import readers, writers
+from pairwright.sources import csv_ranges, readers, snapshots, writers
 from pairwright.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +60,8 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
+#: Size of the vocabularies of the registered queries.
+VOCABULARY = 2_000
 BLEND_WEIGHTS = {"m1": 0.45, "m2": 0.30, "m3": 0.25}
 RUN_FOLDER = r"run=([^/]+)/"
 OOF_COLUMNS = f"{ID} long, " + ", ".join(f"{p} double" for p in PREDS)
@@ -209,6 +214,32 @@ def align_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.groupBy(CLUSTER).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
+@query
+def scoring_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows packed in the column order of a saved model, in millionths."""
+    trained_on = ["m2_a", "m1_tie", "m1_a"]
+    table = alignment.select_like_model(inputs.predictions(spark, sf_dir), trained_on)
+    packed = [F.round(F.col(c) * 1e6).cast("long").cast("string") for c in table.columns if c != ID]
+    return table.select(ID, F.concat_ws(" ", *packed).alias("vector"))
+
+
+@query
+def fold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of the folds, stored one by one, stacked again and marked with their fold."""
+    root = writers.write_parquet(inputs.folded(spark, sf_dir).select(ID, FOLD), new_path(spark, "folds"), partition_by=(FOLD,))
+    return alignment.union_folds({k: readers.read_table(spark, f"{root}/{FOLD}={k}") for k in range(N_FOLDS)})
+
+
+@query
+def feature_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known values of the features of three choices: manual ones, one model, both with two models."""
+    known = inputs.predictions(spark, sf_dir)
+    choices = {"manual": feature_set(known), "m1": feature_set(known, ["m1"], manual=False), "all": feature_set(known, ["m1", "m3"])}
+    counts = known.agg(*[F.count(c).alias(c) for c in dict.fromkeys(c for names in choices.values() for c in names)])
+    rows = [{"choice": F.lit(name), "feature": F.lit(c), "n": F.col(c)} for name, names in choices.items() for c in names]
+    return unpivot(counts, [], rows)
+
+
 @query
 def alignment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_audit(inputs.predictions(spark, sf_dir), inputs.misaligned_output(spark, sf_dir))
@@ -300,12 +331,34 @@ def render_prompt_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.rendered(inputs.pairs(spark, sf_dir, head=FIELD_CAP), "judge_short")
 
 
+@query
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent tokens of all documents, with dense ids."""
+    return vocabularies.vocabulary(vocabularies.token_counts(inputs.table(spark, sf_dir, "documents")), VOCABULARY)
+
+
 @query
 def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = preference.rendered(inputs.pairs(spark, sf_dir, head=FIELD_CAP), "judge_short")
-    path = writers.write_parquet(preference.tokenize(prompts, max_len=2048), new_path(spark, "tokens"))
+    """Prompts as ids of a vocabulary made from the same prompts."""
+    shown = preference.rendered(inputs.pairs(spark, sf_dir, head=FIELD_CAP), "judge_short")
+    prompts = readers.read_table(spark, writers.write_parquet(shown, new_path(spark, "prompts") + ".parquet"))
+    known = vocabularies.vocabulary(vocabularies.token_counts(prompts), VOCABULARY)
+    path = writers.write_parquet(vocabularies.encode(prompts, known, max_len=2048), new_path(spark, "tokens"))
     ids = F.array_join(F.transform("input_ids", lambda t: t.cast("string")), " ")
-    return readers.read_table(spark, path).select(ID, "n_tokens", F.size("input_ids").alias("n_kept"), F.md5(ids).alias("ids_md5"))
+    return readers.read_table(spark, path).select(ID, "n_tokens", "n_unknown", F.size("input_ids").alias("n_kept"), F.md5(ids).alias("ids_md5"))
+
+
+@query
+def batched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a tokenizer of the user's, a batch at a time; this one's ids are the lengths of words."""
+    cut = preference.tokenize_with(inputs.table(spark, sf_dir, "documents"), _length_encoder, max_len=64, keep=("doc_id",))
+    total = F.aggregate("input_ids", F.lit(0), lambda a, x: a + x)
+    return cut.select("doc_id", "n_tokens", F.size("input_ids").alias("n_kept"), total.alias("sum_ids"))
+
+
+def _length_encoder() -> preference.Encoder:
+    word = re.compile(r"[^ \t\n\r\f]+")
+    return lambda texts: [[len(w) for w in word.findall(t)] for t in texts]
 
 
 @query
@@ -373,6 +426,29 @@ def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.sample_cards(inputs.pairs(spark, sf_dir, only=drawn))
 
 
+@query
+def guarded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty rows of every group that has that many; smaller groups are left out."""
+    known = inputs.predictions(spark, sf_dir)
+    groups = {"tie": known.filter("winner_tie = 1"), "key 77": known.filter(f"{ID} % 77 = 0"), "key 7777": known.filter(f"{ID} % 7777 = 0")}
+    drawn = {name: explore.sample_or_none(rows.select(ID), 50) for name, rows in groups.items()}
+    return alignment.tagged_union({name: df for name, df in drawn.items() if df is not None}, "sampled_from")
+
+
+@query
+def ordered_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows by source order, by fold, and by the wording of a display table."""
+    rows = inputs.folded(spark, sf_dir).select(ID, FOLD)
+    return alignment.tagged_union(
+        {
+            "source": explore.in_output_order(rows).limit(100),
+            "fold": explore.in_output_order(rows, FOLD, ID).limit(100),
+            "head": explore.head_rows(rows, [ID, FOLD]),
+        },
+        "sorted_by",
+    )
+
+
 @query
 def conflict_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _conflicts(spark, sf_dir)
@@ -426,6 +502,32 @@ def csv_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv(spark, path, f"{ID} long, {CLUSTER} int, " + ", ".join(f"{w} int" for w in WINNERS))
 
 
+@query
+def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as large as a task writes them, quoted line breaks and CRLF included, read in byte ranges."""
+    columns = [f.name for f in PAIR_SCHEMA.fields]
+    path = new_path(spark, "large") + ".csv"
+    writers.write_csv(inputs.pairs(spark, sf_dir).select(*columns), path, max_rows_per_file=0, line_end="\r\n")
+    back = readers.fill_text(csv_ranges.read_csv_ranges(spark, path, PAIR_SCHEMA))
+    return back.select(ID, *[F.md5(t).alias(f"{t}_md5") for t in TEXTS], CLUSTER, *WINNERS)
+
+
+@query
+def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table replaced twice by jobs that read it, the last time through csv; rows and sums of each version, the oldest one expired."""
+    root = new_path(spark, "table")
+    snapshots.publish(inputs.model_output(inputs.predictions(spark, sf_dir), "m1"), root)
+    pinned = snapshots.read_version(spark, root)
+    snapshots.publish(pinned.filter(F.col(ID) % 50 != 0), root)
+    halved = pinned.withColumn("pred_a", F.col("pred_a") / 2)
+    snapshots.publish(halved.unionByName(snapshots.read_version(spark, root)).select(ID, "pred_a"), root, fmt="csv")
+    snapshots.expire(spark, root, keep=2)
+    left = {n: snapshots.read_version(spark, root, n, None if n < 2 else f"{ID} long, pred_a double") for n in snapshots.versions(spark, root)}
+    tables = {n: df.select(ID, "pred_a") for n, df in left.items()}
+    total = F.sum(F.round(F.col("pred_a") * 1e6).cast("long")).alias("sum_a")
+    return alignment.tagged_union(tables, "version").groupBy("version").agg(F.count(F.lit(1)).alias("n_rows"), total)
+
+
 @query
 def glob_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models' csv outputs through one glob, narrowed by file name."""
@@ -580,6 +682,15 @@ def oof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.oof_predictions(scored))
 
 
+@query
+def oof_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rendered prompts scored by the model of their fold, in length ranges that are published one by one."""
+    prompts = preference.rendered(inputs.pairs(spark, sf_dir), "judge").join(inputs.folded(spark, sf_dir).select(ID, FOLD), ID)
+    stored = readers.read_table(spark, writers.write_parquet(prompts, new_path(spark, "prompts") + ".parquet"))
+    scored = scoring.score_texts(stored, new_path(spark, "scores"), scoring.text_models(_coefficients()))
+    return rounded(scoring.oof_predictions(scored))
+
+
 def _boost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features derived from the texts, the cluster encoded by the other folds, and two models' probabilities, with folds by target."""
     stored = writers.write_parquet(inputs.pair_features(spark, sf_dir), new_path(spark, "features"))

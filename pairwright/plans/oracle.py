@@ -291,13 +291,32 @@ def _fill(template: str, fields: dict[str, str]) -> str:
 _SHORT = _fill(SHORT_JUDGE_TEMPLATE, {s: f"SUBSTRING({s}_text, 1, 1200)" for s in ("p", "a", "b")})
 ORACLE["render_prompt"] = sql(f"SELECT id, {_fill(JUDGE_TEMPLATE, {s: f'{s}_text' for s in ('p', 'a', 'b')})} AS text FROM pairs")
 ORACLE["render_prompt_short"] = sql(f"SELECT id, {_SHORT} AS text FROM pairs")
+
+
+def _tokens(source: str, text: str, key: str) -> str:
+    """(key, tok, pos) of the words of a text."""
+    return f"""SELECT {key}, tok, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY i) AS pos FROM (
+    SELECT {key}, UNNEST(parts) AS tok, GENERATE_SUBSCRIPTS(parts, 1) AS i FROM (
+      SELECT {key}, string_split_regex({text}, '{_SPACE}') AS parts FROM {source})) WHERE tok <> ''"""
+
+
+_KNOWN = """SELECT tok, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, tok) AS INTEGER) AS token_id
+  FROM (SELECT tok, COUNT(*) AS n FROM {} GROUP BY tok) QUALIFY token_id <= 2000"""
+_CTES["short_toks"] = _tokens("pairs", _SHORT, "id")
+_CTES["short_known"] = _KNOWN.format("short_toks")
+_CTES["doc_toks"] = _tokens("documents", "COALESCE(text, '')", "doc_id")
+_CTES["doc_known"] = _KNOWN.format("doc_toks")
+ORACLE["vocabulary"] = sql("SELECT tok AS token, n, token_id FROM doc_known")
 ORACLE["pretokenize"] = sql(
-    f"""SELECT id, CAST(MAX(pos) AS INTEGER) AS n_tokens, CAST(LEAST(MAX(pos), 2048) AS INTEGER) AS n_kept,
-  md5(STRING_AGG(CAST(CAST('0x' || SUBSTRING(md5(tok), 1, 7) AS BIGINT) % 50000 AS VARCHAR), ' ' ORDER BY pos)
-      FILTER (WHERE pos <= 2048)) AS ids_md5
-  FROM (SELECT id, tok, ROW_NUMBER() OVER (PARTITION BY id ORDER BY i) AS pos FROM (
-    SELECT id, UNNEST(parts) AS tok, GENERATE_SUBSCRIPTS(parts, 1) AS i FROM (
-      SELECT id, string_split_regex({_SHORT}, '{_SPACE}') AS parts FROM pairs)) WHERE tok <> '') GROUP BY id"""
+    """SELECT id, CAST(MAX(pos) AS INTEGER) AS n_tokens, CAST(LEAST(MAX(pos), 2048) AS INTEGER) AS n_kept,
+  CAST(COUNT(*) FILTER (WHERE k.token_id IS NULL) AS INTEGER) AS n_unknown,
+  md5(STRING_AGG(CAST(COALESCE(k.token_id, 0) AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE pos <= 2048)) AS ids_md5
+  FROM short_toks t LEFT JOIN short_known k ON k.tok = t.tok GROUP BY id"""
+)
+ORACLE["batched_tokens"] = sql(
+    """SELECT d.doc_id, CAST(COALESCE(n, 0) AS INTEGER) AS n_tokens, CAST(LEAST(COALESCE(n, 0), 64) AS INTEGER) AS n_kept,
+  CAST(COALESCE(s, 0) AS INTEGER) AS sum_ids FROM documents d LEFT JOIN (
+    SELECT doc_id, MAX(pos) AS n, SUM(LENGTH(tok)) FILTER (WHERE pos <= 64) AS s FROM doc_toks GROUP BY doc_id) t ON t.doc_id = d.doc_id"""
 )
 _CTES["lens"] = f"""SELECT p_id, a_for, b_for, LEN(regexp_extract_all(COALESCE(text, ''), '{_WORD}')) AS n FROM roles"""
 ORACLE["truncation_report"] = sql(
@@ -403,6 +422,13 @@ ORACLE["jsonl_roundtrip"] = sql(
 )
 
 ORACLE["csv_crlf"] = sql("SELECT id, cluster_id_k20, winner_model_a, winner_model_b, winner_tie FROM pred")
+ORACLE["csv_split"] = ORACLE["csv_roundtrip"]
+ORACLE["snapshot_read"] = sql(
+    """SELECT CAST(1 AS INTEGER) AS version, COUNT(*) AS n_rows, CAST(SUM(CAST(ROUND(m1_a * 1e6) AS BIGINT)) AS BIGINT) AS sum_a
+  FROM pred WHERE id % 50 <> 0 UNION ALL
+  SELECT 2, COUNT(*), CAST(SUM(CAST(ROUND(a * 1e6) AS BIGINT)) AS BIGINT)
+  FROM (SELECT m1_a / 2 AS a FROM pred UNION ALL SELECT m1_a FROM pred WHERE id % 50 <> 0)"""
+)
 ORACLE["glob_union"] = sql(
     " UNION ALL ".join(f"SELECT id, ROUND({m}_a, 6) AS pred_a, ROUND({m}_b, 6) AS pred_b, ROUND({m}_tie, 6) AS pred_tie FROM pred" for m in _MODELS)
 )
@@ -486,12 +512,12 @@ ORACLE["align_hot_keys"] = sql(
 # ---------------------------------------------------------------- learning
 
 
-def _logit(cls: int) -> str:
+def _logit(cls: int, features: tuple[str, ...] = SCORER_INPUTS) -> str:
     def by_fold(i: int) -> str:
         whens = " ".join(f"WHEN {k} THEN {scorer_coefficient(k, cls, i)}" for k in range(N_FOLDS))
         return f"CAST(CASE fold {whens} END AS DOUBLE)"
 
-    return " + ".join([by_fold(0), *[f"{by_fold(i + 1)} * {c}" for i, c in enumerate(SCORER_INPUTS)]])
+    return " + ".join([by_fold(0), *[f"{by_fold(i + 1)} * {c}" for i, c in enumerate(features)]])
 
 
 _linear = _softmax([f"l{c}" for c in range(3)])
@@ -500,6 +526,15 @@ ORACLE["oof_score"] = sql(
     + ", ".join(f"ROUND({e}, 6) AS pred_{s}" for e, s in zip(_linear, _SIDES))
     + f" FROM (SELECT id, fold, {', '.join(f'{_logit(c)} AS l{c}' for c in range(3))} FROM folds)"
 )
+_PROMPT = _fill(JUDGE_TEMPLATE, {s: f"{s}_text" for s in ("p", "a", "b")})
+_shape = ("n / (n + 2000.0)", "n_e / n", "n_space / n")
+ORACLE["oof_score_text"] = sql(
+    "SELECT id, fold, "
+    + ", ".join(f"ROUND({e}, 6) AS pred_{s}" for e, s in zip(_linear, _SIDES))
+    + f" FROM (SELECT id, fold, {', '.join(f'{_logit(c, _shape)} AS l{c}' for c in range(3))} FROM ("
+    + "SELECT id, fold, CAST(LENGTH(t) AS DOUBLE) AS n, LENGTH(t) - LENGTH(REPLACE(t, 'e', '')) AS n_e, LENGTH(t) - LENGTH(REPLACE(t, ' ', '')) AS n_space"
+    + f" FROM (SELECT p.id, f.fold, {_PROMPT} AS t FROM pairs p JOIN folds f ON f.id = p.id)))"
+)
 # Contracts of learned results: values cannot be had from SQL, what must hold can.
 ORACLE["stack_oof_contract"] = """SELECT UNNEST(['leafwise', 'depthwise']) AS variant, n AS n_rows, n AS n_ids, CAST(0 AS BIGINT) AS n_missing,
   n AS n_sum_one, TRUE AS better_than_guess, TRUE AS better_than_inputs FROM (SELECT COUNT(*) AS n FROM documents)"""
@@ -515,3 +550,32 @@ ORACLE["fold_encoding"] = sql(
   FROM (SELECT id, {", ".join(f"COUNT(*) FILTER (y = {c}) OVER (PARTITION BY cluster_id_k20) - COUNT(*) FILTER (y = {c}) OVER (PARTITION BY cluster_id_k20, fold) AS n{s}, CAST(COUNT(*) FILTER (y = {c}) OVER () - COUNT(*) FILTER (y = {c}) OVER (PARTITION BY fold) AS DOUBLE) AS w{s}" for c, s in enumerate("abt"))}
     FROM (SELECT id, cluster_id_k20, y, {_FOLD.format(g='target')} FROM (SELECT id, cluster_id_k20, y, CAST(y AS VARCHAR) AS target FROM pred)))"""
 )
+
+# ---------------------------------------------------------------- small steps
+
+ORACLE["scoring_columns"] = sql(
+    "SELECT id, " + " || ' ' || ".join(f"CAST(CAST(ROUND({c} * 1e6) AS BIGINT) AS VARCHAR)" for c in ("m2_a", "m1_tie", "m1_a")) + " AS vector FROM pred"
+)
+ORACLE["fold_union"] = sql("SELECT id, fold FROM folds")
+ORACLE["feature_toggles"] = sql(
+    " UNION ALL ".join(
+        f"SELECT '{choice}' AS choice, '{c}' AS feature, COUNT({c}) AS n FROM pred"
+        for choice, names in {
+            "manual": ("cluster_id_k20",),
+            "m1": ("m1_a", "m1_b", "m1_tie"),
+            "all": ("cluster_id_k20", "m1_a", "m1_b", "m1_tie", "m3_a", "m3_b", "m3_tie"),
+        }.items()
+        for c in names
+    )
+)
+ORACLE["guarded_samples"] = sql(
+    """SELECT name AS sampled_from, id FROM (
+    SELECT name, id, COUNT(*) OVER (PARTITION BY name) AS n, ROW_NUMBER() OVER (PARTITION BY name ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) AS r
+    FROM (SELECT 'tie' AS name, id FROM pred WHERE winner_tie = 1 UNION ALL SELECT 'key 77', id FROM pred WHERE id % 77 = 0
+      UNION ALL SELECT 'key 7777', id FROM pred WHERE id % 7777 = 0)) WHERE n >= 50 AND r <= 50"""
+)
+ORACLE["ordered_heads"] = sql(
+    """SELECT 'source' AS sorted_by, id, fold FROM (SELECT * FROM folds ORDER BY id LIMIT 100) UNION ALL
+  SELECT 'fold', id, fold FROM (SELECT * FROM folds ORDER BY fold, id LIMIT 100) UNION ALL
+  SELECT 'head', id, fold FROM (SELECT * FROM folds ORDER BY id LIMIT 3)"""
+)
