@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -126,16 +126,17 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """A row of probabilities per window."""
         n, size = x.shape
-        code = (x[:, :-1].astype(np.int32) << 8) | x[:, 1:]
+        code = x.astype(np.int32) << 8
+        code[:, :-1] |= x[:, 1:]  # the last place has no second byte; only filters that need none look at it
         out = np.empty((n, len(self.languages)), np.float32)
         for at in range(0, n, STEP):
             c = code[at : at + STEP]
-            near, far = self.near[c], self.far[c[:, 2:]]
+            near, far = self.near[c[:, :-1]], self.far[c[:, 2:]]
             pooled = np.concatenate(
                 [
                     near[:, :, :FILTERS].max(axis=1),
-                    (near[:, : size - 3, FILTERS : 2 * FILTERS] + far[:, :, :FILTERS]).max(axis=1),
-                    (near[:, : size - 3, 2 * FILTERS :] + far[:, :, FILTERS:]).max(axis=1),
+                    (near[:, : size - 2, FILTERS : 2 * FILTERS] + far[:, :, :FILTERS]).max(axis=1),
+                    (near[:, : size - 3, 2 * FILTERS :] + far[:, : size - 3, FILTERS:]).max(axis=1),
                 ],
                 axis=1,
             )
@@ -157,12 +158,19 @@ class Network:
 
 
 def training_windows(docs: DataFrame, id_column: str, text: str, label: str, rows: int, per_row: int) -> DataFrame:
-    """Windows of at most ``rows`` labelled texts outside the held-out fold, chosen by a hash of the id: ``(doc_id, lang, x)``."""
+    """Windows of at most ``rows`` labelled texts outside the held-out fold: ``(doc_id, lang, x)``.
+
+    Labels take turns, each in the order of a hash of the id, so a rare language is learned from as many rows as a common one while it
+    has them. An id counts once, with the smallest of its labels and texts, however many rows repeat it.
+    """
     key, lang = F.col(f"`{id_column}`"), F.col(f"`{label}`")
     fit = docs.where(key.isNotNull() & lang.isNotNull() & ~held_out(key))
-    chosen = fit.select(key.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
+    ids = fit.groupBy(key.alias("k")).agg(F.min(lang).alias("l")).withColumn("draw", F.xxhash64("k"))
+    turn = F.row_number().over(Window.partitionBy("l").orderBy("draw", "k"))
+    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "draw", "k").limit(rows).select("k", "l")
     inner = fit.select(key.alias("doc_id"), lang.alias("lang"), F.col(f"`{text}`").alias("text"))
-    inner = inner.join(F.broadcast(chosen), F.col("doc_id") == F.col("k"))  # bounded by ``rows``
+    inner = inner.join(F.broadcast(chosen), (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("l")))  # bounded by ``rows``
+    inner = inner.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def make():
         def compute(buf, offs):

@@ -92,8 +92,12 @@ def cells(unit: np.ndarray, tables: int, n_blocks: int, probes: int, scale: floa
 
 
 def unit_vectors(column: pa.Array) -> np.ndarray:
-    """Rows of one length as doubles of length one; the lists have equal sizes and a finite, positive norm."""
+    """Rows of one length as doubles of length one; the lists have equal sizes, finite components and one that is not zero.
+
+    Rows are first scaled by a power of two, which is exact, so that no square leaves the range of doubles.
+    """
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1, keepdims=True))[1])
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 

@@ -9,6 +9,7 @@ are such strings count 1 by a look-up; the rest is merged, equal ones of a chunk
 from __future__ import annotations
 
 import functools
+import heapq
 
 import numpy as np
 import sentencepiece
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructType
 from pairwright.llm.texts import map_texts, span_hashes
 
 REMEMBERED = 100_000
+#: Symbols of a part that is merged with a heap; longer pre-tokens are not remembered either.
+LONG_PART = 512
 MARK = "▁"
 LIMIT = 4096
 _NEVER = 1 << 30
@@ -50,6 +53,7 @@ class Pieces:
         self.pair_key, self.pair_rank, self.pair_made = (np.array(x, np.int64) for x in zip(*rows))
         self.sorted_at = np.argsort(self.pair_key)
         self.sorted_key = self.pair_key[self.sorted_at]
+        self.merges: dict[int, tuple[int, int]] | None = None
         self.bits = 20
         slot = ((self.pair_key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
         self.slots = np.full(1 << self.bits, -1, np.int64)
@@ -73,7 +77,8 @@ class Pieces:
         """Tokens of each of many pre-tokens, all merged at the same time.
 
         In every round each pre-token makes the one merge that is its best, the leftmost of equal ones; the rounds
-        are as many as the most merges of one pre-token. Long pre-tokens are first split where no piece has those two neighbours.
+        are as many as the most merges of one pre-token. Long pre-tokens are first split where no piece has those two neighbours; parts
+        that are still long are merged one by one with a heap, in the same order.
         """
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -94,6 +99,10 @@ class Pieces:
         before[begin] = -1
         alive = np.ones(n, bool)
         place = np.arange(n)
+        length = np.diff(np.append(begin, n))
+        for a, size in zip(begin[length > LONG_PART].tolist(), length[length > LONG_PART].tolist()):
+            cost[a] = self._merged_cost(symbol[a : a + size], cost[a : a + size], key[a : a + size])
+            alive[a + 1 : a + size], key[a : a + size] = False, _NEVER
         at, first = np.arange(n), begin
         while True:
             best = np.minimum.reduceat((key[at] << 32) | place[at], first)
@@ -119,6 +128,36 @@ class Pieces:
             first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         return np.bincount(owner[alive], weights=cost[alive], minlength=len(words)).astype(np.int64)
 
+    def _merged_cost(self, symbol: np.ndarray, cost: np.ndarray, key: np.ndarray) -> int:
+        """Tokens of one long part: best merge first, leftmost of equal ones, by a heap over linked symbols."""
+        if self.merges is None:
+            self.merges = dict(zip(self.pair_key.tolist(), zip(self.pair_rank.tolist(), self.pair_made.tolist())))
+        merges, none = self.merges, (_NEVER, 0)
+        symbols, costs, ranks = symbol.tolist(), cost.tolist(), key.tolist()
+        after, before = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r != _NEVER]
+        heapq.heapify(heap)
+        while heap:
+            best = heapq.heappop(heap)
+            i = best & 0xFFFFFFFF
+            if ranks[i] != best >> 32:  # the pair at this place has changed
+                continue
+            gone = after[i]
+            made = symbols[i] = merges[symbols[i] << 20 | symbols[gone]][1]
+            costs[i], costs[gone], ranks[gone], ranks[i] = 1, 0, _NEVER, _NEVER
+            right = after[i] = after[gone]
+            if right >= 0:
+                before[right] = i
+                rank = ranks[i] = merges.get(made << 20 | symbols[right], none)[0]
+                if rank != _NEVER:
+                    heapq.heappush(heap, rank << 32 | i)
+            left = before[i]
+            if left >= 0:
+                rank = ranks[left] = merges.get(symbols[left] << 20 | made, none)[0]
+                if rank != _NEVER:
+                    heapq.heappush(heap, rank << 32 | left)
+        return sum(costs)
+
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of the merge of each two symbols (smaller is earlier) and the symbol it makes."""
         wanted = a.astype(np.int64) << 20 | b
@@ -171,7 +210,9 @@ class Pieces:
         out = [memory.get(w) for w in words]
         new = [k for k, found in enumerate(out) if found is None]
         for k, found in zip(new, self.merge_counts([words[k].decode() for k in new]).tolist()):
-            out[k] = memory[words[k]] = found
+            out[k] = found
+            if len(words[k]) <= LONG_PART:
+                memory[words[k]] = found
         return out
 
 

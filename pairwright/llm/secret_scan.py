@@ -111,19 +111,25 @@ def find_spans(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, i
     starts, ends, _ = spans_of(_HEX[buf], offs)
     long = ends - starts >= HEX_CHARS
     found += [(doc_of(a), a, 2, b) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
-    base: dict[int, list[tuple[int, int]]] = {}
-    for d, a, _, b in found:
-        base.setdefault(d, []).append((a, b))
+    # the furthest end of all base spans up to each beginning; a span of an earlier text ends before the next text begins
+    base = np.array(sorted((a, b) for _, a, _, b in found), np.int64).reshape(-1, 2)
+    reach = np.concatenate([[-1], np.maximum.accumulate(base[:, 1])])
     starts, ends, _ = spans_of(_CANDIDATE[buf], offs)
     long = ends - starts >= WINDOW
     starts, ends = starts[long], ends[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
     some = digits[ends] > digits[starts]
-    for a, b, digit in zip(starts.tolist(), ends.tolist(), some.tolist()):
-        for x, y in high_entropy(raw[a:b], kind="base64" if digit else "letters"):
-            d = doc_of(a)
-            if not any(s <= a + x and a + y <= e for s, e in base.get(d, ())):
-                found.append((d, a + x, 3, a + y))
+    extra = [
+        (a + x, a + y)
+        for a, b, digit in zip(starts.tolist(), ends.tolist(), some.tolist())
+        for x, y in high_entropy(raw[a:b], kind="base64" if digit else "letters")
+    ]
+    if extra:
+        begin, end = np.array(extra, np.int64).T
+        new = reach[np.searchsorted(base[:, 0], begin, "right")] < end
+        begin, end = begin[new], end[new]
+        docs_of = np.searchsorted(offs, begin, "right") - 1
+        found += [(d, a, 3, b) for d, a, b in zip(docs_of.tolist(), begin.tolist(), end.tolist())]
     return sorted(found)
 
 

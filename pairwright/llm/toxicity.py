@@ -138,14 +138,14 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 2
 def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id: ``(doc_id, text, toxic)``.
 
-    An id with several labels has the largest; labels other than 0 and 1, and null ids, are not used.
+    An id with several labels has the largest, one with several texts the smallest of them; labels other than 0 and 1, and null ids, are not used.
     """
     key = F.col(f"`{id_column}`")
     given = labels.select(key.alias("doc_id"), F.col(f"`{label}`").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     given = given.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(key.alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # bounded by ``rows``
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # bounded by ``rows``
 
 
 def mine_voters(sample: DataFrame, candidates: int, voters: int) -> tuple[np.ndarray, np.ndarray]:

@@ -84,7 +84,7 @@ def test_folded_tables_equal_the_filters():
     logit = np.maximum(np.hstack(pooled) + network.bias, 0) @ network.out + network.shift
     p = np.exp(logit) / np.exp(logit).sum(axis=1, keepdims=True)
     got = network.probabilities(x)
-    assert np.abs(got - p).max() < 0.02  # the widest filters end one place earlier in the tables
+    assert np.abs(got - p).max() < 1e-5
 
 
 def test_gradients_are_right():
