@@ -2,8 +2,9 @@
 
 Training texts are indexed shard by shard: a shard is a run of whole texts inside a task. Its words become numbers of the
 benchmark's vocabulary. Only stretches of benchmark words as long as the shortest window can hold a match, so the suffix array covers
-those and nothing else; this loses no match. Every benchmark suffix is then binary-searched in every shard; each occurrence of at
-least a window is extended to the longest verbatim match, with its place in both texts.
+those and nothing else; this loses no match. Benchmark suffixes whose first window a shard holds, found by a hash of each window
+in the shard, are binary-searched in its array, so the work follows the shard and not the benchmark; each occurrence of at least a
+window is extended to the longest verbatim match, with its place in both texts.
 
 The benchmark travels to the tasks in blocks of bounded size: a small one in one block, a larger one in as many
 passes over the documents as it has blocks. Nothing is shuffled, so common passages and hot sources cost no more than other rows.
@@ -21,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pairwright.llm.buckets import runs
 from pairwright.llm.store import dropped, written
-from pairwright.llm.texts import chunks, list_array, map_texts, word_hashes
+from pairwright.llm.texts import chunks, list_array, map_texts, window_hashes, word_hashes
 
 WINDOW = 10
 #: Text of one benchmark block that is sent to the tasks.
 BLOCK_BYTES = 16 << 20
+#: Occurrences of benchmark suffixes that a shard looks at together.
+STEP = 1 << 20
 MATCH = "item_id string, item_start int, doc_start int, n_words int"
 
 
@@ -53,6 +57,12 @@ class Probe:
         self.left = left
         self.suffixes = np.flatnonzero(left >= self.need)
         self.shortest = int(self.need.min()) if len(flat) else 0
+        self.heads = {}
+        for n in np.unique(self.need[self.suffixes]).tolist():
+            q = self.suffixes[self.need[self.suffixes] == n]
+            h = window_hashes(self.tokens.astype(np.uint64), n)[q]
+            order = np.argsort(h, kind="stable")
+            self.heads[n] = h[order], q[order]
 
     def encode(self, words: np.ndarray) -> np.ndarray:
         """Vocabulary numbers from 1; 0 for every other word."""
@@ -64,6 +74,21 @@ class Probe:
         out[maybe[known]] = at[known] + 1
         return out
 
+    def present(self, tokens: np.ndarray) -> np.ndarray:
+        """The suffixes whose first window occurs in ``tokens``; equal hashes of other windows may add some."""
+        found = [np.zeros(0, np.int64)]
+        for n, (heads, q) in self.heads.items():
+            here = np.sort(window_hashes(tokens.astype(np.uint64), n))
+            here = here[np.append(True, here[1:] != here[:-1])[: len(here)]]
+            low, high = np.searchsorted(heads, here, "left"), np.searchsorted(heads, here, "right")
+            found.append(q[_ranges(low, high - low)])
+        return np.sort(np.concatenate(found))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + size - 1`` of every pair, one after another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` tokens at least, by prefix doubling."""
@@ -85,9 +110,9 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def _bound(tokens: np.ndarray, order: np.ndarray, probe: Probe, above: bool) -> np.ndarray:
-    """For every benchmark suffix, how many training suffixes come before it (or, ``above``, not after it)."""
-    q, need = probe.suffixes, probe.need[probe.suffixes]
+def _bound(tokens: np.ndarray, order: np.ndarray, probe: Probe, q: np.ndarray, above: bool) -> np.ndarray:
+    """For each of the benchmark suffixes ``q``, how many training suffixes come before it (or, ``above``, not after it)."""
+    need = probe.need[q]
     lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(order), np.int64)
     deepest = int(need.max())
     for _ in range(int(math.log2(len(order))) + 1):
@@ -123,14 +148,18 @@ def shard_matches(probe: Probe, words: np.ndarray, first: np.ndarray) -> tuple[n
     places = np.arange(lengths.sum()) - np.repeat(offsets, lengths) + np.repeat(begins, lengths)
     tokens = codes[np.minimum(places, len(codes) - 1)]
     tokens[offsets + lengths - 1] = 0
+    known = probe.present(tokens)
+    if not len(known):
+        return none
     order = suffix_array(tokens, int(min(lengths.max(), probe.need.max())))
-    low, high = _bound(tokens, order, probe, False), _bound(tokens, order, probe, True)
+    low, high = _bound(tokens, order, probe, known, False), _bound(tokens, order, probe, known, True)
     found = np.maximum(high - low, 0)
-    q = np.repeat(probe.suffixes, found)
-    ranks = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)
-    at = order[ranks]
-    begun = (probe.start[q] > 0) & (at > 0) & (tokens[np.maximum(at - 1, 0)] == probe.tokens[np.maximum(q - 1, 0)])
-    q, at = q[~begun], at[~begun]
+    parts, part = [], np.cumsum(found) // STEP
+    for lo, hi in zip(*(x.tolist() for x in runs(part))):
+        q, at = np.repeat(known[lo:hi], found[lo:hi]), order[_ranges(low[lo:hi], found[lo:hi])]
+        begun = (probe.start[q] > 0) & (at > 0) & (tokens[np.maximum(at - 1, 0)] == probe.tokens[np.maximum(q - 1, 0)])
+        parts.append((q[~begun], at[~begun]))
+    q, at = (np.concatenate(x) for x in zip(*parts))
     size = probe.need[q].copy()
     going = np.arange(len(q))
     while len(going):
@@ -179,7 +208,7 @@ def benchmark_matches(
 
     A match is a longest run of equal words, of at least ``window`` words or of the whole item if that has fewer. Null and empty texts
     have no words and no matches; repeated rows and ids give a row each; a benchmark without words matches nothing; kept columns named
-    like a result column give way to it. Matches of an item without an id have a null ``item_id``.
+    like a result column give way to it. Matches of an item without an id have a null ``item_id``. Matches are sorted by their fields.
 
     A benchmark of several blocks takes a pass over the documents for each: one block at a time is collected and sent, and its matches are
     written with the columns still needed before the next.
@@ -206,7 +235,8 @@ def benchmark_matches(
             return compute
 
         if n_blocks == 1:
-            return map_texts(out, text, make, StructType.fromDDL(f"n_words bigint, matches array<struct<{MATCH}>>"), columns)
+            found = map_texts(out, text, make, StructType.fromDDL(f"n_words bigint, matches array<struct<{MATCH}>>"), columns)
+            return found.withColumn("matches", F.array_sort("matches"))
         earlier, before = out, ["__m__"] if k else []
         passing = columns if k == n_blocks - 1 else list(dict.fromkeys([*columns, text]))
         out = map_texts(out, text, make, StructType.fromDDL(f"__n__ bigint, __new__ array<struct<{MATCH}>>"), passing + before)

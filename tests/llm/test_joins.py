@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +291,41 @@ def test_one_block_of_the_benchmark_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "written", lambda *rest: events.append("written") or keep(*rest))
     suffixes.benchmark_matches(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), bench, block_bytes=500)
     assert n > 3 and events == ["block", "written"] * n
+
+
+def longest_matches(doc, items, window):
+    w, out = words(doc), []
+    for name, text in items:
+        v = words(text)
+        need = min(window, len(v))
+        for a in range(len(v)):
+            for b in range(len(w)):
+                if need and not (a and b and v[a - 1] == w[b - 1]):
+                    n = 0
+                    while a + n < len(v) and b + n < len(w) and v[a + n] == w[b + n]:
+                        n += 1
+                    if n >= need:
+                        out.append((name, a, b, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("step", [1, 40, 1 << 20])
+def test_matches_and_their_order_do_not_depend_on_blocks(spark, monkeypatch, step):
+    rnd = random.Random(8)
+    line = lambda n: " ".join(f"w{rnd.randrange(4)}" for _ in range(n))
+    items = [(f"i{k}", line(rnd.randrange(3, 40))) for k in range(9)] + [("z", "a b " * 15), ("a", "b a " * 12), ("one", "single")]
+    docs = [(k, line(90)) for k in range(12)] + [(50, "a b " * 60), (51, items[4][1] + " x " + items[2][1]), (52, "single b a single")]
+    # one number of occurrences a look, and many
+    probe = suffixes.Probe(items, 10)
+    monkeypatch.setattr(suffixes, "STEP", step)
+    for doc, text in docs:
+        for _, _, buf, offs in suffixes.chunks(pa.array([text])):
+            _, place, q, size = suffixes.shard_matches(probe, *suffixes.word_hashes(buf, offs))
+            got = sorted((probe.names[probe.item[i]], int(probe.start[i]), int(p), int(n)) for i, p, n in zip(q, place, size))
+            assert got == longest_matches(text, items, 10), doc
+    if step > 1:
+        return
+    table, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for block_bytes in (1 << 20, 150):
+        for r in suffixes.benchmark_matches(table, bench, block_bytes=block_bytes).collect():
+            assert [tuple(m) for m in r.matches] == longest_matches(dict(docs)[r.doc_id], items, 10)
