@@ -5,8 +5,8 @@ bytes, each filter keeps its largest response, and a softmax layer gives a proba
 word or two, so the probabilities of a text's windows are averaged. The network is small: byte vectors, one filter bank per width and the
 output layer. For prediction the bank is folded into tables over pairs of bytes, so a window costs look-ups and additions.
 
-Training reads windows of at most ``sample_rows`` labelled texts, ``sample_windows`` of each, taken evenly from the whole text; prediction
-reads every byte of every text.
+Training reads all windows of at most ``sample_rows`` labelled texts with at most ``sample_bytes`` together; texts of many windows deal
+them over the epochs, so every window is read at least once and no text outweighs another. Prediction reads every byte of every text.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairwright.llm.bpe import LETTER, byte_classes
+from pairwright.llm.store import written
 from pairwright.llm.texts import map_texts, per_text
 
 WIDTHS = (2, 3, 4)
@@ -25,7 +26,9 @@ FILTERS = 8
 BYTE_DIMS = 8
 WINDOW = 96
 SAMPLE_ROWS = 2000
-SAMPLE_WINDOWS = 6
+SAMPLE_BYTES = 32 << 20
+#: Windows of a text in one epoch, at least where it has as many; more where the epochs would not reach all of them.
+TURN = 6
 EPOCHS = 8
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -96,20 +99,26 @@ class Network:
             d_banks.append(d_bank)
         return [d_byte, *d_banks, back.sum(axis=0), hidden.T @ delta, delta.sum(axis=0)]
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, seed: int = 3) -> None:
-        """Adam; every language has the same weight in total."""
-        share = 1 / np.maximum(np.bincount(y, minlength=len(self.languages)), 1)
+    def train(self, x: np.ndarray, y: np.ndarray, text: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, seed: int = 3) -> None:
+        """Adam. Windows of one ``text`` (numbers from 0, ascending) take turns, so that all are read once in the epochs; every language
+        has the same weight in total, and so has every text of a language."""
+        count = np.bincount(text)
+        first = np.cumsum(count) - count
+        turns = np.clip(count // TURN, 1, max(epochs, 1))[text]
+        turn = (np.arange(len(x)) - first[text]) % turns
+        texts = np.bincount(y[first], minlength=len(self.languages))
+        share = turns / count[text] / texts[y]
         rng = np.random.default_rng(seed)
-        first = [np.zeros_like(p) for p in self.parameters()]
-        second = [np.zeros_like(p) for p in self.parameters()]
+        means = [np.zeros_like(p) for p in self.parameters()]
+        squares = [np.zeros_like(p) for p in self.parameters()]
         step = 0
         for epoch in range(epochs):
-            order = rng.permutation(len(x))
+            order = rng.permutation(np.flatnonzero(turn == epoch % turns))
             pace = rate * (1 - epoch / epochs)
-            for at in range(0, len(x), batch):
+            for at in range(0, len(order), batch):
                 some = order[at : at + batch]
                 step += 1
-                for p, g, m, v in zip(self.parameters(), self.gradients(x[some], y[some], share[y[some]]), first, second):
+                for p, g, m, v in zip(self.parameters(), self.gradients(x[some], y[some], share[some]), means, squares):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     p -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(p.dtype)
@@ -157,27 +166,36 @@ class Network:
         return mean, letters
 
 
-def training_windows(docs: DataFrame, id_column: str, text: str, label: str, rows: int, per_row: int) -> DataFrame:
-    """Windows of at most ``rows`` labelled texts outside the held-out fold: ``(doc_id, lang, x)``.
+def training_windows(
+    docs: DataFrame, id_column: str, text: str, label: str, rows: int, per_row: int | None = None, size: int = SAMPLE_BYTES
+) -> DataFrame:
+    """Windows of at most ``rows`` labelled texts outside the held-out fold, of ``size`` bytes together: ``(doc_id, lang, x)``, all windows
+    of a text or ``per_row`` of them, evenly apart.
 
     Labels take turns, each in the order of a hash of the id, so a rare language is learned from as many rows as a common one while it
-    has them. An id counts once, with the smallest of its labels and texts, however many rows repeat it.
+    has them. An id counts once, with the smallest of its labels and texts, however many rows repeat it. A text of more than ``size``
+    bytes is not used; null and empty texts have no window. Extra columns are not read.
     """
     key, lang = F.col(f"`{id_column}`"), F.col(f"`{label}`")
     fit = docs.where(key.isNotNull() & lang.isNotNull() & ~held_out(key))
     ids = fit.groupBy(key.alias("k")).agg(F.min(lang).alias("l")).withColumn("draw", F.xxhash64("k"))
     turn = F.row_number().over(Window.partitionBy("l").orderBy("draw", "k"))
-    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "draw", "k").limit(rows).select("k", "l")
-    inner = fit.select(key.alias("doc_id"), lang.alias("lang"), F.col(f"`{text}`").alias("text"))
+    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "draw", "k").limit(rows)
+    inner = fit.select(key.alias("doc_id"), lang.alias("lang"), F.col(f"`{text}`").alias("text"), F.octet_length(f"`{text}`").alias("n"))
+    inner = inner.where(F.coalesce("n", F.lit(0)) <= size)
     inner = inner.join(F.broadcast(chosen), (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("l")))  # bounded by ``rows``
-    inner = inner.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    inner = inner.groupBy("doc_id", "lang", "turn", "draw").agg(F.min("text").alias("text"))
+    inner = written(inner, "lang-sample")
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("turn", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    some = inner.withColumn("sum", before).where(F.coalesce("sum", F.lit(0)) <= size).select(F.col("doc_id").alias("k"), F.col("lang").alias("l"))
+    inner = inner.join(F.broadcast(some), (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("l")))  # bounded by ``rows``
 
     def make():
         def compute(buf, offs):
             x, counts = windows(buf, offs)
             ends, out = np.cumsum(counts), []
             for end, n in zip(ends.tolist(), counts.tolist()):
-                pick = np.unique(np.linspace(end - n, end - 1, min(n, per_row)).astype(int)) if n else []
+                pick = range(end - n, end) if per_row is None else np.unique(np.linspace(end - n, end - 1, min(n, per_row)).astype(int)) if n else []
                 out.append([x[k].tobytes() for k in pick])
             return [pa.array(out, pa.list_(pa.binary()))]
 
@@ -194,23 +212,29 @@ def fit(
     text: str = "text",
     label: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
-    sample_windows: int = SAMPLE_WINDOWS,
+    sample_bytes: int = SAMPLE_BYTES,
     epochs: int = EPOCHS,
 ) -> Network:
-    """Train on windows of at most ``sample_rows`` labelled texts. Without any, every text is ``und``."""
-    rows = training_windows(docs, id_column, text, label, sample_rows, sample_windows).collect()
+    """Train on all windows of at most ``sample_rows`` labelled texts of ``sample_bytes`` together; which ones tells
+    :func:`training_windows`. Without any, every text is ``und``. The result depends on neither partitioning nor the order of rows."""
+    rows = training_windows(docs, id_column, text, label, sample_rows, size=sample_bytes).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
     languages = sorted({r["lang"] for r in rows})
     network = Network(languages)
     if rows:
         number = {name: k for k, name in enumerate(languages)}
         x = np.stack([np.frombuffer(bytes(r["x"]), np.uint8) for r in rows])
-        network.train(x, np.array([number[r["lang"]] for r in rows]), epochs)
+        new = [a["doc_id"] != b["doc_id"] for a, b in zip(rows[1:], rows)]
+        network.train(x, np.array([number[r["lang"]] for r in rows]), np.cumsum([0, *new]), epochs)
     return network
 
 
 def identified(docs: DataFrame, network: Network, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: ``doc_id, lang_pred, score``; ``und`` with score 0 where the text is null or has no letter."""
+    """One row per row: ``doc_id, lang_pred, score``; ``und`` with score 0 where the text is null or has no letter.
+
+    Repeated rows get the same answer; of equal probabilities the first language by name is taken; a very long text is read to its end in
+    windows. Extra columns, also ones named like a result column, are not read.
+    """
     inner = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def make():

@@ -27,6 +27,37 @@ def test_a_hot_id_is_one_row_of_the_sample_and_rare_languages_are_in_it(spark):
     assert sorted(again) == sorted(langid.training_windows(docs, "doc_id", "text", "lang", 40, 6).collect())
 
 
+def test_language_sample_reads_whole_texts_within_its_bytes(spark):
+    rows = [(k, f"{k:04d}" * 240, "aa" if k % 2 else "oo") for k in range(40)] + [(900, "x" * 50_000, "aa"), (901, "z" * 50_000, "zz"), (902, None, "aa"), (903, "", "oo")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, x int").repartition(4)
+    text = {k: t for k, t, _ in rows}
+    read = lambda size: sorted(langid.training_windows(docs, "doc_id", "text", "lang", 1000, size=size).collect())
+    whole = read(1 << 20)
+    fit = {r.doc_id for r in docs.where(~langid.held_out(F.col("doc_id"))).where("text <> ''").collect()}
+    assert {r.doc_id for r in whole} == fit
+    for k in fit:  # every byte of a text is in its windows
+        assert len([r for r in whole if r.doc_id == k]) == -(-len(text[k]) // langid.WINDOW)
+    few = {r.doc_id for r in read(10_000)}
+    assert 0 < len(few) <= 10 and not few & {900, 901} and {k % 2 for k in few} == {0, 1}
+    assert read(10) == []
+
+
+def test_every_window_of_a_sampled_text_is_trained_on(monkeypatch):
+    seen = []
+    network = langid.Network(["a", "b"])
+    keep = network.gradients
+    monkeypatch.setattr(network, "gradients", lambda x, y, w: seen.extend((bytes(r), k) for r, k in zip(x, w)) or keep(x, y, w))
+    counts = [1, 5, 6, 13, 400]
+    text = np.repeat(np.arange(5), counts)
+    x = np.zeros((len(text), langid.WINDOW), np.uint8)
+    x[:, 0], x[:, 1], x[:, 2] = text + 1, np.arange(len(text)) % 251, np.arange(len(text)) // 251
+    network.train(x, text % 2, text, 8)
+    assert {r for r, _ in seen} == {bytes(r) for r in x}
+    weight = [sum(w for r, w in seen if r[0] == t + 1) for t in range(5)]
+    for of in ((0, 2, 4), (1, 3)):  # texts of a language weigh alike
+        assert max(weight[t] for t in of) < 1.3 * min(weight[t] for t in of)
+
+
 def test_a_hot_id_is_one_row_of_the_labelled_sample(spark):
     docs = spark.createDataFrame([(1, f"t{k}") for k in range(900)] + [(k, None if k == 7 else "x") for k in range(2, 60)], "doc_id bigint, text string").repartition(5)
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)] + [(1, 1), (None, 1), (3, None), (4, 7)], "doc_id bigint, toxic int")
