@@ -1,13 +1,13 @@
 """Toxicity by weak supervision: many noisy voters, a generative label model, a linear classifier on its posteriors.
 
-Voters say "toxic" when a text holds at least c words with a given beginning (or a given whole word), shouts, or stacks marks; one more
-voter says "clean" when none of them speaks, and the given labels are a voter like the others. Which beginnings make voters is mined
-from a bounded sample of labelled rows. The label model estimates the prior, every voter's accuracies and the correlation of voters
-within a class by expectation maximization; correlated voters share their weight. A logistic regression on the voters and a few counts
-is fitted to the posteriors and scores every text.
+Voters say "toxic" when a text holds at least c words with a given beginning (or a given whole word), shouts, or stacks marks, and "clean"
+by their silence; the given labels are a voter like the others. Which beginnings make voters is mined
+from a bounded sample of labelled rows. The label model estimates the prior, every voter's accuracies and the correlations of voters
+within a class, one parent a voter, by expectation maximization that starts from the voters alone. A logistic regression on the voters
+and a few counts is fitted to the posteriors and scores every text.
 
 Only the fitting reads a sample, of at most ``sample_rows`` labelled rows; scoring reads every text in whole. What goes to the driver
-is bounded by the sample and by the number of voters.
+is bounded by the sample, by ``candidates`` patterns of most toxic rows and by the ``voters`` that tell best.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ VOTERS = 160
 BEGINNINGS = (4, 5, 6, 7, 8, 0)
 COUNTS = (1, 2, 3)
 LEAST_TOXIC = 4
+#: One word makes several voters speak; one in so many voters starts a row as toxic.
+START = 30
+#: Correlation within the classes that makes two voters a pair of the model.
+PAIR = 0.3
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -91,33 +95,72 @@ def features(buf: np.ndarray, offs: np.ndarray, patterns: np.ndarray, least: np.
     return np.hstack([counts[:, code] >= least, style(buf, offs)])
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, dict]:
-    """Posterior of "toxic" for each row from 0/1 votes and 0/1 labels; accuracies, prior and voters' weights.
-
-    Silence of a voter says nothing. The voter that says "clean" speaks when all others are silent.
+def _joint(speak: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights ``(class, a, b, voter, voter)`` of rows where the first voter says a and the second b, and the weight of each class."""
+    mass = np.array([(1 - p).sum(), p.sum()])
+    out = np.empty((2, 2, 2, speak.shape[1], speak.shape[1]))
+    for y, weight in enumerate((1 - p, p)):
+        both = (speak * weight[:, None]).T @ speak
+        one = np.diag(both)
+        out[y, 1, 1], out[y, 1, 0] = both, one[:, None] - both
+        out[y, 0, 1], out[y, 0, 0] = one[None, :] - both, mass[y] - one[:, None] - one[None, :] + both
+    return np.maximum(out, 0), mass
+
+
+def _pairs(joint: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Parent of every voter (-1: none): the forest of the strongest correlations within the classes, of at least ``PAIR``."""
+    n = joint.shape[-1]
+    both, one = joint[:, 1, 1] / np.maximum(mass, 1e-9)[:, None, None], np.einsum("yii->yi", joint[:, 1, 1]) / np.maximum(mass, 1e-9)[:, None]
+    spread = np.sqrt(np.maximum(one * (1 - one), 1e-6))
+    within = (both - one[:, :, None] * one[:, None, :]) / (spread[:, :, None] * spread[:, None, :])
+    strength = np.abs((within * (mass / mass.sum())[:, None, None]).sum(axis=0))
+    parent, source, inside = np.full(n, -1), np.zeros(n, int), np.zeros(n, bool)
+    best = np.zeros(n)
+    for _ in range(n):
+        k = int(np.where(inside, -1, best).argmax())
+        parent[k], inside[k] = source[k] if best[k] >= PAIR else -1, True
+        nearer = strength[k] > best
+        best[nearer], source[nearer] = strength[k][nearer], k
+    return parent
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, dict]:
+    """Posterior of "toxic" for each row from 0/1 votes and, if given, 0/1 labels as one more voter; prior, accuracies, pairs and weights.
+
+    A generative model: the class comes from the prior, and every voter speaks or not by the class and by what one other voter, its parent,
+    says, if it has one. Parents form a forest of the strongest correlations within the classes of the start, so a copy of a voter adds
+    nothing; the forest stays, so that pairs cannot take over what the class explains. Expectation
+    maximization starts from the voters alone: rows where one in ``START`` of them speaks, two at least.
+    ``weights`` is what a voter says by itself: 1 less its correlation with its parent within the classes. Every voter must tell something
+    of the class, as mined ones do: copies that speak by chance and outnumber the others at the start would be taken for it.
     """
     n, m = votes.shape
-    silent = ~votes.any(axis=1)
-    speak = np.hstack([votes, silent[:, None], (labels == 1)[:, None], (labels == 0)[:, None]]).astype(np.float64)
-    p = np.clip(labels.astype(np.float64), 0.05, 0.95)
-    for _ in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        hit = np.stack([((1 - p) @ speak + 0.5) / ((1 - p).sum() + 1), (p @ speak + 0.5) / (p.sum() + 1)])
-        shared = np.zeros((speak.shape[1], speak.shape[1]))
-        for weight, mean in ((1 - p, hit[0]), (p, hit[1])):
-            centred = speak - mean
-            cov = (centred * weight[:, None]).T @ centred / max(weight.sum(), 1e-9)
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            shared += (cov / scale / scale[:, None]) * weight.sum() / n
-        np.fill_diagonal(shared, 0)
-        weights = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
-        logit = np.log(prior / (1 - prior)) + speak @ (weights * np.log(hit[1] / hit[0]))
+    speak = np.hstack([votes] + ([] if labels is None else [labels[:, None] == 1])).astype(np.float64)
+    p = np.where(votes.sum(axis=1) >= max(2, m / START), 0.99, 0.01)
+    for step in range(rounds):
+        joint, mass = _joint(speak, p)
+        prior = np.clip(mass[1] / n, 1e-3, 1 - 1e-3)
+        if step == 0:
+            parent = _pairs(joint, mass)
+        voter, up = np.arange(len(parent)), np.maximum(parent, 0)
+        alone = (joint[:, 1, 1, voter, voter] + 0.5) / (mass[:, None] + 1)  # class, voter
+        pair = joint[:, :, 1, up, voter]  # class, what the parent says, voter
+        given = (pair + 2 * alone[:, None]) / (pair + joint[:, :, 0, up, voter] + 2)
+        given[:, :, parent < 0] = alone[:, None, parent < 0]
+        heard = speak[:, up]
+        logit = np.log(prior / (1 - prior))
+        for y, sign in ((1, 1), (0, -1)):
+            chance = np.where(heard > 0, given[y, 1], given[y, 0])
+            logit = logit + sign * np.log(np.where(speak > 0, chance, 1 - chance)).sum(axis=1)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - p).max() < 1e-6:
-            p = new
-            break
+        done = np.abs(new - p).max() < 1e-6
         p = new
-    return p, {"prior": float(prior), "toxic": hit[1][:m], "clean": hit[0][:m], "weights": weights[:m]}
+        if done:
+            break
+    spread = np.maximum(alone * (1 - alone), 1e-9)
+    with_parent = (joint[:, 1, 1, up, voter] / np.maximum(mass, 1e-9)[:, None] - alone * alone[:, up]) / np.sqrt(spread * spread[:, up])
+    weights = np.where(parent < 0, 1.0, 1 - np.abs((with_parent * (mass / n)[:, None]).sum(axis=0)).clip(0, 1))
+    return p, {"prior": float(prior), "toxic": alone[1, :m], "clean": alone[0, :m], "parent": parent, "weights": weights[:m]}
 
 
 def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -209,7 +252,12 @@ def fit(
     candidates: int = CANDIDATES,
     voters: int = VOTERS,
 ) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows. Without any, every text scores 0."""
+    """Fit on at most ``sample_rows`` labelled rows. Without any, every text scores 0.
+
+    A null text counts as an empty one; an id that is repeated counts once (see :func:`training_rows`), in both tables; labels without a
+    text and texts without a label are not used. Voters of equal worth are taken in the order of their hashes. Long texts are read to
+    their end, extra columns are not read, and the order of rows makes no difference.
+    """
     sample = written(training_rows(docs, labels, id_column, text, label, sample_rows), "toxic-sample")
     patterns, least = mine_voters(sample, candidates, voters)
 
