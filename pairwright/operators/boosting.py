@@ -3,12 +3,13 @@
 Features are binned once; bin 0 holds missing values. Many models (one per fold, preset or trial) grow in step: a wave is one Spark job
 that sums gradients, hessians and rows by bin for the leaves that all models ask about, and returns the best split of each leaf. The driver holds
 only trees. Leaves are split best first up to ``num_leaves``; a wave asks about all leaves that are still in the running, so a tree takes
-about as many waves as it is deep, not as it has leaves. Where one partition holds all rows, its task needs no other and grows whole rounds; the trees are the same. Each split learns on which side missing values go. The loss on the held-out fold is taken after
+about as many waves as it is deep, not as it has leaves. Up to ``PARTITION_ROWS`` rows a task holds all binned rows, needs no other and grows whole
+models one after the other; the trees are the same. Each split learns on which side missing values go. The loss on the held-out fold is taken after
 every round, and a model stops when it has not improved for ``patience`` rounds.
 
 Gradients are rounded to 2^-30 and summed as whole numbers, so trees do not depend on how rows are partitioned. Rows lie in
-blocks of binned features with the margins of all models; margins are written anew every ``REFRESH`` rounds, and between that
-tasks add up the few trees since.
+blocks of binned features. Waves keep the margins of the models that still grow beside them, written anew every ``REFRESH`` rounds, and add up the few
+trees since; a task that grows whole models adds up all trees once and stores no margins.
 """
 
 from __future__ import annotations
@@ -38,9 +39,13 @@ K = len(CLASSES)
 #: Bins of a feature besides that of missing values.
 MAX_BINS = 63
 BLOCK_ROWS = 1 << 13
-#: Rows of a partition, about. Models whose rows all lie in one task grow there; others in waves, with a shuffle of their histograms.
-PARTITION_ROWS = 1 << 18
+CHUNK_ROWS = 1 << 13
+#: Rows of a partition, about. Models whose rows all lie in one task grow there; others in waves, with a shuffle of their histograms. Sums of this many
+#: gradients are exact as doubles; a row of 37 features takes some 200 bytes of a task.
+PARTITION_ROWS = 1 << 22
 REFRESH = 12
+#: Rows times rounds that a task grows a model by before the driver takes its trees.
+STEP_ROWS = 1 << 28
 PATIENCE = 50
 SCALE = float(1 << 30)
 LEAST_GAIN = 1e-9
@@ -189,8 +194,9 @@ def bin_table(
                 parts = [part.column(i).to_numpy(zero_copy_only=False).tobytes() for i in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([p], pa.binary()) for p in (*parts, bins.tobytes())]], names=["n", "row", "fold", "label", "bins"])
 
-    made = plain.repartition(parts, "row").mapInArrow(blocks, "n int, row binary, fold binary, label binary, bins binary")
-    path = write_parquet(made.withColumn("part", F.spark_partition_id()), new_path(df.sparkSession, "binned"))
+    spread = plain if parts == 1 else plain.repartition(parts, "row")  # rows of a single part are binned where they lie
+    made = spread.mapInArrow(blocks, "n int, row binary, fold binary, label binary, bins binary")
+    path = write_parquet(made.withColumn("part", F.lit(0) if parts == 1 else F.spark_partition_id()), new_path(df.sparkSession, "binned"))
     return Binned(path, tuple(features), edges, parts, counts)
 
 
@@ -224,6 +230,26 @@ class Tree:
             left = np.where(b == 0, self.missing_left[here], b <= self.bin[here])
             at[rows] = np.where(left, self.left[here], self.right[here])
 
+    def add_to(self, margin: np.ndarray, columns: np.ndarray) -> None:
+        """Add every row's value; ``columns`` are bins by feature. Rows are dealt from node to node, a node at a time."""
+        todo: list[tuple[int, np.ndarray | None]] = [(0, None)]
+        while todo:
+            k, rows = todo.pop()
+            if self.feature[k] < 0:
+                margin[slice(None) if rows is None else rows] += self.value[k]
+                continue
+            sides = _dealt(columns[self.feature[k]], rows, self.bin[k], self.missing_left[k])
+            todo += zip((int(self.left[k]), int(self.right[k])), sides)
+
+
+def _dealt(column: np.ndarray, rows: np.ndarray | None, at: int, missing_left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (None: all) left and right of a split."""
+    bins = column if rows is None else column[rows]
+    left = bins <= at
+    if not missing_left:
+        left &= bins != 0
+    return (np.flatnonzero(left), np.flatnonzero(~left)) if rows is None else (rows[left], rows[~left])
+
 
 def _shrunk(g, l1: float):
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
@@ -369,74 +395,120 @@ def softmax_rows(margin: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def gradients(p: np.ndarray, label: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients and hessians of the log loss, as whole multiples of 1 / SCALE."""
-    g = p.copy()
-    g[np.arange(len(p)), label] -= 1
-    return np.rint(g * SCALE), np.rint(np.maximum(factor * p * (1 - p), 1e-9) * SCALE)
+def class_gradients(p: np.ndarray, hit: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians of the log loss by the margin of one class, as whole multiples of 1 / SCALE; ``hit`` marks the rows of the class."""
+    return np.rint((p - hit) * SCALE), np.rint(np.maximum(factor * p * (1 - p), 1e-9) * SCALE)
 
 
 # ---------------------------------------------------------------- fitting
 
 
-def _blocks(batch: pa.RecordBatch, plan: tuple, active: frozenset[int] | None) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
-    """Each model of each block in a batch, with the block's arrays and the model's margins; only the active models, if they are given."""
-    members, priors, groups, n_features, recent = plan
+def _block(n: int, row: bytes, fold: bytes, label: bytes, bins: bytes, n_features: int) -> dict[str, np.ndarray]:
+    return {"row": np.frombuffer(row, np.int64), "fold": np.frombuffer(fold, np.int8), "label": np.frombuffer(label, np.int8), "bins": np.frombuffer(bins, np.uint8).reshape(n, n_features)}
+
+
+def _blocks(batch: pa.RecordBatch, plan: tuple, active: frozenset[int]) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
+    """Each active model of each block in a batch, with the block's arrays and the model's margins."""
+    priors, groups, n_features, kept, trees = plan
     for n, row, fold, label, bins, grp, margins in zip(*(batch.column(i).to_pylist() for i in range(7))):
-        mine = range(grp, len(members), groups)
-        held = np.frombuffer(margins, np.float64).reshape(len(mine), n, K) if margins else None
-        block = {"row": np.frombuffer(row, np.int64), "fold": np.frombuffer(fold, np.int8), "label": np.frombuffer(label, np.int8), "bins": np.frombuffer(bins, np.uint8).reshape(n, n_features)}
-        for j, m in enumerate(mine):
-            if active is None or m in active:
-                margin = held[j].copy() if held is not None else np.tile(priors[m], (n, 1))
-                for trees in recent[m]:
-                    for c, tree in enumerate(trees):
+        stored = [m for m in kept if m % groups == grp]
+        held = dict(zip(stored, np.frombuffer(margins, np.float64).reshape(len(stored), n, K))) if margins else {}
+        block = _block(n, row, fold, label, bins, n_features)
+        for m in range(grp, len(priors), groups):
+            if m in active:
+                margin = held[m].copy() if m in held else np.tile(priors[m], (n, 1))
+                for found in trees[m]:
+                    for c, tree in enumerate(found):
                         margin[:, c] += tree.value[tree.leaves(block["bins"])]
                 yield m, block, margin
 
 
-def _held_loss(block: dict[str, np.ndarray], p: np.ndarray, who: Member) -> int:
-    """The log losses of the rows a model is held out from, summed as whole multiples of 1 / SCALE."""
-    held = np.flatnonzero(block["fold"] == who.fold)
-    return int(np.rint(-np.log(np.maximum(p[held, block["label"][held]], 1e-15)) * SCALE).astype(np.int64).sum())
-
-
-def _sums(bins: np.ndarray, at: np.ndarray, nodes: Sequence[int], n_nodes: int, g: np.ndarray, h: np.ndarray, cols: np.ndarray, width: int) -> np.ndarray:
-    """Gradients, hessians and rows of some nodes by feature and bin; ``at`` is the node of every row."""
-    slot = np.full(n_nodes, -1)
-    slot[nodes] = np.arange(len(nodes))
-    mine = slot[at]
-    some = np.flatnonzero(mine >= 0)
-    size = len(nodes) * len(cols) * width
-    keys = ((mine[some][:, None] * len(cols) + np.arange(len(cols))) * width + bins[some][:, cols]).ravel()
-    made = [np.bincount(keys, np.repeat(w[some], len(cols)), size) for w in (g, h)] + [np.bincount(keys, minlength=size)]
-    return np.stack(made).astype(np.int64).reshape(3, len(nodes), len(cols), width)
-
-
-def _grown(who: Member, parts: list[tuple], cols: np.ndarray, width: int, c: int) -> Tree:
-    """A whole tree, where all rows of the model are at hand. Of two siblings the smaller is summed, the other is what their parent leaves."""
+def _held_loss(label: np.ndarray, p: np.ndarray) -> int:
+    """The log losses of held-out rows, summed as whole multiples of 1 / SCALE."""
+    return int(np.rint(-np.log(np.maximum(p[np.arange(len(label)), label], 1e-15)) * SCALE).astype(np.int64).sum())
+
+
+def _sums(columns: np.ndarray, rows: np.ndarray | None, slot: np.ndarray | None, n: int, g: np.ndarray, h: np.ndarray, cols: np.ndarray, width: int) -> np.ndarray:
+    """Gradients, hessians and rows of ``n`` nodes by feature and bin; ``columns`` are bins by feature, ``slot`` the node of every one of the
+    ``rows``. None stands for all rows, and for a single node."""
+    size = len(g) if rows is None else len(rows)
+    out = np.zeros((3, len(cols), n * width))
+    for lo in range(0, size, CHUNK_ROWS):  # few enough rows for a core's cache; those of a node lie together or in few chunks
+        some = slice(lo, lo + CHUNK_ROWS) if rows is None else rows[lo : lo + CHUNK_ROWS]
+        weights = g[some], h[some], None
+        here = None if slot is None else slot[lo : lo + CHUNK_ROWS]
+        first, last = (0, 0) if here is None else (int(here.min()), int(here.max()))
+        base = None if first == last else (here - first) * width
+        at = slice(first * width, (last + 1) * width)
+        for i, f in enumerate(cols):
+            keys = columns[f][some]
+            keys = keys.astype(np.int64) if base is None else base + keys
+            for j in range(3):
+                out[j, i, at] += np.bincount(keys, weights[j], at.stop - at.start)
+    return out.astype(np.int64).reshape(3, len(cols), n, width).swapaxes(1, 2)
+
+
+def _grown(who: Member, columns: np.ndarray, g: np.ndarray, h: np.ndarray, cols: np.ndarray, width: int) -> Tree:
+    """A whole tree, where all rows of the model are at hand, each with the open node it lies in. Of two siblings the smaller is summed, the other is
+    what their parent leaves."""
     grower, known = Grower(who.params), {}
+    rows: dict[int, np.ndarray | None] = {0: None}
     while nodes := grower.wanted():
-        pairs = {kid: (k, kids) for k in known if (kids := grower.nodes[k]["kids"]) for kid in kids}
-        direct, derived = [], {}
-        for k in nodes:
-            parent, kids = pairs.get(k, (None, ()))
-            if parent is None:
-                direct.append(k)
-                continue
+        derived: dict[int, tuple[int, int]] = {}
+        for k in [k for k in rows if grower.nodes[k]["kids"]]:
+            kids, split = grower.nodes[k]["kids"], grower.nodes[k]["split"]
+            rows.update(zip(kids, _dealt(columns[split["feature"]], rows.pop(k), split["bin"], split["missing_left"])))
             small, large = sorted(kids, key=lambda x: (grower.nodes[x]["sums"][2], x))
-            direct.append(small)
-            if k == large:
-                derived[k] = (parent, small)
-        direct = sorted(set(direct))
-        tree = grower.tree()
-        total = sum(_sums(bins, tree.leaves(bins), direct, len(tree.feature), g[:, c], h[:, c], cols, width) for bins, g, h in parts)
+            derived[large] = (k, small)
+        wanted = set(nodes)
+        direct = sorted({derived[k][1] if k in derived else k for k in wanted})
+        if direct == [0]:
+            total = _sums(columns, None, None, 1, g, h, cols, width)
+        else:
+            slot = np.repeat(np.arange(len(direct)), [len(rows[k]) for k in direct])
+            total = _sums(columns, np.concatenate([rows[k] for k in direct]), slot, len(direct), g, h, cols, width)
         known.update({k: total[:, i] for i, k in enumerate(direct)})
-        known.update({k: known[parent] - known[small] for k, (parent, small) in derived.items()})
+        known.update({k: known[parent] - known[small] for k, (parent, small) in derived.items() if k in wanted})
         grower.learn(best_splits(np.stack([known[k] for k in nodes], axis=1), nodes, cols, who.params))
     return grower.finished()
 
 
+def _best(losses: Sequence[float]) -> int:
+    """Rounds up to the one of the smallest loss."""
+    return 1 + min(range(len(losses)), key=losses.__getitem__)
+
+
+def _grow_model(who: Member, rows: Mapping[str, np.ndarray], prior: np.ndarray, trees: Sequence, losses: Sequence[float], steps: range, seed: int, patience: int, features: int, width: int) -> list[tuple[list[Tree], int]]:
+    """The next rounds of a model whose rows all lie here, with the held-out loss of each, until it stops. It has the trees given."""
+    columns, label, fold = rows["columns"], rows["label"], rows["fold"]
+    margin = np.tile(prior, (len(label), 1))
+    for found in trees:
+        for c, tree in enumerate(found):
+            tree.add_to(margin[:, c], columns)
+    learns, held = fold != who.fold, np.flatnonzero(fold == who.fold)
+    seen, out, drawn = list(losses), [], None
+    for at in steps:
+        draw_no = at // max(1, who.params.bagging_freq) if who.params.bagging_fraction < 1 else 0
+        if draw_no != drawn:
+            use, drawn = np.flatnonzero(learns & in_bag(rows["row"], who.params, seed, at)), draw_no
+            mine = columns[:, use]
+        p, y = softmax_rows(margin[use]), label[use]
+        found = []
+        for c in CLASSES:
+            cols = sampled_features(features, who.params.feature_fraction, seed, who.name, who.fold, at, c)
+            g, h = class_gradients(p[:, c], y == c, who.params.hessian)
+            found.append(_grown(who, mine, g, h, cols, width))
+        for c, tree in enumerate(found):
+            tree.add_to(margin[:, c], columns)
+        loss = _held_loss(label[held], softmax_rows(margin[held]))
+        out.append((found, loss))
+        if len(held):
+            seen.append(loss / SCALE / len(held))
+            if len(seen) - _best(seen) >= patience:
+                break
+    return out
+
+
 class Fleet:
     """Models that grow in step over one binned table. ``run`` may be called again to go on, with fewer models."""
 
@@ -453,27 +525,28 @@ class Fleet:
         for m in self.members:
             n = np.array([sum(c[y] for f, c in enumerate(table.counts) if f != m.fold) for y in CLASSES], float)
             self.priors.append(np.log(np.maximum(n, 1e-6) / max(n.sum(), 1.0)))
+        self.kept: list[int] = []  # models whose margins are stored, with the trees of the kept rounds
         start = spark.read.parquet(table.path).select("*", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("grp"), F.lit(None).cast("binary").alias("margins"))
-        self.state = self._kept(start)
+        self.state = self._stored(start)
 
-    def _kept(self, df: DataFrame) -> DataFrame:
+    def _stored(self, df: DataFrame) -> DataFrame:
         """All blocks of a partition and group in one task, in memory."""
         at = F.col("part") * self.groups + F.col("grp")
         return df.repartitionById(self.table.parts * self.groups, at.cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def _plan(self) -> tuple:
+    def _plan(self, active: Sequence[int]) -> tuple:
         """What a task needs to know the margins of its blocks."""
-        return self.members, self.priors, self.groups, len(self.table.features), [t[self.kept_rounds :] for t in self.trees]
+        trees = {m: self.trees[m][self.kept_rounds :] if m in self.kept else self.trees[m] for m in active}
+        return self.priors, self.groups, len(self.table.features), self.kept, trees
 
     _COLUMNS = ("n", "row", "fold", "label", "bins", "grp", "margins")
 
     def _wave(self, asked: Mapping[tuple[int, int], tuple[Tree, list[int]]], active: Sequence[int], with_loss: bool) -> list:
         """Best splits of the nodes asked about, by model and class, and with class -1 the summed loss of the held-out rows."""
-        shared = self.spark.sparkContext.broadcast((self._plan(), dict(asked), frozenset(active), self.rounds, self.seed, self.table, with_loss))
+        shared = self.spark.sparkContext.broadcast((self._plan(active), dict(asked), frozenset(active), self.members, self.rounds, self.seed, self.table, with_loss))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], np.ndarray]:
-            plan, asked, active, at, seed, table, with_loss = shared.value
-            members = plan[0]
+            plan, asked, active, members, at, seed, table, with_loss = shared.value
             width = table.width
             total: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
@@ -481,21 +554,27 @@ class Fleet:
                     who = members[m]
                     p = softmax_rows(margin)
                     if with_loss:
-                        total[m, -1] = total.get((m, -1), 0) + np.array([_held_loss(block, p, who)], np.int64)
+                        out_of = np.flatnonzero(block["fold"] == who.fold)
+                        total[m, -1] = total.get((m, -1), 0) + np.array([_held_loss(block["label"][out_of], p[out_of])], np.int64)
                     use = np.flatnonzero((block["fold"] != who.fold) & in_bag(block["row"], who.params, seed, at))
-                    bins = block["bins"][use]
-                    g, h = gradients(p[use], block["label"][use], who.params.hessian)
+                    bins, y = block["bins"][use], block["label"][use]
+                    columns = np.ascontiguousarray(bins.T)
                     for c in CLASSES:
                         if (m, c) not in asked:
                             continue
                         tree, nodes = asked[m, c]
                         cols = sampled_features(len(table.features), who.params.feature_fraction, seed, who.name, who.fold, at, c)
-                        found = _sums(bins, tree.leaves(bins), nodes, len(tree.feature), g[:, c], h[:, c], cols, width)
+                        slot = np.full(len(tree.feature), -1)
+                        slot[nodes] = np.arange(len(nodes))
+                        slot = slot[tree.leaves(bins)]
+                        some = np.flatnonzero(slot >= 0)
+                        g, h = class_gradients(p[use, c], y == c, who.params.hessian)
+                        found = _sums(columns, some, slot[some], len(nodes), g, h, cols, width)
                         total[m, c] = total[m, c] + found if (m, c) in total else found
             return total
 
         def answer(m: int, c: int, found: np.ndarray) -> bytes:
-            (members, *_), asked, _, at, seed, table, _ = shared.value
+            _, asked, _, members, at, seed, table, _ = shared.value
             if c < 0:
                 return found.astype("<i8").tobytes()
             who, nodes = members[m], asked[m, c][1]
@@ -532,40 +611,38 @@ class Fleet:
         return found
 
     def _rounds(self, active: Sequence[int], n: int) -> None:
-        """The next ``n`` rounds of models whose rows all lie in one task: trees need no shuffle there, and come out as in :meth:`_wave`."""
-        shared = self.spark.sparkContext.broadcast((self._plan(), frozenset(active), self.rounds, self.seed, self.table))
+        """The next ``n`` rounds of models whose rows all lie in one task: trees need no shuffle there, and come out as in :meth:`_wave`.
+
+        The models are dealt anew over the groups, those of many leaves first, so that the ones still growing keep all tasks busy.
+        """
+        size = lambda m: -min(self.members[m].params.num_leaves or math.inf, 1 << self.members[m].params.max_depth)
+        dealt = [sorted(active, key=size)[i :: self.groups] for i in range(self.groups)]
+        models = {m: (self.members[m], self.priors[m], self.trees[m], self.losses[m]) for m in active}
+        shared = self.spark.sparkContext.broadcast((dealt, models, range(self.rounds, self.rounds + n), self.seed, self.patience, self.table))
 
         def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            plan, active, start, seed, table = shared.value
-            blocks: dict[int, list] = {}
+            dealt, models, steps, seed, patience, table = shared.value
+            blocks, group = [], 0
             for batch in batches:
-                for m, block, margin in _blocks(batch, plan, active):
-                    blocks.setdefault(m, []).append((block, margin))
-            for m, held in blocks.items():
-                who, out = plan[0][m], []
-                for at in range(start, start + n):
-                    parts = []
-                    for block, margin in held:
-                        use = np.flatnonzero((block["fold"] != who.fold) & in_bag(block["row"], who.params, seed, at))
-                        parts.append((block["bins"][use], *gradients(softmax_rows(margin[use]), block["label"][use], who.params.hessian)))
-                    cols = [sampled_features(len(table.features), who.params.feature_fraction, seed, who.name, who.fold, at, c) for c in CLASSES]
-                    trees = [_grown(who, parts, cols[c], table.width, c) for c in CLASSES]
-                    loss = 0
-                    for block, margin in held:
-                        for c, tree in enumerate(trees):
-                            margin[:, c] += tree.value[tree.leaves(block["bins"])]
-                        loss += _held_loss(block, softmax_rows(margin), who)
-                    out.append((trees, loss))
+                for *data, grp, _ in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                    block, group = _block(*data, len(table.features)), grp
+                    blocks.append({**{k: block[k] for k in ("row", "fold", "label")}, "columns": block["bins"].T})
+            if not blocks:
+                return
+            rows = {name: np.concatenate([b[name] for b in blocks], axis=-1) for name in ("row", "fold", "label")}
+            rows["columns"] = np.ascontiguousarray(np.concatenate([b["columns"] for b in blocks], axis=-1))
+            blocks.clear()
+            for m in dealt[group]:
+                out = _grow_model(models[m][0], rows, *models[m][1:], steps, seed, patience, len(table.features), table.width)
                 yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([pickle.dumps(out)], pa.binary())], names=["m", "data"])
 
         found = {r["m"]: pickle.loads(r["data"]) for r in self.state.select(*self._COLUMNS).mapInArrow(grow, "m int, data binary").collect()}
         shared.destroy()
         for m in active:
             for trees, loss in found.get(m, []):
-                if not self.stopped[m]:
-                    self.trees[m].append(trees)
-                    self._take(m, loss)
-        self.rounds += n
+                self.trees[m].append(trees)
+                self._take(m, loss)
+        self.rounds += max(map(len, found.values()), default=n)
 
     def _take(self, m: int, loss: int) -> None:
         """A model without held-out rows has no losses and never stops."""
@@ -573,23 +650,23 @@ class Fleet:
             self.losses[m].append(loss / SCALE / self.held[m])
             self.stopped[m] = len(self.losses[m]) - self.best(m) >= self.patience
 
-    def _refresh(self) -> None:
-        """Store the margins with all trees so far."""
-        shared, names = self.spark.sparkContext.broadcast(self._plan()), [*self._COLUMNS, "part"]
+    def _refresh(self, active: Sequence[int]) -> None:
+        """Store the margins of the models that still grow, with all their trees so far."""
+        shared, names = self.spark.sparkContext.broadcast((self._plan(active), frozenset(active))), [*self._COLUMNS, "part"]
 
         def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
                     one = batch.slice(k, 1)
-                    margins = np.stack([margin for _, _, margin in _blocks(one, shared.value, None)])
-                    yield pa.RecordBatch.from_arrays([*one.columns[:6], pa.array([margins.tobytes()], pa.binary()), one.column(7)], names=names)
+                    margins = b"".join(margin.tobytes() for _, _, margin in _blocks(one, *shared.value))
+                    yield pa.RecordBatch.from_arrays([*one.columns[:6], pa.array([margins], pa.binary()), one.column(7)], names=names)
 
         fields = StructType([self.state.schema[c] for c in (*self._COLUMNS, "part")])
         made = self.state.select(*self._COLUMNS, "part").mapInArrow(stored, fields)
         path = write_parquet(made, new_path(self.spark, "margins"))
-        before, self.state = self.state, self._kept(self.spark.read.parquet(path))
+        before, self.state = self.state, self._stored(self.spark.read.parquet(path))
         before.unpersist()
-        self.kept_rounds = self.rounds
+        self.kept, self.kept_rounds = sorted(active), self.rounds
 
     def _note(self, found: list, active: Sequence[int]) -> None:
         """Take the held-out losses after the last round."""
@@ -600,8 +677,7 @@ class Fleet:
 
     def best(self, m: int) -> int:
         """Rounds up to the one of the smallest held-out loss."""
-        losses = self.losses[m]
-        return 1 + min(range(len(losses)), key=losses.__getitem__) if losses else len(self.trees[m])
+        return _best(self.losses[m]) if self.losses[m] else len(self.trees[m])
 
     def run(self, rounds: int, members: Sequence[int] | None = None) -> Fleet:
         """Go on until the given number of rounds, or until every model has stopped."""
@@ -609,8 +685,8 @@ class Fleet:
         while self.rounds < rounds:
             active = [m for m in chosen if not self.stopped[m]]
             if self.table.parts == 1 and active:
-                self._rounds(active, min(REFRESH, rounds - self.rounds))
-                self._refresh()
+                step = max(REFRESH, STEP_ROWS // max(1, sum(map(sum, self.table.counts))))
+                self._rounds(active, min(step, rounds - self.rounds))
                 continue
             growers = {(m, c): Grower(self.members[m].params) for m in active for c in CLASSES}
             first = self.rounds > 0
@@ -633,7 +709,7 @@ class Fleet:
                 self.trees[m].append([growers[m, c].finished() for c in CLASSES])
             self.rounds += 1
             if self.rounds - self.kept_rounds >= REFRESH:
-                self._refresh()
+                self._refresh(active)
         active = [m for m in chosen if not self.stopped[m] and len(self.losses[m]) < len(self.trees[m])]
         if active:
             self._note(self._wave({}, active, True), active)

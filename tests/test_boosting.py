@@ -1,5 +1,6 @@
 """Boosting against a plain version that grows one tree at a time, search, saved models, gains and encodings."""
 
+import glob
 import heapq
 import json
 import math
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pairwright.operators import boosting as b
 from pairwright.operators.encoding import fold_encoding
 from pairwright.schema import PREDS, WINNERS
+from pairwright.session import shared_root
 
 FEATURES = ("x", "z", "noise")
 EDGES = ((-1.0, -0.5, 0.0, 0.4, 1.0), (0.0, 1.0, 2.0), tuple(np.linspace(-2, 2, 9)))
@@ -158,6 +160,32 @@ def test_trees_do_not_depend_on_partitions(spark, data):
         f.close()
 
 
+def test_margins_are_stored_for_growing_models_of_waves_only(spark, data):
+    members = [b.Member("l", 0, LEAFWISE), b.Member("l", 3, LEAFWISE), b.Member("d", 1, DEPTHWISE)]
+    stored = lambda: len(glob.glob(f"{shared_root(spark).removeprefix('file:')}/pairwright/margins-*"))
+    before, made = stored(), []
+    for size, written in ((1 << 18, 0), (180, 1)):
+        fleet = b.Fleet(spark, b.bin_table(data, FEATURES, edges=EDGES, partition_rows=size), members)
+        fleet.run(1).run(14, [2])
+        assert stored() - before == written and fleet.kept == [2] * written
+        made.append((fleet.losses, [[[shape(t) for t in r] for r in m] for m in fleet.trees]))
+        fleet.close()
+    assert made[0] == made[1] and [len(x) for x in made[0][0]] == [1, 1, 14]
+
+
+def test_a_few_hundred_thousand_rows_need_no_shuffle_a_wave(spark, monkeypatch):
+    fields = [F.col("id"), F.pmod("id", F.lit(5)).cast("int").alias("fold"), F.pmod(F.xxhash64("id"), F.lit(90)).cast("double").alias("x"), F.pmod("id", F.lit(7)).cast("double").alias("z")]
+    y = F.pmod(F.floor(F.col("x") / 30) + F.when(F.col("z") == 3, 1).otherwise(0), F.lit(3))
+    large = spark.range(0, 300_000, 1, 4).select(*fields).withColumns({w: (y == c).cast("int") for c, w in enumerate(WINNERS)})
+    monkeypatch.setattr(b.Fleet, "_wave", None)
+    table = b.bin_table(large, ("x", "z"))
+    assert table.parts == 1
+    fleet = b.Fleet(spark, table, [b.Member("m", 2, replace(DEPTHWISE, learning_rate=0.5))]).run(3)
+    assert spark.read.parquet(table.path).agg(F.sum("n")).first()[0] == 300_000
+    assert fleet.trees[0][0][0].n[0] == 240_000 and fleet.losses[0][-1] < fleet.losses[0][0] < 0.8
+    fleet.close()
+
+
 def test_patience_stops_a_fit_and_saved_models_end_at_the_best_round(spark, data):
     """Labels of noise: the held-out loss soon rises."""
     noise = data.withColumns({w: (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3)) == c).cast("int") for c, w in enumerate(WINNERS)})
