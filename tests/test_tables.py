@@ -2,8 +2,11 @@
 
 import json
 import math
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -229,6 +232,24 @@ def test_style_flags_and_cosine(spark):
     assert cosine[3] == pytest.approx(1.0) and cosine[2] == 0.0 and cosine[4] == 0.0
 
 
+def test_cosine_holds_the_tokens_of_a_chunk_only():
+    """Memory of 6,000 pairs of 200 words; one pair is larger than a chunk, some texts are empty."""
+    rng = np.random.default_rng(4)
+    texts = [[" ".join(f"w{k}" for k in rng.integers(0, 300, 0 if i % 50 == 0 else 200)) for i in range(6000)] for _ in range(2)]
+    texts[0][70] = "w1 w2\n" * 300_000
+    a, b = (pa.array(t) for t in texts)
+    tracemalloc.start()
+    got = features.chunked_cosines(a, b).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and len(got) == 6000
+    for i in (0, 1, 70, 71, 3050, 5999):
+        x, y = (Counter(t[i].split()) for t in texts)
+        norm = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        assert got[i] == pytest.approx(sum(v * y[k] for k, v in x.items()) / norm if norm else 0.0, abs=1e-12)
+    assert features.chunked_cosines(a[:0], b[:0]).to_pylist() == []
+
+
 # ---------------------------------------------------------------- profiles
 
 
