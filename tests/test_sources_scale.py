@@ -1,9 +1,11 @@
 """Csv in byte ranges, versions of tables, resumable scoring, vocabularies: small cases checked by hand."""
 
 import csv
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairwright.operators import scoring, vocabulary
@@ -156,3 +158,19 @@ def test_an_empty_table_gives_an_empty_vocabulary(spark):
     df = spark.createDataFrame([(1, None)], "id long, text string")
     known = vocabulary.vocabulary(vocabulary.token_counts(df), 3)
     assert known.count() == 0 and vocabulary.encode(df, known).collect()[0]["input_ids"] == []
+
+
+def test_ids_are_looked_up_in_chunks_of_tokens():
+    """A batch of 10,000 rows of 60 tokens, and a text of more tokens than a chunk."""
+    texts = [[f"t{(i * j) % 97}" for j in range(60)] for i in range(10_000)] + [["t1", "x"] * vocabulary.CHUNK_TOKENS, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "_tokens"])
+    known = [f"t{k}" for k in range(50)]
+    tracemalloc.start()
+    made = list(vocabulary.look_up(iter([batch]), known, np.arange(1, 51, dtype=np.int32), 20, ("id",)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sizes = [sum(b.column("n_tokens").to_pylist()) for b in made]
+    assert len(made) > 8 and all(n <= vocabulary.CHUNK_TOKENS or b.num_rows == 1 for n, b in zip(sizes, made)) and peak < 20e6
+    got = [r for b in made for r in b.to_pylist()]
+    ids = {t: k + 1 for k, t in enumerate(known)}
+    assert got == [{"id": i, "input_ids": [ids.get(t, 0) for t in x[:20]], "n_tokens": len(x), "n_unknown": sum(t not in ids for t in x)} for i, x in enumerate(texts)]
