@@ -1,6 +1,7 @@
 """Streaming end states, and the shape of physical plans."""
 
 import datetime
+import glob
 import re
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from __spark_entry__ import queries
 from pairwright.operators import curves, metrics
 from pairwright.plans import inputs
+from pairwright.session import shared_root
 from pairwright.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -24,6 +26,22 @@ def test_a_repeated_file_counts_once(spark, tmp_path):
     assert sorted(tuple(r[c] for c in key) for r in got.collect()) == sorted(tuple(r[c] for c in key) for r in want.collect())
 
 
+def test_hours_of_the_late_stream_are_written_by_several_tasks(spark):
+    """No task holds the rows of a whole hour; what is counted is unchanged."""
+    root = f"{shared_root(spark).removeprefix('file:')}/pairwright"
+    before = set(glob.glob(f"{root}/landed-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = queries()["stream_fold_metrics_late"](spark, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (landed,) = set(glob.glob(f"{root}/landed-*")) - before
+    assert all(len(glob.glob(f"{landed}/hour={h}/*.parquet")) > 1 for h in range(4))
+    want = metrics.model_metrics(inputs.folded(spark, SF), inputs.MODELS, ["fold"]).collect()
+    assert sorted((r["fold"], r["model"], r["n"]) for r in got) == sorted((r["fold"], r["model"], r["n"]) for r in want)
+    assert {r["n_late"] for r in got} == {inputs.table(spark, SF, "documents").where("doc_id % 100 = 0").count()}
+
+
 def test_state_shrinks_behind_the_watermark(spark, tmp_path):
     """Six hours of files, each repeating some keys of the hour before; a late row; keys leave the state after 90 minutes."""
     fields = "id long, fold int, landed timestamp, winner_model_a int, winner_model_b int, winner_tie int, a double, b double, t double"
