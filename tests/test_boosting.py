@@ -253,6 +253,20 @@ def test_halving_promotes_the_better_trials(spark, data):
     assert len(b.SEARCH_SPACES["leafwise"]) == 9 and len(b.SEARCH_SPACES["depthwise"]) == 7
 
 
+def test_a_search_stores_no_margins_at_any_rung(spark, data, monkeypatch):
+    """All trials would need their margins stored; only those promoted go on, from the trees they have."""
+    shares, grow = [], b.Fleet._rounds
+
+    def seen(self, active, n):
+        shares.append((len(active), self.groups))
+        grow(self, active, n)
+
+    monkeypatch.setattr(b.Fleet, "_rounds", seen)
+    monkeypatch.setattr(b.Fleet, "_refresh", None)
+    found = b.halving(spark, b.bin_table(data, FEATURES), {"depthwise": b.SEARCH_SPACES["depthwise"]}, b.PRESETS, trials=6, rungs=(1, 2), keep=0.5).collect()
+    assert len(found) == 9 and shares == [(30, 8), (15, 8)]
+
+
 def test_encoding_uses_other_folds_only(spark):
     made = [(i, i % 4 if i % 9 else None, [None, "a", "b", f"rare{i}"][i % 4 if i < 60 else 1], i % 3 if i % 10 else None) for i in range(120)]  # a third and more of one value
     table = [(i, f, c, *[int(y == k) if y is not None else None for k in range(3)]) for i, f, c, y in made]
