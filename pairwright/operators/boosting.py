@@ -4,7 +4,7 @@ Features are binned once; bin 0 holds missing values. Many models (one per fold,
 that sums gradients, hessians and rows by bin for the leaves that all models ask about, and returns the best split of each leaf. The driver holds
 only trees. Leaves are split best first up to ``num_leaves``; a wave asks about all leaves that are still in the running, so a tree takes
 about as many waves as it is deep, not as it has leaves. Up to ``PARTITION_ROWS`` rows a task holds all binned rows, needs no other and grows whole
-models one after the other; the trees are the same. Each split learns on which side missing values go. The loss on the held-out fold is taken after
+models one after the other; the trees are the same. There, features are counted together by joint keys, and before the first tree counts are all it takes. Each split learns on which side missing values go. The loss on the held-out fold is taken after
 every round, and a model stops when it has not improved for ``patience`` rounds.
 
 Gradients are rounded to 2^-30 and summed as whole numbers, so trees do not depend on how rows are partitioned. Rows lie in
@@ -40,8 +40,13 @@ K = len(CLASSES)
 MAX_BINS = 63
 BLOCK_ROWS = 1 << 13
 CHUNK_ROWS = 1 << 13
+#: Bins of features that are counted together, at most: few enough for a core's cache.
+JOINT_BINS = 1 << 12
+JOINT_CHUNK = 1 << 14
+#: Nodes of fewer rows are summed feature by feature, in chunks that hold several of them.
+JOINT_ROWS = 1 << 12
 #: Rows of a partition, about. Models whose rows all lie in one task grow there; others in waves, with a shuffle of their histograms. Sums of this many
-#: gradients are exact as doubles; a row of 37 features takes some 200 bytes of a task.
+#: gradients are exact as doubles; a row of 37 features takes some 260 bytes of a task.
 PARTITION_ROWS = 1 << 22
 REFRESH = 12
 #: Rows times rounds that a task grows a model by before the driver takes its trees.
@@ -143,10 +148,15 @@ class Binned:
     #: rows with a label, by fold and class
     counts: tuple[tuple[int, ...], ...]
 
+    @property
+    def widths(self) -> tuple[int, ...]:
+        """Bins of every feature, that of missing values included."""
+        return tuple(len(e) + 2 for e in self.edges)
+
     @property
     def width(self) -> int:
-        """Bins of the widest feature, that of missing values included."""
-        return 1 + max((len(e) + 1 for e in self.edges), default=1)
+        """Bins of the widest feature."""
+        return max(self.widths, default=2)
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS) -> tuple[tuple[float, ...], ...]:
@@ -244,11 +254,12 @@ class Tree:
 
 def _dealt(column: np.ndarray, rows: np.ndarray | None, at: int, missing_left: bool) -> tuple[np.ndarray, np.ndarray]:
     """The rows (None: all) left and right of a split."""
-    bins = column if rows is None else column[rows]
+    bins = column if rows is None else column.take(rows)
     left = bins <= at
     if not missing_left:
         left &= bins != 0
-    return (np.flatnonzero(left), np.flatnonzero(~left)) if rows is None else (rows[left], rows[~left])
+    sides = np.flatnonzero(left), np.flatnonzero(~left)
+    return sides if rows is None else tuple(rows.take(side) for side in sides)
 
 
 def _shrunk(g, l1: float):
@@ -390,9 +401,16 @@ def in_bag(row: np.ndarray, p: Boost, seed: int, at: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53) < p.bagging_fraction
 
 
+def softmax_columns(margin: np.ndarray) -> np.ndarray:
+    """Probabilities of margins by class; a class is a row of the array."""
+    p = margin - margin.max(0)
+    np.exp(p, out=p)
+    p /= p.sum(0)
+    return p
+
+
 def softmax_rows(margin: np.ndarray) -> np.ndarray:
-    e = np.exp(margin - margin.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    return softmax_columns(np.ascontiguousarray(margin.T)).T
 
 
 def class_gradients(p: np.ndarray, hit: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -448,7 +466,87 @@ def _sums(columns: np.ndarray, rows: np.ndarray | None, slot: np.ndarray | None,
     return out.astype(np.int64).reshape(3, len(cols), n, width).swapaxes(1, 2)
 
 
-def _grown(who: Member, columns: np.ndarray, g: np.ndarray, h: np.ndarray, cols: np.ndarray, width: int) -> Tree:
+@dataclass(frozen=True)
+class Joint:
+    """Features counted together: the bin of each is a digit of one key. Their own sums are those of the joint bins, added up."""
+
+    features: tuple[int, ...]
+    widths: tuple[int, ...]
+
+    def keys(self, columns: np.ndarray) -> np.ndarray:
+        out = np.zeros(columns.shape[1], np.uint16)
+        for f, w in zip(self.features, self.widths):
+            out *= np.uint16(w)
+            out += columns[f]
+        return out
+
+
+def joints(widths: Sequence[int], most: int = JOINT_BINS) -> list[Joint]:
+    """All features, dealt over as few joint keys as first fit finds, the widest first."""
+    found: list[list[int]] = []
+    for f in sorted(range(len(widths)), key=lambda f: (-widths[f], f)):
+        for other in found:
+            if math.prod(widths[o] for o in other) * widths[f] <= most:
+                other.append(f)
+                break
+        else:
+            found.append([f])
+    return [Joint(tuple(fs), tuple(widths[f] for f in fs)) for fs in found]
+
+
+@dataclass(frozen=True)
+class Flat:
+    """Gradients of one class before the first tree: all rows have the same margin."""
+
+    hit: np.ndarray
+    g_hit: float
+    g_miss: float
+    h: float
+
+    @classmethod
+    def of(cls, g: np.ndarray, h: np.ndarray, hit: np.ndarray) -> Flat:
+        first = lambda rows, x: float(x[rows.argmax()]) if rows.any() else 0.0
+        return cls(hit.astype(np.uint16), first(hit, g), first(~hit, g), float(h[0]) if len(h) else 0.0)
+
+
+def _joined(columns: np.ndarray, widths: Sequence[int]) -> np.ndarray:
+    """The joint keys of all rows, a row of the result for each of :func:`joints`."""
+    return np.stack([j.keys(columns) for j in joints(widths)])
+
+
+def _joint_sums(joint: Sequence[Joint], keys: np.ndarray, rows: np.ndarray | None, g: np.ndarray, h: np.ndarray, cols: np.ndarray, width: int, flat: Flat | None) -> np.ndarray:
+    """What :func:`_sums` gives for one node, from joint keys. Where all rows have one margin, counts say all: gradients take two values, hessians one."""
+    size = len(g) if rows is None else len(rows)
+    place = {int(f): i for i, f in enumerate(cols)}
+    used = [(j, k) for j, k in zip(joint, keys) if not place.keys().isdisjoint(j.features)]
+    total = [np.zeros((3, math.prod(j.widths))) if flat is None else np.zeros(2 * math.prod(j.widths), np.int64) for j, _ in used]
+    for lo in range(0, size, JOINT_CHUNK):
+        some = slice(lo, lo + JOINT_CHUNK)
+        mine = (lambda x: x[some]) if rows is None else (lambda x, some=rows[some]: x.take(some))
+        if flat is None:
+            weights = mine(g), mine(h), None
+        else:
+            hit = mine(flat.hit)
+        for (_, key), out in zip(used, total):
+            if flat is None:
+                here = mine(key).astype(np.int64)
+                for sums, w in zip(out, weights):
+                    sums += np.bincount(here, w, len(sums))
+            else:
+                out += np.bincount(mine(key) * np.uint16(2) + hit, None, len(out))
+    out = np.zeros((3, len(cols), width))
+    for (j, _), found in zip(used, total):
+        if flat is not None:
+            misses, hits = found.reshape(-1, 2).T.astype(np.float64)
+            found = np.stack([hits * flat.g_hit + misses * flat.g_miss, (hits + misses) * flat.h, hits + misses])
+        found = found.reshape(3, *j.widths)
+        for at, f in enumerate(j.features):
+            if f in place:
+                out[:, place[f], : j.widths[at]] = found.sum(tuple(i + 1 for i in range(len(j.widths)) if i != at))
+    return out.astype(np.int64)
+
+
+def _grown(who: Member, columns: np.ndarray, g: np.ndarray, h: np.ndarray, cols: np.ndarray, width: int, joint: Sequence[Joint] = (), keys: np.ndarray | None = None, flat: Flat | None = None) -> Tree:
     """A whole tree, where all rows of the model are at hand, each with the open node it lies in. Of two siblings the smaller is summed, the other is
     what their parent leaves."""
     grower, known = Grower(who.params), {}
@@ -462,12 +560,16 @@ def _grown(who: Member, columns: np.ndarray, g: np.ndarray, h: np.ndarray, cols:
             derived[large] = (k, small)
         wanted = set(nodes)
         direct = sorted({derived[k][1] if k in derived else k for k in wanted})
+        size = lambda k: len(g) if rows[k] is None else len(rows[k])
+        large = [k for k in direct if joint and size(k) >= JOINT_ROWS]
+        known.update({k: _joint_sums(joint, keys, rows[k], g, h, cols, width, flat) for k in large})
+        direct = [k for k in direct if k not in known]
         if direct == [0]:
-            total = _sums(columns, None, None, 1, g, h, cols, width)
-        else:
+            known[0] = _sums(columns, None, None, 1, g, h, cols, width)[:, 0]
+        elif direct:
             slot = np.repeat(np.arange(len(direct)), [len(rows[k]) for k in direct])
             total = _sums(columns, np.concatenate([rows[k] for k in direct]), slot, len(direct), g, h, cols, width)
-        known.update({k: total[:, i] for i, k in enumerate(direct)})
+            known.update({k: total[:, i] for i, k in enumerate(direct)})
         known.update({k: known[parent] - known[small] for k, (parent, small) in derived.items() if k in wanted})
         grower.learn(best_splits(np.stack([known[k] for k in nodes], axis=1), nodes, cols, who.params))
     return grower.finished()
@@ -478,29 +580,29 @@ def _best(losses: Sequence[float]) -> int:
     return 1 + min(range(len(losses)), key=losses.__getitem__)
 
 
-def _grow_model(who: Member, rows: Mapping[str, np.ndarray], prior: np.ndarray, trees: Sequence, losses: Sequence[float], steps: range, seed: int, patience: int, features: int, width: int) -> list[tuple[list[Tree], int]]:
+def _grow_model(who: Member, rows: Mapping[str, np.ndarray], prior: np.ndarray, trees: Sequence, losses: Sequence[float], steps: range, seed: int, patience: int, features: int, widths: Sequence[int]) -> list[tuple[list[Tree], int]]:
     """The next rounds of a model whose rows all lie here, with the held-out loss of each, until it stops. It has the trees given."""
     columns, label, fold = rows["columns"], rows["label"], rows["fold"]
-    margin = np.tile(prior, (len(label), 1))
+    margin, joint, width = np.repeat(prior[:, None], len(label), axis=1), joints(widths), max(widths)
     for found in trees:
         for c, tree in enumerate(found):
-            tree.add_to(margin[:, c], columns)
+            tree.add_to(margin[c], columns)
     learns, held = fold != who.fold, np.flatnonzero(fold == who.fold)
     seen, out, drawn = list(losses), [], None
     for at in steps:
         draw_no = at // max(1, who.params.bagging_freq) if who.params.bagging_fraction < 1 else 0
         if draw_no != drawn:
             use, drawn = np.flatnonzero(learns & in_bag(rows["row"], who.params, seed, at)), draw_no
-            mine = columns[:, use]
-        p, y = softmax_rows(margin[use]), label[use]
+            mine, keys = columns.take(use, axis=1), rows["joint"].take(use, axis=1)
+        p, y = softmax_columns(margin.take(use, axis=1)), label[use]
         found = []
         for c in CLASSES:
             cols = sampled_features(features, who.params.feature_fraction, seed, who.name, who.fold, at, c)
-            g, h = class_gradients(p[:, c], y == c, who.params.hessian)
-            found.append(_grown(who, mine, g, h, cols, width))
+            g, h = class_gradients(p[c], y == c, who.params.hessian)
+            found.append(_grown(who, mine, g, h, cols, width, joint, keys, None if at else Flat.of(g, h, y == c)))
         for c, tree in enumerate(found):
-            tree.add_to(margin[:, c], columns)
-        loss = _held_loss(label[held], softmax_rows(margin[held]))
+            tree.add_to(margin[c], columns)
+        loss = _held_loss(label[held], softmax_columns(margin.take(held, axis=1)).T)
         out.append((found, loss))
         if len(held):
             seen.append(loss / SCALE / len(held))
@@ -631,9 +733,10 @@ class Fleet:
                 return
             rows = {name: np.concatenate([b[name] for b in blocks], axis=-1) for name in ("row", "fold", "label")}
             rows["columns"] = np.ascontiguousarray(np.concatenate([b["columns"] for b in blocks], axis=-1))
+            rows["joint"] = _joined(rows["columns"], table.widths)
             blocks.clear()
             for m in dealt[group]:
-                out = _grow_model(models[m][0], rows, *models[m][1:], steps, seed, patience, len(table.features), table.width)
+                out = _grow_model(models[m][0], rows, *models[m][1:], steps, seed, patience, len(table.features), table.widths)
                 yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([pickle.dumps(out)], pa.binary())], names=["m", "data"])
 
         found = {r["m"]: pickle.loads(r["data"]) for r in self.state.select(*self._COLUMNS).mapInArrow(grow, "m int, data binary").collect()}

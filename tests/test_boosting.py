@@ -267,6 +267,47 @@ def test_a_search_stores_no_margins_at_any_rung(spark, data, monkeypatch):
     assert len(found) == 9 and shares == [(30, 8), (15, 8)]
 
 
+def wide_rows(widths, n=6000):
+    rng = np.random.default_rng(8)
+    columns = np.stack([rng.integers(0, w, n).astype(np.uint8) for w in widths])
+    label = ((columns[0] > 30).astype(int) + (columns[3] == 1) + (rng.random(n) < 0.2)).astype(np.int8) % 3
+    rows = {"row": rng.integers(-(1 << 62), 1 << 62, n), "fold": rng.integers(0, 5, n).astype(np.int8), "label": label, "columns": columns}
+    return rows, rng
+
+
+def test_features_counted_together_give_the_sums_of_each(spark):
+    """37 features as wide as those of the registered search take a third of the passes over the rows."""
+    widths = [64] * 9 + [3] * 12 + [64] * 7 + [46, 45, 47] + [4] * 6
+    made = b.joints(widths)
+    assert sorted(f for j in made for f in j.features) == list(range(37)) and len(made) <= 13
+    assert all(np.prod(j.widths) <= b.JOINT_BINS for j in made) and [j.features for j in b.joints([300, 5000, 2])] == [(1,), (0, 2)]
+    rows, rng = wide_rows(widths, 40_000)
+    keys = b._joined(rows["columns"], widths)
+    p, cols = rng.random(40_000), np.array([0, 3, 4, 20, 28, 30, 33])
+    hit = rows["label"] == 1
+    g, h = b.class_gradients(p, hit, 1.5)
+    for some in (None, np.flatnonzero(p < 0.7)):
+        plain = b._sums(rows["columns"], some, None, 1, g, h, cols, 64)[:, 0]
+        assert (b._joint_sums(made, keys, some, g, h, cols, 64, None) == plain).all()
+    g, h = b.class_gradients(np.full(40_000, 0.3), hit, 1.5)
+    for some in (None, np.flatnonzero(p < 0.7)):  # before the first tree counts say all
+        plain = b._sums(rows["columns"], some, None, 1, g, h, cols, 64)[:, 0]
+        assert (b._joint_sums(made, keys, some, g, h, cols, 64, b.Flat.of(g, h, hit)) == plain).all()
+
+
+@pytest.mark.parametrize("params", [LEAFWISE, replace(DEPTHWISE, bagging_fraction=0.7)])
+def test_models_grown_by_joint_keys_are_the_same(spark, monkeypatch, params):
+    widths = [64, 3, 46, 3, 4]
+    rows, _ = wide_rows(widths)
+    rows["joint"] = b._joined(rows["columns"], widths)
+    found = []
+    for least in (1, 1 << 10, 1 << 30):  # by joint keys, both, by feature
+        monkeypatch.setattr(b, "JOINT_ROWS", least)
+        found.append(b._grow_model(b.Member("m", 1, params), rows, np.log([0.3, 0.4, 0.3]), [], [], range(4), 42, 50, 5, widths))
+    assert len({repr([[[shape(t) for t in trees], loss] for trees, loss in out]) for out in found}) == 1
+    assert len(found[0]) == 4 and found[0][-1][1] < found[0][0][1]
+
+
 def test_encoding_uses_other_folds_only(spark):
     made = [(i, i % 4 if i % 9 else None, [None, "a", "b", f"rare{i}"][i % 4 if i < 60 else 1], i % 3 if i % 10 else None) for i in range(120)]  # a third and more of one value
     table = [(i, f, c, *[int(y == k) if y is not None else None for k in range(3)]) for i, f, c, y in made]
