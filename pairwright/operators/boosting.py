@@ -24,6 +24,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ PARTITION_ROWS = 1 << 22
 REFRESH = 12
 #: Rows times rounds that a task grows a model by before the driver takes its trees.
 STEP_ROWS = 1 << 28
+#: Nodes that all models grow by, at most, before the driver takes their trees; a node takes some 41 bytes.
+STEP_NODES = 1 << 22
 PATIENCE = 50
 SCALE = float(1 << 30)
 LEAST_GAIN = 1e-9
@@ -575,6 +578,10 @@ def _grown(who: Member, columns: np.ndarray, g: np.ndarray, h: np.ndarray, cols:
     return grower.finished()
 
 
+def _most_leaves(p: Boost) -> int:
+    return min(p.num_leaves or math.inf, 1 << p.max_depth)
+
+
 def _best(losses: Sequence[float]) -> int:
     """Rounds up to the one of the smallest loss."""
     return 1 + min(range(len(losses)), key=losses.__getitem__)
@@ -717,8 +724,7 @@ class Fleet:
 
         The models are dealt anew over the groups, those of many leaves first, so that the ones still growing keep all tasks busy.
         """
-        size = lambda m: -min(self.members[m].params.num_leaves or math.inf, 1 << self.members[m].params.max_depth)
-        dealt = [sorted(active, key=size)[i :: self.groups] for i in range(self.groups)]
+        dealt = [sorted(active, key=lambda m: -_most_leaves(self.members[m].params))[i :: self.groups] for i in range(self.groups)]
         models = {m: (self.members[m], self.priors[m], self.trees[m], self.losses[m]) for m in active}
         shared = self.spark.sparkContext.broadcast((dealt, models, range(self.rounds, self.rounds + n), self.seed, self.patience, self.table))
 
@@ -788,7 +794,8 @@ class Fleet:
         while self.rounds < rounds:
             active = [m for m in chosen if not self.stopped[m]]
             if self.table.parts == 1 and active:
-                step = max(REFRESH, STEP_ROWS // max(1, sum(map(sum, self.table.counts))))
+                nodes = K * sum(2 * _most_leaves(self.members[m].params) for m in active)
+                step = max(REFRESH, min(STEP_ROWS // max(1, sum(map(sum, self.table.counts))), STEP_NODES // nodes))
                 self._rounds(active, min(step, rounds - self.rounds))
                 continue
             growers = {(m, c): Grower(self.members[m].params) for m in active for c in CLASSES}
@@ -824,25 +831,34 @@ class Fleet:
     def nodes(self, members: Sequence[int] | None = None) -> DataFrame:
         """``(model, fold, round, class, node, feature, threshold, missing_left, left, right, value, gain, n)`` of the trees up to each model's best
         round. Values above the threshold go right; round 0 holds the margins that a model starts with."""
-        rows = []
+        found, origin = [], []
+        total = sum(map(sum, self.table.counts))
         for m in range(len(self.members)) if members is None else members:
-            who = self.members[m]
-            for c in CLASSES:
-                rows.append((who.name, who.fold, 0, c, 0, None, None, None, None, None, float(self.priors[m][c]), 0.0, sum(map(sum, self.table.counts))))
-            for at, trees in enumerate(self.trees[m][: self.best(m)], 1):
-                for c, t in enumerate(trees):
-                    for k in range(len(t.feature)):
-                        f = int(t.feature[k])
-                        if f < 0:
-                            rows.append((who.name, who.fold, at, c, k, None, None, None, None, None, float(t.value[k]), 0.0, int(t.n[k])))
-                            continue
-                        edges = self.table.edges[f]
-                        bound = edges[t.bin[k] - 1] if t.bin[k] <= len(edges) else math.inf
-                        rows.append((who.name, who.fold, at, c, k, self.table.features[f], bound, bool(t.missing_left[k]), int(t.left[k]), int(t.right[k]), None, float(t.gain[k]), int(t.n[k])))
-        fields = "model string, fold int, round int, class int, node int, feature string, threshold double, missing_left boolean, `left` int, `right` int, value double, gain double, n bigint"
-        names = [f.name for f in StructType.fromDDL(fields)]
-        kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
-        return self.spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names))
+            start = [Tree(*(np.array([x]) for x in (-1, 0, False, -1, -1, float(prior), 0.0, total))) for prior in self.priors[m]]
+            for at, trees in enumerate([start, *self.trees[m][: self.best(m)]]):
+                found += trees
+                origin += [(m, self.members[m].fold, at, c) for c in CLASSES]
+        sizes = np.array([len(t.feature) for t in found], np.int64)
+        origin = np.repeat(np.array(origin, np.int32).reshape(-1, 4), sizes, axis=0)
+        joined = lambda name, kind: np.concatenate([np.zeros(0, kind), *(getattr(t, name) for t in found)], dtype=kind)
+        feature = joined("feature", np.int32)
+        leaf = feature < 0
+        bounds = np.full((len(self.table.features), self.table.width), math.inf)
+        for f, edges in enumerate(self.table.edges):
+            bounds[f, 1 : len(edges) + 1] = edges
+        node = np.arange(len(feature)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = {
+            "model": pa.array([who.name for who in self.members], pa.string()).take(pa.array(origin[:, 0])),
+            **{name: pa.array(origin[:, i]) for i, name in enumerate(("fold", "round", "class"), 1)},
+            "node": pa.array(node.astype(np.int32)),
+            "feature": pa.array(self.table.features, pa.string()).take(pa.array(feature, mask=leaf)),
+            "threshold": pa.array(bounds[feature, joined("bin", np.int32)], mask=leaf),
+            **{name: pa.array(joined(name, kind), mask=leaf) for name, kind in (("missing_left", bool), ("left", np.int32), ("right", np.int32))},
+            "value": pa.array(joined("value", np.float64), mask=~leaf),
+            "gain": pa.array(joined("gain", np.float64)),
+            "n": pa.array(joined("n", np.int64)),
+        }
+        return self.spark.createDataFrame(pa.table(columns))
 
 
 def fold_members(params: Mapping[str, Boost], k: int = N_FOLDS) -> list[Member]:
@@ -859,24 +875,25 @@ def predict(df: DataFrame, models: DataFrame, model: str, features: Sequence[str
     ``models`` is a table of nodes as :meth:`Fleet.nodes` gives it; its trees, bounded by rounds and leaves, go to every task.
     """
     require(df, [key, fold, *features], "rows to score")
-    column = {c: i for i, c in enumerate(features)}
-    table = models.where(F.col("model") == model).orderBy("fold", "round", "class", "node").toArrow().to_pydict()
-    trees: dict[int, list[list[tuple]]] = {}
-    for k in range(len(table["node"])):
-        of_fold = trees.setdefault(table["fold"][k], [])
-        if table["node"][k] == 0:
-            of_fold.append([table["class"][k], []])
-        name = table["feature"][k]
-        of_fold[-1][1].append((-1 if name is None else column[name], table["threshold"][k] or 0.0, bool(table["missing_left"][k]), table["left"][k] or 0, table["right"][k] or 0, table["value"][k] or 0.0))
-    arrays = {f: [(c, *(np.array(x) for x in zip(*nodes))) for c, nodes in found] for f, found in trees.items()}
+    table = models.where(F.col("model") == model).orderBy("fold", "round", "class", "node").toArrow()
+    place = pc.index_in(table["feature"], pa.array(features, pa.string()))
+    if place.null_count > table["feature"].null_count:
+        raise ValueError("the models split on a feature that the rows do not have")
+    filled = lambda c, value: pc.fill_null(c, value).to_numpy()
+    nodes = [filled(place, -1), *(filled(table[c], value) for c, value in (("threshold", 0.0), ("missing_left", False), ("left", 0), ("right", 0), ("value", 0.0)))]
+    starts = np.flatnonzero(table["node"].to_numpy() == 0)
+    arrays: dict[int, list[tuple]] = {}
+    for lo, hi, f, c in zip(starts, [*starts[1:], len(table)], table["fold"].to_numpy()[starts].tolist(), table["class"].to_numpy()[starts].tolist()):
+        arrays.setdefault(f, []).append((c, *(x[lo:hi] for x in nodes)))
     shared = df.sparkSession.sparkContext.broadcast(arrays)
     values = F.array(*[F.when(is_number(F.col(f"`{c}`")), F.col(f"`{c}`").cast("double")).otherwise(float("nan")) for c in features])
+    width = len(features)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             folds = batch.column(1).to_pylist()
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, len(column))
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, width)
             out = np.full((n, K), np.nan)
             for f, found in shared.value.items():
                 rows = np.flatnonzero([v == f for v in folds])

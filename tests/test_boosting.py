@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators import boosting as b
 from pairwright.operators.encoding import fold_encoding
+from pairwright.plans import catalog, inputs
 from pairwright.schema import PREDS, WINNERS
 from pairwright.session import shared_root
 
@@ -267,6 +268,64 @@ def test_a_search_stores_no_margins_at_any_rung(spark, data, monkeypatch):
     assert len(found) == 9 and shares == [(30, 8), (15, 8)]
 
 
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    """A folder with the one table that the stacking queries read."""
+    at, words = str(tmp_path_factory.mktemp("tables")), ["red", "ox", "lantern", "of", "seventeen", "rivers", "a"]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(words, rng.integers(3, 40))) + "." for _ in range(150)]
+    made = [(i, t, "en", f"src{i % 20}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+@pytest.fixture
+def fleets(monkeypatch):
+    """The fleets closed during a test."""
+    closed, close = [], b.Fleet.close
+    monkeypatch.setattr(b.Fleet, "close", lambda self: (closed.append(self), close(self))[1])
+    return closed
+
+
+def whole(fleet, m):
+    """Whether a model had 1,000 rounds or 50 without a better loss."""
+    return len(fleet.losses[m]) == 1000 or len(fleet.losses[m]) - fleet.best(m) == 50
+
+
+def test_the_registered_stack_grows_until_patience_ends_it(spark, documents, fleets):
+    got = catalog.stack_oof(spark, documents).collect()
+    assert len(got) == 2 * 150 and all(r["pred_a"] is not None for r in got)
+    (fleet,) = fleets
+    assert len(fleet.members) == 10 and all(whole(fleet, m) for m in range(10))
+    assert max(map(len, fleet.losses)) > 120
+    loss = {m.name: [] for m in fleet.members}
+    known = {r["id"]: r for r in inputs.predictions(spark, documents).select("id", *WINNERS).collect()}
+    for r in got:
+        loss[r["variant"]].append(-math.log(r[PREDS[[known[r["id"]][w] for w in WINNERS].index(1)]]))
+    for name, found in loss.items():
+        best = [min(fleet.losses[i]) * fleet.held[i] for i, m in enumerate(fleet.members) if m.name == name]
+        assert np.mean(found) == pytest.approx(sum(best) / 150, abs=1e-4)
+
+
+def test_steps_bounded_by_nodes_give_the_same_trees(spark, data, monkeypatch):
+    table, members, made = b.bin_table(data, FEATURES), [b.Member("l", 0, LEAFWISE), b.Member("d", 1, DEPTHWISE)], []
+    steps, grow = [], b.Fleet._rounds
+    monkeypatch.setattr(b.Fleet, "_rounds", lambda self, active, n: (steps.append(n), grow(self, active, n))[1])
+    for most in (1 << 22, 1):
+        monkeypatch.setattr(b, "STEP_NODES", most)
+        fleet = b.Fleet(spark, table, members).run(30)
+        made.append((fleet.losses, [[[shape(t) for t in r] for r in m] for m in fleet.trees]))
+        fleet.close()
+    assert made[0] == made[1] and steps == [30, 12, 12, 6]
+
+
+def test_models_that_split_on_a_feature_the_rows_lack_are_refused(spark, data):
+    fleet = b.Fleet(spark, b.bin_table(data, FEATURES), [b.Member("m", 0, LEAFWISE)]).run(2)
+    with pytest.raises(ValueError, match="feature"):
+        b.predict(data, fleet.nodes(), "m", FEATURES[:1])
+    fleet.close()
+
+
 def wide_rows(widths, n=6000):
     rng = np.random.default_rng(8)
     columns = np.stack([rng.integers(0, w, n).astype(np.uint8) for w in widths])
