@@ -825,6 +825,11 @@ class Fleet:
             self._note(self._wave({}, active, True), active)
         return self
 
+    def forget(self, members: Sequence[int]) -> None:
+        """Drop the trees of models that will not go on; their losses stay."""
+        for m in members:
+            self.trees[m], self.stopped[m] = [], True
+
     def close(self) -> None:
         self.state.unpersist()
 
@@ -981,6 +986,7 @@ def halving(
                 for t in order:
                     rows.append((name, t, rung, max(len(fleet.losses[i]) for i in place[name, t]), loss[t], t in go, json.dumps(drawn[name][t], sort_keys=True)))
                 alive[name] = sorted(go)
+                fleet.forget([i for t in ts if t not in go for i in place[name, t]])
     finally:
         fleet.close()
     return spark.createDataFrame(rows, "space string, trial int, rung int, rounds int, mean_log_loss double, promoted boolean, parameters string")

@@ -2,6 +2,7 @@
 
 import glob
 import heapq
+import inspect
 import json
 import math
 from collections import defaultdict
@@ -307,6 +308,26 @@ def test_the_registered_stack_grows_until_patience_ends_it(spark, documents, fle
         assert np.mean(found) == pytest.approx(sum(best) / 150, abs=1e-4)
 
 
+def test_the_registered_search_ends_with_whole_fits(spark, documents, fleets):
+    found = catalog.tune_stacker(spark, documents, trials=3).collect()
+    (fleet,) = fleets
+    assert sorted((r["space"], r["rung"]) for r in found) == sorted((s, k) for s in b.SEARCH_SPACES for k in (0, 0, 0, 1, 2, 3, 4))
+    assert all(r["rounds"] == 10 for r in found if r["rung"] == 0) and max(r["rounds"] for r in found) > 27
+    winners = {f"{r['space']}/{r['trial']}" for r in found if r["rung"] == 4}
+    ended = [i for i, m in enumerate(fleet.members) if m.name in winners]
+    assert len(ended) == 10 and all(whole(fleet, i) for i in ended)
+    for r in found:
+        if r["rung"] == 4:
+            best = [min(fleet.losses[i]) for i in ended if fleet.members[i].name == f"{r['space']}/{r['trial']}"]
+            assert r["mean_log_loss"] == pytest.approx(np.mean(best), abs=1e-6) and not r["promoted"]
+    assert not any(fleet.trees)  # those of a trial are dropped once it ends
+
+
+def test_the_registered_search_has_50_trials_a_space():
+    default = {k: p.default for k, p in inspect.signature(catalog.tune_stacker).parameters.items()}
+    assert default["trials"] == 50 and default["rungs"] == (10, 30, 90, 270, 1000)
+
+
 def test_steps_bounded_by_nodes_give_the_same_trees(spark, data, monkeypatch):
     table, members, made = b.bin_table(data, FEATURES), [b.Member("l", 0, LEAFWISE), b.Member("d", 1, DEPTHWISE)], []
     steps, grow = [], b.Fleet._rounds
