@@ -53,7 +53,7 @@ REFRESH = 12
 #: Rows times rounds that a task grows a model by before the driver takes its trees.
 STEP_ROWS = 1 << 28
 #: Nodes that all models grow by, at most, before the driver takes their trees; a node takes some 41 bytes.
-STEP_NODES = 1 << 22
+STEP_NODES = 1 << 20
 PATIENCE = 50
 SCALE = float(1 << 30)
 LEAST_GAIN = 1e-9
@@ -835,17 +835,18 @@ class Fleet:
 
     def nodes(self, members: Sequence[int] | None = None) -> DataFrame:
         """``(model, fold, round, class, node, feature, threshold, missing_left, left, right, value, gain, n)`` of the trees up to each model's best
-        round. Values above the threshold go right; round 0 holds the margins that a model starts with."""
-        found, origin = [], []
-        total = sum(map(sum, self.table.counts))
+        round. Values above the threshold go right; round 0 holds the margins that a model starts with. Models are written one by one."""
+        path = new_path(self.spark, "nodes")
         for m in range(len(self.members)) if members is None else members:
-            start = [Tree(*(np.array([x]) for x in (-1, 0, False, -1, -1, float(prior), 0.0, total))) for prior in self.priors[m]]
-            for at, trees in enumerate([start, *self.trees[m][: self.best(m)]]):
-                found += trees
-                origin += [(m, self.members[m].fold, at, c) for c in CLASSES]
-        sizes = np.array([len(t.feature) for t in found], np.int64)
-        origin = np.repeat(np.array(origin, np.int32).reshape(-1, 4), sizes, axis=0)
-        joined = lambda name, kind: np.concatenate([np.zeros(0, kind), *(getattr(t, name) for t in found)], dtype=kind)
+            self.spark.createDataFrame(self._nodes_of(m)).coalesce(1).write.mode("append").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _nodes_of(self, m: int) -> pa.Table:
+        start = [Tree(*(np.array([x]) for x in (-1, 0, False, -1, -1, float(prior), 0.0, sum(map(sum, self.table.counts))))) for prior in self.priors[m]]
+        found = [(at, c, t) for at, trees in enumerate([start, *self.trees[m][: self.best(m)]]) for c, t in enumerate(trees)]
+        sizes = np.array([len(t.feature) for _, _, t in found])
+        spread = lambda values: pa.array(np.repeat(np.array(values, np.int32), sizes))
+        joined = lambda name, kind: np.concatenate([getattr(t, name) for _, _, t in found], dtype=kind)
         feature = joined("feature", np.int32)
         leaf = feature < 0
         bounds = np.full((len(self.table.features), self.table.width), math.inf)
@@ -853,8 +854,10 @@ class Fleet:
             bounds[f, 1 : len(edges) + 1] = edges
         node = np.arange(len(feature)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         columns = {
-            "model": pa.array([who.name for who in self.members], pa.string()).take(pa.array(origin[:, 0])),
-            **{name: pa.array(origin[:, i]) for i, name in enumerate(("fold", "round", "class"), 1)},
+            "model": pa.repeat(self.members[m].name, len(feature)),
+            "fold": spread([self.members[m].fold] * len(found)),
+            "round": spread([at for at, _, _ in found]),
+            "class": spread([c for _, c, _ in found]),
             "node": pa.array(node.astype(np.int32)),
             "feature": pa.array(self.table.features, pa.string()).take(pa.array(feature, mask=leaf)),
             "threshold": pa.array(bounds[feature, joined("bin", np.int32)], mask=leaf),
@@ -863,7 +866,7 @@ class Fleet:
             "gain": pa.array(joined("gain", np.float64)),
             "n": pa.array(joined("n", np.int64)),
         }
-        return self.spark.createDataFrame(pa.table(columns))
+        return pa.table(columns)
 
 
 def fold_members(params: Mapping[str, Boost], k: int = N_FOLDS) -> list[Member]:

@@ -332,7 +332,7 @@ def test_steps_bounded_by_nodes_give_the_same_trees(spark, data, monkeypatch):
     table, members, made = b.bin_table(data, FEATURES), [b.Member("l", 0, LEAFWISE), b.Member("d", 1, DEPTHWISE)], []
     steps, grow = [], b.Fleet._rounds
     monkeypatch.setattr(b.Fleet, "_rounds", lambda self, active, n: (steps.append(n), grow(self, active, n))[1])
-    for most in (1 << 22, 1):
+    for most in (1 << 20, 1):
         monkeypatch.setattr(b, "STEP_NODES", most)
         fleet = b.Fleet(spark, table, members).run(30)
         made.append((fleet.losses, [[[shape(t) for t in r] for r in m] for m in fleet.trees]))
